@@ -32,10 +32,16 @@ COMPLETENESS_WEIGHTS = {
 }
 
 
-def audit_columns(clean: str = "clean") -> list[Column]:
-    """The twelve audit fields, computed from a cleaned ``html`` column."""
-    title = H.title_text(clean)
-    desc = H.meta_content(clean)
+def audit_columns(clean: str = "clean", title_raw: str | None = None, description: str | None = None) -> list[Column]:
+    """The twelve audit fields, computed from a cleaned ``html`` column.
+
+    ``title_raw`` / ``description`` name columns already extracted upstream, so
+    a caller that needs them elsewhere does not evaluate the regexps twice.
+    """
+    from sitelens.functions.text import trim_ws
+
+    title = trim_ws(F.col(title_raw)) if title_raw else H.title_text(clean)
+    desc = F.col(description) if description else H.meta_content(clean)
     return [
         title.alias("title"),
         desc.alias("description"),

@@ -183,3 +183,104 @@ def main_page() -> str:
         "SELECT site, arg_min(page_id, (NOT is_index, page_id)) AS main_page_id, bool_or(is_index) AS has_index_page, "
         "count(*) AS page_count FROM p GROUP BY site"
     )
+
+
+# --- keywords --------------------------------------------------------------------
+
+
+def f32(x: str) -> str:
+    return f"CAST({x} AS FLOAT)"
+
+
+def stop_list() -> str:
+    from sitelens.operators.dims import STOP_WORDS
+
+    return "(" + ", ".join(q(w) for w in STOP_WORDS) + ")"
+
+
+def word_score(freq: str = "frequency", total: str = "total_words", word: str = "word") -> str:
+    tf = f"({f32(freq)} / {f32(f'greatest({total}, 1)')})"
+    bonus = f"least({f32(f'strlen({word})')} / {f32('10')}, {f32('1.0')})"
+    return f"({tf} * {f32('100.0')} * ({f32('1.0')} + {bonus}))"
+
+
+def keyword_ctes(src: str = "base", key: str = "page_id", text: str = "raw_text") -> str:
+    """CTEs ``kt`` (tokens), ``kf`` (frequencies) and ``kw`` (scored, ranked keywords)."""
+    words = f"list_filter(list_transform({extract_all(text, P.WORD)}, lambda x: lower(x)), lambda x: length(x) >= 3)"
+    phrases = (
+        f"list_filter(list_transform({extract_all(text, P.PHRASE)}, lambda x: lower(x)), "
+        f"lambda x: len({extract_all('x', P.NON_SPACE_RUN)}) <= 4)"
+    )
+    return (
+        f"kt AS (SELECT {key}, false AS is_phrase, unnest({words}) AS word FROM {src} "
+        f"UNION ALL SELECT {key}, true AS is_phrase, unnest({phrases}) AS word FROM {src}), "
+        f"kt2 AS (SELECT {key}, is_phrase, word FROM kt WHERE is_phrase OR word NOT IN {stop_list()}), "
+        f"kf0 AS (SELECT {key}, is_phrase, word, count(*) AS frequency FROM kt2 GROUP BY ALL), "
+        f"kf AS (SELECT *, CAST(sum(frequency) OVER (PARTITION BY {key}, is_phrase) AS BIGINT) AS total_words FROM kf0), "
+        f"ks AS (SELECT *, CASE WHEN is_phrase THEN {f32('frequency')} * {f32('5.0')} ELSE {word_score()} END AS score FROM kf), "
+        f"kr AS (SELECT *, row_number() OVER (PARTITION BY {key}, is_phrase ORDER BY score DESC, word) AS rk FROM ks), "
+        f"kw AS (SELECT {key}, word, frequency, CAST(score AS DOUBLE) AS score, is_phrase, "
+        f"CAST(rk + CASE WHEN is_phrase THEN 50 ELSE 0 END AS INTEGER) AS rank FROM kr "
+        f"WHERE rk <= 50 AND (NOT is_phrase OR rk <= 10))"
+    )
+
+
+def with_keywords(rich: bool = False) -> str:
+    return f"WITH {base_ctes(rich)}, {keyword_ctes()}"
+
+
+def word_tokens(rich: bool = False) -> str:
+    return f"{with_keywords(rich)} SELECT page_id, word FROM kt2 WHERE NOT is_phrase"
+
+
+def phrase_tokens(rich: bool = False) -> str:
+    return f"{with_keywords(rich)} SELECT page_id, word AS phrase FROM kt2 WHERE is_phrase"
+
+
+def word_frequency(rich: bool = False) -> str:
+    return f"{with_keywords(rich)} SELECT page_id, word, frequency, total_words FROM kf WHERE NOT is_phrase"
+
+
+def page_keywords(rich: bool = False) -> str:
+    return f"{with_keywords(rich)} SELECT * FROM kw"
+
+
+def keyword_scores(rich: bool = False) -> str:
+    return f"{with_keywords(rich)} SELECT * FROM kw WHERE NOT is_phrase"
+
+
+def phrase_scores(rich: bool = False) -> str:
+    return f"{with_keywords(rich)} SELECT * FROM kw WHERE is_phrase"
+
+
+def top_keywords(n: int, rich: bool = False) -> str:
+    return (
+        f"{with_keywords(rich)}, tk AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, rank) AS top_rank FROM kw) "
+        f"SELECT page_id, word, frequency, score, is_phrase, rank, CAST(top_rank AS INTEGER) AS top_rank FROM tk WHERE top_rank <= {n}"
+    )
+
+
+def site_keyword_ctes() -> str:
+    """CTE ``sk``: union of page keyword lists per site, first page wins."""
+    return (
+        "sk0 AS (SELECT b.site, k.word, arg_min({'frequency': k.frequency, 'score': k.score, 'is_phrase': k.is_phrase, "
+        "'rank': k.rank, 'first_page_id': k.page_id}, k.page_id) AS s FROM kw k JOIN base b USING (page_id) GROUP BY ALL), "
+        "sk AS (SELECT site, word, s.frequency AS frequency, s.score AS score, s.is_phrase AS is_phrase, "
+        "s.first_page_id AS first_page_id, s.rank AS first_rank FROM sk0)"
+    )
+
+
+def site_keywords(rich: bool = False) -> str:
+    return f"{with_keywords(rich)}, {site_keyword_ctes()} SELECT * FROM sk"
+
+
+def site_top_keywords(n: int, rich: bool = False) -> str:
+    return (
+        f"{with_keywords(rich)}, {site_keyword_ctes()}, "
+        "st AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, first_page_id, first_rank) AS top_rank FROM sk) "
+        f"SELECT site, word, frequency, score, is_phrase, first_page_id, first_rank, CAST(top_rank AS INTEGER) AS top_rank FROM st WHERE top_rank <= {n}"
+    )
+
+
+def body_text_q(rich: bool = False) -> str:
+    return f"WITH {base_ctes(rich)} SELECT page_id, raw_text FROM base"

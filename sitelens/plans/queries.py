@@ -84,3 +84,140 @@ def q_site_audit_rich(spark, sf_dir):
     from sitelens.operators.audit import page_audit, site_audit
 
     return site_audit(page_audit(_pages(spark, sf_dir, rich=True)))
+
+
+# --- extraction --------------------------------------------------------------------
+
+
+def _base(spark, sf_dir, rich=False):
+    from sitelens.plans.analysis import page_base
+
+    return page_base(_pages(spark, sf_dir, rich))
+
+
+@register("title_text", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, title FROM base")
+def q_title_text(spark, sf_dir):
+    from sitelens.plans.analysis import title_text
+
+    return title_text(_pages(spark, sf_dir, True))
+
+
+@register("meta_content", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, description FROM base")
+def q_meta_content(spark, sf_dir):
+    from sitelens.plans.analysis import meta_content
+
+    return meta_content(_pages(spark, sf_dir, True))
+
+
+@register(
+    "tag_presence",
+    lambda: f"WITH {D.base_ctes(True)} SELECT page_id, has_og_tags, has_twitter_cards, has_schema, has_canonical, "
+    "has_viewport, has_charset FROM base",
+)
+def q_tag_presence(spark, sf_dir):
+    from sitelens.plans.analysis import tag_presence
+
+    return tag_presence(_pages(spark, sf_dir, True))
+
+
+@register("element_counts", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, h1_count, img_without_alt FROM base")
+def q_element_counts(spark, sf_dir):
+    from sitelens.plans.analysis import element_counts
+
+    return element_counts(_pages(spark, sf_dir, True))
+
+
+@register("detect_language", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, language FROM base")
+def q_detect_language(spark, sf_dir):
+    from sitelens.plans.analysis import detect_language
+
+    return detect_language(_pages(spark, sf_dir, True))
+
+
+@register("body_text", lambda: D.body_text_q(False))
+def q_body_text(spark, sf_dir):
+    from sitelens.plans.analysis import body_text
+
+    return body_text(_pages(spark, sf_dir))
+
+
+@register("body_text_rich", lambda: D.body_text_q(True))
+def q_body_text_rich(spark, sf_dir):
+    from sitelens.plans.analysis import body_text
+
+    return body_text(_pages(spark, sf_dir, True))
+
+
+# --- keywords ----------------------------------------------------------------------
+
+
+@register("word_tokens", lambda: D.word_tokens(False))
+def q_word_tokens(spark, sf_dir):
+    from sitelens.operators.keywords import word_tokens
+
+    return word_tokens(_base(spark, sf_dir))
+
+
+@register("word_frequency", lambda: D.word_frequency(False))
+def q_word_frequency(spark, sf_dir):
+    from sitelens.operators.keywords import word_frequency
+
+    return word_frequency(_base(spark, sf_dir))
+
+
+@register("keyword_scores", lambda: D.keyword_scores(False))
+def q_keyword_scores(spark, sf_dir):
+    from sitelens.operators.keywords import page_keywords
+
+    return page_keywords(_base(spark, sf_dir)).where("NOT is_phrase")
+
+
+@register("phrase_tokens", lambda: D.phrase_tokens(True))
+def q_phrase_tokens(spark, sf_dir):
+    from sitelens.operators.keywords import phrase_tokens
+
+    return phrase_tokens(_base(spark, sf_dir, True))
+
+
+@register("phrase_scores", lambda: D.phrase_scores(True))
+def q_phrase_scores(spark, sf_dir):
+    from sitelens.operators.keywords import phrase_scores
+
+    return phrase_scores(_base(spark, sf_dir, True))
+
+
+@register("page_keywords", lambda: D.page_keywords(False))
+def q_page_keywords(spark, sf_dir):
+    from sitelens.operators.keywords import page_keywords
+
+    return page_keywords(_base(spark, sf_dir))
+
+
+@register("page_keywords_rich", lambda: D.page_keywords(True))
+def q_page_keywords_rich(spark, sf_dir):
+    from sitelens.operators.keywords import page_keywords
+
+    return page_keywords(_base(spark, sf_dir, True))
+
+
+@register("top_keywords", lambda: D.top_keywords(10, True))
+def q_top_keywords(spark, sf_dir):
+    from sitelens.operators.keywords import page_keywords, top_keywords
+
+    return top_keywords(page_keywords(_base(spark, sf_dir, True)), 10)
+
+
+@register("site_keywords", lambda: D.site_keywords(True))
+def q_site_keywords(spark, sf_dir):
+    from sitelens.operators.keywords import page_keywords, site_keywords
+
+    b = _base(spark, sf_dir, True)
+    return site_keywords(page_keywords(b), b)
+
+
+@register("site_top_keywords", lambda: D.site_top_keywords(10, True))
+def q_site_top_keywords(spark, sf_dir):
+    from sitelens.operators.keywords import page_keywords, site_keywords, site_order, top_keywords
+
+    b = _base(spark, sf_dir, True)
+    return top_keywords(site_keywords(page_keywords(b), b), 10, key="site", order=site_order())
