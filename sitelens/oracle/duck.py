@@ -284,3 +284,80 @@ def site_top_keywords(n: int, rich: bool = False) -> str:
 
 def body_text_q(rich: bool = False) -> str:
     return f"WITH {base_ctes(rich)} SELECT page_id, raw_text FROM base"
+
+
+# --- zones -----------------------------------------------------------------------
+
+
+def _in_list(xs) -> str:
+    return "(" + ", ".join(q(x) for x in xs) + ")"
+
+
+def token_ctes() -> str:
+    """CTEs ``tok`` (every token of each page) and ``spans`` (element open/close positions)."""
+    from sitelens.operators.zones import ANY_OPEN_TAG, VOID_TAGS
+
+    ctags = (
+        f"list_distinct(list_transform(list_filter({extract_all('clean', ANY_OPEN_TAG)}, lambda t: {rlike('t', P.CLASS_CONTENT)}), "
+        f"lambda t: lower(regexp_extract(t, {q(P.OPEN_TAG_NAME)}, 1))))"
+    )
+    kind = (
+        "CASE WHEN substr(tok, 1, 1) <> '<' THEN 'text' "
+        f"WHEN {rlike('tok', '^</[a-zA-Z]')} THEN 'close' WHEN {rlike('tok', '^<[a-zA-Z]')} THEN 'open' ELSE 'other' END"
+    )
+    tag = (
+        f"lower(coalesce(nullif(regexp_extract(tok, {q(P.CLOSE_TAG_NAME)}, 1), ''), "
+        f"nullif(regexp_extract(tok, {q(P.OPEN_TAG_NAME)}, 1), '')))"
+    )
+    return (
+        f"tk0 AS (SELECT page_id, {ctags} AS ctags, {extract_all('clean', P.TOKEN)} AS toks FROM base), "
+        "tk1 AS (SELECT page_id, ctags, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM tk0), "
+        f"tk2 AS (SELECT page_id, ctags, CAST(pos AS INTEGER) AS pos, tok, {kind} AS kind FROM tk1), "
+        f"tok AS (SELECT page_id, pos, kind, CASE WHEN kind IN ('open', 'close') THEN {tag} END AS tag, "
+        f"(kind = 'open' AND {rlike('tok', P.CLASS_CONTENT)}) AS is_content, "
+        f"CASE WHEN kind = 'text' THEN {decode('tok')} END AS text, ctags FROM tk2), "
+        f"tg AS (SELECT * FROM tok WHERE kind IN ('open', 'close') AND tag NOT IN {_in_list(VOID_TAGS)}), "
+        "tg1 AS (SELECT *, sum(CASE WHEN kind = 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, tag ORDER BY pos "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM tg), "
+        "tg2 AS (SELECT *, CASE WHEN kind = 'open' THEN depth ELSE depth + 1 END AS level FROM tg1), "
+        "tg3 AS (SELECT *, lead(pos) OVER (PARTITION BY page_id, tag, level ORDER BY pos) AS next_pos, "
+        "lead(kind) OVER (PARTITION BY page_id, tag, level ORDER BY pos) AS next_kind FROM tg2), "
+        "spans AS (SELECT page_id, tag, is_content, ctags, pos AS open_pos, "
+        "CASE WHEN next_kind = 'close' THEN next_pos END AS close_pos FROM tg3 WHERE kind = 'open')"
+    )
+
+
+def zone_ctes() -> str:
+    """CTE ``zone``: ``page_id, zone_text`` (needs ``base`` and ``token_ctes``)."""
+    from sitelens.operators.zones import CONTAINERS, END_OF_PAGE, NAV_CONTAINERS, ZONE_TAGS
+
+    tracked = f"(tag IN {_in_list(ZONE_TAGS)} OR list_contains(ctags, tag))"
+    return (
+        f"zs AS (SELECT page_id, tag, is_content, open_pos, coalesce(close_pos, {END_OF_PAGE}) AS end_pos FROM spans WHERE {tracked}), "
+        f"navs AS (SELECT page_id, open_pos AS c_open, end_pos AS c_end FROM zs WHERE tag IN {_in_list(NAV_CONTAINERS)}), "
+        "elems AS ("
+        "SELECT page_id, CASE tag WHEN 'h1' THEN 2 WHEN 'h2' THEN 3 ELSE 4 END AS grp, open_pos, end_pos FROM zs "
+        "WHERE tag IN ('h1', 'h2', 'h3') "
+        "UNION ALL SELECT s.page_id, 5 AS grp, s.open_pos, s.end_pos FROM zs s WHERE s.tag = 'a' AND EXISTS "
+        "(SELECT 1 FROM navs n WHERE n.page_id = s.page_id AND s.open_pos > n.c_open AND s.open_pos < n.c_end) "
+        f"UNION ALL SELECT page_id, 6 AS grp, open_pos, end_pos FROM zs WHERE tag IN {_in_list(CONTAINERS)} OR is_content), "
+        "segs AS (SELECT e.page_id, e.grp, e.open_pos, coalesce(string_agg(t.text, '' ORDER BY t.pos), '') || ' ' AS segment "
+        "FROM elems e LEFT JOIN tok t ON t.page_id = e.page_id AND t.kind = 'text' AND t.pos > e.open_pos AND t.pos < e.end_pos "
+        "GROUP BY e.page_id, e.grp, e.open_pos), "
+        "zb AS (SELECT page_id, string_agg(segment, '' ORDER BY grp, open_pos) AS zones FROM segs GROUP BY page_id), "
+        "zone AS (SELECT b.page_id, lower(concat(CASE WHEN b.title_raw IS NOT NULL THEN b.title_raw || ' ' ELSE '' END, "
+        "CASE WHEN b.description IS NOT NULL THEN b.description || ' ' ELSE '' END, coalesce(zb.zones, ''))) AS zone_text "
+        "FROM base b LEFT JOIN zb USING (page_id))"
+    )
+
+
+def html_tokens(rich: bool = True) -> str:
+    return f"WITH {base_ctes(rich)}, {token_ctes()} SELECT page_id, pos, kind, tag, is_content, text FROM tok"
+
+
+def element_spans(rich: bool = True) -> str:
+    return f"WITH {base_ctes(rich)}, {token_ctes()} SELECT page_id, tag, is_content, open_pos, close_pos FROM spans"
+
+
+def zone_text(rich: bool = True) -> str:
+    return f"WITH {base_ctes(rich)}, {token_ctes()}, {zone_ctes()} SELECT page_id, zone_text FROM zone"

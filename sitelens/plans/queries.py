@@ -221,3 +221,40 @@ def q_site_top_keywords(spark, sf_dir):
 
     b = _base(spark, sf_dir, True)
     return top_keywords(site_keywords(page_keywords(b), b), 10, key="site", order=site_order())
+
+
+# --- zones -------------------------------------------------------------------------
+
+
+def _zbase(spark, sf_dir, rich=True):
+    from sitelens.plans.analysis import page_base
+
+    return page_base(_pages(spark, sf_dir, rich), keep_clean=True)
+
+
+@register("html_tokens", lambda: D.html_tokens(True))
+def q_html_tokens(spark, sf_dir):
+    from sitelens.operators.zones import html_tokens
+
+    return html_tokens(_zbase(spark, sf_dir))
+
+
+@register("element_spans", lambda: D.element_spans(True))
+def q_element_spans(spark, sf_dir):
+    from sitelens.operators.zones import element_spans, html_tokens
+
+    return element_spans(html_tokens(_zbase(spark, sf_dir)))
+
+
+@register("zone_text", lambda: D.zone_text(True))
+def q_zone_text(spark, sf_dir):
+    from sitelens.operators.zones import zone_text
+
+    return zone_text(_zbase(spark, sf_dir))
+
+
+@register("zone_text_plain", lambda: D.zone_text(False))
+def q_zone_text_plain(spark, sf_dir):
+    from sitelens.operators.zones import zone_text
+
+    return zone_text(_zbase(spark, sf_dir, rich=False))
