@@ -361,3 +361,127 @@ def element_spans(rich: bool = True) -> str:
 
 def zone_text(rich: bool = True) -> str:
     return f"WITH {base_ctes(rich)}, {token_ctes()}, {zone_ctes()} SELECT page_id, zone_text FROM zone"
+
+
+# --- business type, summary, analysis --------------------------------------------------
+
+
+def values(rows, cols) -> str:
+    def lit(v):
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        if isinstance(v, (int, float)):
+            return repr(v)
+        return q(v)
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(cols)}))"
+
+
+def indicators_table() -> str:
+    from sitelens.operators.dims import BUSINESS_TYPES, INDICATORS
+
+    ordinal = {n: o for n, o, _ in BUSINESS_TYPES}
+    rows = [(t, ordinal[t], i) for t, inds in INDICATORS.items() for i in inds]
+    return values(rows, ["business_type", "ordinal", "indicator"])
+
+
+def business_types_table() -> str:
+    from sitelens.operators.dims import BUSINESS_TYPES
+
+    return values(BUSINESS_TYPES, ["business_type", "ordinal", "schema_type"])
+
+
+def summary_expr(z: str = "zone_text") -> str:
+    parts = f"list_transform(string_split_regex({z}, {q(P.SENTENCE_SPLIT)}), lambda s: {trim_ws('s')})"
+    keep = f"list_filter({parts}, lambda s: strlen(s) > 20 AND strlen(s) < 200)"
+    return f"array_to_string(list_slice({keep}, 1, 3), '. ')"
+
+
+def business_ctes(zone: str = "zone", key: str = "page_id") -> str:
+    """CTEs ``isc`` (indicator scores) and ``bt`` (best type per key)."""
+    return (
+        f"hits AS (SELECT z.{key}, i.business_type, i.ordinal, "
+        "1 + ((length(z.zone_text) - length(replace(z.zone_text, i.indicator, ''))) // length(i.indicator) - 1) // 2 AS pts "
+        f"FROM {zone} z JOIN {indicators_table()} i ON contains(z.zone_text, i.indicator)), "
+        f"isc AS (SELECT {key}, business_type, ordinal, CAST(sum(pts) AS BIGINT) AS score FROM hits GROUP BY ALL), "
+        f"bt0 AS (SELECT {key}, arg_max(business_type, (score, -ordinal)) AS business_type, max(score) AS business_score "
+        f"FROM isc GROUP BY {key}), "
+        f"bt AS (SELECT z.{key}, coalesce(b.business_type, 'Unknown') AS business_type, "
+        f"CAST(coalesce(b.business_score, 0) AS BIGINT) AS business_score FROM {zone} z LEFT JOIN bt0 b USING ({key}))"
+    )
+
+
+def _zone_ctes(rich: bool) -> str:
+    return f"{base_ctes(rich)}, {token_ctes()}, {zone_ctes()}, {business_ctes()}"
+
+
+def _zone_all(rich: bool) -> str:
+    return f"WITH {_zone_ctes(rich)}"
+
+
+def indicator_scores(rich: bool = True) -> str:
+    return f"{_zone_all(rich)} SELECT page_id, business_type, ordinal, score FROM isc"
+
+
+def business_type(rich: bool = True) -> str:
+    return f"{_zone_all(rich)} SELECT page_id, business_type, business_score FROM bt"
+
+
+def schema_type(rich: bool = True) -> str:
+    return (
+        f"{_zone_all(rich)} SELECT b.page_id, b.business_type, d.schema_type FROM bt b "
+        f"LEFT JOIN {business_types_table()} d USING (business_type)"
+    )
+
+
+def content_summary(rich: bool = True) -> str:
+    return f"{_zone_all(rich)} SELECT page_id, {summary_expr()} AS content_summary FROM zone"
+
+
+BASE_COLS = (
+    "page_id, url, site, title, description, has_title, has_description, has_og_tags, has_twitter_cards, "
+    "has_schema, has_canonical, has_viewport, has_charset, h1_count, img_without_alt, language, raw_text"
+)
+
+
+def analysis_ctes(rich: bool = True) -> str:
+    """All CTEs up to ``pa`` (page analysis), ``kw`` (page keywords) and ``sk`` (site keywords)."""
+    return (
+        f"{_zone_ctes(rich)}, {keyword_ctes()}, {site_keyword_ctes()}, "
+        "kc AS (SELECT page_id, count(*) AS keyword_count FROM kw GROUP BY page_id), "
+        f"pa0 AS (SELECT {BASE_COLS}, coalesce(bt.business_type, 'Unknown') AS business_type, bt.business_score, "
+        f"{summary_expr('z.zone_text')} AS content_summary, CAST(coalesce(kc.keyword_count, 0) AS BIGINT) AS keyword_count "
+        "FROM base LEFT JOIN bt USING (page_id) LEFT JOIN zone z USING (page_id) LEFT JOIN kc USING (page_id)), "
+        f"pa AS (SELECT pa0.*, d.schema_type, {completeness()} AS completeness_score FROM pa0 "
+        f"LEFT JOIN {business_types_table()} d USING (business_type))"
+    )
+
+
+def page_analysis(rich: bool = True) -> str:
+    return f"WITH {analysis_ctes(rich)} SELECT * FROM pa"
+
+
+def site_analysis_ctes() -> str:
+    flags = [
+        "has_title", "has_description", "has_og_tags", "has_twitter_cards",
+        "has_schema", "has_canonical", "has_viewport", "has_charset",
+    ]
+    aggs = [f"bool_or({f}) AS {f}" for f in flags]
+    aggs += ["CAST(sum(h1_count) AS BIGINT) AS h1_count", "CAST(sum(img_without_alt) AS BIGINT) AS img_without_alt"]
+    for c in ["title", "description", "language", "content_summary", "raw_text"]:
+        aggs.append(f"arg_max({c}, page_id) FILTER (WHERE {c} IS NOT NULL) AS {c}")
+    aggs.append("arg_max(business_type, page_id) FILTER (WHERE business_type <> 'Unknown') AS bt_last")
+    aggs.append("count(*) AS page_count")
+    return (
+        f"sa0 AS (SELECT site, {', '.join(aggs)} FROM pa GROUP BY site), "
+        "skc AS (SELECT site, count(*) AS keyword_count FROM sk GROUP BY site), "
+        "sa1 AS (SELECT sa0.* EXCLUDE (bt_last), coalesce(bt_last, 'Unknown') AS business_type, "
+        "CAST(coalesce(skc.keyword_count, 0) AS BIGINT) AS keyword_count FROM sa0 LEFT JOIN skc USING (site)), "
+        f"sa AS (SELECT sa1.*, d.schema_type, {completeness()} AS completeness_score FROM sa1 "
+        f"LEFT JOIN {business_types_table()} d USING (business_type))"
+    )
+
+
+def site_analysis(rich: bool = True) -> str:
+    return f"WITH {analysis_ctes(rich)}, {site_analysis_ctes()} SELECT * FROM sa"

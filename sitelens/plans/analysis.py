@@ -78,3 +78,62 @@ def element_counts(pages: DataFrame) -> DataFrame:
     c = pages.select("page_id", H.clean_html("html").alias("clean"))
     return c.select("page_id", H.h1_count("clean").alias("h1_count"), H.img_without_alt("clean").alias("img_without_alt"))
 
+
+
+def page_analysis(pages: DataFrame, base: DataFrame | None = None, reuse: bool = True) -> DataFrame:
+    """One row per page: audit, completeness, business type, schema class, language, summary, text.
+
+    The base frame feeds three branches (audit columns, zone tokens, keyword
+    tokens); with ``reuse`` it is persisted (memory, spilling to disk; lost
+    blocks are recomputed from lineage) so the markup is parsed once.  The
+    zone branch arrives partitioned by page (its single exchange); the keyword
+    count is a partial aggregate.
+    """
+    from pyspark import StorageLevel
+
+    from sitelens.operators.business import business_type, content_summary, schema_type
+    from sitelens.operators.keywords import page_keywords
+    from sitelens.operators.zones import zone_text
+
+    if base is None:
+        base = page_base(pages, keep_clean=True)
+        if reuse:
+            base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    zones = zone_text(base).withColumn("content_summary", content_summary("zone_text"))
+    bt = business_type(zones, carry=["content_summary"])
+    kc = page_keywords(base).groupBy("page_id").agg(F.count(F.lit(1)).alias("keyword_count"))
+    out = (
+        base.select(*BASE_COLUMNS)
+        .join(bt, "page_id", "left")
+        .join(kc, "page_id", "left")
+        .withColumn("keyword_count", F.coalesce("keyword_count", F.lit(0)).cast("bigint"))
+        .withColumn("business_type", F.coalesce("business_type", F.lit("Unknown")))
+    )
+    return with_completeness(schema_type(out))
+
+
+def site_analysis(analysis: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """Merge page analyses per site (the reference's merge algebra).
+
+    Flags OR, counters sum; title, description, language, summary and text:
+    last non-null in page order; business type: last non-Unknown.  All are
+    partial aggregates (``bool_or``, ``sum``, ``max_by``), so a site holding a
+    third of all pages is pre-combined inside each task.
+    """
+    from sitelens.operators.audit import AUDIT_COUNTS, AUDIT_FLAGS
+    from sitelens.operators.business import schema_type
+
+    def last(c, cond=None):
+        cond = F.col(c).isNotNull() if cond is None else cond
+        return F.max_by(F.col(c), F.when(cond, F.col("page_id"))).alias(c)
+
+    aggs = [F.bool_or(f).alias(f) for f in AUDIT_FLAGS]
+    aggs += [F.sum(c).cast("bigint").alias(c) for c in AUDIT_COUNTS]
+    aggs += [last("title"), last("description"), last("language"), last("content_summary"), last("raw_text")]
+    aggs.append(last("business_type", F.col("business_type") != F.lit("Unknown")))
+    aggs.append(F.count(F.lit(1)).alias("page_count"))
+    s = analysis.groupBy("site").agg(*aggs).withColumn("business_type", F.coalesce("business_type", F.lit("Unknown")))
+    if keywords is not None:
+        kc = keywords.groupBy("site").agg(F.count(F.lit(1)).alias("keyword_count"))
+        s = s.join(kc, "site", "left").withColumn("keyword_count", F.coalesce("keyword_count", F.lit(0)).cast("bigint"))
+    return with_completeness(schema_type(s))

@@ -258,3 +258,56 @@ def q_zone_text_plain(spark, sf_dir):
     from sitelens.operators.zones import zone_text
 
     return zone_text(_zbase(spark, sf_dir, rich=False))
+
+
+# --- business type and analysis ------------------------------------------------------
+
+
+def _zones(spark, sf_dir, rich=True):
+    from sitelens.operators.zones import zone_text
+
+    return zone_text(_zbase(spark, sf_dir, rich))
+
+
+@register("indicator_scores", lambda: D.indicator_scores(True))
+def q_indicator_scores(spark, sf_dir):
+    from sitelens.operators.business import indicator_scores
+
+    return indicator_scores(_zones(spark, sf_dir))
+
+
+@register("business_type", lambda: D.business_type(True))
+def q_business_type(spark, sf_dir):
+    from sitelens.operators.business import business_type
+
+    return business_type(_zones(spark, sf_dir))
+
+
+@register("schema_type", lambda: D.schema_type(True))
+def q_schema_type(spark, sf_dir):
+    from sitelens.operators.business import business_type, schema_type
+
+    return schema_type(business_type(_zones(spark, sf_dir))).select("page_id", "business_type", "schema_type")
+
+
+@register("content_summary", lambda: D.content_summary(True))
+def q_content_summary(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.business import content_summary
+
+    return _zones(spark, sf_dir).select("page_id", content_summary(F.col("zone_text")).alias("content_summary"))
+
+
+@register("page_analysis", lambda: D.page_analysis(True))
+def q_page_analysis(spark, sf_dir):
+    from sitelens.plans.analysis import page_analysis
+
+    return page_analysis(_pages(spark, sf_dir, True))
+
+
+@register("site_analysis", lambda: D.site_analysis(True))
+def q_site_analysis(spark, sf_dir):
+    from sitelens.plans.site import site_frames
+
+    return site_frames(_pages(spark, sf_dir, True))["site_analysis"]
