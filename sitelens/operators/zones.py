@@ -137,7 +137,12 @@ def _zone_stream(base: DataFrame) -> DataFrame:
     title_part = F.when(F.col("title_raw").isNotNull(), F.concat("title_raw", F.lit(" "))).otherwise(F.lit(""))
     desc_part = F.when(F.col("description").isNotNull(), F.concat("description", F.lit(" "))).otherwise(F.lit(""))
     toks = F.concat(F.array(title_part, desc_part), F.regexp_extract_all("clean", F.lit(P.TOKEN), F.lit(0)))
-    src = base.select("page_id", content_tag_names(F.col("clean")).alias("ctags"), F.posexplode(toks).alias("pos", "tok"))
+    # per-page columns are projected before the explode: an expression next to a
+    # generator in one select is evaluated once per generated row
+    pre = base.select("page_id", toks.alias("toks"), content_tag_names(F.col("clean")).alias("ctags"))
+    # outer: the array always holds the two head slots, and a plain explode would
+    # make Catalyst infer a size() > 0 filter that re-runs the whole extraction
+    src = pre.select("page_id", "ctags", F.posexplode_outer("toks").alias("pos", "tok"))
     t = F.col("tok")
     kind = (
         F.when(F.col("pos") < 2, F.lit("head"))
