@@ -370,7 +370,9 @@ def values(rows, cols) -> str:
     def lit(v):
         if isinstance(v, bool):
             return "true" if v else "false"
-        if isinstance(v, (int, float)):
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        if isinstance(v, int):
             return repr(v)
         return q(v)
 
@@ -485,3 +487,204 @@ def site_analysis_ctes() -> str:
 
 def site_analysis(rich: bool = True) -> str:
     return f"WITH {analysis_ctes(rich)}, {site_analysis_ctes()} SELECT * FROM sa"
+
+
+# --- scoring stage (any grain) ----------------------------------------------------------
+
+
+def lexicon_table() -> str:
+    from sitelens.operators.dims import LEXICON_LISTS
+
+    return values([(n, w) for n, ws in LEXICON_LISTS for w in ws], ["list", "word"])
+
+
+def trends_table() -> str:
+    from sitelens.operators.dims import SCHEMA_TRENDS
+
+    rows = [(i, s, float(sc), rich, t, d) for i, (s, sc, rich, ts, d) in enumerate(SCHEMA_TRENDS) for t in ts]
+    return values(rows, ["trend_ord", "schema_type", "trend_score", "has_rich_snippets", "business_type", "description"])
+
+
+def ff(v: float) -> str:
+    return f"CAST({v!r} AS FLOAT)"
+
+
+def sentiment_ctes(an: str, key: str) -> str:
+    """CTE ``sen``: per-key sentiment over analysis CTE ``an``."""
+    from sitelens.operators.sentiment import EMOTION_BOOST, EMOTION_CAP, LABEL_CUTS, POWER_BOOST, POWER_CAP
+
+    text = "concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(raw_text, ''))"
+    p, n = "positive_count", "negative_count"
+    base = f"(({f32(p)} - {f32(n)}) / {f32(f'greatest({p} + {n}, 1)')})"
+    power = f"least({f32('len(power_words)')} * {ff(POWER_BOOST)}, {ff(POWER_CAP)})"
+    emo = f"least({f32('len(emotional_triggers)')} * {ff(EMOTION_BOOST)}, {ff(EMOTION_CAP)})"
+    raw = f"greatest(least({base} + {power} + {emo}, {ff(1.0)}), {ff(-1.0)})"
+    conf = f"least(({f32(f'{p} + {n}')} / {f32('greatest(token_count, 1)')}) * {ff(5.0)}, {ff(1.0)})"
+    label = "CASE " + " ".join(f"WHEN sc < {ff(c)} THEN {q(name)}" for c, name in LABEL_CUTS) + " ELSE 'VeryPositive' END"
+    lst = lambda name: f"coalesce(list(h.token ORDER BY h.pos) FILTER (WHERE h.list = {q(name)}), [])"
+    return (
+        f"st0 AS (SELECT {key}, regexp_extract_all(lower({text}), {q(P.SENTIMENT_TOKEN)}) AS toks FROM {an}), "
+        f"st1 AS (SELECT {key}, CAST(unnest(range(len(toks))) AS INTEGER) AS pos, unnest(toks) AS token FROM st0), "
+        f"sth AS (SELECT s.{key}, s.pos, s.token, l.list FROM st1 s JOIN {lexicon_table()} l ON l.word = s.token), "
+        f"sag AS (SELECT st0.{key}, CAST(len(st0.toks) AS BIGINT) AS token_count, "
+        "count(h.list) FILTER (WHERE h.list = 'positive') AS positive_count, "
+        "count(h.list) FILTER (WHERE h.list = 'negative') AS negative_count, "
+        f"{lst('power')} AS power_words, {lst('emotional')} AS emotional_triggers, {lst('negative')} AS negative_words "
+        f"FROM st0 LEFT JOIN sth h ON h.{key} = st0.{key} GROUP BY st0.{key}, len(st0.toks)), "
+        f"sen0 AS (SELECT *, CASE WHEN token_count = 0 THEN {ff(0.0)} ELSE {raw} END AS sc, "
+        f"CASE WHEN token_count = 0 THEN {ff(0.0)} ELSE {conf} END AS cf FROM sag), "
+        f"sen AS (SELECT {key}, token_count, positive_count, negative_count, CAST(sc AS DOUBLE) AS sentiment_score, "
+        f"CAST(cf AS DOUBLE) AS sentiment_confidence, {label} AS sentiment_label, power_words, emotional_triggers, negative_words FROM sen0)"
+    )
+
+
+def density_exprs(wc: str, total: str) -> list[str]:
+    d = f"({f32(total)} / {f32(f'greatest({wc}, 1)')} * {ff(100.0)})"
+    low = f"({d} / {ff(1.0)})"
+    high = f"({ff(1.0)} - least(({d} - {ff(3.0)}) / {ff(10.0)}, {ff(1.0)}))"
+    score = f"CASE WHEN {d} < {ff(1.0)} THEN {low} WHEN {d} > {ff(3.0)} THEN {high} ELSE {ff(1.0)} END"
+    return [
+        f"CAST(CASE WHEN {wc} = 0 THEN {ff(0.0)} ELSE {d} END AS DOUBLE) AS density",
+        f"CAST(CASE WHEN {wc} = 0 THEN {ff(0.0)} ELSE {score} END AS DOUBLE) AS density_score",
+        f"CASE WHEN {wc} = 0 THEN false ELSE {d} > {ff(5.0)} END AS is_stuffed",
+    ]
+
+
+def words_count(x: str = "raw_text") -> str:
+    return f"CAST(len({extract_all(x, P.NON_SPACE_RUN)}) AS BIGINT)"
+
+
+def feature_ctes(an: str, kw: str, key: str, order: list[str]) -> str:
+    """CTEs ``tk10`` (top-10 ranked), ``top`` (packed lists), ``tot`` (totals, over-used)."""
+    o = ", ".join(order)
+    share = f"({f32('k.frequency')} / {f32('greatest(w.word_count, 1)')} * {ff(100.0)})"
+    return (
+        f"tk10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, {o}) AS top_rank "
+        f"FROM {kw}) WHERE top_rank <= 10), "
+        f"top AS (SELECT {key}, list(word ORDER BY top_rank) AS top10, list_slice(list(word ORDER BY top_rank), 1, 5) AS top5, "
+        f"list_slice(list(word ORDER BY top_rank), 1, 3) AS top3 FROM tk10 GROUP BY {key}), "
+        f"wc AS (SELECT {key}, {words_count()} AS word_count FROM {an}), "
+        f"tot AS (SELECT k.{key}, CAST(sum(k.frequency) AS BIGINT) AS total_keyword_freq, "
+        f"coalesce(list(k.word ORDER BY {', '.join('k.' + c for c in order)}) FILTER (WHERE w.word_count > 0 AND {share} > {ff(2.0)}), []) AS over_used "
+        f"FROM {kw} k JOIN wc w ON w.{key} = k.{key} GROUP BY k.{key})"
+    )
+
+
+def score_expr(c: str, s: str, d: str, k: str) -> str:
+    seo = f"CAST(floor({c} * 40 / 100) AS BIGINT)"
+    senti = f"CAST(greatest(floor(({f32(s)} + {ff(1.0)}) / {ff(2.0)} * {ff(20.0)}), 0) AS BIGINT)"
+    dens = f"CAST(greatest(floor({f32(d)} * {ff(20.0)}), 0) AS BIGINT)"
+    content = f"CASE WHEN {k} >= 10 THEN 20 ELSE {k} * 2 END"
+    return f"CAST(least({seo} + {senti} + {dens} + {content}, 100) AS BIGINT)"
+
+
+def ml_ctes(an: str, kw: str, key: str, order: list[str]) -> str:
+    """CTE ``ml``: the wide per-key row."""
+    return (
+        f"{sentiment_ctes(an, key)}, {feature_ctes(an, kw, key, order)}, "
+        f"ml0 AS (SELECT a.{key}, a.completeness_score, a.keyword_count, {words_count('a.raw_text')} AS word_count, "
+        "s.sentiment_score, s.sentiment_label, s.sentiment_confidence, s.power_words, s.emotional_triggers, s.negative_words, "
+        "coalesce(t.total_keyword_freq, 0) AS total_keyword_freq, t.over_used, tp.top3 "
+        f"FROM {an} a LEFT JOIN sen s ON s.{key} = a.{key} LEFT JOIN tot t ON t.{key} = a.{key} LEFT JOIN top tp ON tp.{key} = a.{key}), "
+        f"ml1 AS (SELECT *, {', '.join(density_exprs('word_count', 'total_keyword_freq'))} FROM ml0), "
+        f"ml AS (SELECT {key}, sentiment_score, sentiment_label, sentiment_confidence, power_words, emotional_triggers, negative_words, "
+        "word_count, CAST(total_keyword_freq AS BIGINT) AS total_keyword_freq, density, density_score, is_stuffed, "
+        f"CASE WHEN word_count > 0 AND density < 1.0 THEN coalesce(top3, []) ELSE [] END AS recommended_additions, "
+        "coalesce(over_used, []) AS over_used, keyword_count, completeness_score, "
+        f"{score_expr('completeness_score', 'sentiment_score', 'density_score', 'keyword_count')} AS optimization_score FROM ml1)"
+    )
+
+
+def cap(x: str) -> str:
+    return f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
+
+
+def suggestion_ctes(key: str, year: int = 2026) -> str:
+    """CTEs ``ts`` (title suggestions) and ``ds`` (description suggestions); need CTE ``top``."""
+    from sitelens.operators.content import DESCRIPTION_TEMPLATES, TITLE_TEMPLATES
+
+    def fill(tpl: str, slots: dict[str, str]) -> str:
+        parts = tpl.replace("{year}", str(year)).split("{")
+        out = [q(parts[0])]
+        for p in parts[1:]:
+            slot, rest = p.split("}", 1)
+            out += [slots[slot], q(rest)]
+        return "concat(" + ", ".join(out) + ")"
+
+    k0, k1 = "top3[1]", "top3[2]"
+    tslots = {"0": cap(k0), "1": f"coalesce({cap(k1)}, 'Business')"}
+    tsel = " UNION ALL ".join(
+        f"SELECT {key}, {fill(t, tslots)} AS text, CAST({s!r} AS DOUBLE) AS score, {q(why)} AS reasoning FROM top WHERE len(top3) > 0"
+        for t, s, why in TITLE_TEMPLATES
+    )
+    d0, d1, d2 = "top5[1]", "coalesce(top5[2], top5[1])", "coalesce(top5[3], 'proven')"
+    dsel = []
+    for i, (t, s, trig, cta) in enumerate(DESCRIPTION_TEMPLATES):
+        slots = {"0": d0, "1": cap(d1) if i == 2 else d1, "2": d2}
+        trig_s = "[" + ", ".join(q(x) for x in trig) + "]"
+        dsel.append(
+            f"SELECT {key}, {fill(t, slots)} AS text, CAST({s!r} AS DOUBLE) AS score, {trig_s} AS emotional_triggers, "
+            f"{'true' if cta else 'false'} AS cta_included FROM top WHERE len(top5) > 0"
+        )
+    return (
+        f"ts0 AS ({tsel}), "
+        f"ts AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY score DESC) AS INTEGER) AS suggestion_rank, "
+        "text, score, reasoning FROM ts0 WHERE strlen(text) <= 60), "
+        f"ds0 AS ({' UNION ALL '.join(dsel)}), "
+        f"ds AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY score DESC) AS INTEGER) AS suggestion_rank, "
+        "text, score, emotional_triggers, cta_included FROM ds0 WHERE strlen(text) <= 160)"
+    )
+
+
+def advice_ctes(an: str, key: str) -> str:
+    """CTEs ``trd`` (schema trends), ``trr`` (trend advice), ``aur`` (audit rules), ``rec`` (ranked)."""
+    from sitelens.operators.score import PRIORITY_RANK
+    from sitelens.operators.trends import TREND_ADVICE
+
+    adv = values([(i, *a) for i, a in enumerate(TREND_ADVICE)], ["seq", "schema_type", "category", "priority", "message", "action"])
+    rules = [
+        ("NOT has_title", 10, "Title", "Critical", "'Missing title tag'", "Add a descriptive title tag (50-60 characters)"),
+        ("has_title AND strlen(title) < 30", 11, "Title", "Medium", "'Title too short'", "Expand title to 50-60 characters for better CTR"),
+        ("has_title AND strlen(title) > 60", 12, "Title", "Medium", "'Title too long'", "Shorten title to 60 characters to avoid truncation"),
+        ("NOT has_description", 13, "Description", "Critical", "'Missing meta description'", "Add a compelling meta description (150-160 characters)"),
+        ("NOT has_schema", 14, "Schema", "High", "'Missing Schema.org structured data'", "Add JSON-LD schema for rich snippets in search results"),
+        ("NOT has_og_tags", 15, "Social", "High", "'Missing Open Graph tags'", "Add OG tags for better social media sharing"),
+        ("NOT has_twitter_cards", 16, "Social", "Medium", "'Missing Twitter Cards'", "Add Twitter Card meta tags for better Twitter previews"),
+        ("h1_count = 0", 17, "Technical", "High", "'Missing H1 heading'", "Add exactly one H1 heading per page"),
+        ("h1_count > 1", 18, "Technical", "Medium", "'Multiple H1 headings (' || CAST(h1_count AS VARCHAR) || ')'", "Use only one H1 heading per page"),
+        ("img_without_alt > 0", 19, "Technical", "Medium", "CAST(img_without_alt AS VARCHAR) || ' images missing alt text'", "Add descriptive alt text to all images"),
+    ]
+    aur = " UNION ALL ".join(
+        f"SELECT {key}, {seq} AS seq, {q(cat)} AS category, {q(pr)} AS priority, {msg} AS message, {q(act)} AS action "
+        f"FROM {an} WHERE {cond}"
+        for cond, seq, cat, pr, msg, act in rules
+    )
+    prio = "CASE priority " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in PRIORITY_RANK.items()) + " END"
+    return (
+        f"trd AS (SELECT a.{key}, t.trend_ord, t.schema_type, t.trend_score, t.has_rich_snippets, t.description, "
+        f"'Add ' || t.schema_type || ' schema to your page' AS action FROM {an} a JOIN {trends_table()} t USING (business_type)), "
+        f"trr AS (SELECT t.{key}, v.seq, v.category, v.priority, v.message, v.action FROM trd t JOIN {adv} v USING (schema_type)), "
+        f"aur AS ({aur}), "
+        f"rec AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY {prio} DESC, seq) AS INTEGER) AS rec_rank, "
+        "category, priority, message, action FROM (SELECT * FROM trr UNION ALL SELECT * FROM aur))"
+    )
+
+
+def page_ml_with(rich: bool = True) -> str:
+    """WITH-prefix defining ``pa``/``kw`` plus page-grain ``ml``, ``ts``/``ds`` and advice CTEs."""
+    return (
+        f"WITH {analysis_ctes(rich)}, {ml_ctes('pa', 'kw', 'page_id', ['rank'])}, {suggestion_ctes('page_id')}, "
+        f"{advice_ctes('pa', 'page_id')}"
+    )
+
+
+def site_ml_with(rich: bool = True) -> str:
+    return (
+        f"WITH {analysis_ctes(rich)}, {site_analysis_ctes()}, {ml_ctes('sa', 'sk', 'site', ['first_page_id', 'first_rank'])}, "
+        f"{suggestion_ctes('site')}, {advice_ctes('sa', 'site')}"
+    )
+
+
+def flat(cols: list[str], arrays: list[str]) -> str:
+    """Select list with array columns joined by ', ' (what the Spark twins do)."""
+    return ", ".join(f"array_to_string({c}, ', ') AS {c}" if c in arrays else c for c in cols)

@@ -311,3 +311,208 @@ def q_site_analysis(spark, sf_dir):
     from sitelens.plans.site import site_frames
 
     return site_frames(_pages(spark, sf_dir, True))["site_analysis"]
+
+
+# --- scoring stage -------------------------------------------------------------------
+
+SENT_COLS = ["token_count", "positive_count", "negative_count", "sentiment_score", "sentiment_confidence",
+             "sentiment_label", "power_words", "emotional_triggers", "negative_words"]
+SENT_ARRAYS = ["power_words", "emotional_triggers", "negative_words"]
+ML_COLS = ["sentiment_score", "sentiment_label", "sentiment_confidence", "power_words", "emotional_triggers",
+           "negative_words", "word_count", "total_keyword_freq", "density", "density_score", "is_stuffed",
+           "recommended_additions", "over_used", "keyword_count", "completeness_score", "optimization_score"]
+ML_ARRAYS = ["power_words", "emotional_triggers", "negative_words", "recommended_additions", "over_used"]
+
+
+def flat(df: DataFrame, sep: str = ", ") -> DataFrame:
+    """Array<string> columns joined into strings (plain values for row-wise comparison)."""
+    from pyspark.sql import functions as F
+
+    cols = [
+        F.array_join(F.col(f.name), sep).alias(f.name) if f.dataType.simpleString() == "array<string>" else F.col(f.name)
+        for f in df.schema.fields
+    ]
+    return df.select(*cols)
+
+
+def _page_frames(spark, sf_dir, rich=True):
+    from sitelens.plans.site import page_frames
+
+    return page_frames(_pages(spark, sf_dir, rich))
+
+
+def _site_frames(spark, sf_dir, rich=True):
+    from sitelens.plans.site import site_frames
+
+    return site_frames(_pages(spark, sf_dir, rich))
+
+
+def _with_base(tail: str, rich: bool = True) -> str:
+    return f"WITH {D.base_ctes(rich)}, {D.sentiment_ctes('base', 'page_id')} {tail}"
+
+
+@register("sentiment_tokens", lambda: _with_base("SELECT page_id, pos, token FROM st1"))
+def q_sentiment_tokens(spark, sf_dir):
+    from sitelens.operators.sentiment import sentiment_tokens
+
+    return sentiment_tokens(_base(spark, sf_dir, True))
+
+
+@register("lexicon_hits", lambda: _with_base("SELECT page_id, pos, token, list FROM sth"))
+def q_lexicon_hits(spark, sf_dir):
+    from sitelens.operators.sentiment import lexicon_hits, sentiment_tokens
+
+    return lexicon_hits(sentiment_tokens(_base(spark, sf_dir, True)))
+
+
+@register("page_sentiment", lambda: _with_base(f"SELECT page_id, {D.flat(SENT_COLS, SENT_ARRAYS)} FROM sen"))
+def q_page_sentiment(spark, sf_dir):
+    from sitelens.operators.sentiment import sentiment
+
+    return flat(sentiment(_base(spark, sf_dir, True)))
+
+
+@register("sentiment_score", lambda: _with_base("SELECT page_id, sentiment_score FROM sen"))
+def q_sentiment_score(spark, sf_dir):
+    from sitelens.operators.sentiment import sentiment
+
+    return sentiment(_base(spark, sf_dir, True)).select("page_id", "sentiment_score")
+
+
+@register("sentiment_confidence", lambda: _with_base("SELECT page_id, sentiment_confidence FROM sen"))
+def q_sentiment_confidence(spark, sf_dir):
+    from sitelens.operators.sentiment import sentiment
+
+    return sentiment(_base(spark, sf_dir, True)).select("page_id", "sentiment_confidence")
+
+
+@register("sentiment_label", lambda: _with_base("SELECT page_id, sentiment_label FROM sen"))
+def q_sentiment_label(spark, sf_dir):
+    from sitelens.operators.sentiment import sentiment
+
+    return sentiment(_base(spark, sf_dir, True)).select("page_id", "sentiment_label")
+
+
+@register("site_sentiment", lambda: f"{D.site_ml_with(True)} SELECT site, {D.flat(SENT_COLS, SENT_ARRAYS)} FROM sen")
+def q_site_sentiment(spark, sf_dir):
+    from sitelens.operators.sentiment import sentiment
+
+    return flat(sentiment(_site_frames(spark, sf_dir)["site_analysis"], key="site"))
+
+
+@register(
+    "keyword_density",
+    lambda: f"{D.page_ml_with(True)} SELECT page_id, word_count, total_keyword_freq, density, density_score, is_stuffed FROM ml",
+)
+def q_keyword_density(spark, sf_dir):
+    from sitelens.operators.content import keyword_density
+
+    f = _page_frames(spark, sf_dir)
+    return keyword_density(f["page_analysis"], f["page_keywords"])
+
+
+@register(
+    "over_used",
+    lambda: f"{D.page_ml_with(True)} SELECT k.page_id, k.word, k.frequency, k.rank FROM kw k JOIN wc w USING (page_id) "
+    f"WHERE w.word_count > 0 AND ({D.f32('k.frequency')} / {D.f32('greatest(w.word_count, 1)')} * {D.ff(100.0)}) > {D.ff(2.0)}",
+)
+def q_over_used(spark, sf_dir):
+    from sitelens.operators.content import over_used
+
+    f = _page_frames(spark, sf_dir)
+    return over_used(f["page_analysis"], f["page_keywords"])
+
+
+@register("recommended_additions", lambda: f"{D.page_ml_with(True)} SELECT page_id, {D.flat(['recommended_additions'], ['recommended_additions'])} FROM ml")
+def q_recommended_additions(spark, sf_dir):
+    from sitelens.plans.ml import ml_result
+
+    f = _page_frames(spark, sf_dir)
+    return flat(ml_result(f["page_analysis"], f["page_keywords"]).select("page_id", "recommended_additions"))
+
+
+@register("title_suggestions", lambda: f"{D.page_ml_with(True)} SELECT * FROM ts")
+def q_title_suggestions(spark, sf_dir):
+    from sitelens.plans.ml import suggestions_for
+
+    return suggestions_for(_page_frames(spark, sf_dir)["page_keywords"])[0]
+
+
+@register("description_suggestions", lambda: f"{D.page_ml_with(True)} SELECT page_id, suggestion_rank, text, score, "
+          "array_to_string(emotional_triggers, ', ') AS emotional_triggers, cta_included FROM ds")
+def q_description_suggestions(spark, sf_dir):
+    from sitelens.plans.ml import suggestions_for
+
+    return flat(suggestions_for(_page_frames(spark, sf_dir)["page_keywords"])[1])
+
+
+@register("site_title_suggestions", lambda: f"{D.site_ml_with(True)} SELECT * FROM ts")
+def q_site_title_suggestions(spark, sf_dir):
+    from sitelens.plans.ml import suggestions_for
+
+    return suggestions_for(_site_frames(spark, sf_dir)["site_keywords"], key="site")[0]
+
+
+@register("schema_trends", lambda: f"{D.page_ml_with(True)} SELECT * FROM trd")
+def q_schema_trends(spark, sf_dir):
+    from sitelens.operators.trends import schema_trends
+
+    return schema_trends(_page_frames(spark, sf_dir)["page_analysis"])
+
+
+@register("trend_recommendations", lambda: f"{D.page_ml_with(True)} SELECT * FROM trr")
+def q_trend_recommendations(spark, sf_dir):
+    from sitelens.operators.trends import schema_trends, trend_recommendations
+
+    return trend_recommendations(schema_trends(_page_frames(spark, sf_dir)["page_analysis"]))
+
+
+@register("audit_recommendations", lambda: f"{D.page_ml_with(True)} SELECT * FROM aur")
+def q_audit_recommendations(spark, sf_dir):
+    from sitelens.operators.score import audit_recommendations
+
+    return audit_recommendations(_page_frames(spark, sf_dir)["page_analysis"])
+
+
+@register("recommendations", lambda: f"{D.page_ml_with(True)} SELECT * FROM rec")
+def q_recommendations(spark, sf_dir):
+    from sitelens.plans.ml import recommendations_for
+
+    return recommendations_for(_page_frames(spark, sf_dir)["page_analysis"])
+
+
+@register("site_recommendations", lambda: f"{D.site_ml_with(True)} SELECT * FROM rec")
+def q_site_recommendations(spark, sf_dir):
+    from sitelens.plans.ml import recommendations_for
+
+    return recommendations_for(_site_frames(spark, sf_dir)["site_analysis"], key="site")
+
+
+@register(
+    "optimization_score",
+    lambda: f"{D.page_ml_with(True)} SELECT page_id, completeness_score, sentiment_score, density_score, keyword_count, "
+    "optimization_score FROM ml",
+)
+def q_optimization_score(spark, sf_dir):
+    from sitelens.plans.ml import ml_result
+
+    f = _page_frames(spark, sf_dir)
+    return ml_result(f["page_analysis"], f["page_keywords"]).select(
+        "page_id", "completeness_score", "sentiment_score", "density_score", "keyword_count", "optimization_score"
+    )
+
+
+@register("ml_result", lambda: f"{D.page_ml_with(True)} SELECT page_id, {D.flat(ML_COLS, ML_ARRAYS)} FROM ml")
+def q_ml_result(spark, sf_dir):
+    from sitelens.plans.ml import ml_result
+
+    f = _page_frames(spark, sf_dir)
+    return flat(ml_result(f["page_analysis"], f["page_keywords"]))
+
+
+@register("site_ml_result", lambda: f"{D.site_ml_with(True)} SELECT site, {D.flat(ML_COLS, ML_ARRAYS)} FROM ml")
+def q_site_ml_result(spark, sf_dir):
+    from sitelens.plans.ml import ml_result
+
+    f = _site_frames(spark, sf_dir)
+    return flat(ml_result(f["site_analysis"], f["site_keywords"], key="site"))
