@@ -688,3 +688,184 @@ def site_ml_with(rich: bool = True) -> str:
 def flat(cols: list[str], arrays: list[str]) -> str:
     """Select list with array columns joined by ', ' (what the Spark twins do)."""
     return ", ".join(f"array_to_string({c}, ', ') AS {c}" if c in arrays else c for c in cols)
+
+
+# --- generation and injection --------------------------------------------------------
+
+
+def config_cte(src: str = "base") -> str:
+    from sitelens.sources.config import DEFAULT_LOCALE
+
+    n = "length(site)"
+    return (
+        f"cfg AS (SELECT site, site AS site_name, 'https://' || site AS site_url, "
+        f"CASE WHEN {n} % 2 = 0 THEN 'https://' || site || '/og.png' END AS default_image, "
+        f"CASE WHEN {n} % 3 = 0 THEN 'acme' WHEN {n} % 3 = 1 THEN '@acme' END AS twitter_handle, "
+        f"CASE WHEN {n} % 4 = 0 THEN '1234567890' END AS facebook_app_id, "
+        f"CASE WHEN {n} % 5 < 2 THEN 'info@' || site END AS contact_email, "
+        f"CASE WHEN {n} % 5 = 0 THEN '+1-555-0100' END AS phone, "
+        f"CASE WHEN {n} % 3 = 0 THEN {{'street': '1 Main St', 'city': 'Springfield', 'state': 'IL', 'postal_code': '62701', "
+        "'country': 'US'} END AS address, "
+        f"CASE WHEN {n} % 11 = 0 THEN 'Official ' || site || ' home page with everything you need in one place' END AS title_override, "
+        f"CASE WHEN {n} % 13 = 0 THEN 'All about ' || site || ': <news> & \"notes\" for readers' END AS description_override, "
+        f"CASE WHEN {n} % 4 = 1 THEN ['seo', 'seo', 'web'] WHEN {n} % 4 = 2 THEN ['web', 'seo', 'web'] ELSE []::VARCHAR[] END AS extra_keywords, "
+        f"CASE WHEN {n} % 7 = 0 THEN 'fr_FR' ELSE {q(DEFAULT_LOCALE)} END AS locale, "
+        f"{n} % 6 <> 0 AS generate_canonical, 160 AS max_description_length, 60 AS max_title_length "
+        f"FROM (SELECT DISTINCT site FROM {src}))"
+    )
+
+
+def trunc(x: str, n: str) -> str:
+    cut = f"left({x}, {n})"
+    backed = f"CASE WHEN instr({cut}, ' ') > 0 THEN regexp_replace({cut}, ' [^ ]*$', '') ELSE {cut} END"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN strlen({x}) <= {n} THEN {x} ELSE {backed} || '...' END)"
+
+
+def js(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+def generation_ctes(an: str, key: str) -> str:
+    """CTEs ``gi`` (generation input) and ``gen`` (the four blocks); need ``top`` and ``cfg``."""
+    from sitelens.operators.generate import CHARSET_LINE, CONTEXT, ROBOTS_LINE, VIEWPORT_LINE
+
+    top3, top5 = "list_slice(top10, 1, 3)", "list_slice(top10, 1, 5)"
+    title = trunc(
+        f"coalesce(title_override, CASE WHEN title <> '' THEN title END, CASE WHEN len({top3}) > 0 THEN "
+        f"array_to_string(list_transform({top3}, lambda k: {cap('k')}), ' - ') || ' | ' || site_name ELSE site_name END)",
+        "max_title_length",
+    )
+    desc = trunc(
+        f"coalesce(description_override, CASE WHEN description <> '' THEN description END, content_summary, "
+        f"site_name || ' offers ' || array_to_string({top5}, ', ') || '. Professional solutions for your needs.')",
+        "max_description_length",
+    )
+    kwl = "list_concat(coalesce(top10, []::VARCHAR[]), coalesce(extra_keywords, []::VARCHAR[]))"
+    kws = f"array_to_string(list_filter({kwl}, lambda x, i: i = 1 OR x <> {kwl}[i - 1]), ', ')"
+    meta = (
+        f"concat_ws(chr(10), '    <title>' || {html_escape(title)} || '</title>', "
+        f"CASE WHEN NOT has_description THEN '    <meta name=\"description\" content=\"' || {html_escape(desc)} || '\">' END, "
+        f"CASE WHEN {kws} <> '' THEN '    <meta name=\"keywords\" content=\"' || {html_escape(kws)} || '\">' END, "
+        f"CASE WHEN generate_canonical AND NOT has_canonical THEN '    <link rel=\"canonical\" href=\"' || {html_escape('site_url')} || '\">' END, "
+        f"CASE WHEN NOT has_viewport THEN {q(VIEWPORT_LINE)} END, CASE WHEN NOT has_charset THEN {q(CHARSET_LINE)} END, {q(ROBOTS_LINE)})"
+    )
+    s_title = "coalesce(title_override, title, site_name)"
+    s_desc = f"coalesce(description_override, description, content_summary, site_name || ' - ' || array_to_string({top5}, ', '))"
+    ogt = "CASE business_type WHEN 'Blog' THEN 'article' WHEN 'Ecommerce' THEN 'product' WHEN 'Restaurant' THEN 'restaurant' ELSE 'website' END"
+    og = (
+        "CASE WHEN has_og_tags THEN '' ELSE concat_ws(chr(10), "
+        f"'    <meta property=\"og:type\" content=\"' || {ogt} || '\">', "
+        f"'    <meta property=\"og:title\" content=\"' || {html_escape(s_title)} || '\">', "
+        f"'    <meta property=\"og:description\" content=\"' || {html_escape(trunc(s_desc, '200'))} || '\">', "
+        f"'    <meta property=\"og:url\" content=\"' || {html_escape('site_url')} || '\">', "
+        f"'    <meta property=\"og:site_name\" content=\"' || {html_escape('site_name')} || '\">', "
+        "'    <meta property=\"og:locale\" content=\"' || locale || '\">', "
+        f"CASE WHEN default_image IS NOT NULL THEN '    <meta property=\"og:image\" content=\"' || {html_escape('default_image')} || '\">' END, "
+        "CASE WHEN default_image IS NOT NULL THEN '    <meta property=\"og:image:width\" content=\"1200\">' END, "
+        "CASE WHEN default_image IS NOT NULL THEN '    <meta property=\"og:image:height\" content=\"630\">' END, "
+        f"CASE WHEN facebook_app_id IS NOT NULL THEN '    <meta property=\"fb:app_id\" content=\"' || {html_escape('facebook_app_id')} || '\">' END) END"
+    )
+    handle = "CASE WHEN starts_with(twitter_handle, '@') THEN twitter_handle ELSE '@' || twitter_handle END"
+    tw = (
+        "CASE WHEN has_twitter_cards THEN '' ELSE concat_ws(chr(10), "
+        "'    <meta name=\"twitter:card\" content=\"' || CASE WHEN default_image IS NOT NULL THEN 'summary_large_image' ELSE 'summary' END || '\">', "
+        f"'    <meta name=\"twitter:title\" content=\"' || {html_escape(trunc(s_title, '70'))} || '\">', "
+        f"'    <meta name=\"twitter:description\" content=\"' || {html_escape(trunc(s_desc, '200'))} || '\">', "
+        f"CASE WHEN twitter_handle IS NOT NULL THEN '    <meta name=\"twitter:site\" content=\"' || {html_escape(handle)} || '\">' END, "
+        f"CASE WHEN twitter_handle IS NOT NULL THEN '    <meta name=\"twitter:creator\" content=\"' || {html_escape(handle)} || '\">' END, "
+        f"CASE WHEN default_image IS NOT NULL THEN '    <meta name=\"twitter:image\" content=\"' || {html_escape('default_image')} || '\">' END, "
+        f"CASE WHEN default_image IS NOT NULL THEN '    <meta name=\"twitter:image:alt\" content=\"' || {html_escape(s_title)} || '\">' END) END"
+    )
+    ctx = f'"@context":"{CONTEXT}"'
+    addr = (
+        "CASE WHEN address IS NOT NULL THEN '{\"@type\":\"PostalAddress\",\"addressCountry\":' || "
+        f"{js('address.country')} || ',\"addressLocality\":' || {js('address.city')} || ',\"addressRegion\":' || {js('address.state')} || "
+        f"',\"postalCode\":' || {js('address.postal_code')} || ',\"streetAddress\":' || {js('address.street')} || '}}' END"
+    )
+    org = (
+        f"'{{{ctx},\"@type\":' || {js('schema_type')} || coalesce(',\"address\":' || ({addr}), '') || "
+        f"coalesce(',\"contactPoint\":{{\"@type\":\"ContactPoint\",\"contactType\":\"customer service\",\"telephone\":' || {js('phone')} || '}}', '') || "
+        f"coalesce(',\"description\":' || {js('coalesce(description_override, description, content_summary)')}, '') || "
+        f"coalesce(',\"email\":' || {js('contact_email')}, '') || coalesce(',\"image\":' || {js('default_image')}, '') || "
+        f"coalesce(',\"logo\":{{\"@type\":\"ImageObject\",\"url\":' || {js('default_image')} || '}}', '') || "
+        f"',\"name\":' || {js('site_name')} || ',\"sameAs\":[]' || coalesce(',\"telephone\":' || {js('phone')}, '') || "
+        f"',\"url\":' || {js('site_url')} || '}}'"
+    )
+    website = (
+        f"'{{{ctx},\"@type\":\"WebSite\",\"name\":' || {js('site_name')} || ',\"potentialAction\":{{\"@type\":\"SearchAction\","
+        "\"query-input\":\"required name=search_term_string\",\"target\":{\"@type\":\"EntryPoint\",\"urlTemplate\":' || "
+        f"{js(chr(39) + '' + chr(39) + ' || site_url || ' + q('/search?q={search_term_string}'))} || '}}}},\"url\":' || {js('site_url')} || '}}'"
+    )
+    crumb = (
+        f"'{{{ctx},\"@type\":\"BreadcrumbList\",\"itemListElement\":[{{\"@type\":\"ListItem\",\"item\":' || {js('site_url')} || "
+        "',\"name\":\"Home\",\"position\":1}]}'"
+    )
+    services = f"list_transform({top5}, lambda k: {cap('k')})"
+    service = (
+        f"'{{{ctx},\"@type\":\"ProfessionalService\",\"areaServed\":{{\"@type\":\"Country\",\"name\":\"United States\"}},"
+        "\"hasOfferCatalog\":{\"@type\":\"OfferCatalog\",\"itemListElement\":[' || "
+        f"array_to_string(list_transform({services}, lambda s: '{{\"@type\":\"Offer\",\"itemOffered\":{{\"@type\":\"Service\",\"name\":' || {js('s')} || '}}}}'), ',') || "
+        f"'],\"name\":\"Services\"}},\"name\":' || {js('site_name')} || ',\"serviceType\":[' || "
+        f"array_to_string(list_transform({services}, lambda s: {js('s')}), ',') || '],\"url\":' || {js('site_url')} || '}}'"
+    )
+    saas = (
+        f"'{{{ctx},\"@type\":\"SoftwareApplication\",\"applicationCategory\":\"BusinessApplication\",\"name\":' || {js('site_name')} || "
+        "',\"offers\":{\"@type\":\"Offer\",\"price\":\"0\",\"priceCurrency\":\"USD\"},\"operatingSystem\":\"Web\",\"url\":' || "
+        f"{js('site_url')} || '}}'"
+    )
+    local = (
+        f"'{{{ctx},\"@type\":' || CASE WHEN business_type = 'Restaurant' THEN '\"Restaurant\"' ELSE '\"LocalBusiness\"' END || "
+        f"coalesce(',\"address\":' || ({addr}), '') || ',\"name\":' || {js('site_name')} || "
+        f"coalesce(',\"telephone\":' || {js('phone')}, '') || ',\"url\":' || {js('site_url')} || '}}'"
+    )
+    blog = f"'{{{ctx},\"@type\":\"Blog\",\"blogPost\":[],\"name\":' || {js('site_name')} || ',\"url\":' || {js('site_url')} || '}}'"
+    business = (
+        f"CASE WHEN business_type IN ('Service', 'Technology') THEN {service} WHEN business_type = 'SaaS' THEN {saas} "
+        f"WHEN business_type IN ('LocalBusiness', 'Restaurant') THEN {local} WHEN business_type = 'Blog' THEN {blog} END"
+    )
+    low = "lower(coalesce(raw_text, ''))"
+    faq = (
+        f"CASE WHEN raw_text IS NOT NULL AND (contains({low}, 'faq') OR contains({low}, 'frequently asked') OR contains({low}, 'questions')) "
+        f"THEN '{{{ctx},\"@type\":\"FAQPage\",\"mainEntity\":[]}}' END"
+    )
+    graph = (
+        f"replace('{{{ctx},\"@graph\":[' || array_to_string(list_filter([{org}, {website}, {crumb}, {business}, {faq}], "
+        "lambda x: x IS NOT NULL), ',') || ']}', '</', '<\\/')"
+    )
+    schema = f"CASE WHEN has_schema THEN '' ELSE '    <script type=\"application/ld+json\">' || chr(10) || '    ' || {graph} || chr(10) || '    </script>' END"
+    nl = "chr(10)"
+    return (
+        f"gi AS (SELECT a.*, coalesce(tp.top10, []::VARCHAR[]) AS top10, cfg.* EXCLUDE (site) FROM {an} a "
+        f"LEFT JOIN top tp ON tp.{key} = a.{key} LEFT JOIN cfg ON cfg.site = a.site), "
+        f"gen0 AS (SELECT {key}, {meta} AS meta_tags, {og} AS open_graph, {tw} AS twitter_cards, {schema} AS schema_org FROM gi), "
+        f"gen AS (SELECT *, '<!-- SEO Meta Tags -->' || {nl} || meta_tags || {nl} || {nl} || '<!-- Open Graph -->' || {nl} || open_graph || "
+        f"{nl} || {nl} || '<!-- Twitter Cards -->' || {nl} || twitter_cards || {nl} || {nl} || '<!-- Schema.org -->' || {nl} || schema_org AS combined, "
+        "(meta_tags = '' AND open_graph = '' AND twitter_cards = '' AND schema_org = '') AS is_empty FROM gen0)"
+    )
+
+
+def inject_expr(h: str, meta: str, og: str, tw: str, schema: str) -> str:
+    stripped = (
+        f"CASE WHEN {rlike(h, P.STRIP_TITLE_PRESENT)} THEN regexp_extract({h}, {q(P.STRIP_TITLE)}, 1) || "
+        f"regexp_extract({h}, {q(P.STRIP_TITLE)}, 2) ELSE {h} END"
+    )
+
+    def part(x: str, g: int) -> str:
+        return (
+            f"CASE WHEN regexp_matches({x}, '(?i)</head') THEN regexp_extract({x}, {q(P.HEAD_POINT)}, {g}) "
+            f"WHEN regexp_matches({x}, '(?i)<body') THEN regexp_extract({x}, {q(P.BODY_POINT)}, {g}) END"
+        )
+
+    wrap = lambda b: f"CASE WHEN {b} <> '' THEN chr(10) || {b} || chr(10) ELSE '' END"
+    has = f"(regexp_matches({h}, '(?i)</head') OR regexp_matches({h}, '(?i)<body'))"
+    body = f"{part(stripped, 1)} || chr(10) || {meta} || chr(10) || {wrap(og)} || {wrap(tw)} || {wrap(schema)} || {part(stripped, 2)}"
+    return f"CASE WHEN {has} THEN {body} ELSE {h} END", f"CASE WHEN {has} THEN 'ok' ELSE 'no_injection_point' END"
+
+
+def page_gen_with(rich: bool = True) -> str:
+    return f"{page_ml_with(rich)}, {config_cte()}, {generation_ctes('pa', 'page_id')}"
+
+
+def page_injected(rich: bool = True) -> str:
+    html, status = inject_expr("s.html", "g.meta_tags", "g.open_graph", "g.twitter_cards", "g.schema_org")
+    return f"{page_gen_with(rich)} SELECT g.page_id, {html} AS html, {status} AS status FROM gen g JOIN src s USING (page_id)"

@@ -516,3 +516,36 @@ def q_site_ml_result(spark, sf_dir):
 
     f = _site_frames(spark, sf_dir)
     return flat(ml_result(f["site_analysis"], f["site_keywords"], key="site"))
+
+
+# --- generation and injection --------------------------------------------------------
+
+
+def _gen_frames(spark, sf_dir, rich=True):
+    from sitelens.plans.site import generation_frames
+
+    return generation_frames(_pages(spark, sf_dir, rich))
+
+
+def _gen_col(name: str, expr_sql: str):
+    @register(name, lambda: f"{D.page_gen_with(True)} SELECT page_id, {expr_sql} FROM gen")
+    def q(spark, sf_dir):
+        return _gen_frames(spark, sf_dir)["page_generated"].select("page_id", expr_sql.split(" AS ")[-1] if " AS " in expr_sql else expr_sql)
+
+    return q
+
+
+_gen_col("meta_block", "meta_tags")
+_gen_col("open_graph_block", "open_graph")
+_gen_col("twitter_block", "twitter_cards")
+_gen_col("json_ld_block", "schema_org")
+
+
+@register("generate_all", lambda: f"{D.page_gen_with(True)} SELECT * FROM gen")
+def q_generate_all(spark, sf_dir):
+    return _gen_frames(spark, sf_dir)["page_generated"]
+
+
+@register("page_injected", lambda: D.page_injected(True))
+def q_page_injected(spark, sf_dir):
+    return _gen_frames(spark, sf_dir)["page_injected"]

@@ -24,3 +24,49 @@ def site_frames(pages: DataFrame, reuse: bool = True) -> dict[str, DataFrame]:
     f["site_keywords"] = sk
     f["site_analysis"] = site_analysis(f["page_analysis"], sk)
     return f
+
+
+def generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse: bool = True, year: int = 2026) -> dict[str, DataFrame]:
+    """Page frames plus ``page_generated`` (the four blocks per page) and ``page_injected``.
+
+    ``config`` is a ``site_config`` table (one row per site); by default one is
+    derived from the site keys.  The generated blocks are joined back to the
+    page markup by ``page_id`` (the only time markup is shuffled).
+    """
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.generate import generate_all, generation_input
+    from sitelens.operators.inject import page_injected
+    from sitelens.operators.keywords import packed_top
+    from sitelens.sources.config import derive_site_config
+
+    f = page_frames(pages, reuse)
+    top = packed_top(f["page_keywords"], 10, "page_id", "top10", [F.col("rank")])
+    cfg = config if config is not None else derive_site_config(f["base"].select("site"))
+    gen = generate_all(generation_input(f["page_analysis"], top, cfg))
+    f["site_config"] = cfg
+    f["page_generated"] = gen
+    f["page_injected"] = page_injected(gen.join(pages.select("page_id", "html"), "page_id"))
+    return f
+
+
+def site_generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse: bool = True) -> dict[str, DataFrame]:
+    """Site frames plus the site-grain blocks and the injected main page of each site."""
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.generate import generate_all, generation_input
+    from sitelens.operators.inject import page_injected
+    from sitelens.operators.keywords import packed_top
+    from sitelens.sources.config import derive_site_config
+    from sitelens.sources.pages import main_page
+
+    f = site_frames(pages, reuse)
+    top = packed_top(f["site_keywords"], 10, "site", "top10", [F.col("first_page_id"), F.col("first_rank")])
+    cfg = config if config is not None else derive_site_config(f["site_analysis"].select("site"))
+    gen = generate_all(generation_input(f["site_analysis"], top, cfg, key="site"), key="site")
+    mains = main_page(pages).select("site", F.col("main_page_id").alias("page_id"))
+    main_html = mains.join(pages.select("page_id", "html"), "page_id")
+    inj = page_injected(gen.join(main_html, "site"), key="site").join(mains, "site")
+    f["site_generated"] = gen
+    f["site_main_injected"] = inj.select("site", "page_id", "html", "status")
+    return f
