@@ -91,3 +91,24 @@ def site_audit(audit: DataFrame, key: str = "site", order: str = "page_id") -> D
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c))
     aggs.append(F.count(F.lit(1)).alias("page_count"))
     return audit.groupBy(key).agg(*aggs).withColumn("completeness_score", completeness_score())
+
+
+LIFT_FLAGS = ["has_description", "has_og_tags", "has_twitter_cards", "has_schema"]
+
+
+def audit_lift(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """Before/after audit of an injection, from rows holding ``html`` and ``html_after``.
+
+    Both audits run in the same row (one projection), so no join is needed.
+    """
+    c = rows.select(key, H.clean_html("html").alias("c0"), H.clean_html("html_after").alias("c1"))
+    cols = [col.alias("b_" + name) for col, name in zip(audit_columns("c0"), _AUDIT_NAMES)]
+    cols += [col.alias("a_" + name) for col, name in zip(audit_columns("c1"), _AUDIT_NAMES)]
+    a = c.select(key, *cols)
+    out = [key, completeness_score("b_").alias("completeness_before"), completeness_score("a_").alias("completeness_after")]
+    for f in LIFT_FLAGS:
+        out += [F.col("b_" + f).alias(f + "_before"), F.col("a_" + f).alias(f + "_after")]
+    return a.select(*out)
+
+
+_AUDIT_NAMES = ["title", "description", *AUDIT_FLAGS, *AUDIT_COUNTS]

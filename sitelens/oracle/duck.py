@@ -119,7 +119,7 @@ def source(rich: bool) -> str:
     return "SELECT page_id, url, html FROM pages"
 
 
-def base_ctes(rich: bool = False) -> str:
+def base_ctes(rich: bool = False, src_sql: str | None = None, sfx: str = "") -> str:
     """CTEs ``src``, ``c`` and ``base``: one row per page with every per-page extraction."""
     audit = [
         "title",
@@ -138,12 +138,12 @@ def base_ctes(rich: bool = False) -> str:
         f"lambda t: {rlike('t', P.ALT_NONEMPTY)})), 0) AS BIGINT) AS img_without_alt",
     ]
     return (
-        f"src AS ({source(rich)}), "
-        f"c AS (SELECT page_id, url, {site_key('url')} AS site, {clean_html('html')} AS clean FROM src), "
-        f"t AS (SELECT *, {title_raw('clean')} AS title_raw, {description('clean')} AS description FROM c), "
-        f"t2 AS (SELECT *, {trim_ws('title_raw')} AS title FROM t), "
-        f"base AS (SELECT page_id, url, site, clean, title_raw, {', '.join(audit)}, "
-        f"{language('clean')} AS language, {body_text('clean')} AS raw_text FROM t2)"
+        f"src{sfx} AS ({src_sql or source(rich)}), "
+        f"c{sfx} AS (SELECT page_id, url, {site_key('url')} AS site, {clean_html('html')} AS clean FROM src{sfx}), "
+        f"t{sfx} AS (SELECT *, {title_raw('clean')} AS title_raw, {description('clean')} AS description FROM c{sfx}), "
+        f"t2{sfx} AS (SELECT *, {trim_ws('title_raw')} AS title FROM t{sfx}), "
+        f"base{sfx} AS (SELECT page_id, url, site, clean, title_raw, {', '.join(audit)}, "
+        f"{language('clean')} AS language, {body_text('clean')} AS raw_text FROM t2{sfx})"
     )
 
 
@@ -725,8 +725,11 @@ def js(x: str) -> str:
     return f"CAST(to_json({x}) AS VARCHAR)"
 
 
-def generation_ctes(an: str, key: str) -> str:
-    """CTEs ``gi`` (generation input) and ``gen`` (the four blocks); need ``top`` and ``cfg``."""
+def generation_ctes(an: str, key: str, exprs_only: bool = False):
+    """CTEs ``gi`` (generation input) and ``gen`` (the four blocks); need ``top`` and ``cfg``.
+
+    With ``exprs_only`` the column expressions over ``gi`` are returned by name instead.
+    """
     from sitelens.operators.generate import CHARSET_LINE, CONTEXT, ROBOTS_LINE, VIEWPORT_LINE
 
     top3, top5 = "list_slice(top10, 1, 3)", "list_slice(top10, 1, 5)"
@@ -834,6 +837,12 @@ def generation_ctes(an: str, key: str) -> str:
     )
     schema = f"CASE WHEN has_schema THEN '' ELSE '    <script type=\"application/ld+json\">' || chr(10) || '    ' || {graph} || chr(10) || '    </script>' END"
     nl = "chr(10)"
+    if exprs_only:
+        return dict(
+            generate_title=title, generate_description=desc, generate_keywords=kws, og_type=ogt,
+            organization_schema=org, website_schema=website, breadcrumb_schema=crumb,
+            business_schema=business, faq_schema=faq, json_ld_graph=graph,
+        )
     return (
         f"gi AS (SELECT a.*, coalesce(tp.top10, []::VARCHAR[]) AS top10, cfg.* EXCLUDE (site) FROM {an} a "
         f"LEFT JOIN top tp ON tp.{key} = a.{key} LEFT JOIN cfg ON cfg.site = a.site), "
@@ -869,3 +878,150 @@ def page_gen_with(rich: bool = True) -> str:
 def page_injected(rich: bool = True) -> str:
     html, status = inject_expr("s.html", "g.meta_tags", "g.open_graph", "g.twitter_cards", "g.schema_org")
     return f"{page_gen_with(rich)} SELECT g.page_id, {html} AS html, {status} AS status FROM gen g JOIN src s USING (page_id)"
+
+
+def gen_expr_query(name: str, rich: bool = True) -> str:
+    e = generation_ctes("pa", "page_id", exprs_only=True)[name]
+    return f"{page_gen_with(rich)} SELECT page_id, {e} AS {name} FROM gi"
+
+
+def page_pieces(rich: bool = True) -> str:
+    """CTE prefix with ``src`` + ``gen`` joined as ``pj`` (page_id, html, blocks)."""
+    return f"{page_gen_with(rich)}, pj AS (SELECT g.*, s.html FROM gen g JOIN src s USING (page_id))"
+
+
+def injection_point_q(rich: bool = True) -> str:
+    before = (
+        "CASE WHEN regexp_matches(html, '(?i)</head') THEN regexp_extract(html, " + q(P.HEAD_POINT) + ", 1) "
+        "WHEN regexp_matches(html, '(?i)<body') THEN regexp_extract(html, " + q(P.BODY_POINT) + ", 1) END"
+    )
+    return f"WITH {base_ctes(rich)} SELECT page_id, CAST(length({before}) AS INTEGER) AS injection_point FROM src"
+
+
+def strip_title_q(rich: bool = True) -> str:
+    e = (
+        f"CASE WHEN {rlike('html', P.STRIP_TITLE_PRESENT)} THEN regexp_extract(html, {q(P.STRIP_TITLE)}, 1) || "
+        f"regexp_extract(html, {q(P.STRIP_TITLE)}, 2) ELSE html END"
+    )
+    return f"WITH {base_ctes(rich)} SELECT page_id, {e} AS html FROM src"
+
+
+def inject_meta_q(rich: bool = True) -> str:
+    html, _ = inject_expr("html", "meta_tags", "''", "''", "''")
+    return f"{page_pieces(rich)} SELECT page_id, {html} AS html FROM pj"
+
+
+def audit_lift(rich: bool = True) -> str:
+    html, status = inject_expr("s.html", "g.meta_tags", "g.open_graph", "g.twitter_cards", "g.schema_org")
+    after = f"{page_gen_with(rich)}, inj AS (SELECT g.page_id, {html} AS html FROM gen g JOIN src s USING (page_id))"
+    b2 = base_ctes(src_sql="SELECT i.page_id, s.url, i.html FROM inj i JOIN src s USING (page_id)", sfx="_a")
+    return (
+        f"{after}, {b2} SELECT b.page_id, {completeness('b.')} AS completeness_before, {completeness('a.')} AS completeness_after, "
+        "b.has_description AS has_description_before, a.has_description AS has_description_after, "
+        "b.has_og_tags AS has_og_tags_before, a.has_og_tags AS has_og_tags_after, "
+        "b.has_twitter_cards AS has_twitter_cards_before, a.has_twitter_cards AS has_twitter_cards_after, "
+        "b.has_schema AS has_schema_before, a.has_schema AS has_schema_after "
+        "FROM base b JOIN base_a a USING (page_id)"
+    )
+
+
+# --- files, frameworks, reports ----------------------------------------------------------
+
+
+def files_ctes(src: str = "src") -> str:
+    from sitelens.sources.files import _MARKER_SETS, INJECTION_TARGETS, NEXT_MARKERS, PACKAGE_JSON, VITE_MARKERS
+
+    mk = values([(m, p, c) for m, fs in _MARKER_SETS.items() for p, c in fs], ["m", "path", "content"])
+    tg = values(INJECTION_TARGETS, ["framework", "injection_target"])
+    pkg = f"path = {q(PACKAGE_JSON)}"
+    return (
+        f"sites AS (SELECT DISTINCT {site_key('url')} AS site FROM {src}), "
+        f"files AS (SELECT {site_key('url')} AS site, regexp_replace({url_path('url')}, '^/', '') AS path, '' AS content FROM {src} "
+        f"UNION ALL SELECT s.site, m.path, m.content FROM sites s JOIN {mk} m ON m.m = length(s.site) % 8), "
+        f"fwd AS (SELECT site, bool_or(path IN {_in_list(NEXT_MARKERS)}) AS nxt, bool_or(path IN {_in_list(VITE_MARKERS)}) AS vite, "
+        f"bool_or({pkg}) AS pkg, bool_or({pkg} AND contains(content, '\"react\"')) AS react, "
+        f"bool_or({pkg} AND contains(content, '\"vue\"')) AS vue, bool_or({pkg} AND contains(content, '\"svelte\"')) AS svelte "
+        "FROM files GROUP BY site), "
+        "fw AS (SELECT site, CASE WHEN nxt THEN 'NextJs' WHEN vite THEN 'Vite' WHEN pkg AND react THEN 'React' "
+        "WHEN pkg AND vue THEN 'Vue' WHEN pkg AND svelte THEN 'Svelte' WHEN pkg THEN 'Unknown' ELSE 'VanillaHtml' END AS framework FROM fwd), "
+        f"fwt AS (SELECT fw.site, fw.framework, t.injection_target FROM fw LEFT JOIN {tg} t USING (framework))"
+    )
+
+
+def site_files_q() -> str:
+    return f"WITH src AS (SELECT page_id, url, html FROM pages), {files_ctes()} SELECT site, path, content FROM files"
+
+
+def detect_framework_q() -> str:
+    return f"WITH src AS (SELECT page_id, url, html FROM pages), {files_ctes()} SELECT * FROM fwt"
+
+
+def two_dec(x: str) -> str:
+    return f"printf('%.2f', round_even({x}, 2))"
+
+
+def report_ctes(rich: bool = True) -> str:
+    from sitelens.operators.reports import PRIORITY_LABELS
+
+    label = "CASE priority " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in PRIORITY_LABELS.items()) + " END"
+    nl = "chr(10)"
+    return (
+        f"{site_ml_with(rich)}, {files_ctes()}, "
+        f"mp AS (SELECT site, arg_min(page_id, (NOT is_index, page_id)) AS main_page_id FROM (SELECT page_id, {site_key('url')} AS site, "
+        f"regexp_matches({url_path('url')}, {q(INDEX_PATH_RE)}) AS is_index FROM src) GROUP BY site), "
+        "tk AS (SELECT * FROM (SELECT site, word, frequency, score, row_number() OVER (PARTITION BY site ORDER BY score DESC, "
+        "first_page_id, first_rank) AS top_rank FROM sk) WHERE top_rank <= 10), "
+        f"kwp AS (SELECT site, string_agg(top_rank || '. ' || word || ' (score: ' || {two_dec('score')} || ')' || {nl}, '' ORDER BY top_rank) AS keywords_md, "
+        f"string_agg(word || ' (freq: ' || frequency || ', score: ' || {two_dec('score')} || ')', '; ' ORDER BY top_rank) AS keywords_line "
+        "FROM tk GROUP BY site), "
+        f"recp AS (SELECT site, string_agg('### ' || {label} || ' - ' || message || {nl} || '**Action**: ' || action || {nl} || {nl}, '' "
+        "ORDER BY rec_rank) AS recs_md, string_agg(message, ' | ' ORDER BY rec_rank) AS rec_messages FROM rec GROUP BY site), "
+        "trp AS (SELECT site, string_agg(schema_type || ' (score: ' || printf('%.0f', trend_score * 100) || '%)', '; ' ORDER BY n) AS trends_line "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY trend_ord) AS n FROM trd) WHERE n <= 5 GROUP BY site), "
+        "ttp AS (SELECT site, string_agg(text, ' | ' ORDER BY suggestion_rank) AS titles_line FROM ts WHERE suggestion_rank <= 3 GROUP BY site), "
+        "rr AS (SELECT sa.*, ml.optimization_score, ml.sentiment_score, ml.sentiment_label, ml.power_words, recp.recs_md, recp.rec_messages, "
+        "kwp.keywords_md, kwp.keywords_line, fwt.framework, mp.main_page_id, trp.trends_line, ttp.titles_line FROM sa "
+        "LEFT JOIN ml USING (site) LEFT JOIN recp USING (site) LEFT JOIN kwp USING (site) LEFT JOIN fwt USING (site) "
+        "LEFT JOIN mp USING (site) LEFT JOIN trp USING (site) LEFT JOIN ttp USING (site))"
+    )
+
+
+def site_report_q(stamp: str, rich: bool = True) -> str:
+    from sitelens.operators.reports import AUDIT_ROWS, CHECK, CROSS
+
+    nl = "chr(10)"
+    audit = " || ".join(f"'| {lab} | ' || CASE WHEN {flag} THEN {q(CHECK)} ELSE {q(CROSS)} END || ' |' || {nl}" for lab, flag in AUDIT_ROWS)
+    md = (
+        f"'# SEO Analysis Report' || {nl} || {nl} || {q('Generated: ' + stamp)} || {nl} || {nl} || '## Overview' || {nl} || {nl} || "
+        f"'- **Framework**: ' || framework || {nl} || '- **Business Type**: ' || business_type || {nl} || "
+        f"'- **HTML Files**: ' || page_count || {nl} || '- **SEO Score**: ' || completeness_score || '/100' || {nl} || "
+        f"'- **Optimization Score**: ' || optimization_score || '/100' || {nl} || {nl} || '## SEO Audit' || {nl} || {nl} || "
+        f"'| Element | Status |' || {nl} || '|---------|--------|' || {nl} || {audit} || "
+        f"{nl} || '## Recommendations' || {nl} || {nl} || coalesce(recs_md, '') || '## Top Keywords' || {nl} || {nl} || coalesce(keywords_md, '')"
+    )
+    return f"WITH {report_ctes(rich)[5:] if report_ctes(rich).startswith('WITH ') else report_ctes(rich)} SELECT site, {md} AS report_md FROM rr"
+
+
+def analysis_summary_q(rich: bool = True) -> str:
+    from sitelens.operators.reports import SUMMARY_CHECKS
+
+    body = report_ctes(rich)
+    body = body[5:] if body.startswith("WITH ") else body
+    return (
+        f"WITH {body} SELECT site, framework, main_page_id, page_count, business_type, language, "
+        f"{two_dec('sentiment_score')} || ' (' || sentiment_label || ')' AS sentiment, "
+        f"array_to_string(coalesce(power_words, []::VARCHAR[]), ', ') AS power_words, coalesce(keywords_line, '') AS top_keywords, "
+        f"{', '.join(SUMMARY_CHECKS)}, completeness_score AS seo_score, optimization_score, "
+        "coalesce(trends_line, '') AS trending_schemas, coalesce(rec_messages, '') AS recommendations, "
+        "coalesce(titles_line, '') AS title_suggestions FROM rr"
+    )
+
+
+def site_main_injected_q(rich: bool = True) -> str:
+    html, status = inject_expr("s.html", "g.meta_tags", "g.open_graph", "g.twitter_cards", "g.schema_org")
+    return (
+        f"{site_ml_with(rich)}, {config_cte('sa')}, {generation_ctes('sa', 'site')}, "
+        f"mp AS (SELECT site, arg_min(page_id, (NOT is_index, page_id)) AS page_id FROM (SELECT page_id, {site_key('url')} AS site, "
+        f"regexp_matches({url_path('url')}, {q(INDEX_PATH_RE)}) AS is_index FROM src) GROUP BY site) "
+        f"SELECT g.site, mp.page_id, {html} AS html, {status} AS status FROM gen g JOIN mp USING (site) JOIN src s ON s.page_id = mp.page_id"
+    )

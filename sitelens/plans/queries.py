@@ -549,3 +549,150 @@ def q_generate_all(spark, sf_dir):
 @register("page_injected", lambda: D.page_injected(True))
 def q_page_injected(spark, sf_dir):
     return _gen_frames(spark, sf_dir)["page_injected"]
+
+
+# --- per-function generation and injection queries -----------------------------------
+
+
+def _gen_expr(name: str):
+    @register(name, lambda: D.gen_expr_query(name))
+    def q(spark, sf_dir):
+        from sitelens.operators import generate as G
+
+        gi = _gen_frames(spark, sf_dir)["gen_input"]
+        return gi.select("page_id", getattr(G, name)().alias(name))
+
+    return q
+
+
+for _name in ["generate_title", "generate_description", "generate_keywords", "og_type", "organization_schema",
+              "website_schema", "breadcrumb_schema", "business_schema", "faq_schema", "json_ld_graph"]:
+    _gen_expr(_name)
+
+
+@register("html_escape", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, {D.html_escape('title')} AS title_escaped FROM base")
+def q_html_escape(spark, sf_dir):
+    from sitelens.functions.text import html_escape
+
+    return _base(spark, sf_dir, True).select("page_id", html_escape("title").alias("title_escaped"))
+
+
+@register("truncate_words", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, {D.trunc('raw_text', '60')} AS cut60, "
+          f"{D.trunc('description', '30')} AS cut30 FROM base")
+def q_truncate_words(spark, sf_dir):
+    from sitelens.functions.text import truncate_words
+
+    b = _base(spark, sf_dir, True)
+    return b.select("page_id", truncate_words("raw_text", 60).alias("cut60"), truncate_words("description", 30).alias("cut30"))
+
+
+@register("capitalize", lambda: f"{D.with_keywords(True)} SELECT page_id, word, {D.cap('word')} AS capitalized FROM kw")
+def q_capitalize(spark, sf_dir):
+    from sitelens.functions.text import capitalize
+    from sitelens.operators.keywords import page_keywords
+
+    return page_keywords(_base(spark, sf_dir, True)).select("page_id", "word", capitalize("word").alias("capitalized"))
+
+
+@register("completeness_score", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, {D.completeness()} AS completeness_score FROM base")
+def q_completeness_score(spark, sf_dir):
+    from sitelens.operators.audit import page_audit
+
+    return page_audit(_pages(spark, sf_dir, True)).select("page_id", "completeness_score")
+
+
+@register("injection_point", lambda: D.injection_point_q(True))
+def q_injection_point(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.inject import injection_point
+
+    return _pages(spark, sf_dir, True).select("page_id", injection_point(F.col("html")).alias("injection_point"))
+
+
+@register("strip_title", lambda: D.strip_title_q(True))
+def q_strip_title(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.inject import strip_title
+
+    return _pages(spark, sf_dir, True).select("page_id", strip_title(F.col("html")).alias("html"))
+
+
+@register("inject_meta", lambda: D.inject_meta_q(True))
+def q_inject_meta(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.inject import inject_meta
+
+    f = _gen_frames(spark, sf_dir)
+    j = f["page_generated"].join(_pages(spark, sf_dir, True).select("page_id", "html"), "page_id")
+    return j.select("page_id", inject_meta(F.col("html"), F.col("meta_tags")).alias("html"))
+
+
+@register("audit_lift", lambda: D.audit_lift(True))
+def q_audit_lift(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.audit import audit_lift
+    from sitelens.operators.inject import inject
+
+    f = _gen_frames(spark, sf_dir)
+    j = f["page_generated"].join(_pages(spark, sf_dir, True).select("page_id", "html"), "page_id")
+    after = inject(F.col("html"), F.col("meta_tags"), F.col("open_graph"), F.col("twitter_cards"), F.col("schema_org"))
+    return audit_lift(j.select("page_id", "html", after.alias("html_after")))
+
+
+@register("site_main_injected", lambda: D.site_main_injected_q(True))
+def q_site_main_injected(spark, sf_dir):
+    from sitelens.plans.site import site_generation_frames
+
+    return site_generation_frames(_pages(spark, sf_dir, True))["site_main_injected"]
+
+
+# --- files, frameworks, reports ---------------------------------------------------------
+
+
+@register("site_files", D.site_files_q)
+def q_site_files(spark, sf_dir):
+    from sitelens.sources.files import site_files_from_pages
+
+    return site_files_from_pages(S.read_pages(spark, sf_dir))
+
+
+@register("detect_framework", D.detect_framework_q)
+def q_detect_framework(spark, sf_dir):
+    from sitelens.sources.files import detect_framework, site_files_from_pages
+
+    return detect_framework(site_files_from_pages(S.read_pages(spark, sf_dir)))
+
+
+REPORT_STAMP = "2026-01-01 00:00:00 UTC"
+
+
+@register("site_report", lambda: D.site_report_q(REPORT_STAMP, True))
+def q_site_report(spark, sf_dir):
+    from sitelens.plans.report import site_report
+
+    return site_report(_pages(spark, sf_dir, True), REPORT_STAMP)
+
+
+@register("analysis_summary", lambda: D.analysis_summary_q(True))
+def q_analysis_summary(spark, sf_dir):
+    from sitelens.plans.report import analysis_summary
+
+    return flat(analysis_summary(_pages(spark, sf_dir, True)))
+
+
+@register("analysis_json")
+def q_analysis_json(spark, sf_dir):
+    from sitelens.plans.report import analysis_json
+
+    return analysis_json(_pages(spark, sf_dir, True)).select("site", "json")
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    from sitelens.plans.report import run_summary
+
+    return run_summary(_pages(spark, sf_dir, True))

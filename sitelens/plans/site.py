@@ -43,7 +43,9 @@ def generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse:
     f = page_frames(pages, reuse)
     top = packed_top(f["page_keywords"], 10, "page_id", "top10", [F.col("rank")])
     cfg = config if config is not None else derive_site_config(f["base"].select("site"))
-    gen = generate_all(generation_input(f["page_analysis"], top, cfg))
+    gi = generation_input(f["page_analysis"], top, cfg)
+    gen = generate_all(gi)
+    f["gen_input"] = gi
     f["site_config"] = cfg
     f["page_generated"] = gen
     f["page_injected"] = page_injected(gen.join(pages.select("page_id", "html"), "page_id"))
