@@ -164,7 +164,10 @@ def _zone_stream(base: DataFrame) -> DataFrame:
     )
     tracked = (F.col("tag").isin(*ZONE_TAGS) | F.array_contains(F.col("ctags"), F.col("tag"))) & ~F.col("tag").isin(*VOID_TAGS)
     keep = F.col("kind").isin("head", "text") | (F.col("kind").isin("open", "close") & tracked)
-    return s.where(keep).drop("ctags").repartition("page_id")
+    # no explicit repartition: the first window below (partitioned by page_id)
+    # makes Spark add one exchange on page_id, or none when the input is
+    # already hash-partitioned by page_id (bucketed or spread tables)
+    return s.where(keep).drop("ctags")
 
 
 def zone_text(base: DataFrame) -> DataFrame:

@@ -80,7 +80,8 @@ def element_counts(pages: DataFrame) -> DataFrame:
 
 
 
-def page_analysis(pages: DataFrame, base: DataFrame | None = None, reuse: bool = True) -> DataFrame:
+def page_analysis(pages: DataFrame, base: DataFrame | None = None, reuse: bool = True,
+                  keywords: DataFrame | None = None) -> DataFrame:
     """One row per page: audit, completeness, business type, schema class, language, summary, text.
 
     The base frame feeds three branches (audit columns, zone tokens, keyword
@@ -101,7 +102,8 @@ def page_analysis(pages: DataFrame, base: DataFrame | None = None, reuse: bool =
             base = base.persist(StorageLevel.MEMORY_AND_DISK)
     zones = zone_text(base).withColumn("content_summary", content_summary("zone_text"))
     bt = business_type(zones, carry=["content_summary"])
-    kc = page_keywords(base).groupBy("page_id").agg(F.count(F.lit(1)).alias("keyword_count"))
+    kw = keywords if keywords is not None else page_keywords(base)
+    kc = kw.groupBy("page_id").agg(F.count(F.lit(1)).alias("keyword_count"))
     out = (
         base.select(*BASE_COLUMNS)
         .join(bt, "page_id", "left")

@@ -22,7 +22,10 @@ PAGE_ORDER = ["rank"]
 
 
 def keyword_features(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", order: list[str] | None = None) -> DataFrame:
-    """Per key: ``top10/top5/top3`` arrays, frequency total, keyword count, over-used words (list order)."""
+    """Per key: ``top10/top5/top3`` arrays, frequency total, keyword count, over-used words (list order).
+
+    ``analysis`` only needs ``key, raw_text`` (the text the density is measured on).
+    """
     order = order or (PAGE_ORDER if key == "page_id" else SITE_ORDER)
     top = packed_top(keywords, 10, key, "top10", [F.col(c) for c in order])
     top = top.select(key, "top10", F.slice("top10", 1, 5).alias("top5"), F.slice("top10", 1, 3).alias("top3"))
@@ -37,16 +40,22 @@ def keyword_features(analysis: DataFrame, keywords: DataFrame, key: str = "page_
     return top.join(tot, key, "full")
 
 
-def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", order: list[str] | None = None) -> DataFrame:
+def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", order: list[str] | None = None,
+              texts: DataFrame | None = None) -> DataFrame:
     """One wide row per key: sentiment, density, additions, over-use, suggestions count, score.
 
     Joins only per-key frames (one row per key each); the keyword branch
-    carries at most ten words per key.
+    carries at most ten words per key.  ``texts`` (``key, title, description,
+    raw_text``; default: ``analysis``) feeds the text-derived branches, so a
+    page plan can read them from its persisted base and consume the analysis
+    frame once.
     """
-    feats = keyword_features(analysis, keywords, key, order)
-    senti = sentiment(analysis, key)
-    a = analysis.select(key, "completeness_score", "keyword_count", whitespace_words("raw_text").alias("word_count"))
-    j = a.join(senti, key, "left").join(feats, key, "left")
+    texts = texts if texts is not None else analysis
+    feats = keyword_features(texts, keywords, key, order)
+    senti = sentiment(texts, key)
+    wc = texts.select(key, whitespace_words("raw_text").alias("word_count"))
+    a = analysis.select(key, "completeness_score", "keyword_count")
+    j = a.join(wc, key, "left").join(senti, key, "left").join(feats, key, "left")
     j = j.withColumn("total_keyword_freq", F.coalesce("total_keyword_freq", F.lit(0)))
     j = j.select("*", *C.density_columns(F.col("word_count"), F.col("total_keyword_freq")))
     empty = F.array().cast("array<string>")

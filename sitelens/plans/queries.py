@@ -428,7 +428,7 @@ def q_recommended_additions(spark, sf_dir):
     from sitelens.plans.ml import ml_result
 
     f = _page_frames(spark, sf_dir)
-    return flat(ml_result(f["page_analysis"], f["page_keywords"]).select("page_id", "recommended_additions"))
+    return flat(ml_result(f["page_analysis"], f["page_keywords"], texts=f["base"]).select("page_id", "recommended_additions"))
 
 
 @register("title_suggestions", lambda: f"{D.page_ml_with(True)} SELECT * FROM ts")
@@ -497,7 +497,7 @@ def q_optimization_score(spark, sf_dir):
     from sitelens.plans.ml import ml_result
 
     f = _page_frames(spark, sf_dir)
-    return ml_result(f["page_analysis"], f["page_keywords"]).select(
+    return ml_result(f["page_analysis"], f["page_keywords"], texts=f["base"]).select(
         "page_id", "completeness_score", "sentiment_score", "density_score", "keyword_count", "optimization_score"
     )
 
@@ -507,7 +507,7 @@ def q_ml_result(spark, sf_dir):
     from sitelens.plans.ml import ml_result
 
     f = _page_frames(spark, sf_dir)
-    return flat(ml_result(f["page_analysis"], f["page_keywords"]))
+    return flat(ml_result(f["page_analysis"], f["page_keywords"], texts=f["base"]))
 
 
 @register("site_ml_result", lambda: f"{D.site_ml_with(True)} SELECT site, {D.flat(ML_COLS, ML_ARRAYS)} FROM ml")

@@ -9,20 +9,38 @@ from sitelens.operators.keywords import page_keywords, site_keywords
 from sitelens.plans.analysis import page_analysis, page_base, site_analysis
 
 
+def _keep(df: DataFrame, reuse: bool) -> DataFrame:
+    """Persist a frame read by several branches (memory, spilling to disk).
+
+    Lost blocks are recomputed from lineage, so an executor loss costs time,
+    not correctness; long pipelines that must survive restarts use
+    ``session.materialize`` (the checkpoint folder) instead.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if reuse else df
+
+
 def page_frames(pages: DataFrame, reuse: bool = True) -> dict[str, DataFrame]:
-    """``base``, ``page_analysis`` and ``page_keywords`` sharing one parsed base."""
-    base = page_base(pages, keep_clean=True)
-    if reuse:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    return {"base": base, "page_analysis": page_analysis(pages, base=base), "page_keywords": page_keywords(base)}
+    """``base``, ``page_analysis`` and ``page_keywords`` sharing one parsed base.
+
+    Each is read by several downstream branches (scores, suggestions,
+    generation), so with ``reuse`` each is computed once.
+    """
+    base = _keep(page_base(pages, keep_clean=True), reuse)
+    kw = _keep(page_keywords(base), reuse)
+    return {
+        "base": base,
+        "page_analysis": page_analysis(pages, base=base, keywords=kw),
+        "page_keywords": kw,
+    }
 
 
 def site_frames(pages: DataFrame, reuse: bool = True) -> dict[str, DataFrame]:
     """Page frames plus ``site_keywords`` (first page wins) and ``site_analysis``."""
     f = page_frames(pages, reuse)
-    sk = site_keywords(f["page_keywords"], f["base"])
+    sk = _keep(site_keywords(f["page_keywords"], f["base"]), reuse)
     f["site_keywords"] = sk
-    f["site_analysis"] = site_analysis(f["page_analysis"], sk)
+    # one row per site: small, and read by every site-grain branch
+    f["site_analysis"] = _keep(site_analysis(f["page_analysis"], sk), reuse)
     return f
 
 

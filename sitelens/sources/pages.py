@@ -15,9 +15,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages(page_id, url, html)`` from a parquet table folder."""
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+def read_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    """``pages(page_id, url, html)`` from a parquet table folder.
+
+    Markup extraction is CPU-bound.  When the scan yields fewer splits than
+    the cluster has cores (small inputs, e.g. one row group), rows are spread
+    by ``page_id`` over ``defaultParallelism`` partitions; that hash layout
+    also satisfies every later per-page window and aggregate, so they add no
+    exchange.  Large inputs already have far more splits than cores and are
+    left as scanned (no shuffle of the markup).
+    """
+    df = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread_small(df)
+
+
+def spread_small(df: DataFrame, key: str = "page_id") -> DataFrame:
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par, key)
+    return df
 
 
 def scan_html_files(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
