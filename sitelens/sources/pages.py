@@ -26,7 +26,7 @@ def read_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFra
     left as scanned (no shuffle of the markup).
     """
     df = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return spread_small(df)
+    return spread_small(df) if spread else df
 
 
 def spread_small(df: DataFrame, key: str = "page_id") -> DataFrame:
@@ -200,3 +200,18 @@ def pages_rich_sql(pages: str = "{pages}") -> str:
 def pages_rich(pages: DataFrame) -> DataFrame:
     """``pages`` with varied SEO markup (see FIXTURES.md §3), derived by Spark SQL."""
     return pages.sparkSession.sql(pages_rich_sql(), pages=pages.select("page_id", "url", "html"))
+
+
+def save_bucketed_pages(pages: DataFrame, table: str, num_buckets: int) -> None:
+    """Write ``pages`` as a table bucketed (and sorted) by ``page_id``.
+
+    A one-time layout cost: afterwards every page-grain operator (keyword
+    counts and top-k, zone windows, per-page joins) finds its input already
+    hash-partitioned by ``page_id`` and runs without a shuffle.
+    """
+    (pages.select("page_id", "url", "html").write.mode("overwrite")
+     .bucketBy(num_buckets, "page_id").sortBy("page_id").format("parquet").saveAsTable(table))
+
+
+def read_bucketed_pages(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table).select("page_id", "url", "html")

@@ -8,9 +8,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def scanned(spark):
+    """Pages as a large input is read: as scanned, without the small-input spread."""
+    from sitelens.sources.pages import read_pages
+
+    return read_pages(spark, SF_SMALL, spread=False)
+
+
 def test_page_audit_has_no_shuffle(spark):
-    p = plan(QUERIES["page_audit"](spark, SF_SMALL))
-    assert "Exchange" not in p
+    from sitelens.operators.audit import page_audit
+
+    assert "Exchange" not in plan(page_audit(scanned(spark)))
 
 
 def test_site_key_reads_no_markup(spark):
@@ -19,12 +27,17 @@ def test_site_key_reads_no_markup(spark):
 
 
 def test_site_audit_is_partial_aggregate(spark):
-    p = plan(QUERIES["site_audit"](spark, SF_SMALL))
+    from sitelens.operators.audit import page_audit, site_audit
+
+    p = plan(site_audit(page_audit(scanned(spark))))
     assert p.count("Exchange") == 1 and "partial_" in p
 
 
 def test_zone_text_single_shuffle(spark):
-    p = plan(QUERIES["zone_text"](spark, SF_SMALL))
+    from sitelens.operators.zones import zone_text
+    from sitelens.plans.analysis import page_base
+
+    p = plan(zone_text(page_base(scanned(spark), keep_clean=True)))
     assert p.count("Exchange") == 1, p
 
 
@@ -33,3 +46,18 @@ def test_dimensions_are_broadcast(spark):
     assert "BroadcastHashJoin" in p and "LeftAnti" in p
     p = plan(QUERIES["indicator_scores"](spark, SF_SMALL))
     assert "BroadcastNestedLoopJoin" in p
+
+
+def test_bucketed_pages_need_no_shuffle(spark):
+    from sitelens.operators.keywords import page_keywords
+    from sitelens.operators.zones import zone_text
+    from sitelens.plans.analysis import page_base
+    from sitelens.sources.pages import read_bucketed_pages, read_pages, save_bucketed_pages
+
+    save_bucketed_pages(read_pages(spark, SF_SMALL, spread=False), "pages_bucketed_test", 4)
+    pages = read_bucketed_pages(spark, "pages_bucketed_test")
+    base = page_base(pages, keep_clean=True)
+    for df in (zone_text(base), page_keywords(base)):
+        p = plan(df)
+        assert "Exchange" not in p.replace("BroadcastExchange", ""), p
+    assert zone_text(base).count() == 50
