@@ -117,13 +117,33 @@ def text_nodes(markup: Column) -> Column:
     return F.filter(_all(markup, P.TOKEN), lambda t: F.substring(t, 1, 1) != F.lit("<"))
 
 
-def body_text(clean="clean", title_raw_col="title_raw", description_col="description") -> Column:
+def text_nodes_with_scripts(markup: Column) -> Column:
+    """Like ``text_nodes`` over markup whose script/style bodies are kept: each
+    raw-text element contributes its body as one text node (the reference's leak)."""
+    toks = _all(markup, P.RAW_TEXT_TOKEN)
+    inner = F.transform(
+        toks,
+        lambda t: F.when(t.rlike(P.RAW_TEXT_START), F.regexp_extract(t, P.RAW_TEXT_BODY, 1)).otherwise(t),
+    )
+    kept = F.filter(F.arrays_zip(toks.alias("t"), inner.alias("i")),
+                    lambda z: (F.substring(z["t"], 1, 1) != F.lit("<")) | (z["t"].rlike(P.RAW_TEXT_START) & (z["i"] != F.lit(""))))
+    return F.transform(kept, lambda z: z["i"])
+
+
+def clean_comments_only(html="html") -> Column:
+    """Comments hidden; script/style bodies kept."""
+    return F.regexp_replace(col_of(html), P.COMMENT, P.COMMENT_MARK)
+
+
+def body_text(clean="clean", title_raw_col="title_raw", description_col="description",
+              include_script_text: bool = False) -> Column:
     """Body text nodes, each followed by one space, then title + space, then description.
 
-    Script text is excluded (the stated intent of the reference); pass a
-    ``clean`` column that keeps script bodies to reproduce its leak.
+    Script and style text is excluded by default (the reference's stated
+    intent).  ``include_script_text=True`` with a ``clean`` column from
+    ``clean_comments_only`` reproduces the reference's leak of it.
     """
-    nodes = text_nodes(body_part(clean))
+    nodes = text_nodes_with_scripts(body_part(clean)) if include_script_text else text_nodes(body_part(clean))
     joined = F.array_join(F.transform(nodes, lambda t: F.concat(t, F.lit(" "))), "")
     t = col_of(title_raw_col)
     return F.concat(

@@ -77,6 +77,12 @@ COMMENT_MARK = "<!>"  # keeps the text on both sides of a comment apart
 
 # whole-document token stream: one tag, or one run of text
 TOKEN = r"<[^>]*>|[^<]+"
+# the same, with script/style elements kept whole (body is raw text)
+RAW_TEXT_TOKEN = (
+    rf"(?is)<script(?:{ATTR_SEP}[^>]*)?>.*?</script{WS}*>|<style(?:{ATTR_SEP}[^>]*)?>.*?</style{WS}*>|<[^>]*>|[^<]+"
+)
+RAW_TEXT_START = r"(?i)^<(?:script|style)(?:[ \t\r\n\f/>])"
+RAW_TEXT_BODY = r"(?is)^<[a-z]+(?:[ \t\r\n\f/][^>]*)?>(.*)</[a-z]+[ \t\r\n\f]*>$"
 
 # --- head elements -------------------------------------------------------------
 TITLE_PRESENT = rf"(?is)<title(?:{ATTR_SEP}[^>]*)?>.*?</title"

@@ -1025,3 +1025,15 @@ def site_main_injected_q(rich: bool = True) -> str:
         f"regexp_matches({url_path('url')}, {q(INDEX_PATH_RE)}) AS is_index FROM src) GROUP BY site) "
         f"SELECT g.site, mp.page_id, {html} AS html, {status} AS status FROM gen g JOIN mp USING (site) JOIN src s ON s.page_id = mp.page_id"
     )
+
+
+def inject_block_q(rich: bool = True) -> str:
+    def part(x: str, g: int) -> str:
+        return (
+            f"CASE WHEN regexp_matches({x}, '(?i)</head') THEN regexp_extract({x}, {q(P.HEAD_POINT)}, {g}) "
+            f"WHEN regexp_matches({x}, '(?i)<body') THEN regexp_extract({x}, {q(P.BODY_POINT)}, {g}) END"
+        )
+
+    has = "(regexp_matches(html, '(?i)</head') OR regexp_matches(html, '(?i)<body'))"
+    e = f"CASE WHEN {has} AND open_graph <> '' THEN {part('html', 1)} || chr(10) || open_graph || chr(10) || {part('html', 2)} ELSE html END"
+    return f"{page_pieces(rich)} SELECT page_id, {e} AS html FROM pj"

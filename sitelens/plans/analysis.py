@@ -23,15 +23,22 @@ BASE_COLUMNS = [
 ]
 
 
-def page_base(pages: DataFrame, keep_clean: bool = False) -> DataFrame:
-    """One row per page with every row-local extraction; ``clean``/``title_raw`` optional."""
-    c = pages.select("page_id", "url", site_key("url").alias("site"), H.clean_html("html").alias("clean"))
+def page_base(pages: DataFrame, keep_clean: bool = False, include_script_text: bool = False) -> DataFrame:
+    """One row per page with every row-local extraction; ``clean``/``title_raw`` optional.
+
+    ``include_script_text`` reproduces the reference's leak of script/style
+    text into the body text (off by default, see README).
+    """
+    extra = [H.clean_comments_only("html").alias("raw_clean")] if include_script_text else []
+    c = pages.select("page_id", "url", site_key("url").alias("site"), H.clean_html("html").alias("clean"), *extra)
     t = c.select("*", H.title_raw("clean").alias("title_raw"), H.meta_content("clean").alias("description"))
+    body = (H.body_text("raw_clean", "title_raw", "description", include_script_text=True) if include_script_text
+            else H.body_text("clean", "title_raw", "description"))
     cols = [
         "page_id", "url", "site",
         *audit_columns("clean", "title_raw", "description"),
         H.detect_language("clean").alias("language"),
-        H.body_text("clean", "title_raw", "description").alias("raw_text"),
+        body.alias("raw_text"),
     ]
     if keep_clean:
         cols += ["clean", "title_raw"]

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.functions import patterns as P
 from sitelens.oracle import duck as D
 from sitelens.sources import pages as S
 
@@ -696,3 +697,53 @@ def q_run_summary(spark, sf_dir):
     from sitelens.plans.report import run_summary
 
     return run_summary(_pages(spark, sf_dir, True))
+
+
+# --- remaining building blocks ---------------------------------------------------------
+
+
+@register("clean_html", lambda: f"WITH {D.base_ctes(True)} SELECT page_id, clean FROM base")
+def q_clean_html(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.functions.html import clean_html
+
+    return _pages(spark, sf_dir, True).select("page_id", clean_html(F.col("html")).alias("clean"))
+
+
+@register("decode_entities", lambda: f"WITH {D.base_ctes(False)} SELECT page_id, {D.decode('regexp_extract(clean, ' + D.q(P.TITLE_TEXT) + ', 1)')} AS title_decoded FROM base")
+def q_decode_entities(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.functions.html import clean_html
+    from sitelens.functions.text import decode_entities
+
+    c = _pages(spark, sf_dir).select("page_id", clean_html(F.col("html")).alias("clean"))
+    return c.select("page_id", decode_entities(F.regexp_extract("clean", P.TITLE_TEXT, 1)).alias("title_decoded"))
+
+
+@register("site_config", lambda: f"WITH {D.base_ctes(False)}, {D.config_cte()} SELECT site, site_name, site_url, default_image, "
+          "twitter_handle, facebook_app_id, contact_email, phone, address.street AS street, address.city AS city, "
+          "array_to_string(extra_keywords, ', ') AS extra_keywords, locale, generate_canonical, max_description_length, "
+          "max_title_length, title_override, description_override FROM cfg")
+def q_site_config(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.sources.config import derive_site_config
+
+    cfg = derive_site_config(_pages(spark, sf_dir).select(S.site_key("url").alias("site")))
+    return cfg.select("site", "site_name", "site_url", "default_image", "twitter_handle", "facebook_app_id",
+                      "contact_email", "phone", F.col("address.street").alias("street"), F.col("address.city").alias("city"),
+                      F.array_join("extra_keywords", ", ").alias("extra_keywords"), "locale", "generate_canonical",
+                      "max_description_length", "max_title_length", "title_override", "description_override")
+
+
+@register("inject_block", lambda: D.inject_block_q(True))
+def q_inject_block(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.inject import inject_block
+
+    f = _gen_frames(spark, sf_dir)
+    j = f["page_generated"].join(_pages(spark, sf_dir, True).select("page_id", "html"), "page_id")
+    return j.select("page_id", inject_block(F.col("html"), F.col("open_graph")).alias("html"))

@@ -229,3 +229,26 @@ def test_nine_and_ten_keywords_content_score(spark):
 def test_page_analysis_smoke(spark):
     a = page_analysis(one_page(spark, SERVICES)).collect()[0]
     assert a.business_type == "Service" and a.schema_type == "ProfessionalService" and a.language == "en"
+
+
+def test_script_text_option(spark):
+    html = "<html><head><title>T</title></head><body><p>Hello</p><script>var x = '<b>Leaked</b>';</script><p>World</p></body></html>"
+    default = page_base(one_page(spark, html)).collect()[0].raw_text
+    leaky = page_base(one_page(spark, html), include_script_text=True).collect()[0].raw_text
+    assert default == "Hello World T "
+    assert leaky == "Hello var x = '<b>Leaked</b>'; World T "
+
+
+def test_extension_pipelines(spark):
+    from pyspark.sql import functions as F
+
+    from sitelens.plans.pipeline import AnalyzerPipeline, InjectorPipeline
+
+    pipe = AnalyzerPipeline.default_pipeline().add(
+        "length", lambda base: base.select("page_id", F.length("raw_text").alias("text_length"))
+    )
+    row = pipe.analyze(one_page(spark, SERVICES)).collect()[0]
+    assert row.business_type == "Service" and row.keyword_count > 0 and row.text_length > 0
+    inj = InjectorPipeline([("meta_tags", lambda: F.lit("    <meta name=\"x\">"))])
+    out = inj.inject(one_page(spark, "<html><head><title>t</title></head><body></body></html>")).collect()[0]
+    assert out.html == "<html><head>\n    <meta name=\"x\">\n</head><body></body></html>"
