@@ -146,6 +146,18 @@ def packed_top(keywords: DataFrame, n: int, key: str = "page_id", name: str | No
     )
 
 
+def page_top(keywords: DataFrame, n: int = 10, key: str = "page_id", name: str | None = None) -> DataFrame:
+    """Page grain top-``n`` as an ordered array from one bounded aggregate.
+
+    A page keeps at most 60 keywords, so collecting them per page is bounded
+    by the page; order is score descending, then list position (``rank``).
+    Unbounded keys (sites) use ``packed_top`` (window with a partial limit).
+    """
+    name = name or f"top{n}"
+    srt = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "rank", "word")))
+    return keywords.groupBy(key).agg(F.transform(F.slice(srt, 1, n), lambda s: s["word"]).alias(name))
+
+
 def site_keywords(keywords: DataFrame, pages: DataFrame, key: str = "page_id", site: str = "site") -> DataFrame:
     """Union of page keyword lists per site, first page (lowest page_id) wins.
 

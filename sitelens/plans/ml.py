@@ -21,11 +21,42 @@ SITE_ORDER = ["first_page_id", "first_rank"]
 PAGE_ORDER = ["rank"]
 
 
+def page_keyword_features(texts: DataFrame, keywords: DataFrame, key: str = "page_id") -> DataFrame:
+    """Page grain: a page keeps at most 60 keywords, so one bounded aggregate per page
+    yields the top-10 list, the frequency total and the list-ordered keywords; the
+    over-used filter then runs in the row, against the page's word count."""
+    k = keywords.groupBy(key).agg(
+        F.sum("frequency").cast("bigint").alias("total_keyword_freq"),
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "rank", "word"))).alias("by_score"),
+        F.array_sort(F.collect_list(F.struct("rank", "word", "frequency"))).alias("by_rank"),
+    )
+    wc = texts.select(key, whitespace_words("raw_text").alias("word_count"))
+    j = k.join(wc, key)
+    top10 = F.transform(F.slice("by_score", 1, 10), lambda s: s["word"])
+
+    def over(s):
+        share = C.fdiv(s["frequency"], F.greatest(F.col("word_count"), F.lit(1))) * C.f32(100.0)
+        return (F.col("word_count") > 0) & (share > C.f32(C.OVERUSED_ABOVE))
+
+    return j.select(
+        key,
+        top10.alias("top10"),
+        F.slice(top10, 1, 5).alias("top5"),
+        F.slice(top10, 1, 3).alias("top3"),
+        "total_keyword_freq",
+        F.transform(F.filter("by_rank", over), lambda s: s["word"]).alias("over_used"),
+    )
+
+
 def keyword_features(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", order: list[str] | None = None) -> DataFrame:
     """Per key: ``top10/top5/top3`` arrays, frequency total, keyword count, over-used words (list order).
 
     ``analysis`` only needs ``key, raw_text`` (the text the density is measured on).
+    Pages take the bounded single-aggregate path; sites (unbounded merged
+    lists) use a top-k window with a partial group limit.
     """
+    if key == "page_id" and not order:
+        return page_keyword_features(analysis, keywords, key)
     order = order or (PAGE_ORDER if key == "page_id" else SITE_ORDER)
     top = packed_top(keywords, 10, key, "top10", [F.col(c) for c in order])
     top = top.select(key, "top10", F.slice("top10", 1, 5).alias("top5"), F.slice("top10", 1, 3).alias("top3"))
@@ -89,7 +120,12 @@ def recommendations_for(analysis: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def suggestions_for(keywords: DataFrame, key: str = "page_id", order: list[str] | None = None, year: int = 2026):
-    order = order or (PAGE_ORDER if key == "page_id" else SITE_ORDER)
-    top = packed_top(keywords, 10, key, "top10", [F.col(c) for c in order])
+    if key == "page_id" and not order:
+        from sitelens.operators.keywords import page_top
+
+        top = page_top(keywords, 10)
+    else:
+        order = order or SITE_ORDER
+        top = packed_top(keywords, 10, key, "top10", [F.col(c) for c in order])
     top = top.select(key, F.slice("top10", 1, 5).alias("top5"), F.slice("top10", 1, 3).alias("top3"))
     return C.title_suggestions(top, key, year), C.description_suggestions(top, key)

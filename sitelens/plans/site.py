@@ -55,11 +55,11 @@ def generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse:
 
     from sitelens.operators.generate import generate_all, generation_input
     from sitelens.operators.inject import page_injected
-    from sitelens.operators.keywords import packed_top
+    from sitelens.operators.keywords import page_top
     from sitelens.sources.config import derive_site_config
 
     f = page_frames(pages, reuse)
-    top = packed_top(f["page_keywords"], 10, "page_id", "top10", [F.col("rank")])
+    top = page_top(f["page_keywords"], 10)
     cfg = config if config is not None else derive_site_config(f["base"].select("site"))
     gi = generation_input(f["page_analysis"], top, cfg)
     gen = generate_all(gi)
