@@ -37,10 +37,25 @@ def title_text(clean="clean") -> Column:
     return trim_ws(title_raw(clean))
 
 
-def first_tag(clean, tag_pattern: str, attr_pattern: str) -> Column:
-    """First tag matching ``tag_pattern`` whose attributes match ``attr_pattern``."""
-    tags = _all(col_of(clean), tag_pattern)
-    return F.get(F.filter(tags, lambda t: t.rlike(attr_pattern)), 0)
+def tag_arrays(clean="clean") -> list[Column]:
+    """Per-page arrays of the tags the audit reads, extracted once.
+
+    Put them in their own projection (``with_tag_arrays``); every flag below
+    then scans a short array instead of the whole document again.
+    """
+    c = col_of(clean)
+    return [
+        _all(c, P.META_TAG).alias("_metas"),
+        _all(c, P.LINK_TAG).alias("_links"),
+        _all(c, P.SCRIPT_TAG).alias("_scripts"),
+        _all(c, P.IMG_TAG).alias("_imgs"),
+        F.get(_all(c, P.HTML_TAG), 0).alias("_html_tag"),
+    ]
+
+
+def first_tag(tags, attr_pattern: str) -> Column:
+    """First tag of an array whose attributes match ``attr_pattern``."""
+    return F.get(F.filter(col_of(tags), lambda t: t.rlike(attr_pattern)), 0)
 
 
 def attr_of(tag_col: Column, present_pattern: str, value_pattern: str) -> Column:
@@ -48,60 +63,61 @@ def attr_of(tag_col: Column, present_pattern: str, value_pattern: str) -> Column
     return F.when(tag_col.rlike(present_pattern), decode_entities(regexp_value(tag_col, value_pattern)))
 
 
-def meta_content(clean="clean", name_pattern: str = P.NAME_DESCRIPTION) -> Column:
+def meta_content(metas="_metas", name_pattern: str = P.NAME_DESCRIPTION) -> Column:
     """``content`` of the first ``meta`` matching ``name_pattern`` (default: description)."""
-    return attr_of(first_tag(clean, P.META_TAG, name_pattern), P.CONTENT_PRESENT, P.CONTENT_VALUE)
+    return attr_of(first_tag(metas, name_pattern), P.CONTENT_PRESENT, P.CONTENT_VALUE)
 
 
-def any_tag(clean, tag_pattern: str, attr_pattern: str) -> Column:
-    return F.exists(_all(col_of(clean), tag_pattern), lambda t: t.rlike(attr_pattern))
+def any_tag(tags, attr_pattern: str) -> Column:
+    return F.exists(col_of(tags), lambda t: t.rlike(attr_pattern))
 
 
-def has_og_tags(clean="clean") -> Column:
-    return any_tag(clean, P.META_TAG, P.PROPERTY_OG)
+def has_og_tags(metas="_metas") -> Column:
+    return any_tag(metas, P.PROPERTY_OG)
 
 
-def has_twitter_cards(clean="clean") -> Column:
-    return any_tag(clean, P.META_TAG, P.NAME_TWITTER)
+def has_twitter_cards(metas="_metas") -> Column:
+    return any_tag(metas, P.NAME_TWITTER)
 
 
-def has_schema(clean="clean") -> Column:
-    return any_tag(clean, P.SCRIPT_TAG, P.TYPE_LD_JSON)
+def has_schema(scripts="_scripts") -> Column:
+    return any_tag(scripts, P.TYPE_LD_JSON)
 
 
-def has_canonical(clean="clean") -> Column:
-    return any_tag(clean, P.LINK_TAG, P.REL_CANONICAL)
+def has_canonical(links="_links") -> Column:
+    return any_tag(links, P.REL_CANONICAL)
 
 
-def has_viewport(clean="clean") -> Column:
-    return any_tag(clean, P.META_TAG, P.NAME_VIEWPORT)
+def has_viewport(metas="_metas") -> Column:
+    return any_tag(metas, P.NAME_VIEWPORT)
 
 
-def has_charset(clean="clean") -> Column:
-    metas = _all(col_of(clean), P.META_TAG)
-    return F.exists(metas, lambda t: t.rlike(P.HAS_CHARSET) | t.rlike(P.HTTP_EQUIV_CONTENT_TYPE))
+def has_charset(metas="_metas") -> Column:
+    return F.exists(col_of(metas), lambda t: t.rlike(P.HAS_CHARSET) | t.rlike(P.HTTP_EQUIV_CONTENT_TYPE))
 
 
 def h1_count(clean="clean") -> Column:
-    return F.size(_all(col_of(clean), P.H1_START)).cast("bigint")
+    return F.regexp_count(col_of(clean), F.lit(P.H1_START)).cast("bigint")
 
 
-def img_without_alt(clean="clean") -> Column:
-    imgs = _all(col_of(clean), P.IMG_TAG)
+def img_without_alt(imgs="_imgs") -> Column:
+    imgs = col_of(imgs)
     with_alt = F.size(F.filter(imgs, lambda t: t.rlike(P.ALT_NONEMPTY)))
     return F.greatest(F.size(imgs) - with_alt, F.lit(0)).cast("bigint")
 
 
-def detect_language(clean="clean") -> Column:
+def detect_language(html_tag="_html_tag", metas="_metas") -> Column:
     """Prefix before '-' of html[lang], else of meta content-language, else null."""
-    c = col_of(clean)
-    html_tag = F.get(_all(c, P.HTML_TAG), 0)
-    lang = attr_of(html_tag, P.LANG_PRESENT, P.LANG_VALUE)
-    meta = first_tag(c, P.META_TAG, P.HTTP_EQUIV_LANGUAGE)
-    meta_lang = attr_of(meta, P.CONTENT_PRESENT, P.CONTENT_VALUE)
+    lang = attr_of(col_of(html_tag), P.LANG_PRESENT, P.LANG_VALUE)
+    meta_lang = attr_of(first_tag(metas, P.HTTP_EQUIV_LANGUAGE), P.CONTENT_PRESENT, P.CONTENT_VALUE)
     return F.split_part(F.coalesce(lang, meta_lang), F.lit("-"), F.lit(1))
 
 
+def with_tag_arrays(df, clean: str = "clean"):
+    """``df`` plus the tag arrays (see ``tag_arrays``)."""
+    return df.select("*", *tag_arrays(clean))
+
+
 def body_part(clean="clean") -> Column:
     """Markup after <body ...>; after </head> without a body tag; else the document minus its title."""
     c = col_of(clean)

@@ -33,7 +33,8 @@ COMPLETENESS_WEIGHTS = {
 
 
 def audit_columns(clean: str = "clean", title_raw: str | None = None, description: str | None = None) -> list[Column]:
-    """The twelve audit fields, computed from a cleaned ``html`` column.
+    """The twelve audit fields, from a cleaned ``html`` column and its tag arrays
+    (``functions.html.with_tag_arrays``).
 
     ``title_raw`` / ``description`` name columns already extracted upstream, so
     a caller that needs them elsewhere does not evaluate the regexps twice.
@@ -41,20 +42,20 @@ def audit_columns(clean: str = "clean", title_raw: str | None = None, descriptio
     from sitelens.functions.text import trim_ws
 
     title = trim_ws(F.col(title_raw)) if title_raw else H.title_text(clean)
-    desc = F.col(description) if description else H.meta_content(clean)
+    desc = F.col(description) if description else H.meta_content()
     return [
         title.alias("title"),
         desc.alias("description"),
         F.coalesce(title != F.lit(""), F.lit(False)).alias("has_title"),
         F.coalesce(desc != F.lit(""), F.lit(False)).alias("has_description"),
-        H.has_og_tags(clean).alias("has_og_tags"),
-        H.has_twitter_cards(clean).alias("has_twitter_cards"),
-        H.has_schema(clean).alias("has_schema"),
-        H.has_canonical(clean).alias("has_canonical"),
-        H.has_viewport(clean).alias("has_viewport"),
-        H.has_charset(clean).alias("has_charset"),
+        H.has_og_tags().alias("has_og_tags"),
+        H.has_twitter_cards().alias("has_twitter_cards"),
+        H.has_schema().alias("has_schema"),
+        H.has_canonical().alias("has_canonical"),
+        H.has_viewport().alias("has_viewport"),
+        H.has_charset().alias("has_charset"),
         H.h1_count(clean).alias("h1_count"),
-        H.img_without_alt(clean).alias("img_without_alt"),
+        H.img_without_alt().alias("img_without_alt"),
     ]
 
 
@@ -74,6 +75,7 @@ def page_audit(pages: DataFrame) -> DataFrame:
     from sitelens.sources.pages import site_key
 
     base = pages.select("page_id", site_key("url").alias("site"), H.clean_html("html").alias("clean"))
+    base = H.with_tag_arrays(base)
     return base.select("page_id", "site", *audit_columns("clean")).withColumn(
         "completeness_score", completeness_score()
     )
@@ -99,11 +101,16 @@ LIFT_FLAGS = ["has_description", "has_og_tags", "has_twitter_cards", "has_schema
 def audit_lift(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Before/after audit of an injection, from rows holding ``html`` and ``html_after``.
 
-    Both audits run in the same row (one projection), so no join is needed.
+    Both audits run in the same row (one projection each side), so no join is needed.
     """
+    arrays = ("_metas", "_links", "_scripts", "_imgs", "_html_tag")
     c = rows.select(key, H.clean_html("html").alias("c0"), H.clean_html("html_after").alias("c1"))
-    cols = [col.alias("b_" + name) for col, name in zip(audit_columns("c0"), _AUDIT_NAMES)]
-    cols += [col.alias("a_" + name) for col, name in zip(audit_columns("c1"), _AUDIT_NAMES)]
+    c = H.with_tag_arrays(c, "c0").withColumnsRenamed({n: "b" + n for n in arrays})
+    c = H.with_tag_arrays(c, "c1").withColumnsRenamed({n: "a" + n for n in arrays})
+    cols = []
+    for pre, clean in (("b", "c0"), ("a", "c1")):
+        r = {n: F.col(pre + n) for n in arrays}
+        cols += [x.alias(pre + "_" + name) for x, name in zip(_audit_from(clean, r), _AUDIT_NAMES)]
     a = c.select(key, *cols)
     out = [key, completeness_score("b_").alias("completeness_before"), completeness_score("a_").alias("completeness_after")]
     for f in LIFT_FLAGS:
@@ -112,3 +119,16 @@ def audit_lift(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 _AUDIT_NAMES = ["title", "description", *AUDIT_FLAGS, *AUDIT_COUNTS]
+
+
+def _audit_from(clean: str, r: dict) -> list[Column]:
+    title = H.title_text(clean)
+    desc = H.meta_content(r["_metas"])
+    return [
+        title, desc,
+        F.coalesce(title != F.lit(""), F.lit(False)),
+        F.coalesce(desc != F.lit(""), F.lit(False)),
+        H.has_og_tags(r["_metas"]), H.has_twitter_cards(r["_metas"]), H.has_schema(r["_scripts"]),
+        H.has_canonical(r["_links"]), H.has_viewport(r["_metas"]), H.has_charset(r["_metas"]),
+        H.h1_count(clean), H.img_without_alt(r["_imgs"]),
+    ]

@@ -31,13 +31,14 @@ def page_base(pages: DataFrame, keep_clean: bool = False, include_script_text: b
     """
     extra = [H.clean_comments_only("html").alias("raw_clean")] if include_script_text else []
     c = pages.select("page_id", "url", site_key("url").alias("site"), H.clean_html("html").alias("clean"), *extra)
-    t = c.select("*", H.title_raw("clean").alias("title_raw"), H.meta_content("clean").alias("description"))
+    c = H.with_tag_arrays(c)
+    t = c.select("*", H.title_raw("clean").alias("title_raw"), H.meta_content().alias("description"))
     body = (H.body_text("raw_clean", "title_raw", "description", include_script_text=True) if include_script_text
             else H.body_text("clean", "title_raw", "description"))
     cols = [
         "page_id", "url", "site",
         *audit_columns("clean", "title_raw", "description"),
-        H.detect_language("clean").alias("language"),
+        H.detect_language().alias("language"),
         body.alias("raw_text"),
     ]
     if keep_clean:
@@ -53,9 +54,12 @@ def body_text(pages: DataFrame) -> DataFrame:
     return page_base(pages).select("page_id", "raw_text")
 
 
+def _tags(pages: DataFrame) -> DataFrame:
+    return H.with_tag_arrays(pages.select("page_id", H.clean_html("html").alias("clean")))
+
+
 def detect_language(pages: DataFrame) -> DataFrame:
-    c = pages.select("page_id", H.clean_html("html").alias("clean"))
-    return c.select("page_id", H.detect_language("clean").alias("language"))
+    return _tags(pages).select("page_id", H.detect_language().alias("language"))
 
 
 def title_text(pages: DataFrame) -> DataFrame:
@@ -64,26 +68,23 @@ def title_text(pages: DataFrame) -> DataFrame:
 
 
 def meta_content(pages: DataFrame) -> DataFrame:
-    c = pages.select("page_id", H.clean_html("html").alias("clean"))
-    return c.select("page_id", H.meta_content("clean").alias("description"))
+    return _tags(pages).select("page_id", H.meta_content().alias("description"))
 
 
 def tag_presence(pages: DataFrame) -> DataFrame:
-    c = pages.select("page_id", H.clean_html("html").alias("clean"))
-    return c.select(
+    return _tags(pages).select(
         "page_id",
-        H.has_og_tags("clean").alias("has_og_tags"),
-        H.has_twitter_cards("clean").alias("has_twitter_cards"),
-        H.has_schema("clean").alias("has_schema"),
-        H.has_canonical("clean").alias("has_canonical"),
-        H.has_viewport("clean").alias("has_viewport"),
-        H.has_charset("clean").alias("has_charset"),
+        H.has_og_tags().alias("has_og_tags"),
+        H.has_twitter_cards().alias("has_twitter_cards"),
+        H.has_schema().alias("has_schema"),
+        H.has_canonical().alias("has_canonical"),
+        H.has_viewport().alias("has_viewport"),
+        H.has_charset().alias("has_charset"),
     )
 
 
 def element_counts(pages: DataFrame) -> DataFrame:
-    c = pages.select("page_id", H.clean_html("html").alias("clean"))
-    return c.select("page_id", H.h1_count("clean").alias("h1_count"), H.img_without_alt("clean").alias("img_without_alt"))
+    return _tags(pages).select("page_id", H.h1_count("clean").alias("h1_count"), H.img_without_alt().alias("img_without_alt"))
 
 
 
