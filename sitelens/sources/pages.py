@@ -202,15 +202,17 @@ def pages_rich(pages: DataFrame) -> DataFrame:
     return pages.sparkSession.sql(pages_rich_sql(), pages=pages.select("page_id", "url", "html"))
 
 
-def save_bucketed_pages(pages: DataFrame, table: str, num_buckets: int) -> None:
+def save_bucketed_pages(pages: DataFrame, table: str, num_buckets: int, path: str | None = None) -> None:
     """Write ``pages`` as a table bucketed (and sorted) by ``page_id``.
 
     A one-time layout cost: afterwards every page-grain operator (keyword
     counts and top-k, zone windows, per-page joins) finds its input already
     hash-partitioned by ``page_id`` and runs without a shuffle.
     """
-    (pages.select("page_id", "url", "html").write.mode("overwrite")
-     .bucketBy(num_buckets, "page_id").sortBy("page_id").format("parquet").saveAsTable(table))
+    w = pages.select("page_id", "url", "html").write.mode("overwrite").bucketBy(num_buckets, "page_id").sortBy("page_id")
+    if path:  # an external table on shared storage
+        w = w.option("path", path)
+    w.format("parquet").saveAsTable(table)
 
 
 def read_bucketed_pages(spark: SparkSession, table: str) -> DataFrame:

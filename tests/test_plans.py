@@ -48,14 +48,16 @@ def test_dimensions_are_broadcast(spark):
     assert "BroadcastNestedLoopJoin" in p
 
 
-def test_bucketed_pages_need_no_shuffle(spark):
+def test_bucketed_pages_need_no_shuffle(spark, tmp_dir):
+    import os
     from sitelens.operators.keywords import page_keywords
     from sitelens.operators.zones import zone_text
     from sitelens.plans.analysis import page_base
     from sitelens.sources.pages import read_bucketed_pages, read_pages, save_bucketed_pages
 
-    save_bucketed_pages(read_pages(spark, SF_SMALL, spread=False), "pages_bucketed_test", 4)
-    pages = read_bucketed_pages(spark, "pages_bucketed_test")
+    name = "pages_bucketed_" + os.path.basename(tmp_dir).replace("-", "_")
+    save_bucketed_pages(read_pages(spark, SF_SMALL, spread=False), name, 4, path=os.path.join(tmp_dir, "bucketed"))
+    pages = read_bucketed_pages(spark, name)
     base = page_base(pages, keep_clean=True)
     for df in (zone_text(base), page_keywords(base)):
         p = plan(df)
