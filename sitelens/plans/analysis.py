@@ -23,14 +23,15 @@ BASE_COLUMNS = [
 ]
 
 
-def page_base(pages: DataFrame, keep_clean: bool = False, include_script_text: bool = False) -> DataFrame:
+def page_base(pages: DataFrame, keep_clean: bool = False, include_script_text: bool = False,
+              keep_html: bool = False) -> DataFrame:
     """One row per page with every row-local extraction; ``clean``/``title_raw`` optional.
 
     ``include_script_text`` reproduces the reference's leak of script/style
     text into the body text (off by default, see README).
     """
     extra = [H.clean_comments_only("html").alias("raw_clean")] if include_script_text else []
-    c = pages.select("page_id", "url", site_key("url").alias("site"), H.clean_html("html").alias("clean"), *extra)
+    c = pages.select("page_id", "url", "html", site_key("url").alias("site"), H.clean_html("html").alias("clean"), *extra)
     c = H.with_tag_arrays(c)
     t = c.select("*", H.title_raw("clean").alias("title_raw"), H.meta_content().alias("description"))
     body = (H.body_text("raw_clean", "title_raw", "description", include_script_text=True) if include_script_text
@@ -43,6 +44,8 @@ def page_base(pages: DataFrame, keep_clean: bool = False, include_script_text: b
     ]
     if keep_clean:
         cols += ["clean", "title_raw"]
+    if keep_html:
+        cols += ["html"]
     return t.select(*cols)
 
 

@@ -19,13 +19,13 @@ def _keep(df: DataFrame, reuse: bool) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK) if reuse else df
 
 
-def page_frames(pages: DataFrame, reuse: bool = True) -> dict[str, DataFrame]:
+def page_frames(pages: DataFrame, reuse: bool = True, keep_html: bool = False) -> dict[str, DataFrame]:
     """``base``, ``page_analysis`` and ``page_keywords`` sharing one parsed base.
 
     Each is read by several downstream branches (scores, suggestions,
     generation), so with ``reuse`` each is computed once.
     """
-    base = _keep(page_base(pages, keep_clean=True), reuse)
+    base = _keep(page_base(pages, keep_clean=True, keep_html=keep_html), reuse)
     kw = _keep(page_keywords(base), reuse)
     return {
         "base": base,
@@ -58,7 +58,7 @@ def generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse:
     from sitelens.operators.keywords import page_top
     from sitelens.sources.config import derive_site_config
 
-    f = page_frames(pages, reuse)
+    f = page_frames(pages, reuse, keep_html=True)
     top = page_top(f["page_keywords"], 10)
     cfg = config if config is not None else derive_site_config(f["base"].select("site"))
     gi = generation_input(f["page_analysis"], top, cfg)
@@ -66,7 +66,7 @@ def generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse:
     f["gen_input"] = gi
     f["site_config"] = cfg
     f["page_generated"] = gen
-    f["page_injected"] = page_injected(gen.join(pages.select("page_id", "html"), "page_id"))
+    f["page_injected"] = page_injected(gen.join(f["base"].select("page_id", "html"), "page_id"))
     return f
 
 
