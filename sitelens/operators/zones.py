@@ -36,13 +36,21 @@ G_TITLE, G_DESCRIPTION, G_NAV_LINK, G_CONTAINER = 0, 1, 5, 6
 END_OF_PAGE = 2_147_483_647
 
 ANY_OPEN_TAG = r"<[a-zA-Z][^>]*>"
+TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
+# necessary condition for a ".content" element: a class attribute whose value holds "content"
+MAY_HAVE_CONTENT_CLASS = r"(?i:class)[ \t\r\n\f]*=[^>]*content"
 
 
 def content_tag_names(clean: Column) -> Column:
-    """Tag names that carry class ``content`` somewhere in the page (tracked for nesting)."""
+    """Tag names that carry class ``content`` somewhere in the page (tracked for nesting).
+
+    One pass over the page decides whether any tag can carry the class; only
+    then are the tags listed and tested one by one.
+    """
     opens = F.regexp_extract_all(clean, F.lit(ANY_OPEN_TAG), F.lit(0))
     hits = F.filter(opens, lambda t: t.rlike(P.CLASS_CONTENT))
-    return F.array_distinct(F.transform(hits, lambda t: F.lower(F.regexp_extract(t, P.OPEN_TAG_NAME, 1))))
+    names = F.array_distinct(F.transform(hits, lambda t: F.lower(F.regexp_extract(t, P.OPEN_TAG_NAME, 1))))
+    return F.when(clean.rlike(MAY_HAVE_CONTENT_CLASS), names).otherwise(F.array().cast("array<string>"))
 
 
 def html_tokens(base: DataFrame, zone_only: bool = False) -> DataFrame:
@@ -144,21 +152,22 @@ def _zone_stream(base: DataFrame) -> DataFrame:
     # make Catalyst infer a size() > 0 filter that re-runs the whole extraction
     src = pre.select("page_id", "ctags", F.posexplode_outer("toks").alias("pos", "tok"))
     t = F.col("tok")
+    # one anchored regexp per markup token gives the tag name; text runs skip it
+    is_markup = F.substring(t, 1, 1) == F.lit("<")
+    name = F.when(is_markup, F.lower(F.regexp_extract(t, TAG_NAME, 1)))
     kind = (
         F.when(F.col("pos") < 2, F.lit("head"))
-        .when(F.substring(t, 1, 1) != F.lit("<"), F.lit("text"))
-        .when(t.rlike(r"^</[a-zA-Z]"), F.lit("close"))
-        .when(t.rlike(r"^<[a-zA-Z]"), F.lit("open"))
-        .otherwise(F.lit("other"))
+        .when(~is_markup, F.lit("text"))
+        .when(name == F.lit(""), F.lit("other"))
+        .when(F.substring(t, 2, 1) == F.lit("/"), F.lit("close"))
+        .otherwise(F.lit("open"))
     )
-    tag = F.lower(F.coalesce(F.nullif(F.regexp_extract(t, P.CLOSE_TAG_NAME, 1), F.lit("")),
-                             F.nullif(F.regexp_extract(t, P.OPEN_TAG_NAME, 1), F.lit(""))))
     s = src.select(
         "page_id",
         "pos",
         kind.alias("kind"),
-        F.when(kind.isin("open", "close"), tag).alias("tag"),
-        ((kind == F.lit("open")) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
+        F.when(kind.isin("open", "close"), name).alias("tag"),
+        ((kind == F.lit("open")) & (F.size("ctags") > 0) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
         F.when(kind == F.lit("text"), decode_entities(t)).when(kind == F.lit("head"), t).alias("text"),
         "ctags",
     )
