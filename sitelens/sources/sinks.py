@@ -20,6 +20,15 @@ def write_injected(injected: DataFrame, path: str, key: str = "page_id", mode: s
     injected.select(key, "html", "status").write.mode(mode).parquet(path)
 
 
-def write_report(reports: DataFrame, path: str, key: str = "site", mode: str = "overwrite") -> None:
-    """Markdown reports as text, one folder per site (``site=<key>/part-*.txt``)."""
-    reports.select(F.col(key).alias("site"), F.col("report_md").alias("value")).write.mode(mode).partitionBy("site").text(path)
+def write_report(reports: DataFrame, path: str, key: str = "site", mode: str = "overwrite", per_site_files: bool = False) -> None:
+    """Markdown reports.
+
+    By default one parquet table ``(site, report_md)`` -- file count grows with
+    the data, not with the number of sites.  ``per_site_files=True`` writes
+    one text folder per site (``site=<key>/part-*.txt``), for a few sites.
+    """
+    df = reports.select(F.col(key).alias("site"), F.col("report_md"))
+    if per_site_files:
+        df.withColumnRenamed("report_md", "value").write.mode(mode).partitionBy("site").text(path)
+    else:
+        df.write.mode(mode).parquet(path)

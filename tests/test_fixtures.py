@@ -252,3 +252,25 @@ def test_extension_pipelines(spark):
     inj = InjectorPipeline([("meta_tags", lambda: F.lit("    <meta name=\"x\">"))])
     out = inj.inject(one_page(spark, "<html><head><title>t</title></head><body></body></html>")).collect()[0]
     assert out.html == "<html><head>\n    <meta name=\"x\">\n</head><body></body></html>"
+
+
+def test_framework_outcomes_and_precedence(spark):
+    from sitelens.sources.files import detect_framework
+
+    files = spark.createDataFrame(
+        [
+            ("a", "index.html", ""),
+            ("b", "next.config.js", ""), ("b", "vite.config.js", ""), ("b", "package.json", '{"react": 1}'),
+            ("c", "vite.config.ts", ""),
+            ("d", "package.json", '{"dependencies": {"react": "18"}}'),
+            ("e", "package.json", '{"dependencies": {"vue": "3"}}'),
+            ("f", "package.json", '{"devDependencies": {"svelte": "4"}}'),
+            ("g", "package.json", '{"name": "x"}'),
+            ("h", "src/package.json", '{"react": 1}'),
+        ],
+        "site string, path string, content string",
+    )
+    got = {r.site: (r.framework, r.injection_target) for r in detect_framework(files).collect()}
+    assert got["a"][0] == "VanillaHtml" and got["b"][0] == "NextJs" and got["c"][0] == "Vite"
+    assert got["d"] == ("React", "public/index.html") and got["e"][0] == "Vue" and got["f"] == ("Svelte", "src/app.html")
+    assert got["g"][0] == "Unknown" and got["h"][0] == "VanillaHtml"  # only root marker files count

@@ -29,8 +29,10 @@ def test_sinks(spark, tmp_dir):
     assert spark.read.json(os.path.join(tmp_dir, "json")).count() > 0
     write_injected(QUERIES["page_injected"](spark, SF_SMALL), os.path.join(tmp_dir, "inj"))
     assert spark.read.parquet(os.path.join(tmp_dir, "inj")).count() == 50
-    write_report(QUERIES["site_report"](spark, SF_SMALL), os.path.join(tmp_dir, "md"))
+    write_report(QUERIES["site_report"](spark, SF_SMALL), os.path.join(tmp_dir, "md"), per_site_files=True)
     assert any(d.startswith("site=") for d in os.listdir(os.path.join(tmp_dir, "md")))
+    write_report(QUERIES["site_report"](spark, SF_SMALL), os.path.join(tmp_dir, "mdp"))
+    assert spark.read.parquet(os.path.join(tmp_dir, "mdp")).where("report_md LIKE '# SEO Analysis Report%'").count() > 0
 
 
 def test_streaming_page_audit(spark, tmp_dir):
@@ -45,3 +47,16 @@ def test_streaming_page_audit(spark, tmp_dir):
     q2.awaitTermination(120)
     sites = spark.read.parquet(os.path.join(tmp_dir, "sites"))
     assert sites.count() == QUERIES["site_audit"](spark, SF_SMALL).count()
+
+
+def test_batch_run_materializes_and_writes(spark, tmp_dir):
+    from sitelens.plans.run import run
+    from sitelens.sources.pages import read_pages
+
+    paths = run(read_pages(spark, SF_SMALL), os.path.join(tmp_dir, "out"), run_id=os.path.basename(tmp_dir))
+    assert spark.read.json(paths["page_analysis"]).count() == 50
+    assert spark.read.parquet(paths["page_scores"]).count() == 50
+    assert spark.read.parquet(paths["page_injected"]).where("status = 'ok'").count() == 50
+    assert spark.read.parquet(paths["site_reports"]).count() == QUERIES["site_audit"](spark, SF_SMALL).count()
+    ckpt = spark.conf.get("spark.checkpoint.dir")
+    assert os.path.isdir(os.path.join(ckpt.replace("file:", ""), "tables", os.path.basename(tmp_dir), "page_base"))
