@@ -280,12 +280,17 @@ def generation_input(analysis: DataFrame, keywords_top10: DataFrame, config: Dat
     """Analysis row + packed top-10 keywords + site settings, one row per key.
 
     ``config`` has one row per site; it grows with the number of sites, so
-    the join is left to Spark's size threshold and AQE (broadcast only when
-    the measured size is small), not forced.
+    it is not force-broadcast (Spark's size threshold decides).  At page grain
+    the join is salted by ``page_id`` so a site holding a third of the pages
+    is spread over many tasks.
     """
-    cfg = config if key != "site" else config
     a = analysis.join(keywords_top10, key, "left").withColumn("top10", F.coalesce(c("top10"), _empty_array()))
-    return a.join(cfg, "site", "left")
+    if key == "site":
+        return a.join(config, "site", "left")  # one row per site on both sides
+    # many pages per site meet one config row per site: salt the hot sites
+    from sitelens.plans.skew import salted_join
+
+    return salted_join(a, config, "site", spread_by=key, how="left")
 
 
 def generate_all(gen: DataFrame, key: str = "page_id") -> DataFrame:

@@ -61,7 +61,10 @@ def keyword_features(analysis: DataFrame, keywords: DataFrame, key: str = "page_
     top = packed_top(keywords, 10, key, "top10", [F.col(c) for c in order])
     top = top.select(key, "top10", F.slice("top10", 1, 5).alias("top5"), F.slice("top10", 1, 3).alias("top3"))
     wc = analysis.select(key, whitespace_words("raw_text").alias("word_count"))
-    kw = keywords.join(wc, key)
+    # many keywords per site meet one word count per site: salt by word
+    from sitelens.plans.skew import salted_join
+
+    kw = salted_join(keywords, wc, key, spread_by="word", how="inner")
     share = C.fdiv(F.col("frequency"), F.greatest(F.col("word_count"), F.lit(1))) * C.f32(100.0)
     over = F.when((F.col("word_count") > 0) & (share > C.f32(C.OVERUSED_ABOVE)), F.struct(*[F.col(c) for c in order], "word"))
     tot = kw.groupBy(key).agg(

@@ -58,3 +58,14 @@ def test_hot_site_plans_combine_before_shuffle(spark):
     t = top_keywords(sk, 10, key="site", order=site_order())._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in t and "Partial" in t
     assert "partial_min_by" in t
+
+
+def test_hot_site_joins_are_salted(spark):
+    from sitelens.plans.site import generation_frames
+
+    f = generation_frames(hot_pages(spark))
+    p = f["gen_input"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in p
+    got = f["gen_input"].where("site = 'hot.example.com'").select("page_id", "site_name").collect()
+    assert len(got) >= 16 and all(r.site_name == "hot.example.com" for r in got)
+    assert f["gen_input"].count() == 50  # salting neither drops nor duplicates rows
