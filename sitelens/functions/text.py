@@ -25,21 +25,54 @@ ENTITIES = [
 ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
 
 
+_CACHE: dict = {}
+
+
+def _cache():
+    """Per-SparkContext memo: Columns are immutable expression trees, so one
+    reference or literal object can appear in any number of expressions.
+    Building them once saves JVM round trips while plans are assembled."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    key = id(sc)
+    if _CACHE.get("sc") != key:
+        _CACHE.clear()
+        _CACHE["sc"] = key
+    return _CACHE
+
+
+def col(name: str) -> Column:
+    cache = _cache()
+    k = ("col", name)
+    if k not in cache:
+        cache[k] = F.col(name)
+    return cache[k]
+
+
+def lit(value) -> Column:
+    cache = _cache()
+    k = ("lit", type(value).__name__, value)
+    if k not in cache:
+        cache[k] = F.lit(value)
+    return cache[k]
+
+
 def col_of(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return col(c) if isinstance(c, str) else c
 
 
 def decode_entities(c) -> Column:
     out = col_of(c)
     for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
+        out = F.replace(out, lit(ent), lit(ch))
     return out
 
 
 def html_escape(c) -> Column:
     out = col_of(c)
     for ch, ent in ESCAPES:
-        out = F.replace(out, F.lit(ch), F.lit(ent))
+        out = F.replace(out, lit(ch), lit(ent))
     return out
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.text import capitalize, html_escape, truncate_words
+from sitelens.functions.text import capitalize, col, html_escape, lit, truncate_words
 
 CONTEXT = "https://schema.org"
 # Generated tag lines and block wrappers.
@@ -29,7 +29,7 @@ OG_TYPES = {"Blog": "article", "Ecommerce": "product", "Restaurant": "restaurant
 
 
 def c(name: str) -> Column:
-    return F.col(name)
+    return col(name)
 
 
 def _empty_array() -> Column:
@@ -37,7 +37,7 @@ def _empty_array() -> Column:
 
 
 def _line(fmt_before: str, value: Column, fmt_after: str = '">') -> Column:
-    return F.concat(F.lit(fmt_before), value, F.lit(fmt_after))
+    return F.concat(lit(fmt_before), value, lit(fmt_after))
 
 
 # --- meta tags ---------------------------------------------------------------------
@@ -143,7 +143,7 @@ def twitter_block() -> Column:
 
 
 def _s(value, name: str) -> Column:
-    v = F.lit(value) if isinstance(value, (str, int)) else value
+    v = lit(value) if isinstance(value, (str, int)) else value
     return v.alias(name)
 
 
