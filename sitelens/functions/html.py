@@ -13,11 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import col_of, decode_entities, regexp_value, trim_ws
+from sitelens.functions.text import col, col_of, decode_entities, lit, regexp_value, trim_ws
 
 
 def _all(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(c, lit(pattern), lit(0))
 
 
 def clean_html(html="html") -> Column:
@@ -97,20 +97,20 @@ def has_charset(metas="_metas") -> Column:
 
 
 def h1_count(clean="clean") -> Column:
-    return F.regexp_count(col_of(clean), F.lit(P.H1_START)).cast("bigint")
+    return F.regexp_count(col_of(clean), lit(P.H1_START)).cast("bigint")
 
 
 def img_without_alt(imgs="_imgs") -> Column:
     imgs = col_of(imgs)
     with_alt = F.size(F.filter(imgs, lambda t: t.rlike(P.ALT_NONEMPTY)))
-    return F.greatest(F.size(imgs) - with_alt, F.lit(0)).cast("bigint")
+    return F.greatest(F.size(imgs) - with_alt, lit(0)).cast("bigint")
 
 
 def detect_language(html_tag="_html_tag", metas="_metas") -> Column:
     """Prefix before '-' of html[lang], else of meta content-language, else null."""
     lang = attr_of(col_of(html_tag), P.LANG_PRESENT, P.LANG_VALUE)
     meta_lang = attr_of(first_tag(metas, P.HTTP_EQUIV_LANGUAGE), P.CONTENT_PRESENT, P.CONTENT_VALUE)
-    return F.split_part(F.coalesce(lang, meta_lang), F.lit("-"), F.lit(1))
+    return F.split_part(F.coalesce(lang, meta_lang), lit("-"), lit(1))
 
 
 def with_tag_arrays(df, clean: str = "clean"):
@@ -130,7 +130,7 @@ def body_part(clean="clean") -> Column:
 
 def text_nodes(markup: Column) -> Column:
     """Runs of text between tags, in document order (still entity-encoded)."""
-    return F.filter(_all(markup, P.TOKEN), lambda t: F.substring(t, 1, 1) != F.lit("<"))
+    return F.filter(_all(markup, P.TOKEN), lambda t: F.substring(t, 1, 1) != lit("<"))
 
 
 def text_nodes_with_scripts(markup: Column) -> Column:
@@ -142,7 +142,7 @@ def text_nodes_with_scripts(markup: Column) -> Column:
         lambda t: F.when(t.rlike(P.RAW_TEXT_START), F.regexp_extract(t, P.RAW_TEXT_BODY, 1)).otherwise(t),
     )
     kept = F.filter(F.arrays_zip(toks.alias("t"), inner.alias("i")),
-                    lambda z: (F.substring(z["t"], 1, 1) != F.lit("<")) | (z["t"].rlike(P.RAW_TEXT_START) & (z["i"] != F.lit(""))))
+                    lambda z: (F.substring(z["t"], 1, 1) != lit("<")) | (z["t"].rlike(P.RAW_TEXT_START) & (z["i"] != lit(""))))
     return F.transform(kept, lambda z: z["i"])
 
 
@@ -160,10 +160,10 @@ def body_text(clean="clean", title_raw_col="title_raw", description_col="descrip
     ``clean_comments_only`` reproduces the reference's leak of it.
     """
     nodes = text_nodes_with_scripts(body_part(clean)) if include_script_text else text_nodes(body_part(clean))
-    joined = F.array_join(F.transform(nodes, lambda t: F.concat(t, F.lit(" "))), "")
+    joined = F.array_join(F.transform(nodes, lambda t: F.concat(t, lit(" "))), "")
     t = col_of(title_raw_col)
     return F.concat(
         decode_entities(joined),
-        F.when(t.isNotNull(), F.concat(t, F.lit(" "))).otherwise(F.lit("")),
-        F.coalesce(col_of(description_col), F.lit("")),
+        F.when(t.isNotNull(), F.concat(t, lit(" "))).otherwise(lit("")),
+        F.coalesce(col_of(description_col), lit("")),
     )

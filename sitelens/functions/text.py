@@ -51,13 +51,25 @@ def col(name: str) -> Column:
 
 
 def lit(value) -> Column:
+    try:
+        k = ("lit", type(value).__name__, value)
+        hash(k)
+    except TypeError:
+        return F.lit(value)
     cache = _cache()
-    k = ("lit", type(value).__name__, value)
     if k not in cache:
         cache[k] = F.lit(value)
     return cache[k]
 
 
+def memo(key, factory) -> Column:
+    """Memoized Column for any hashable ``key`` (built by ``factory`` once per SparkContext)."""
+    cache = _cache()
+    if key not in cache:
+        cache[key] = factory()
+    return cache[key]
+
+
 def col_of(c) -> Column:
     return col(c) if isinstance(c, str) else c
 

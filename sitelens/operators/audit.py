@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import html as H
+from sitelens.functions.text import col, lit
 
 AUDIT_FLAGS = [
     "has_title",
@@ -41,13 +42,13 @@ def audit_columns(clean: str = "clean", title_raw: str | None = None, descriptio
     """
     from sitelens.functions.text import trim_ws
 
-    title = trim_ws(F.col(title_raw)) if title_raw else H.title_text(clean)
-    desc = F.col(description) if description else H.meta_content()
+    title = trim_ws(col(title_raw)) if title_raw else H.title_text(clean)
+    desc = col(description) if description else H.meta_content()
     return [
         title.alias("title"),
         desc.alias("description"),
-        F.coalesce(title != F.lit(""), F.lit(False)).alias("has_title"),
-        F.coalesce(desc != F.lit(""), F.lit(False)).alias("has_description"),
+        F.coalesce(title != lit(""), lit(False)).alias("has_title"),
+        F.coalesce(desc != lit(""), lit(False)).alias("has_description"),
         H.has_og_tags().alias("has_og_tags"),
         H.has_twitter_cards().alias("has_twitter_cards"),
         H.has_schema().alias("has_schema"),
@@ -60,9 +61,9 @@ def audit_columns(clean: str = "clean", title_raw: str | None = None, descriptio
 
 
 def completeness_score(prefix: str = "") -> Column:
-    total = F.lit(0)
+    total = lit(0)
     for flag, w in COMPLETENESS_WEIGHTS.items():
-        total = total + F.when(F.col(prefix + flag), F.lit(w)).otherwise(F.lit(0))
+        total = total + F.when(col(prefix + flag), lit(w)).otherwise(lit(0))
     return total.cast("bigint")
 
 
@@ -90,8 +91,8 @@ def site_audit(audit: DataFrame, key: str = "site", order: str = "page_id") -> D
     aggs = [F.bool_or(f).alias(f) for f in AUDIT_FLAGS]
     aggs += [F.sum(c).cast("bigint").alias(c) for c in AUDIT_COUNTS]
     for c in ["title", "description"]:
-        aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c))
-    aggs.append(F.count(F.lit(1)).alias("page_count"))
+        aggs.append(F.max_by(col(c), F.when(col(c).isNotNull(), col(order))).alias(c))
+    aggs.append(F.count(lit(1)).alias("page_count"))
     return audit.groupBy(key).agg(*aggs).withColumn("completeness_score", completeness_score())
 
 
@@ -109,12 +110,12 @@ def audit_lift(rows: DataFrame, key: str = "page_id") -> DataFrame:
     c = H.with_tag_arrays(c, "c1").withColumnsRenamed({n: "a" + n for n in arrays})
     cols = []
     for pre, clean in (("b", "c0"), ("a", "c1")):
-        r = {n: F.col(pre + n) for n in arrays}
+        r = {n: col(pre + n) for n in arrays}
         cols += [x.alias(pre + "_" + name) for x, name in zip(_audit_from(clean, r), _AUDIT_NAMES)]
     a = c.select(key, *cols)
     out = [key, completeness_score("b_").alias("completeness_before"), completeness_score("a_").alias("completeness_after")]
     for f in LIFT_FLAGS:
-        out += [F.col("b_" + f).alias(f + "_before"), F.col("a_" + f).alias(f + "_after")]
+        out += [col("b_" + f).alias(f + "_before"), col("a_" + f).alias(f + "_after")]
     return a.select(*out)
 
 
@@ -126,8 +127,8 @@ def _audit_from(clean: str, r: dict) -> list[Column]:
     desc = H.meta_content(r["_metas"])
     return [
         title, desc,
-        F.coalesce(title != F.lit(""), F.lit(False)),
-        F.coalesce(desc != F.lit(""), F.lit(False)),
+        F.coalesce(title != lit(""), lit(False)),
+        F.coalesce(desc != lit(""), lit(False)),
         H.has_og_tags(r["_metas"]), H.has_twitter_cards(r["_metas"]), H.has_schema(r["_scripts"]),
         H.has_canonical(r["_links"]), H.has_viewport(r["_metas"]), H.has_charset(r["_metas"]),
         H.h1_count(clean), H.img_without_alt(r["_imgs"]),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import trim_ws
+from sitelens.functions.text import col, lit, trim_ws
 from sitelens.operators import dims
 
 
@@ -18,7 +18,7 @@ def _hits(zones: DataFrame, key: str, carry: list[str]) -> DataFrame:
     """
     ind = dims.small(dims.indicators(zones.sparkSession))
     z = zones.select(key, "zone_text", *carry)
-    hits = z.join(ind, F.col("zone_text").contains(F.col("indicator")), "left")
+    hits = z.join(ind, col("zone_text").contains(col("indicator")), "left")
     # non-overlapping occurrences, counted by what a global replace removes
     occ = "(length(zone_text) - length(replace(zone_text, indicator, ''))) div length(indicator)"
     return hits.select(key, *carry, "business_type", "ordinal", F.expr(f"1 + ({occ} - 1) div 2").alias("pts"))
@@ -30,7 +30,7 @@ def indicator_scores(zones: DataFrame, key: str = "page_id") -> DataFrame:
     For each indicator found as a substring, add ``1 + (occurrences - 1) div 2``.
     The zone side keeps its partitioning by key, so the sum needs no shuffle.
     """
-    h = _hits(zones, key, []).where(F.col("business_type").isNotNull())
+    h = _hits(zones, key, []).where(col("business_type").isNotNull())
     return h.groupBy(key, "business_type", "ordinal").agg(F.sum("pts").cast("bigint").alias("score"))
 
 
@@ -47,27 +47,27 @@ def business_type(zones: DataFrame, key: str = "page_id", carry: list[str] | Non
         F.sum("pts").cast("bigint").alias("score"), *[F.first(c).alias(c) for c in carry]
     )
     best = per_type.groupBy(key).agg(
-        F.max_by("business_type", F.when(F.col("business_type").isNotNull(), F.struct(F.col("score"), -F.col("ordinal")))).alias("business_type"),
+        F.max_by("business_type", F.when(col("business_type").isNotNull(), F.struct(col("score"), -col("ordinal")))).alias("business_type"),
         F.max("score").alias("business_score"),
         *[F.first(c).alias(c) for c in carry],
     )
     return best.select(
         key,
-        F.coalesce("business_type", F.lit("Unknown")).alias("business_type"),
-        F.coalesce("business_score", F.lit(0)).cast("bigint").alias("business_score"),
+        F.coalesce("business_type", lit("Unknown")).alias("business_type"),
+        F.coalesce("business_score", lit(0)).cast("bigint").alias("business_score"),
         *carry,
     )
 
 
-def schema_type(df: DataFrame, col: str = "business_type") -> DataFrame:
+def schema_type(df: DataFrame, column: str = "business_type") -> DataFrame:
     """Add ``schema_type`` (schema.org class) by a broadcast join with the 14-row dimension."""
-    bt = dims.small(dims.business_types(df.sparkSession).select(F.col("business_type").alias(col), "schema_type"))
-    return df.join(bt, col, "left")
+    bt = dims.small(dims.business_types(df.sparkSession).select(col("business_type").alias(column), "schema_type"))
+    return df.join(bt, column, "left")
 
 
 def content_summary(zone_text: Column | str = "zone_text") -> Column:
     """Sentences of 21..199 bytes (split on . ! ?), first three, joined with '. '."""
-    z = F.col(zone_text) if isinstance(zone_text, str) else zone_text
+    z = col(zone_text) if isinstance(zone_text, str) else zone_text
     parts = F.transform(F.split(z, P.SENTENCE_SPLIT, -1), lambda s: trim_ws(s))
     keep = F.filter(parts, lambda s: (F.octet_length(s) > 20) & (F.octet_length(s) < 200))
     return F.array_join(F.slice(keep, 1, 3), ". ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.text import capitalize, whitespace_words
+from sitelens.functions.text import capitalize, col, lit, whitespace_words
 from sitelens.operators.keywords import f32, fdiv
 
 # Optimal density band (percent), stuffing limit, over-use limit.
@@ -42,7 +42,7 @@ def keyword_totals(keywords: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, total_keyword_freq, keyword_count`` over every kept keyword (a partial aggregate)."""
     return keywords.groupBy(key).agg(
         F.sum("frequency").cast("bigint").alias("total_keyword_freq"),
-        F.count(F.lit(1)).alias("keyword_count"),
+        F.count(lit(1)).alias("keyword_count"),
     )
 
 
@@ -51,15 +51,15 @@ def density_columns(word_count: Column, total: Column) -> list[Column]:
     wc = word_count
     # the divisor is floored at 1 only to stay clear of ANSI division errors; a
     # zero word count is answered by the CASE below
-    d = fdiv(total, F.greatest(wc, F.lit(1))) * f32(100.0)
-    low = fdiv(d, F.lit(DENSITY_LOW))
-    high = f32(1.0) - F.least(fdiv(d - f32(DENSITY_HIGH), F.lit(10.0)), f32(1.0))
+    d = fdiv(total, F.greatest(wc, lit(1))) * f32(100.0)
+    low = fdiv(d, lit(DENSITY_LOW))
+    high = f32(1.0) - F.least(fdiv(d - f32(DENSITY_HIGH), lit(10.0)), f32(1.0))
     score = F.when(d < f32(DENSITY_LOW), low).when(d > f32(DENSITY_HIGH), high).otherwise(f32(1.0))
     empty = wc == 0
     return [
         F.when(empty, f32(0.0)).otherwise(d).cast("double").alias("density"),
         F.when(empty, f32(0.0)).otherwise(score).cast("double").alias("density_score"),
-        F.when(empty, F.lit(False)).otherwise(d > f32(STUFFED_ABOVE)).alias("is_stuffed"),
+        F.when(empty, lit(False)).otherwise(d > f32(STUFFED_ABOVE)).alias("is_stuffed"),
     ]
 
 
@@ -72,10 +72,10 @@ def keyword_density(analysis: DataFrame, keywords: DataFrame, key: str = "page_i
     """
     a = analysis.select(key, whitespace_words("raw_text").alias("word_count"))
     j = a.join(keyword_totals(keywords, key), key, "left").withColumn(
-        "total_keyword_freq", F.coalesce("total_keyword_freq", F.lit(0)).cast("bigint")
+        "total_keyword_freq", F.coalesce("total_keyword_freq", lit(0)).cast("bigint")
     )
-    return j.select(key, F.col("word_count").cast("bigint").alias("word_count"), "total_keyword_freq",
-                    *density_columns(F.col("word_count"), F.col("total_keyword_freq")))
+    return j.select(key, col("word_count").cast("bigint").alias("word_count"), "total_keyword_freq",
+                    *density_columns(col("word_count"), col("total_keyword_freq")))
 
 
 def over_used(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", order: list | None = None) -> DataFrame:
@@ -83,8 +83,8 @@ def over_used(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", or
     order = order or ["rank"]
     a = analysis.select(key, whitespace_words("raw_text").alias("word_count"))
     j = keywords.join(a, key)
-    share = fdiv(F.col("frequency"), F.greatest(F.col("word_count"), F.lit(1))) * f32(100.0)
-    return j.where((F.col("word_count") > 0) & (share > f32(OVERUSED_ABOVE))).select(key, "word", "frequency", *order)
+    share = fdiv(col("frequency"), F.greatest(col("word_count"), lit(1))) * f32(100.0)
+    return j.where((col("word_count") > 0) & (share > f32(OVERUSED_ABOVE))).select(key, "word", "frequency", *order)
 
 
 def _slot(arr: Column, i: int) -> Column:
@@ -97,53 +97,53 @@ def title_suggestions(top3: DataFrame, key: str = "page_id", year: int = 2026) -
     Four templates on the capitalized keywords; kept if at most 60 bytes;
     ordered by score.  ``year`` is a parameter so results are repeatable.
     """
-    k0 = capitalize(_slot(F.col("top3"), 0))
-    k1 = F.coalesce(capitalize(_slot(F.col("top3"), 1)), F.lit(DEFAULT_SECOND_TITLE_WORD))
+    k0 = capitalize(_slot(col("top3"), 0))
+    k1 = F.coalesce(capitalize(_slot(col("top3"), 1)), lit(DEFAULT_SECOND_TITLE_WORD))
     texts = []
     for tpl, score, why in TITLE_TEMPLATES:
         parts = tpl.replace("{year}", str(year)).split("{")
-        pieces: list[Column] = [F.lit(parts[0])]
+        pieces: list[Column] = [lit(parts[0])]
         for p in parts[1:]:
             slot, rest = p.split("}", 1)
             pieces.append(k0 if slot == "0" else k1)
-            pieces.append(F.lit(rest))
-        texts.append(F.struct(F.concat(*pieces).alias("text"), F.lit(score).alias("score"), F.lit(why).alias("reasoning")))
+            pieces.append(lit(rest))
+        texts.append(F.struct(F.concat(*pieces).alias("text"), lit(score).alias("score"), lit(why).alias("reasoning")))
     rows = top3.where(F.size("top3") > 0).select(key, F.explode(F.array(*texts)).alias("s"))
     rows = rows.where(F.octet_length("s.text") <= TITLE_MAX_BYTES).select(key, "s.*")
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(F.col("score").desc())
+    w = Window.partitionBy(key).orderBy(col("score").desc())
     return rows.withColumn("suggestion_rank", F.row_number().over(w)).select(key, "suggestion_rank", "text", "score", "reasoning")
 
 
 def description_suggestions(top5: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, suggestion_rank, text, score, emotional_triggers, cta_included`` from packed top-5 keywords."""
-    k0 = _slot(F.col("top5"), 0)
-    k1 = F.coalesce(_slot(F.col("top5"), 1), k0)
-    k2 = F.coalesce(_slot(F.col("top5"), 2), F.lit(DEFAULT_THIRD_DESCRIPTION_WORD))
+    k0 = _slot(col("top5"), 0)
+    k1 = F.coalesce(_slot(col("top5"), 1), k0)
+    k2 = F.coalesce(_slot(col("top5"), 2), lit(DEFAULT_THIRD_DESCRIPTION_WORD))
     slots = {"0": k0, "1": k1, "2": k2}
     texts = []
     for i, (tpl, score, triggers, cta) in enumerate(DESCRIPTION_TEMPLATES):
         parts = tpl.split("{")
-        pieces: list[Column] = [F.lit(parts[0])]
+        pieces: list[Column] = [lit(parts[0])]
         for p in parts[1:]:
             slot, rest = p.split("}", 1)
             # the third template capitalizes its second keyword
             pieces.append(capitalize(slots[slot]) if (i == 2 and slot == "1") else slots[slot])
-            pieces.append(F.lit(rest))
+            pieces.append(lit(rest))
         texts.append(
             F.struct(
                 F.concat(*pieces).alias("text"),
-                F.lit(score).alias("score"),
-                F.array(*[F.lit(t) for t in triggers]).alias("emotional_triggers"),
-                F.lit(cta).alias("cta_included"),
+                lit(score).alias("score"),
+                F.array(*[lit(t) for t in triggers]).alias("emotional_triggers"),
+                lit(cta).alias("cta_included"),
             )
         )
     rows = top5.where(F.size("top5") > 0).select(key, F.explode(F.array(*texts)).alias("s"))
     rows = rows.where(F.octet_length("s.text") <= DESCRIPTION_MAX_BYTES).select(key, "s.*")
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(F.col("score").desc())
+    w = Window.partitionBy(key).orderBy(col("score").desc())
     return rows.withColumn("suggestion_rank", F.row_number().over(w)).select(
         key, "suggestion_rank", "text", "score", "emotional_triggers", "cta_included"
     )

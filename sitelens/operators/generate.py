@@ -48,17 +48,17 @@ def generate_title() -> Column:
     top3 = F.slice(c("top10"), 1, 3)
     from_keywords = F.when(
         F.size(top3) > 0,
-        F.concat(F.array_join(F.transform(top3, capitalize), " - "), F.lit(" | "), c("site_name")),
+        F.concat(F.array_join(F.transform(top3, capitalize), " - "), lit(" | "), c("site_name")),
     ).otherwise(c("site_name"))
-    existing = F.when(c("title") != F.lit(""), c("title"))
+    existing = F.when(c("title") != lit(""), c("title"))
     return truncate_words(F.coalesce(c("title_override"), existing, from_keywords), c("max_title_length"))
 
 
 def generate_description() -> Column:
     """Override, else existing non-empty description, else the content summary, else a keyword sentence."""
     top5 = F.slice(c("top10"), 1, 5)
-    sentence = F.concat(c("site_name"), F.lit(" offers "), F.array_join(top5, ", "), F.lit(". Professional solutions for your needs."))
-    existing = F.when(c("description") != F.lit(""), c("description"))
+    sentence = F.concat(c("site_name"), lit(" offers "), F.array_join(top5, ", "), lit(". Professional solutions for your needs."))
+    existing = F.when(c("description") != lit(""), c("description"))
     return truncate_words(
         F.coalesce(c("description_override"), existing, c("content_summary"), sentence), c("max_description_length")
     )
@@ -76,11 +76,11 @@ def meta_block() -> Column:
     lines = [
         _line("    <title>", html_escape(generate_title()), "</title>"),
         F.when(~c("has_description"), _line('    <meta name="description" content="', html_escape(generate_description()))),
-        F.when(kw != F.lit(""), _line('    <meta name="keywords" content="', html_escape(kw))),
+        F.when(kw != lit(""), _line('    <meta name="keywords" content="', html_escape(kw))),
         F.when(c("generate_canonical") & ~c("has_canonical"), _line('    <link rel="canonical" href="', html_escape(c("site_url")))),
-        F.when(~c("has_viewport"), F.lit(VIEWPORT_LINE)),
-        F.when(~c("has_charset"), F.lit(CHARSET_LINE)),
-        F.lit(ROBOTS_LINE),
+        F.when(~c("has_viewport"), lit(VIEWPORT_LINE)),
+        F.when(~c("has_charset"), lit(CHARSET_LINE)),
+        lit(ROBOTS_LINE),
     ]
     return F.concat_ws("\n", *lines)
 
@@ -91,8 +91,8 @@ def meta_block() -> Column:
 def og_type() -> Column:
     out = None
     for bt, t in OG_TYPES.items():
-        out = F.when(c("business_type") == bt, F.lit(t)) if out is None else out.when(c("business_type") == bt, F.lit(t))
-    return out.otherwise(F.lit("website"))
+        out = F.when(c("business_type") == bt, lit(t)) if out is None else out.when(c("business_type") == bt, lit(t))
+    return out.otherwise(lit("website"))
 
 
 def social_title() -> Column:
@@ -102,7 +102,7 @@ def social_title() -> Column:
 
 def social_description() -> Column:
     top5 = F.slice(c("top10"), 1, 5)
-    fallback = F.concat(c("site_name"), F.lit(" - "), F.array_join(top5, ", "))
+    fallback = F.concat(c("site_name"), lit(" - "), F.array_join(top5, ", "))
     return F.coalesce(c("description_override"), c("description"), c("content_summary"), fallback)
 
 
@@ -116,19 +116,19 @@ def open_graph_block() -> Column:
         _line('    <meta property="og:site_name" content="', html_escape(c("site_name"))),
         _line('    <meta property="og:locale" content="', c("locale")),
         F.when(img.isNotNull(), _line('    <meta property="og:image" content="', html_escape(img))),
-        F.when(img.isNotNull(), F.lit(f'    <meta property="og:image:width" content="{OG_IMAGE_SIZE[0]}">')),
-        F.when(img.isNotNull(), F.lit(f'    <meta property="og:image:height" content="{OG_IMAGE_SIZE[1]}">')),
+        F.when(img.isNotNull(), lit(f'    <meta property="og:image:width" content="{OG_IMAGE_SIZE[0]}">')),
+        F.when(img.isNotNull(), lit(f'    <meta property="og:image:height" content="{OG_IMAGE_SIZE[1]}">')),
         F.when(c("facebook_app_id").isNotNull(), _line('    <meta property="fb:app_id" content="', html_escape(c("facebook_app_id")))),
     ]
-    return F.when(c("has_og_tags"), F.lit("")).otherwise(F.concat_ws("\n", *lines))
+    return F.when(c("has_og_tags"), lit("")).otherwise(F.concat_ws("\n", *lines))
 
 
 def twitter_block() -> Column:
     img = c("default_image")
-    handle = F.when(c("twitter_handle").startswith("@"), c("twitter_handle")).otherwise(F.concat(F.lit("@"), c("twitter_handle")))
+    handle = F.when(c("twitter_handle").startswith("@"), c("twitter_handle")).otherwise(F.concat(lit("@"), c("twitter_handle")))
     has_handle = c("twitter_handle").isNotNull()
     lines = [
-        _line('    <meta name="twitter:card" content="', F.when(img.isNotNull(), F.lit("summary_large_image")).otherwise(F.lit("summary"))),
+        _line('    <meta name="twitter:card" content="', F.when(img.isNotNull(), lit("summary_large_image")).otherwise(lit("summary"))),
         _line('    <meta name="twitter:title" content="', html_escape(truncate_words(social_title(), TWITTER_TITLE_LIMIT))),
         _line('    <meta name="twitter:description" content="', html_escape(truncate_words(social_description(), OG_TEXT_LIMIT))),
         F.when(has_handle, _line('    <meta name="twitter:site" content="', html_escape(handle))),
@@ -136,7 +136,7 @@ def twitter_block() -> Column:
         F.when(img.isNotNull(), _line('    <meta name="twitter:image" content="', html_escape(img))),
         F.when(img.isNotNull(), _line('    <meta name="twitter:image:alt" content="', html_escape(social_title()))),
     ]
-    return F.when(c("has_twitter_cards"), F.lit("")).otherwise(F.concat_ws("\n", *lines))
+    return F.when(c("has_twitter_cards"), lit("")).otherwise(F.concat_ws("\n", *lines))
 
 
 # --- JSON-LD -------------------------------------------------------------------------
@@ -191,7 +191,7 @@ def website_schema() -> Column:
             _s("SearchAction", "@type"),
             _s("required name=search_term_string", "query-input"),
             F.struct(_s("EntryPoint", "@type"),
-                     F.concat(c("site_url"), F.lit("/search?q={search_term_string}")).alias("urlTemplate")).alias("target"),
+                     F.concat(c("site_url"), lit("/search?q={search_term_string}")).alias("urlTemplate")).alias("target"),
         ).alias("potentialAction"),
         c("site_url").alias("url"),
     )
@@ -232,7 +232,7 @@ def business_schema() -> Column:
     )
     local = F.struct(
         _s(CONTEXT, "@context"),
-        F.when(bt == "Restaurant", F.lit("Restaurant")).otherwise(F.lit("LocalBusiness")).alias("@type"),
+        F.when(bt == "Restaurant", lit("Restaurant")).otherwise(lit("LocalBusiness")).alias("@type"),
         _address().alias("address"),
         c("site_name").alias("name"),
         c("phone").alias("telephone"),
@@ -251,7 +251,7 @@ def business_schema() -> Column:
 
 
 def faq_schema() -> Column:
-    low = F.lower(F.coalesce(c("raw_text"), F.lit("")))
+    low = F.lower(F.coalesce(c("raw_text"), lit("")))
     hit = None
     for m in FAQ_MARKERS:
         hit = low.contains(m) if hit is None else (hit | low.contains(m))
@@ -264,13 +264,13 @@ def json_ld_graph() -> Column:
         F.array(organization_schema(), website_schema(), breadcrumb_schema(), business_schema(), faq_schema()),
         lambda x: x.isNotNull(),
     )
-    graph = F.concat(F.lit('{"@context":"' + CONTEXT + '","@graph":['), F.array_join(nodes, ","), F.lit("]}"))
-    return F.replace(graph, F.lit("</"), F.lit("<\\/"))
+    graph = F.concat(lit('{"@context":"' + CONTEXT + '","@graph":['), F.array_join(nodes, ","), lit("]}"))
+    return F.replace(graph, lit("</"), lit("<\\/"))
 
 
 def json_ld_block() -> Column:
-    block = F.concat(F.lit('    <script type="application/ld+json">\n    '), json_ld_graph(), F.lit("\n    </script>"))
-    return F.when(c("has_schema"), F.lit("")).otherwise(block)
+    block = F.concat(lit('    <script type="application/ld+json">\n    '), json_ld_graph(), lit("\n    </script>"))
+    return F.when(c("has_schema"), lit("")).otherwise(block)
 
 
 # --- assembly ----------------------------------------------------------------------
@@ -303,10 +303,10 @@ def generate_all(gen: DataFrame, key: str = "page_id") -> DataFrame:
         json_ld_block().alias("schema_org"),
     )
     combined = F.concat(
-        F.lit("<!-- SEO Meta Tags -->\n"), c("meta_tags"),
-        F.lit("\n\n<!-- Open Graph -->\n"), c("open_graph"),
-        F.lit("\n\n<!-- Twitter Cards -->\n"), c("twitter_cards"),
-        F.lit("\n\n<!-- Schema.org -->\n"), c("schema_org"),
+        lit("<!-- SEO Meta Tags -->\n"), c("meta_tags"),
+        lit("\n\n<!-- Open Graph -->\n"), c("open_graph"),
+        lit("\n\n<!-- Twitter Cards -->\n"), c("twitter_cards"),
+        lit("\n\n<!-- Schema.org -->\n"), c("schema_org"),
     )
     empty = (c("meta_tags") == "") & (c("open_graph") == "") & (c("twitter_cards") == "") & (c("schema_org") == "")
     return out.select("*", combined.alias("combined"), empty.alias("is_empty"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import col, lit
+
 from sitelens.functions import patterns as P
 
 
@@ -46,13 +48,13 @@ def injection_point(html: Column) -> Column:
 
 
 def _wrap(block: Column) -> Column:
-    return F.when(block != F.lit(""), F.concat(F.lit("\n"), block, F.lit("\n"))).otherwise(F.lit(""))
+    return F.when(block != lit(""), F.concat(lit("\n"), block, lit("\n"))).otherwise(lit(""))
 
 
 def inject(html: Column, meta: Column, og: Column, twitter: Column, schema: Column) -> Column:
     stripped = strip_title(html)
     before, after = split_at_point(stripped)
-    out = F.concat(before, F.lit("\n"), meta, F.lit("\n"), _wrap(og), _wrap(twitter), _wrap(schema), after)
+    out = F.concat(before, lit("\n"), meta, lit("\n"), _wrap(og), _wrap(twitter), _wrap(schema), after)
     return F.when(has_point(html), out).otherwise(html)
 
 
@@ -60,20 +62,20 @@ def inject_meta(html: Column, meta: Column) -> Column:
     """Meta step alone: strip the title, insert the block."""
     stripped = strip_title(html)
     before, after = split_at_point(stripped)
-    return F.when(has_point(html), F.concat(before, F.lit("\n"), meta, F.lit("\n"), after)).otherwise(html)
+    return F.when(has_point(html), F.concat(before, lit("\n"), meta, lit("\n"), after)).otherwise(html)
 
 
 def inject_block(html: Column, block: Column) -> Column:
     """Any other step: insert a non-empty block, leave the page alone otherwise."""
     before, after = split_at_point(html)
-    return F.when(has_point(html) & (block != F.lit("")), F.concat(before, F.lit("\n"), block, F.lit("\n"), after)).otherwise(html)
+    return F.when(has_point(html) & (block != lit("")), F.concat(before, lit("\n"), block, lit("\n"), after)).otherwise(html)
 
 
 def page_injected(gen_html: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, html, status`` from rows holding ``html`` and the four generated blocks."""
-    html = F.col("html")
+    html = col("html")
     return gen_html.select(
         key,
-        inject(html, F.col("meta_tags"), F.col("open_graph"), F.col("twitter_cards"), F.col("schema_org")).alias("html"),
-        F.when(has_point(html), F.lit("ok")).otherwise(F.lit("no_injection_point")).alias("status"),
+        inject(html, col("meta_tags"), col("open_graph"), col("twitter_cards"), col("schema_org")).alias("html"),
+        F.when(has_point(html), lit("ok")).otherwise(lit("no_injection_point")).alias("status"),
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import col, lit, memo
+
 from sitelens.functions import patterns as P
 from sitelens.operators import dims
 
@@ -20,7 +22,9 @@ MIN_WORD_LEN = 3
 
 def f32(x) -> Column:
     """A FLOAT literal or a column cast to FLOAT (keeps arithmetic in single precision)."""
-    return (F.lit(x) if isinstance(x, (int, float)) else x).cast("float")
+    if isinstance(x, (int, float)):
+        return memo(("f32", float(x)), lambda: lit(x).cast("float"))
+    return x.cast("float")
 
 
 def fdiv(a: Column, b: Column) -> Column:
@@ -34,15 +38,15 @@ def fdiv(a: Column, b: Column) -> Column:
 
 def _words(text: Column) -> Column:
     return F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(P.WORD), F.lit(0)), lambda w: F.lower(w)),
+        F.transform(F.regexp_extract_all(text, lit(P.WORD), lit(0)), lambda w: F.lower(w)),
         lambda w: F.length(w) >= MIN_WORD_LEN,
     )
 
 
 def _phrases(text: Column) -> Column:
-    n_words = lambda p: F.size(F.regexp_extract_all(p, F.lit(P.NON_SPACE_RUN), F.lit(0)))
+    n_words = lambda p: F.size(F.regexp_extract_all(p, lit(P.NON_SPACE_RUN), lit(0)))
     return F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(P.PHRASE), F.lit(0)), lambda p: F.lower(p)),
+        F.transform(F.regexp_extract_all(text, lit(P.PHRASE), lit(0)), lambda p: F.lower(p)),
         lambda p: n_words(p) <= 4,
     )
 
@@ -56,10 +60,10 @@ def keyword_tokens(base: DataFrame, key: str = "page_id", text: str = "raw_text"
     most 4 words.  One explode serves both, so the text is scanned once.
     """
     spark = base.sparkSession
-    t = F.col(text)
+    t = col(text)
     arr = F.concat(
-        F.transform(_words(t), lambda w: F.struct(F.lit(False).alias("is_phrase"), w.alias("word"))),
-        F.transform(_phrases(t), lambda p: F.struct(F.lit(True).alias("is_phrase"), p.alias("word"))),
+        F.transform(_words(t), lambda w: F.struct(lit(False).alias("is_phrase"), w.alias("word"))),
+        F.transform(_phrases(t), lambda p: F.struct(lit(True).alias("is_phrase"), p.alias("word"))),
     )
     tok = base.select(key, F.explode(arr).alias("t")).select(key, "t.is_phrase", "t.word")
     # phrases hold a space, so they never meet a stop word
@@ -67,11 +71,11 @@ def keyword_tokens(base: DataFrame, key: str = "page_id", text: str = "raw_text"
 
 
 def word_tokens(base: DataFrame, key: str = "page_id", text: str = "raw_text") -> DataFrame:
-    return keyword_tokens(base, key, text).where(~F.col("is_phrase")).select(key, "word")
+    return keyword_tokens(base, key, text).where(~col("is_phrase")).select(key, "word")
 
 
 def phrase_tokens(base: DataFrame, key: str = "page_id", text: str = "raw_text") -> DataFrame:
-    return keyword_tokens(base, key, text).where(F.col("is_phrase")).select(key, F.col("word").alias("phrase"))
+    return keyword_tokens(base, key, text).where(col("is_phrase")).select(key, col("word").alias("phrase"))
 
 
 def keyword_frequency(tokens: DataFrame, key: str = "page_id") -> DataFrame:
@@ -79,19 +83,19 @@ def keyword_frequency(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 
     The count is a partial aggregate (combined per task before the shuffle).
     """
-    counts = tokens.groupBy(key, "is_phrase", "word").agg(F.count(F.lit(1)).alias("frequency"))
+    counts = tokens.groupBy(key, "is_phrase", "word").agg(F.count(lit(1)).alias("frequency"))
     return counts.withColumn("total_words", F.sum("frequency").over(Window.partitionBy(key, "is_phrase")))
 
 
 def word_frequency(base: DataFrame, key: str = "page_id", text: str = "raw_text") -> DataFrame:
-    f = keyword_frequency(word_tokens(base, key, text).withColumn("is_phrase", F.lit(False)), key)
+    f = keyword_frequency(word_tokens(base, key, text).withColumn("is_phrase", lit(False)), key)
     return f.select(key, "word", "frequency", "total_words")
 
 
 def word_score(frequency="frequency", total="total_words", word="word") -> Column:
     """100 * (f / total) * (1 + min(len/10, 1)), in single precision like the reference."""
-    tf = fdiv(F.col(frequency), F.greatest(F.col(total), F.lit(1)))
-    bonus = F.least(fdiv(F.octet_length(word), F.lit(10)), f32(1.0))
+    tf = fdiv(col(frequency), F.greatest(col(total), lit(1)))
+    bonus = F.least(fdiv(F.octet_length(word), lit(10)), f32(1.0))
     return tf * f32(100.0) * (f32(1.0) + bonus)
 
 
@@ -102,17 +106,17 @@ def keyword_scores(freq: DataFrame, key: str = "page_id") -> DataFrame:
     ``rank`` is the position in the reference's keyword list (words 1..50,
     phrases 51..60) and breaks score ties stably later on.
     """
-    score = F.when(F.col("is_phrase"), f32(F.col("frequency")) * f32(5.0)).otherwise(word_score())
-    w = Window.partitionBy(key, "is_phrase").orderBy(F.col("score").desc(), F.col("word"))
+    score = F.when(col("is_phrase"), f32(col("frequency")) * f32(5.0)).otherwise(word_score())
+    w = Window.partitionBy(key, "is_phrase").orderBy(col("score").desc(), col("word"))
     ranked = freq.withColumn("score", score).withColumn("rank", F.row_number().over(w))
-    kept = ranked.where(F.col("rank") <= MAX_WORDS).where(~F.col("is_phrase") | (F.col("rank") <= MAX_PHRASES))
+    kept = ranked.where(col("rank") <= MAX_WORDS).where(~col("is_phrase") | (col("rank") <= MAX_PHRASES))
     return kept.select(
         key,
         "word",
         "frequency",
-        F.col("score").cast("double").alias("score"),
+        col("score").cast("double").alias("score"),
         "is_phrase",
-        (F.col("rank") + F.when(F.col("is_phrase"), F.lit(MAX_WORDS)).otherwise(F.lit(0))).cast("int").alias("rank"),
+        (col("rank") + F.when(col("is_phrase"), lit(MAX_WORDS)).otherwise(lit(0))).cast("int").alias("rank"),
     )
 
 
@@ -122,7 +126,7 @@ def page_keywords(base: DataFrame, key: str = "page_id", text: str = "raw_text")
 
 
 def phrase_scores(base: DataFrame, key: str = "page_id", text: str = "raw_text") -> DataFrame:
-    return page_keywords(base, key, text).where(F.col("is_phrase"))
+    return page_keywords(base, key, text).where(col("is_phrase"))
 
 
 def top_keywords(keywords: DataFrame, n: int, key: str = "page_id", order: list | None = None) -> DataFrame:
@@ -132,9 +136,9 @@ def top_keywords(keywords: DataFrame, n: int, key: str = "page_id", order: list
     below the shuffle, so a key with millions of keywords ships at most ``n``
     rows per task.
     """
-    order = order or [F.col("rank")]
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), *order)
-    return keywords.withColumn("top_rank", F.row_number().over(w)).where(F.col("top_rank") <= n)
+    order = order or [col("rank")]
+    w = Window.partitionBy(key).orderBy(col("score").desc(), *order)
+    return keywords.withColumn("top_rank", F.row_number().over(w)).where(col("top_rank") <= n)
 
 
 def packed_top(keywords: DataFrame, n: int, key: str = "page_id", name: str | None = None, order: list | None = None) -> DataFrame:
@@ -154,7 +158,7 @@ def page_top(keywords: DataFrame, n: int = 10, key: str = "page_id", name: str |
     Unbounded keys (sites) use ``packed_top`` (window with a partial limit).
     """
     name = name or f"top{n}"
-    srt = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "rank", "word")))
+    srt = F.array_sort(F.collect_list(F.struct((-col("score")).alias("neg"), "rank", "word")))
     return keywords.groupBy(key).agg(F.transform(F.slice(srt, 1, n), lambda s: s["word"]).alias(name))
 
 
@@ -166,18 +170,18 @@ def site_keywords(keywords: DataFrame, pages: DataFrame, key: str = "page_id", s
     list order for stable top-k.
     """
     kp = keywords.join(pages.select(key, site), key)
-    first = F.min_by(F.struct("frequency", "score", "is_phrase", "rank", F.col(key).alias("first_page_id")), F.col(key))
+    first = F.min_by(F.struct("frequency", "score", "is_phrase", "rank", col(key).alias("first_page_id")), col(key))
     return kp.groupBy(site, "word").agg(first.alias("k")).select(
         site,
         "word",
-        F.col("k.frequency").alias("frequency"),
-        F.col("k.score").alias("score"),
-        F.col("k.is_phrase").alias("is_phrase"),
-        F.col("k.first_page_id").alias("first_page_id"),
-        F.col("k.rank").alias("first_rank"),
+        col("k.frequency").alias("frequency"),
+        col("k.score").alias("score"),
+        col("k.is_phrase").alias("is_phrase"),
+        col("k.first_page_id").alias("first_page_id"),
+        col("k.rank").alias("first_rank"),
     )
 
 
 def site_order() -> list[Column]:
     """Merged-list order of site keywords: first page, then position in that page's list."""
-    return [F.col("first_page_id"), F.col("first_rank")]
+    return [col("first_page_id"), col("first_rank")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import col, lit
+
 # Report glyphs and headings.
 CHECK, CROSS = "✅", "❌"
 PRIORITY_LABELS = {"Critical": "🔴 Critical", "High": "🟠 High", "Medium": "🟡 Medium", "Low": "🟢 Low"}
@@ -23,18 +25,18 @@ def two_decimals(x: Column) -> Column:
     return F.format_string("%.2f", F.bround(x, 2))
 
 
-def _priority_label(col: Column) -> Column:
+def _priority_label(priority: Column) -> Column:
     out = None
     for k, v in PRIORITY_LABELS.items():
-        out = F.when(col == k, F.lit(v)) if out is None else out.when(col == k, F.lit(v))
+        out = F.when(priority == k, lit(v)) if out is None else out.when(priority == k, lit(v))
     return out
 
 
 def packed_recommendations(recs: DataFrame, key: str = "site") -> DataFrame:
     """``key, recs_md, rec_messages``: recommendations in rank order (at most a few per key)."""
-    md = F.concat(F.lit("### "), _priority_label(F.col("priority")), F.lit(" - "), F.col("message"),
-                  F.lit("\n**Action**: "), F.col("action"), F.lit("\n\n"))
-    parts = F.array_sort(F.collect_list(F.struct("rec_rank", md.alias("md"), F.col("message").alias("msg"))))
+    md = F.concat(lit("### "), _priority_label(col("priority")), lit(" - "), col("message"),
+                  lit("\n**Action**: "), col("action"), lit("\n\n"))
+    parts = F.array_sort(F.collect_list(F.struct("rec_rank", md.alias("md"), col("message").alias("msg"))))
     return recs.groupBy(key).agg(parts.alias("p")).select(
         key,
         F.array_join(F.transform("p", lambda s: s["md"]), "").alias("recs_md"),
@@ -44,10 +46,10 @@ def packed_recommendations(recs: DataFrame, key: str = "site") -> DataFrame:
 
 def packed_keywords(top10: DataFrame, key: str = "site") -> DataFrame:
     """``key, keywords_md, keywords_line`` from ranked top-10 rows (``top_rank``)."""
-    md = F.concat(F.col("top_rank").cast("string"), F.lit(". "), F.col("word"), F.lit(" (score: "),
-                  two_decimals(F.col("score")), F.lit(")\n"))
-    line = F.concat(F.col("word"), F.lit(" (freq: "), F.col("frequency").cast("string"), F.lit(", score: "),
-                    two_decimals(F.col("score")), F.lit(")"))
+    md = F.concat(col("top_rank").cast("string"), lit(". "), col("word"), lit(" (score: "),
+                  two_decimals(col("score")), lit(")\n"))
+    line = F.concat(col("word"), lit(" (freq: "), col("frequency").cast("string"), lit(", score: "),
+                    two_decimals(col("score")), lit(")"))
     parts = F.array_sort(F.collect_list(F.struct("top_rank", md.alias("md"), line.alias("line"))))
     return top10.groupBy(key).agg(parts.alias("p")).select(
         key,
@@ -63,32 +65,32 @@ def site_report(row: DataFrame, generated_at: str, key: str = "site") -> DataFra
     completeness_score, optimization_score, recs_md, keywords_md.
     ``generated_at`` is a parameter so the text is repeatable.
     """
-    audit = [F.concat(F.lit(f"| {label} | "), F.when(F.col(flag), F.lit(CHECK)).otherwise(F.lit(CROSS)), F.lit(" |\n"))
+    audit = [F.concat(lit(f"| {label} | "), F.when(col(flag), lit(CHECK)).otherwise(lit(CROSS)), lit(" |\n"))
              for label, flag in AUDIT_ROWS]
     md = F.concat(
-        F.lit("# SEO Analysis Report\n\n"),
-        F.lit(f"Generated: {generated_at}\n\n"),
-        F.lit("## Overview\n\n"),
-        F.lit("- **Framework**: "), F.col("framework"), F.lit("\n"),
-        F.lit("- **Business Type**: "), F.col("business_type"), F.lit("\n"),
-        F.lit("- **HTML Files**: "), F.col("page_count").cast("string"), F.lit("\n"),
-        F.lit("- **SEO Score**: "), F.col("completeness_score").cast("string"), F.lit("/100\n"),
-        F.lit("- **Optimization Score**: "), F.col("optimization_score").cast("string"), F.lit("/100\n\n"),
-        F.lit("## SEO Audit\n\n"),
-        F.lit("| Element | Status |\n"),
-        F.lit("|---------|--------|\n"),
+        lit("# SEO Analysis Report\n\n"),
+        lit(f"Generated: {generated_at}\n\n"),
+        lit("## Overview\n\n"),
+        lit("- **Framework**: "), col("framework"), lit("\n"),
+        lit("- **Business Type**: "), col("business_type"), lit("\n"),
+        lit("- **HTML Files**: "), col("page_count").cast("string"), lit("\n"),
+        lit("- **SEO Score**: "), col("completeness_score").cast("string"), lit("/100\n"),
+        lit("- **Optimization Score**: "), col("optimization_score").cast("string"), lit("/100\n\n"),
+        lit("## SEO Audit\n\n"),
+        lit("| Element | Status |\n"),
+        lit("|---------|--------|\n"),
         *audit,
-        F.lit("\n## Recommendations\n\n"),
-        F.coalesce(F.col("recs_md"), F.lit("")),
-        F.lit("## Top Keywords\n\n"),
-        F.coalesce(F.col("keywords_md"), F.lit("")),
+        lit("\n## Recommendations\n\n"),
+        F.coalesce(col("recs_md"), lit("")),
+        lit("## Top Keywords\n\n"),
+        F.coalesce(col("keywords_md"), lit("")),
     )
     return row.select(key, md.alias("report_md"))
 
 
 def analysis_summary(row: DataFrame, key: str = "site") -> DataFrame:
     """What the console shows, as one row per site."""
-    checks = [F.col(c) for c in SUMMARY_CHECKS]
+    checks = [col(c) for c in SUMMARY_CHECKS]
     return row.select(
         key,
         "framework",
@@ -96,13 +98,13 @@ def analysis_summary(row: DataFrame, key: str = "site") -> DataFrame:
         "page_count",
         "business_type",
         "language",
-        F.concat(two_decimals(F.col("sentiment_score")), F.lit(" ("), F.col("sentiment_label"), F.lit(")")).alias("sentiment"),
-        F.array_join(F.coalesce(F.col("power_words"), F.array().cast("array<string>")), ", ").alias("power_words"),
-        F.coalesce(F.col("keywords_line"), F.lit("")).alias("top_keywords"),
+        F.concat(two_decimals(col("sentiment_score")), lit(" ("), col("sentiment_label"), lit(")")).alias("sentiment"),
+        F.array_join(F.coalesce(col("power_words"), F.array().cast("array<string>")), ", ").alias("power_words"),
+        F.coalesce(col("keywords_line"), lit("")).alias("top_keywords"),
         *checks,
-        F.col("completeness_score").alias("seo_score"),
+        col("completeness_score").alias("seo_score"),
         "optimization_score",
-        F.coalesce(F.col("trends_line"), F.lit("")).alias("trending_schemas"),
-        F.coalesce(F.col("rec_messages"), F.lit("")).alias("recommendations"),
-        F.coalesce(F.col("titles_line"), F.lit("")).alias("title_suggestions"),
+        F.coalesce(col("trends_line"), lit("")).alias("trending_schemas"),
+        F.coalesce(col("rec_messages"), lit("")).alias("recommendations"),
+        F.coalesce(col("titles_line"), lit("")).alias("title_suggestions"),
     )

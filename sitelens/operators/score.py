@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import col, lit
+
 from sitelens.operators.keywords import f32
 
 # Priority order (higher first) and the audit rules, in the
@@ -14,44 +16,44 @@ CONTENT_SCORE_CAP_KEYWORDS = 10
 
 
 def _rec(cond: Column, seq: int, category: str, priority: str, message: Column | str, action: str) -> Column:
-    msg = F.lit(message) if isinstance(message, str) else message
+    msg = lit(message) if isinstance(message, str) else message
     return F.when(
         cond,
         F.struct(
-            F.lit(seq).alias("seq"),
-            F.lit(category).alias("category"),
-            F.lit(priority).alias("priority"),
+            lit(seq).alias("seq"),
+            lit(category).alias("category"),
+            lit(priority).alias("priority"),
             msg.alias("message"),
-            F.lit(action).alias("action"),
+            lit(action).alias("action"),
         ),
     )
 
 
 def audit_rule_structs() -> list[Column]:
     tlen = F.octet_length("title")
-    h1 = F.col("h1_count")
-    img = F.col("img_without_alt")
+    h1 = col("h1_count")
+    img = col("img_without_alt")
     return [
-        _rec(~F.col("has_title"), 10, "Title", "Critical", "Missing title tag",
+        _rec(~col("has_title"), 10, "Title", "Critical", "Missing title tag",
              "Add a descriptive title tag (50-60 characters)"),
-        _rec(F.col("has_title") & (tlen < 30), 11, "Title", "Medium", "Title too short",
+        _rec(col("has_title") & (tlen < 30), 11, "Title", "Medium", "Title too short",
              "Expand title to 50-60 characters for better CTR"),
-        _rec(F.col("has_title") & (tlen > 60), 12, "Title", "Medium", "Title too long",
+        _rec(col("has_title") & (tlen > 60), 12, "Title", "Medium", "Title too long",
              "Shorten title to 60 characters to avoid truncation"),
-        _rec(~F.col("has_description"), 13, "Description", "Critical", "Missing meta description",
+        _rec(~col("has_description"), 13, "Description", "Critical", "Missing meta description",
              "Add a compelling meta description (150-160 characters)"),
-        _rec(~F.col("has_schema"), 14, "Schema", "High", "Missing Schema.org structured data",
+        _rec(~col("has_schema"), 14, "Schema", "High", "Missing Schema.org structured data",
              "Add JSON-LD schema for rich snippets in search results"),
-        _rec(~F.col("has_og_tags"), 15, "Social", "High", "Missing Open Graph tags",
+        _rec(~col("has_og_tags"), 15, "Social", "High", "Missing Open Graph tags",
              "Add OG tags for better social media sharing"),
-        _rec(~F.col("has_twitter_cards"), 16, "Social", "Medium", "Missing Twitter Cards",
+        _rec(~col("has_twitter_cards"), 16, "Social", "Medium", "Missing Twitter Cards",
              "Add Twitter Card meta tags for better Twitter previews"),
         _rec(h1 == 0, 17, "Technical", "High", "Missing H1 heading", "Add exactly one H1 heading per page"),
         _rec(h1 > 1, 18, "Technical", "Medium",
-             F.concat(F.lit("Multiple H1 headings ("), h1.cast("string"), F.lit(")")),
+             F.concat(lit("Multiple H1 headings ("), h1.cast("string"), lit(")")),
              "Use only one H1 heading per page"),
         _rec(img > 0, 19, "Technical", "Medium",
-             F.concat(img.cast("string"), F.lit(" images missing alt text")),
+             F.concat(img.cast("string"), lit(" images missing alt text")),
              "Add descriptive alt text to all images"),
     ]
 
@@ -62,17 +64,17 @@ def audit_recommendations(analysis: DataFrame, key: str = "page_id") -> DataFram
     return analysis.select(key, F.explode(recs).alias("r")).select(key, "r.*")
 
 
-def priority_rank(col: str = "priority") -> Column:
+def priority_rank(name: str = "priority") -> Column:
     out = None
-    for name, r in PRIORITY_RANK.items():
-        out = F.when(F.col(col) == name, F.lit(r)) if out is None else out.when(F.col(col) == name, F.lit(r))
+    for label, r in PRIORITY_RANK.items():
+        out = F.when(col(name) == label, lit(r)) if out is None else out.when(col(name) == label, lit(r))
     return out
 
 
 def recommendations(trend_recs: DataFrame, audit_recs: DataFrame, key: str = "page_id") -> DataFrame:
     """Trend advice first, then audit rules, stable-sorted by priority: adds ``rec_rank``."""
     u = trend_recs.unionByName(audit_recs)
-    w = Window.partitionBy(key).orderBy(priority_rank().desc(), F.col("seq"))
+    w = Window.partitionBy(key).orderBy(priority_rank().desc(), col("seq"))
     return u.withColumn("rec_rank", F.row_number().over(w)).select(
         key, "rec_rank", "category", "priority", "message", "action"
     )
@@ -83,9 +85,9 @@ def optimization_score(completeness: Column, sentiment_score: Column, density_sc
 
     The two truncated terms are single precision like the reference.
     """
-    seo = F.floor(completeness * F.lit(40) / F.lit(100))
+    seo = F.floor(completeness * lit(40) / lit(100))
     s = f32(sentiment_score)
-    senti = F.greatest(F.floor(((s + f32(1.0)) / f32(2.0)).cast("float") * f32(20.0)), F.lit(0))
-    dens = F.greatest(F.floor(f32(density_score) * f32(20.0)), F.lit(0))
-    content = F.when(keyword_count >= CONTENT_SCORE_CAP_KEYWORDS, F.lit(20)).otherwise(keyword_count * 2)
-    return F.least(seo + senti + dens + content, F.lit(100)).cast("bigint")
+    senti = F.greatest(F.floor(((s + f32(1.0)) / f32(2.0)).cast("float") * f32(20.0)), lit(0))
+    dens = F.greatest(F.floor(f32(density_score) * f32(20.0)), lit(0))
+    content = F.when(keyword_count >= CONTENT_SCORE_CAP_KEYWORDS, lit(20)).otherwise(keyword_count * 2)
+    return F.least(seo + senti + dens + content, lit(100)).cast("bigint")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import col, lit
+
 from sitelens.functions import patterns as P
 from sitelens.operators import dims
 from sitelens.operators.keywords import f32, fdiv
@@ -22,13 +24,13 @@ EMOTION_BOOST, EMOTION_CAP = 0.03, 0.15
 def sentiment_text(title="title", description="description", raw_text="raw_text") -> Column:
     """Title, description and body text joined by spaces (title and description count twice)."""
     return F.concat_ws(
-        " ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(description), F.lit("")), F.coalesce(F.col(raw_text), F.lit(""))
+        " ", F.coalesce(col(title), lit("")), F.coalesce(col(description), lit("")), F.coalesce(col(raw_text), lit(""))
     )
 
 
 def token_array(text: Column) -> Column:
     """Lower-cased runs of letters, digits and '-'."""
-    return F.regexp_extract_all(F.lower(text), F.lit(P.SENTIMENT_TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), lit(P.SENTIMENT_TOKEN), lit(0))
 
 
 def sentiment_tokens(analysis: DataFrame, key: str = "page_id") -> DataFrame:
@@ -46,12 +48,12 @@ def lexicon_hits(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 def label_of(score: Column) -> Column:
     out = None
     for cut, name in LABEL_CUTS:
-        out = (F.when(score < f32(cut), F.lit(name)) if out is None else out.when(score < f32(cut), F.lit(name)))
-    return out.otherwise(F.lit("VeryPositive"))
+        out = (F.when(score < f32(cut), lit(name)) if out is None else out.when(score < f32(cut), lit(name)))
+    return out.otherwise(lit("VeryPositive"))
 
 
 def _ordered(list_name: str) -> Column:
-    hits = F.collect_list(F.when(F.col("list") == list_name, F.struct("pos", "token")))
+    hits = F.collect_list(F.when(col("list") == list_name, F.struct("pos", "token")))
     return F.transform(F.array_sort(hits), lambda s: s["token"])
 
 
@@ -70,8 +72,8 @@ def sentiment(analysis: DataFrame, key: str = "page_id") -> DataFrame:
     j = tok.join(lex, "token", "left")
     agg = j.groupBy(key).agg(
         F.max("n").cast("bigint").alias("token_count"),
-        F.count_if(F.col("list") == "positive").alias("positive_count"),
-        F.count_if(F.col("list") == "negative").alias("negative_count"),
+        F.count_if(col("list") == "positive").alias("positive_count"),
+        F.count_if(col("list") == "negative").alias("negative_count"),
         _ordered("power").alias("power_words"),
         _ordered("emotional").alias("emotional_triggers"),
         _ordered("negative").alias("negative_words"),
@@ -80,14 +82,14 @@ def sentiment(analysis: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def score_columns(agg: DataFrame, key: str) -> DataFrame:
-    p, n = F.col("positive_count"), F.col("negative_count")
-    base = fdiv(f32(p) - f32(n), F.greatest(p + n, F.lit(1)))
+    p, n = col("positive_count"), col("negative_count")
+    base = fdiv(f32(p) - f32(n), F.greatest(p + n, lit(1)))
     power = F.least(f32(F.size("power_words")) * f32(POWER_BOOST), f32(POWER_CAP))
     emo = F.least(f32(F.size("emotional_triggers")) * f32(EMOTION_BOOST), f32(EMOTION_CAP))
     raw = F.greatest(F.least(base + power + emo, f32(1.0)), f32(-1.0))
-    empty = F.col("token_count") == 0
+    empty = col("token_count") == 0
     score = F.when(empty, f32(0.0)).otherwise(raw)
-    conf = F.when(empty, f32(0.0)).otherwise(F.least(fdiv(p + n, F.greatest(F.col("token_count"), F.lit(1))) * f32(5.0), f32(1.0)))
+    conf = F.when(empty, f32(0.0)).otherwise(F.least(fdiv(p + n, F.greatest(col("token_count"), lit(1))) * f32(5.0), f32(1.0)))
     return agg.select(
         key,
         "token_count",

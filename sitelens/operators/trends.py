@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import col, lit
+
 from sitelens.operators import dims
 
 # Advice added when a trending schema applies.
@@ -31,7 +33,7 @@ def schema_trends(analysis: DataFrame, key: str = "page_id") -> DataFrame:
         "trend_score",
         "has_rich_snippets",
         "description",
-        F.concat(F.lit("Add "), F.col("schema_type"), F.lit(" schema to your page")).alias("action"),
+        F.concat(lit("Add "), col("schema_type"), lit(" schema to your page")).alias("action"),
     )
 
 

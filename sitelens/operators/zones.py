@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import decode_entities
+from sitelens.functions.text import col, decode_entities, lit
 
 # Elements without content (never closed).
 VOID_TAGS = [
@@ -47,7 +47,7 @@ def content_tag_names(clean: Column) -> Column:
     One pass over the page decides whether any tag can carry the class; only
     then are the tags listed and tested one by one.
     """
-    opens = F.regexp_extract_all(clean, F.lit(ANY_OPEN_TAG), F.lit(0))
+    opens = F.regexp_extract_all(clean, lit(ANY_OPEN_TAG), lit(0))
     hits = F.filter(opens, lambda t: t.rlike(P.CLASS_CONTENT))
     names = F.array_distinct(F.transform(hits, lambda t: F.lower(F.regexp_extract(t, P.OPEN_TAG_NAME, 1))))
     return F.when(clean.rlike(MAY_HAVE_CONTENT_CLASS), names).otherwise(F.array().cast("array<string>"))
@@ -60,29 +60,29 @@ def html_tokens(base: DataFrame, zone_only: bool = False) -> DataFrame:
     ``text`` is entity-decoded.  With ``zone_only`` the stream keeps text runs
     and the tags that zone detection tracks, and is hash-partitioned by page.
     """
-    src = base.select("page_id", F.col("clean"), content_tag_names(F.col("clean")).alias("ctags"))
-    tok = src.select("page_id", "ctags", F.posexplode(F.regexp_extract_all("clean", F.lit(P.TOKEN), F.lit(0))).alias("pos", "tok"))
-    t = F.col("tok")
+    src = base.select("page_id", col("clean"), content_tag_names(col("clean")).alias("ctags"))
+    tok = src.select("page_id", "ctags", F.posexplode(F.regexp_extract_all("clean", lit(P.TOKEN), lit(0))).alias("pos", "tok"))
+    t = col("tok")
     kind = (
-        F.when(F.substring(t, 1, 1) != F.lit("<"), F.lit("text"))
-        .when(t.rlike(r"^</[a-zA-Z]"), F.lit("close"))
-        .when(t.rlike(r"^<[a-zA-Z]"), F.lit("open"))
-        .otherwise(F.lit("other"))
+        F.when(F.substring(t, 1, 1) != lit("<"), lit("text"))
+        .when(t.rlike(r"^</[a-zA-Z]"), lit("close"))
+        .when(t.rlike(r"^<[a-zA-Z]"), lit("open"))
+        .otherwise(lit("other"))
     )
-    tag = F.lower(F.coalesce(F.nullif(F.regexp_extract(t, P.CLOSE_TAG_NAME, 1), F.lit("")),
-                             F.nullif(F.regexp_extract(t, P.OPEN_TAG_NAME, 1), F.lit(""))))
+    tag = F.lower(F.coalesce(F.nullif(F.regexp_extract(t, P.CLOSE_TAG_NAME, 1), lit("")),
+                             F.nullif(F.regexp_extract(t, P.OPEN_TAG_NAME, 1), lit(""))))
     out = tok.select(
         "page_id",
         "pos",
         kind.alias("kind"),
         F.when(kind.isin("open", "close"), tag).alias("tag"),
-        ((kind == F.lit("open")) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
-        F.when(kind == F.lit("text"), decode_entities(t)).alias("text"),
+        ((kind == lit("open")) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
+        F.when(kind == lit("text"), decode_entities(t)).alias("text"),
         "ctags",
     )
     if zone_only:
-        tracked = F.col("tag").isin(*ZONE_TAGS) | F.array_contains(F.col("ctags"), F.col("tag"))
-        out = out.where((F.col("kind") == "text") | (F.col("kind").isin("open", "close") & tracked))
+        tracked = col("tag").isin(*ZONE_TAGS) | F.array_contains(col("ctags"), col("tag"))
+        out = out.where((col("kind") == "text") | (col("kind").isin("open", "close") & tracked))
         out = out.repartition("page_id")
     return out.drop("ctags")
 
@@ -94,19 +94,19 @@ def element_spans(tokens: DataFrame) -> DataFrame:
     the page).  Windows are partitioned by (page, tag): a page is one task's
     worth of rows, so there is no hot key.
     """
-    tags = tokens.where(F.col("kind").isin("open", "close") & ~F.col("tag").isin(*VOID_TAGS))
-    is_open = F.col("kind") == F.lit("open")
+    tags = tokens.where(col("kind").isin("open", "close") & ~col("tag").isin(*VOID_TAGS))
+    is_open = col("kind") == lit("open")
     running = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     d = tags.withColumn("depth", F.sum(F.when(is_open, 1).otherwise(-1)).over(running))
-    d = d.withColumn("level", F.when(is_open, F.col("depth")).otherwise(F.col("depth") + 1))
+    d = d.withColumn("level", F.when(is_open, col("depth")).otherwise(col("depth") + 1))
     nxt = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
     d = d.withColumn("next_pos", F.lead("pos").over(nxt)).withColumn("next_kind", F.lead("kind").over(nxt))
     return d.where(is_open).select(
         "page_id",
         "tag",
         "is_content",
-        F.col("pos").alias("open_pos"),
-        F.when(F.col("next_kind") == F.lit("close"), F.col("next_pos")).alias("close_pos"),
+        col("pos").alias("open_pos"),
+        F.when(col("next_kind") == lit("close"), col("next_pos")).alias("close_pos"),
     )
 
 
@@ -117,21 +117,21 @@ def zone_elements(spans: DataFrame) -> DataFrame:
     counts once: semi join), and main/article/section/``.content`` (6).
     Nested containers each count, like the reference.
     """
-    end = F.coalesce(F.col("close_pos"), F.lit(END_OF_PAGE))
-    heads = spans.where(F.col("tag").isin(*HEADING_GROUP)).select(
+    end = F.coalesce(col("close_pos"), lit(END_OF_PAGE))
+    heads = spans.where(col("tag").isin(*HEADING_GROUP)).select(
         "page_id",
         F.expr("CASE tag WHEN 'h1' THEN 2 WHEN 'h2' THEN 3 ELSE 4 END").alias("grp"),
         "open_pos",
         end.alias("end_pos"),
     )
-    navs = spans.where(F.col("tag").isin(*NAV_CONTAINERS)).select(
-        "page_id", F.col("open_pos").alias("c_open"), end.alias("c_end")
+    navs = spans.where(col("tag").isin(*NAV_CONTAINERS)).select(
+        "page_id", col("open_pos").alias("c_open"), end.alias("c_end")
     )
-    links = spans.where(F.col("tag") == "a").select("page_id", "open_pos", end.alias("end_pos"))
+    links = spans.where(col("tag") == "a").select("page_id", "open_pos", end.alias("end_pos"))
     inside = (links["page_id"] == navs["page_id"]) & (links["open_pos"] > navs["c_open"]) & (links["open_pos"] < navs["c_end"])
-    nav_links = links.join(navs, inside, "left_semi").select("page_id", F.lit(G_NAV_LINK).alias("grp"), "open_pos", "end_pos")
-    boxes = spans.where(F.col("tag").isin(*CONTAINERS) | F.col("is_content")).select(
-        "page_id", F.lit(G_CONTAINER).alias("grp"), "open_pos", end.alias("end_pos")
+    nav_links = links.join(navs, inside, "left_semi").select("page_id", lit(G_NAV_LINK).alias("grp"), "open_pos", "end_pos")
+    boxes = spans.where(col("tag").isin(*CONTAINERS) | col("is_content")).select(
+        "page_id", lit(G_CONTAINER).alias("grp"), "open_pos", end.alias("end_pos")
     )
     return heads.unionByName(nav_links).unionByName(boxes)
 
@@ -142,37 +142,37 @@ def _zone_stream(base: DataFrame) -> DataFrame:
     Positions 0 and 1 carry the title and description parts, so every page
     has rows and no join back to the page table is needed.
     """
-    title_part = F.when(F.col("title_raw").isNotNull(), F.concat("title_raw", F.lit(" "))).otherwise(F.lit(""))
-    desc_part = F.when(F.col("description").isNotNull(), F.concat("description", F.lit(" "))).otherwise(F.lit(""))
-    toks = F.concat(F.array(title_part, desc_part), F.regexp_extract_all("clean", F.lit(P.TOKEN), F.lit(0)))
+    title_part = F.when(col("title_raw").isNotNull(), F.concat("title_raw", lit(" "))).otherwise(lit(""))
+    desc_part = F.when(col("description").isNotNull(), F.concat("description", lit(" "))).otherwise(lit(""))
+    toks = F.concat(F.array(title_part, desc_part), F.regexp_extract_all("clean", lit(P.TOKEN), lit(0)))
     # per-page columns are projected before the explode: an expression next to a
     # generator in one select is evaluated once per generated row
-    pre = base.select("page_id", toks.alias("toks"), content_tag_names(F.col("clean")).alias("ctags"))
+    pre = base.select("page_id", toks.alias("toks"), content_tag_names(col("clean")).alias("ctags"))
     # outer: the array always holds the two head slots, and a plain explode would
     # make Catalyst infer a size() > 0 filter that re-runs the whole extraction
     src = pre.select("page_id", "ctags", F.posexplode_outer("toks").alias("pos", "tok"))
-    t = F.col("tok")
+    t = col("tok")
     # one anchored regexp per markup token gives the tag name; text runs skip it
-    is_markup = F.substring(t, 1, 1) == F.lit("<")
+    is_markup = F.substring(t, 1, 1) == lit("<")
     name = F.when(is_markup, F.lower(F.regexp_extract(t, TAG_NAME, 1)))
     kind = (
-        F.when(F.col("pos") < 2, F.lit("head"))
-        .when(~is_markup, F.lit("text"))
-        .when(name == F.lit(""), F.lit("other"))
-        .when(F.substring(t, 2, 1) == F.lit("/"), F.lit("close"))
-        .otherwise(F.lit("open"))
+        F.when(col("pos") < 2, lit("head"))
+        .when(~is_markup, lit("text"))
+        .when(name == lit(""), lit("other"))
+        .when(F.substring(t, 2, 1) == lit("/"), lit("close"))
+        .otherwise(lit("open"))
     )
     s = src.select(
         "page_id",
         "pos",
         kind.alias("kind"),
         F.when(kind.isin("open", "close"), name).alias("tag"),
-        ((kind == F.lit("open")) & (F.size("ctags") > 0) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
-        F.when(kind == F.lit("text"), decode_entities(t)).when(kind == F.lit("head"), t).alias("text"),
+        ((kind == lit("open")) & (F.size("ctags") > 0) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
+        F.when(kind == lit("text"), decode_entities(t)).when(kind == lit("head"), t).alias("text"),
         "ctags",
     )
-    tracked = (F.col("tag").isin(*ZONE_TAGS) | F.array_contains(F.col("ctags"), F.col("tag"))) & ~F.col("tag").isin(*VOID_TAGS)
-    keep = F.col("kind").isin("head", "text") | (F.col("kind").isin("open", "close") & tracked)
+    tracked = (col("tag").isin(*ZONE_TAGS) | F.array_contains(col("ctags"), col("tag"))) & ~col("tag").isin(*VOID_TAGS)
+    keep = col("kind").isin("head", "text") | (col("kind").isin("open", "close") & tracked)
     # no explicit repartition: the first window below (partitioned by page_id)
     # makes Spark add one exchange on page_id, or none when the input is
     # already hash-partitioned by page_id (bucketed or spread tables)
@@ -191,27 +191,27 @@ def zone_text(base: DataFrame) -> DataFrame:
     indexes, so the cost is linear in text times nesting depth.
     """
     s = _zone_stream(base)
-    is_open = F.col("kind") == F.lit("open")
-    is_close = F.col("kind") == F.lit("close")
+    is_open = col("kind") == lit("open")
+    is_close = col("kind") == lit("close")
     by_page = Window.partitionBy("page_id").orderBy("pos")
-    is_nav = F.col("tag").isin(*NAV_CONTAINERS)
+    is_nav = col("tag").isin(*NAV_CONTAINERS)
     nav_delta = F.when(is_open & is_nav, 1).when(is_close & is_nav, -1).otherwise(0)
     s = s.withColumn("idx", F.row_number().over(by_page)).withColumn(
         "nav_depth", F.sum(nav_delta).over(by_page.rowsBetween(Window.unboundedPreceding, 0))
     )
     running = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("depth", F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(running))
-    s = s.withColumn("level", F.when(is_open, F.col("depth")).otherwise(F.col("depth") + 1))
+    s = s.withColumn("level", F.when(is_open, col("depth")).otherwise(col("depth") + 1))
     nxt = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
     s = s.withColumn("next_idx", F.lead("idx").over(nxt)).withColumn("next_kind", F.lead("kind").over(nxt))
-    close_idx = F.when(is_open & (F.col("next_kind") == F.lit("close")), F.col("next_idx"))
+    close_idx = F.when(is_open & (col("next_kind") == lit("close")), col("next_idx"))
     grps = F.filter(
         F.array(
-            F.when(F.col("kind") == F.lit("head"), F.col("pos").cast("int")),
-            F.when(is_open & F.col("tag").isin(*HEADING_GROUP),
+            F.when(col("kind") == lit("head"), col("pos").cast("int")),
+            F.when(is_open & col("tag").isin(*HEADING_GROUP),
                    F.expr("CASE tag WHEN 'h1' THEN 2 WHEN 'h2' THEN 3 ELSE 4 END")),
-            F.when(is_open & (F.col("tag") == F.lit("a")) & (F.col("nav_depth") > 0), F.lit(G_NAV_LINK)),
-            F.when(is_open & (F.col("tag").isin(*CONTAINERS) | F.col("is_content")), F.lit(G_CONTAINER)),
+            F.when(is_open & (col("tag") == lit("a")) & (col("nav_depth") > 0), lit(G_NAV_LINK)),
+            F.when(is_open & (col("tag").isin(*CONTAINERS) | col("is_content")), lit(G_CONTAINER)),
         ),
         lambda g: g.isNotNull(),
     )
@@ -223,9 +223,9 @@ def zone_text(base: DataFrame) -> DataFrame:
         # head parts carry their own text; elements take the text runs up to their close
         start = e["idx"] + 1
         stop = F.coalesce(e["close_idx"], n + 1)
-        inner = F.filter(F.slice("rows", start, F.greatest(stop - start, F.lit(0))), lambda r: r["kind"] == "text")
+        inner = F.filter(F.slice("rows", start, F.greatest(stop - start, lit(0))), lambda r: r["kind"] == "text")
         return F.when(e["grp"] < 2, e["text"]).otherwise(
-            F.concat(F.array_join(F.transform(inner, lambda r: r["text"]), ""), F.lit(" "))
+            F.concat(F.array_join(F.transform(inner, lambda r: r["text"]), ""), lit(" "))
         )
 
     members = F.flatten(
@@ -248,15 +248,15 @@ def zone_segments(base: DataFrame) -> DataFrame:
     """
     tokens = html_tokens(base)
     elems = zone_elements(element_spans(tokens))
-    texts = tokens.where(F.col("kind") == "text").select(F.col("page_id").alias("t_page"), "pos", "text")
+    texts = tokens.where(col("kind") == "text").select(col("page_id").alias("t_page"), "pos", "text")
     within = (elems["page_id"] == texts["t_page"]) & (texts["pos"] > elems["open_pos"]) & (texts["pos"] < elems["end_pos"])
     j = elems.join(texts, within, "left")
     seg = j.groupBy("page_id", "grp", "open_pos").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "text")))).alias("parts")
+        F.array_sort(F.collect_list(F.when(col("pos").isNotNull(), F.struct("pos", "text")))).alias("parts")
     )
     return seg.select(
         "page_id",
         "grp",
         "open_pos",
-        F.concat(F.array_join(F.transform("parts", lambda s: s["text"]), ""), F.lit(" ")).alias("segment"),
+        F.concat(F.array_join(F.transform("parts", lambda s: s["text"]), ""), lit(" ")).alias("segment"),
     )

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import col, lit
+
 from sitelens.functions import html as H
 from sitelens.operators.audit import audit_columns, completeness_score
 from sitelens.sources.pages import site_key
@@ -114,13 +116,13 @@ def page_analysis(pages: DataFrame, base: DataFrame | None = None, reuse: bool =
     zones = zone_text(base).withColumn("content_summary", content_summary("zone_text"))
     bt = business_type(zones, carry=["content_summary"])
     kw = keywords if keywords is not None else page_keywords(base)
-    kc = kw.groupBy("page_id").agg(F.count(F.lit(1)).alias("keyword_count"))
+    kc = kw.groupBy("page_id").agg(F.count(lit(1)).alias("keyword_count"))
     out = (
         base.select(*BASE_COLUMNS)
         .join(bt, "page_id", "left")
         .join(kc, "page_id", "left")
-        .withColumn("keyword_count", F.coalesce("keyword_count", F.lit(0)).cast("bigint"))
-        .withColumn("business_type", F.coalesce("business_type", F.lit("Unknown")))
+        .withColumn("keyword_count", F.coalesce("keyword_count", lit(0)).cast("bigint"))
+        .withColumn("business_type", F.coalesce("business_type", lit("Unknown")))
     )
     return with_completeness(schema_type(out))
 
@@ -137,16 +139,16 @@ def site_analysis(analysis: DataFrame, keywords: DataFrame | None = None) -> Dat
     from sitelens.operators.business import schema_type
 
     def last(c, cond=None):
-        cond = F.col(c).isNotNull() if cond is None else cond
-        return F.max_by(F.col(c), F.when(cond, F.col("page_id"))).alias(c)
+        cond = col(c).isNotNull() if cond is None else cond
+        return F.max_by(col(c), F.when(cond, col("page_id"))).alias(c)
 
     aggs = [F.bool_or(f).alias(f) for f in AUDIT_FLAGS]
     aggs += [F.sum(c).cast("bigint").alias(c) for c in AUDIT_COUNTS]
     aggs += [last("title"), last("description"), last("language"), last("content_summary"), last("raw_text")]
-    aggs.append(last("business_type", F.col("business_type") != F.lit("Unknown")))
-    aggs.append(F.count(F.lit(1)).alias("page_count"))
-    s = analysis.groupBy("site").agg(*aggs).withColumn("business_type", F.coalesce("business_type", F.lit("Unknown")))
+    aggs.append(last("business_type", col("business_type") != lit("Unknown")))
+    aggs.append(F.count(lit(1)).alias("page_count"))
+    s = analysis.groupBy("site").agg(*aggs).withColumn("business_type", F.coalesce("business_type", lit("Unknown")))
     if keywords is not None:
-        kc = keywords.groupBy("site").agg(F.count(F.lit(1)).alias("keyword_count"))
-        s = s.join(kc, "site", "left").withColumn("keyword_count", F.coalesce("keyword_count", F.lit(0)).cast("bigint"))
+        kc = keywords.groupBy("site").agg(F.count(lit(1)).alias("keyword_count"))
+        s = s.join(kc, "site", "left").withColumn("keyword_count", F.coalesce("keyword_count", lit(0)).cast("bigint"))
     return with_completeness(schema_type(s))

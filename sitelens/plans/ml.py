@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.text import whitespace_words
+from sitelens.functions.text import col, lit, whitespace_words
 from sitelens.operators import content as C
 from sitelens.operators import score as S
 from sitelens.operators import trends as T
@@ -27,7 +27,7 @@ def page_keyword_features(texts: DataFrame, keywords: DataFrame, key: str = "pag
     over-used filter then runs in the row, against the page's word count."""
     k = keywords.groupBy(key).agg(
         F.sum("frequency").cast("bigint").alias("total_keyword_freq"),
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "rank", "word"))).alias("by_score"),
+        F.array_sort(F.collect_list(F.struct((-col("score")).alias("neg"), "rank", "word"))).alias("by_score"),
         F.array_sort(F.collect_list(F.struct("rank", "word", "frequency"))).alias("by_rank"),
     )
     wc = texts.select(key, whitespace_words("raw_text").alias("word_count"))
@@ -35,8 +35,8 @@ def page_keyword_features(texts: DataFrame, keywords: DataFrame, key: str = "pag
     top10 = F.transform(F.slice("by_score", 1, 10), lambda s: s["word"])
 
     def over(s):
-        share = C.fdiv(s["frequency"], F.greatest(F.col("word_count"), F.lit(1))) * C.f32(100.0)
-        return (F.col("word_count") > 0) & (share > C.f32(C.OVERUSED_ABOVE))
+        share = C.fdiv(s["frequency"], F.greatest(col("word_count"), lit(1))) * C.f32(100.0)
+        return (col("word_count") > 0) & (share > C.f32(C.OVERUSED_ABOVE))
 
     return j.select(
         key,
@@ -58,15 +58,15 @@ def keyword_features(analysis: DataFrame, keywords: DataFrame, key: str = "page_
     if key == "page_id" and not order:
         return page_keyword_features(analysis, keywords, key)
     order = order or (PAGE_ORDER if key == "page_id" else SITE_ORDER)
-    top = packed_top(keywords, 10, key, "top10", [F.col(c) for c in order])
+    top = packed_top(keywords, 10, key, "top10", [col(c) for c in order])
     top = top.select(key, "top10", F.slice("top10", 1, 5).alias("top5"), F.slice("top10", 1, 3).alias("top3"))
     wc = analysis.select(key, whitespace_words("raw_text").alias("word_count"))
     # many keywords per site meet one word count per site: salt by word
     from sitelens.plans.skew import salted_join
 
     kw = salted_join(keywords, wc, key, spread_by="word", how="inner")
-    share = C.fdiv(F.col("frequency"), F.greatest(F.col("word_count"), F.lit(1))) * C.f32(100.0)
-    over = F.when((F.col("word_count") > 0) & (share > C.f32(C.OVERUSED_ABOVE)), F.struct(*[F.col(c) for c in order], "word"))
+    share = C.fdiv(col("frequency"), F.greatest(col("word_count"), lit(1))) * C.f32(100.0)
+    over = F.when((col("word_count") > 0) & (share > C.f32(C.OVERUSED_ABOVE)), F.struct(*[col(c) for c in order], "word"))
     tot = kw.groupBy(key).agg(
         F.sum("frequency").cast("bigint").alias("total_keyword_freq"),
         F.transform(F.array_sort(F.collect_list(over)), lambda s: s["word"]).alias("over_used"),
@@ -90,10 +90,10 @@ def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", or
     wc = texts.select(key, whitespace_words("raw_text").alias("word_count"))
     a = analysis.select(key, "completeness_score", "keyword_count")
     j = a.join(wc, key, "left").join(senti, key, "left").join(feats, key, "left")
-    j = j.withColumn("total_keyword_freq", F.coalesce("total_keyword_freq", F.lit(0)))
-    j = j.select("*", *C.density_columns(F.col("word_count"), F.col("total_keyword_freq")))
+    j = j.withColumn("total_keyword_freq", F.coalesce("total_keyword_freq", lit(0)))
+    j = j.select("*", *C.density_columns(col("word_count"), col("total_keyword_freq")))
     empty = F.array().cast("array<string>")
-    additions = F.when((F.col("word_count") > 0) & (F.col("density") < C.DENSITY_LOW), F.coalesce("top3", empty)).otherwise(empty)
+    additions = F.when((col("word_count") > 0) & (col("density") < C.DENSITY_LOW), F.coalesce("top3", empty)).otherwise(empty)
     return j.select(
         key,
         "sentiment_score",
@@ -102,8 +102,8 @@ def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", or
         "power_words",
         "emotional_triggers",
         "negative_words",
-        F.col("word_count").cast("bigint").alias("word_count"),
-        F.col("total_keyword_freq").cast("bigint").alias("total_keyword_freq"),
+        col("word_count").cast("bigint").alias("word_count"),
+        col("total_keyword_freq").cast("bigint").alias("total_keyword_freq"),
         "density",
         "density_score",
         "is_stuffed",
@@ -111,8 +111,8 @@ def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", or
         F.coalesce("over_used", empty).alias("over_used"),
         "keyword_count",
         "completeness_score",
-        S.optimization_score(F.col("completeness_score"), F.col("sentiment_score"), F.col("density_score"),
-                             F.col("keyword_count")).alias("optimization_score"),
+        S.optimization_score(col("completeness_score"), col("sentiment_score"), col("density_score"),
+                             col("keyword_count")).alias("optimization_score"),
     )
 
 
@@ -129,6 +129,6 @@ def suggestions_for(keywords: DataFrame, key: str = "page_id", order: list[str]
         top = page_top(keywords, 10)
     else:
         order = order or SITE_ORDER
-        top = packed_top(keywords, 10, key, "top10", [F.col(c) for c in order])
+        top = packed_top(keywords, 10, key, "top10", [col(c) for c in order])
     top = top.select(key, F.slice("top10", 1, 5).alias("top5"), F.slice("top10", 1, 3).alias("top3"))
     return C.title_suggestions(top, key, year), C.description_suggestions(top, key)
