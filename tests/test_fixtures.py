@@ -274,3 +274,24 @@ def test_framework_outcomes_and_precedence(spark):
     assert got["a"][0] == "VanillaHtml" and got["b"][0] == "NextJs" and got["c"][0] == "Vite"
     assert got["d"] == ("React", "public/index.html") and got["e"][0] == "Vue" and got["f"] == ("Svelte", "src/app.html")
     assert got["g"][0] == "Unknown" and got["h"][0] == "VanillaHtml"  # only root marker files count
+
+
+def test_title_length_rules(spark):
+    from sitelens.operators.score import audit_recommendations
+
+    rows = []
+    for i, n in enumerate([29, 30, 60, 61]):
+        rows.append(_analysis_row(spark, "Unknown", page_id=i, title="x" * n, has_title=True, h1_count=1,
+                                  has_description=True, has_schema=True, has_og_tags=True, has_twitter_cards=True))
+    df = rows[0]
+    for r in rows[1:]:
+        df = df.unionByName(r)
+    msgs = {r.page_id: r.message for r in audit_recommendations(df).collect()}
+    assert msgs == {0: "Title too short", 3: "Title too long"}
+
+
+def test_keyword_ties_break_on_word(spark):
+    html = "<html><head><title>t</title></head><body><p>zebra apple mango zebra apple mango</p></body></html>"
+    kws = page_keywords(page_base(one_page(spark, html))).orderBy("rank").collect()
+    assert [k.word for k in kws] == ["apple", "mango", "zebra"]
+    assert len({k.score for k in kws}) == 1 and [k.rank for k in kws] == [1, 2, 3]
