@@ -63,3 +63,14 @@ def test_bucketed_pages_need_no_shuffle(spark, tmp_dir):
         p = plan(df)
         assert "Exchange" not in p.replace("BroadcastExchange", ""), p
     assert zone_text(base).count() == 50
+
+
+def test_business_type_chain_single_shuffle(spark):
+    from sitelens.operators.business import business_type, content_summary
+    from sitelens.operators.zones import zone_text
+    from sitelens.plans.analysis import page_base
+
+    z = zone_text(page_base(scanned(spark), keep_clean=True)).withColumn("content_summary", content_summary("zone_text"))
+    p = plan(business_type(z, carry=["content_summary"]))
+    assert p.count("Exchange hashpartitioning") == 1, p
+    assert "BroadcastNestedLoopJoin" in p and "partial_max_by" in p
