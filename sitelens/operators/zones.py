@@ -1,17 +1,19 @@
 """Zone text: the page regions the business-type detector reads.
 
-The DOM is replaced by a token table and two windows:
+The DOM is replaced by a token table and windows:
 
 * ``html_tokens``   -- ``posexplode`` of the cleaned markup into tags and text runs;
 * ``element_spans`` -- a running ``sum(+1/-1)`` per (page, tag) gives each tag its
   nesting level; within (page, tag, level) an open tag's ``lead`` is its close;
-* ``zone_text``     -- an interval join of zone elements with text tokens, then
-  ordered concatenation per element and per page.
-
-All three key on ``page_id``: the token stream is hash-partitioned by
-``page_id`` once, and the windows (partitioned by page and tag), the interval
-join and the aggregates reuse that partitioning without another exchange.
-Only zone-relevant tags and text runs are shuffled, never the markup column.
+* ``zone_text``     -- the same windows plus a row index and a nav/header depth
+  over the zone-relevant token stream, then one per-page assembly: each zone
+  element's text is the slice of the page's ordered tokens between its open
+  and close.  ``zone_segments`` states the same result as an interval join.
+
+Everything keys on ``page_id``: the token stream takes one exchange on
+``page_id`` (none on a page_id-partitioned input) and every later window and
+aggregate reuses that partitioning.  Only zone-relevant tags and text runs
+are shuffled, never the markup column.
 """
 
 from __future__ import annotations
