@@ -53,3 +53,24 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert rows and set(df.columns) >= {"site", "completeness_score", "page_count"}
+
+
+def test_zone_text_equals_interval_join_formulation(spark):
+    from sitelens.operators.zones import zone_segments, zone_text
+    from sitelens.plans.analysis import page_base
+    from sitelens.sources.pages import pages_rich, read_pages
+
+    base = page_base(pages_rich(read_pages(spark, SF_SMALL)), keep_clean=True)
+    segs = zone_segments(base).groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "open_pos", "segment"))),
+                                 lambda s: s["segment"]), "").alias("zones"))
+    head = base.select(
+        "page_id",
+        F.concat(F.when(F.col("title_raw").isNotNull(), F.concat("title_raw", F.lit(" "))).otherwise(F.lit("")),
+                 F.when(F.col("description").isNotNull(), F.concat("description", F.lit(" "))).otherwise(F.lit(""))).alias("head"))
+    joined = head.join(segs, "page_id", "left").select(
+        "page_id", F.lower(F.concat("head", F.coalesce("zones", F.lit("")))).alias("via_join"))
+    both = joined.join(zone_text(base), "page_id")
+    rows = both.collect()
+    assert len(rows) == 50
+    assert all(r.via_join == r.zone_text for r in rows)
