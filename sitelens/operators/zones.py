@@ -55,6 +55,27 @@ def content_tag_names(clean: Column) -> Column:
     return F.when(clean.rlike(MAY_HAVE_CONTENT_CLASS), names).otherwise(F.array().cast("array<string>"))
 
 
+def _classified(t: Column, head: Column | None = None) -> tuple[Column, Column, Column, Column]:
+    """(kind, tag, is_content, text) of one token.
+
+    One anchored regexp per markup token yields the tag name; text runs skip
+    it.  ``head`` marks synthetic head slots (title / description parts).
+    """
+    is_markup = F.substring(t, 1, 1) == lit("<")
+    name = F.when(is_markup, F.lower(F.regexp_extract(t, TAG_NAME, 1)))
+    kind = F.when(head, lit("head")) if head is not None else None
+    kind = (kind.when(~is_markup, lit("text")) if kind is not None else F.when(~is_markup, lit("text")))
+    kind = (kind.when(name == lit(""), lit("other"))
+            .when(F.substring(t, 2, 1) == lit("/"), lit("close"))
+            .otherwise(lit("open")))
+    tag = F.when(kind.isin("open", "close"), name)
+    is_content = (kind == lit("open")) & t.rlike(P.CLASS_CONTENT)
+    text = F.when(kind == lit("text"), decode_entities(t))
+    if head is not None:
+        text = text.when(kind == lit("head"), t)
+    return kind, tag, is_content, text
+
+
 def html_tokens(base: DataFrame, zone_only: bool = False) -> DataFrame:
     """``page_id, pos, kind, tag, is_content, text`` -- the ordered tag/text stream.
 
@@ -64,22 +85,14 @@ def html_tokens(base: DataFrame, zone_only: bool = False) -> DataFrame:
     """
     src = base.select("page_id", col("clean"), content_tag_names(col("clean")).alias("ctags"))
     tok = src.select("page_id", "ctags", F.posexplode(F.regexp_extract_all("clean", lit(P.TOKEN), lit(0))).alias("pos", "tok"))
-    t = col("tok")
-    kind = (
-        F.when(F.substring(t, 1, 1) != lit("<"), lit("text"))
-        .when(t.rlike(r"^</[a-zA-Z]"), lit("close"))
-        .when(t.rlike(r"^<[a-zA-Z]"), lit("open"))
-        .otherwise(lit("other"))
-    )
-    tag = F.lower(F.coalesce(F.nullif(F.regexp_extract(t, P.CLOSE_TAG_NAME, 1), lit("")),
-                             F.nullif(F.regexp_extract(t, P.OPEN_TAG_NAME, 1), lit(""))))
+    kind, tag, is_content, text = _classified(col("tok"))
     out = tok.select(
         "page_id",
         "pos",
         kind.alias("kind"),
-        F.when(kind.isin("open", "close"), tag).alias("tag"),
-        ((kind == lit("open")) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
-        F.when(kind == lit("text"), decode_entities(t)).alias("text"),
+        tag.alias("tag"),
+        is_content.alias("is_content"),
+        text.alias("text"),
         "ctags",
     )
     if zone_only:
@@ -153,24 +166,15 @@ def _zone_stream(base: DataFrame) -> DataFrame:
     # outer: the array always holds the two head slots, and a plain explode would
     # make Catalyst infer a size() > 0 filter that re-runs the whole extraction
     src = pre.select("page_id", "ctags", F.posexplode_outer("toks").alias("pos", "tok"))
-    t = col("tok")
-    # one anchored regexp per markup token gives the tag name; text runs skip it
-    is_markup = F.substring(t, 1, 1) == lit("<")
-    name = F.when(is_markup, F.lower(F.regexp_extract(t, TAG_NAME, 1)))
-    kind = (
-        F.when(col("pos") < 2, lit("head"))
-        .when(~is_markup, lit("text"))
-        .when(name == lit(""), lit("other"))
-        .when(F.substring(t, 2, 1) == lit("/"), lit("close"))
-        .otherwise(lit("open"))
-    )
+    kind, tag, is_content, text = _classified(col("tok"), head=col("pos") < 2)
     s = src.select(
         "page_id",
         "pos",
         kind.alias("kind"),
-        F.when(kind.isin("open", "close"), name).alias("tag"),
-        ((kind == lit("open")) & (F.size("ctags") > 0) & t.rlike(P.CLASS_CONTENT)).alias("is_content"),
-        F.when(kind == lit("text"), decode_entities(t)).when(kind == lit("head"), t).alias("text"),
+        tag.alias("tag"),
+        # only pages that have a ".content" element pay for the class test
+        ((F.size("ctags") > 0) & is_content).alias("is_content"),
+        text.alias("text"),
         "ctags",
     )
     tracked = (col("tag").isin(*ZONE_TAGS) | F.array_contains(col("ctags"), col("tag"))) & ~col("tag").isin(*VOID_TAGS)
