@@ -76,12 +76,11 @@ def _classified(t: Column, head: Column | None = None) -> tuple[Column, Column,
     return kind, tag, is_content, text
 
 
-def html_tokens(base: DataFrame, zone_only: bool = False) -> DataFrame:
+def html_tokens(base: DataFrame) -> DataFrame:
     """``page_id, pos, kind, tag, is_content, text`` -- the ordered tag/text stream.
 
     ``kind`` is ``open``, ``close``, ``text`` or ``other`` (comments, doctype);
-    ``text`` is entity-decoded.  With ``zone_only`` the stream keeps text runs
-    and the tags that zone detection tracks, and is hash-partitioned by page.
+    ``text`` is entity-decoded.
     """
     src = base.select("page_id", col("clean"), content_tag_names(col("clean")).alias("ctags"))
     tok = src.select("page_id", "ctags", F.posexplode(F.regexp_extract_all("clean", lit(P.TOKEN), lit(0))).alias("pos", "tok"))
@@ -95,10 +94,6 @@ def html_tokens(base: DataFrame, zone_only: bool = False) -> DataFrame:
         text.alias("text"),
         "ctags",
     )
-    if zone_only:
-        tracked = col("tag").isin(*ZONE_TAGS) | F.array_contains(col("ctags"), col("tag"))
-        out = out.where((col("kind") == "text") | (col("kind").isin("open", "close") & tracked))
-        out = out.repartition("page_id")
     return out.drop("ctags")
 
 
