@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import huffman, packing, pii, quality, tokencount, warc
+from sitelens.llm import decontam, huffman, langid, packing, pii, quality, setjoin, suffix, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that several documents hold."""
+    return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return setjoin.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.languages(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms."""
     return pii.pseudonymised(_table(spark, sf_dir, "documents"))
@@ -44,6 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_quality_rules": op2_quality_rules,
+    "op3_suffix_passages": op3_suffix_passages,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_pii_pseudonyms": op7_pii_pseudonyms,
     "op8_warc_zip": op8_warc_zip,
     "op9_concat_packing": op9_concat_packing,
