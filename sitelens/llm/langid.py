@@ -65,8 +65,6 @@ class Profiles:
         self._vectors = np.zeros((0, self.dimensions), np.float32)
 
     def _learn(self, keys: np.ndarray) -> None:
-        if len(self._keys) + len(keys) > self.cache:
-            self._reset()
         new = np.empty((len(keys), self.dimensions), np.float32)
         for i, key in enumerate(keys.tolist()):
             a, b, c = (letter_vector((key >> s) & 0x1FFFFF, self.dimensions) for s in (42, 21, 0))
@@ -85,17 +83,18 @@ class Profiles:
             return None
         codes[~is_letter] = GAP
         kept = is_letter.copy()
-        kept[1:] |= is_letter[:-1]  # the first of a run of other characters stays as the gap
-        codes = np.concatenate([[GAP], codes[kept | (np.arange(len(codes)) == 0) & is_letter], [GAP]])
+        kept[1:] |= is_letter[:-1]  # the first other character after a letter stays as the gap
+        codes = codes[kept]
+        codes = np.concatenate([[GAP], codes, [GAP] * int(codes[-1] != GAP)])
         keys, counts = np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
         place = np.searchsorted(self._keys, keys)
         known = place < len(self._keys)
         known[known] = self._keys[place[known]] == keys[known]
         if not known.all():
-            self._learn(keys[~known])
-            missing = np.setdiff1d(keys, self._keys, assume_unique=True)
-            if len(missing):  # the cache was emptied
-                self._learn(missing)
+            full = len(self._keys) + int((~known).sum()) > self.cache
+            if full:
+                self._reset()
+            self._learn(keys if full else keys[~known])
             place = np.searchsorted(self._keys, keys)
         return counts.astype(np.float32) @ self._vectors[self._rows[place]]
 
