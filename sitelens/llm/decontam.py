@@ -5,9 +5,10 @@ name (capitalised other than at the start of a sentence or line); other words
 are literal, without case and edge punctuation.  Windows of ``WINDOW``
 template words with at least ``MIN_LITERAL`` literal ones are joined by hash
 between documents and benchmark items; neighbouring hits on one alignment
-chain into a run.  A run counts if it has ``MIN_RUN`` words, or all words of a
-shorter item, and if its slots are consistent: equal values of the item stand
-for equal values of the document.  Runs whose slots hold the item's own values
+chain into a run.  A run counts if it has ``MIN_RUN`` words, or all words but
+one of a shorter item (its first word looks like a name where a document has
+it inside a sentence), and if its slots are consistent: equal values of the
+item stand for equal values of the document.  Runs whose slots hold the item's own values
 are ``exact``, the others ``reparametrised``.
 
 Before the join a bitmap of the benchmark's window hashes drops the windows
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.storage import written
+from sitelens.llm.storage import free_name, written
 from sitelens.llm.tokens import slices
 from sitelens.llm.words import Words, span_hashes, split_words, window_hashes
 
@@ -170,15 +171,12 @@ def _document_windows(docs: DataFrame, bitmap: np.ndarray, bits: int) -> DataFra
     return docs.mapInArrow(run, "doc_id long, key long, h long, pos int, slots array<long>")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-
-
 def runs(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """Runs that count: ``doc_id, key, item_id, start, words, item_words, exact``."""
     index = written(benchmark_windows(benchmark), "bench-windows")
     bitmap, bits = window_bitmap(index)
-    rows = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "key", F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     found = written(_document_windows(rows, bitmap, bits), "doc-windows")
     hits = found.join(index.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}), "h")
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).drop("h").dropDuplicates(["key", "item_id", "shift", "pos"])
@@ -193,7 +191,8 @@ def runs(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataF
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))
-    counts = (F.col("words") >= F.least(F.lit(min_run), F.col("item_words"))) & consistent
+    least = F.least(F.lit(min_run), F.greatest(F.col("item_words") - 1, F.lit(WINDOW)))
+    counts = (F.col("words") >= least) & consistent
     exact = F.forall("slots", lambda x: x["b"] == x["d"])
     return grouped.where(counts).select("doc_id", "key", "item_id", "start", "words", "item_words", exact.alias("exact"))
 
@@ -210,6 +209,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     bad = written(runs(docs, benchmark, min_run).select("key").distinct(), "contaminated-keys")
     small = bad.count() <= BROADCAST_ROWS
-    bad = bad.withColumnRenamed("key", "_key")
-    kept = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return kept.join(F.broadcast(bad) if small else bad, "_key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = free_name(docs.columns, "key")
+    bad = bad.withColumnRenamed("key", key)
+    kept = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return kept.join(F.broadcast(bad) if small else bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,6 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sitelens.llm.storage import free_name
 
 DIMENSIONS = 512
 PER_LANGUAGE = 4000
@@ -85,7 +88,7 @@ class Profiles:
         kept = is_letter.copy()
         kept[1:] |= is_letter[:-1]  # the first other character after a letter stays as the gap
         codes = codes[kept]
-        codes = np.concatenate([[GAP], codes, [GAP] * int(codes[-1] != GAP)])
+        codes = np.concatenate([[GAP], codes, np.full(int(codes[-1] != GAP), GAP)])
         keys, counts = np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
         place = np.searchsorted(self._keys, keys)
         known = place < len(self._keys)
@@ -147,12 +150,11 @@ def languages(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int =
 def known_language(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs`` in a language that was learned; those without a letter go.  All columns stay."""
     names, stack = prototypes(docs, dimensions, per_language)
-    from pyspark.sql import types as T
-
     columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    judged = docs.mapInArrow(_predictor(names, stack, dimensions, columns, "_lang_pred", "_score"), schema)
-    return judged.where(F.col("_lang_pred") != UNKNOWN).select(*(F.col(f"`{c}`") for c in columns))
+    lang, score = free_name(columns, "lang_pred"), free_name(columns, "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    judged = docs.mapInArrow(_predictor(names, stack, dimensions, columns, lang, score), schema)
+    return judged.where(F.col(lang) != UNKNOWN).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def _predictor(names: list[str], stack: np.ndarray, dimensions: int, kept: list[str], lang: str = "lang_pred", score: str = "score"):

@@ -195,29 +195,28 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     return out.otherwise(x)
 
 
-def found(docs: DataFrame, column: str = "text", key: str = DEMO_KEY) -> DataFrame:
-    """``docs`` with ``_gaps``, ``_found`` (value and kind of each candidate) and ``_new`` (what replaces it)."""
-    text = F.col(column).cast("string")
+def found(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
+    """``docs(text, ...)`` with ``_found`` (value and kind of each candidate) and ``_text`` (with what replaces them)."""
+    text = F.col("text")
     some = text.rlike("[0-9@]")
     none = F.array().cast("array<string>")
     out = docs.withColumn("_matches", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
     out = out.withColumn("_found", F.transform("_matches", lambda x: F.struct(x.alias("value"), kind_of(x).alias("kind"))))
     out = out.withColumn("_new", F.transform("_found", lambda m: pseudonym(m["value"], m["kind"], key)))
-    gaps = F.split(text, CANDIDATE)
     joined = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
-    out = out.withColumn("_gaps", F.when(F.exists("_found", lambda m: m["kind"].isNotNull()), gaps))
+    out = out.withColumn("_gaps", F.when(F.exists("_found", lambda m: m["kind"].isNotNull()), F.split(text, CANDIDATE)))
     return out.withColumn("_text", F.when(F.col("_gaps").isNotNull(), joined).otherwise(text))
 
 
 def pseudonymised(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """``doc_id``, the new ``text`` and a count of each kind."""
-    rows = found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), key=key)
+    rows = found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), key)
     count = lambda kind: F.coalesce(F.size(F.filter("_found", lambda m: m["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", F.col("_text").alias("text"), *map(count, KINDS))
 
 
 def replace_text(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """The table with its text replaced (and ``n_chars`` renewed); all other columns as they were."""
-    rows = found(docs, key=key)
+    rows = found(docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text")), key)
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return rows.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

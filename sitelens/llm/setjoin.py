@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm.graph import components
-from sitelens.llm.storage import written
+from sitelens.llm.storage import free_name, written
 from sitelens.llm.tokens import slices
 from sitelens.llm.words import mix, short_hash, split_words, window_hashes, word_hashes
 
@@ -395,8 +395,9 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Rows without a ``doc_id`` stay, and so do repeated rows of a representative.
     """
-    classes = jaccard_classes(docs, percent).where("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    gone = written(classes, "near-copies")
+    ident = free_name(docs.columns, "id")
+    gone = jaccard_classes(docs, percent).where("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias(ident)).distinct()
+    gone = written(gone, "near-copies")
     small = gone.count() <= BROADCAST_ROWS
-    marked = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return marked.join(F.broadcast(gone) if small else gone, "_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.withColumn(ident, F.col("doc_id").cast("long"))
+    return marked.join(F.broadcast(gone) if small else gone, ident, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

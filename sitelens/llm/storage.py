@@ -71,3 +71,11 @@ def put_file(uri: str, attempt: str, chunks) -> int:
             size += len(chunk)
     fs.move(partial, path)
     return size
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm import pii, quality
 
-DOCS = "doc_id long, text string, words string, text_1 string, kind int"
+DOCS = "doc_id long, text string, words string, _text string, kind int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -141,4 +141,4 @@ def test_long_text_and_extra_columns(spark):
     out = pii.replace_text(df)
     assert out.columns == df.columns
     r = out.first()
-    assert (r["words"], r["text_1"], r["kind"]) == ("keep", "me", 4) and "10.0.0.1" not in r["text"] and r["text"].startswith("w w")
+    assert (r["words"], r["_text"], r["kind"]) == ("keep", "me", 4) and "10.0.0.1" not in r["text"] and r["text"].startswith("w w")
