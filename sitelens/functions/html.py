@@ -21,10 +21,7 @@ def _all(c: Column, pattern: str) -> Column:
 
 
 def clean_html(html="html") -> Column:
-    h = col_of(html)
-    h = F.regexp_replace(h, P.SCRIPT_BLOCK, "$1</script>")
-    h = F.regexp_replace(h, P.STYLE_BLOCK, "$1</style>")
-    return F.regexp_replace(h, P.COMMENT, P.COMMENT_MARK)
+    return F.regexp_replace(col_of(html), P.HIDDEN, "$1$2$3$4" + P.COMMENT_MARK)
 
 
 def title_raw(clean="clean") -> Column:
@@ -130,7 +127,7 @@ def body_part(clean="clean") -> Column:
 
 def text_nodes(markup: Column) -> Column:
     """Runs of text between tags, in document order (still entity-encoded)."""
-    return F.filter(_all(markup, P.TOKEN), lambda t: F.substring(t, 1, 1) != lit("<"))
+    return F.filter(_all(markup, P.TOKEN), lambda t: ~t.rlike(P.IS_MARKUP))
 
 
 def text_nodes_with_scripts(markup: Column) -> Column:
@@ -142,7 +139,7 @@ def text_nodes_with_scripts(markup: Column) -> Column:
         lambda t: F.when(t.rlike(P.RAW_TEXT_START), F.regexp_extract(t, P.RAW_TEXT_BODY, 1)).otherwise(t),
     )
     kept = F.filter(F.arrays_zip(toks.alias("t"), inner.alias("i")),
-                    lambda z: (F.substring(z["t"], 1, 1) != lit("<")) | (z["t"].rlike(P.RAW_TEXT_START) & (z["i"] != lit(""))))
+                    lambda z: ~z["t"].rlike(P.IS_MARKUP) | (z["t"].rlike(P.RAW_TEXT_START) & (z["i"] != lit(""))))
     return F.transform(kept, lambda z: z["i"])
 
 

@@ -2,7 +2,9 @@
 
 Every pattern stays inside the subset that Java regex (Spark) and RE2 (DuckDB)
 read the same way: no look-around, no back-references, explicit whitespace
-classes instead of ``\\s``.  Tag names and attribute names are matched
+classes instead of ``\\s``.  Repeated groups are possessive, because Java
+recurses once per turn of any other repeated group and a long page would
+overflow its stack; ``re2`` spells them for RE2, which never recurses.  Tag names and attribute names are matched
 case-insensitively (the HTML parser lower-cases them); attribute *values* are
 case-sensitive except for ``type``, ``rel`` and ``http-equiv``.
 """
@@ -16,9 +18,22 @@ WS = r"[ \t\r\n\f]"
 ATTR_SEP = r"[ \t\r\n\f/]"
 
 
+# what follows inside a tag: a quoted value may hold ">"; a stray quote stands for itself
+QUOTED = rf"(?:[^>=]++|={WS}*\"[^\"]*\"|={WS}*'[^']*'|=)*+"
+# the rest of a start tag after its name; the plain form serves tags whose quotes do not close
+TAG_REST = rf"(?:{ATTR_SEP}(?:{QUOTED}>|[^>]*>)|>)"
+
+
+def re2(pattern: str) -> str:
+    """The pattern with greedy in place of possessive repetition."""
+    for end in ")]}":
+        pattern = pattern.replace(end + "*+", end + "*").replace(end + "++", end + "+")
+    return pattern
+
+
 def tag(name: str) -> str:
     """One start tag ``<name ...>`` (whole tag)."""
-    return rf"<(?i:{name})(?:{ATTR_SEP}[^>]*)?>"
+    return rf"<(?i:{name}){TAG_REST}"
 
 
 def start_of(name: str) -> str:
@@ -68,25 +83,31 @@ def attr_nonempty(attr: str) -> str:
 
 
 # --- document cleaning -------------------------------------------------------
-# raw-text elements: keep the opening tag (its attributes are audited), drop the
-# body so markup-looking text inside it is not counted
-SCRIPT_BLOCK = rf"(?is)(<script(?:{ATTR_SEP}[^>]*)?>).*?</script{WS}*>"
-STYLE_BLOCK = rf"(?is)(<style(?:{ATTR_SEP}[^>]*)?>).*?</style{WS}*>"
+# comments, and raw-text elements: keep the opening tag (its attributes are
+# audited), drop the body so markup-looking text inside it is not counted.  One
+# alternation, so whichever begins first hides the other.
+HIDDEN = (
+    rf"(?is)(<script{TAG_REST}).*?(</script{WS}*>)|(<style{TAG_REST}).*?(</style{WS}*>)|<!--.*?-->"
+)
 COMMENT = r"(?s)<!--.*?-->"
 COMMENT_MARK = "<!>"  # keeps the text on both sides of a comment apart
 
-# whole-document token stream: one tag, or one run of text
-TOKEN = r"<[^>]*>|[^<]+"
+# whole-document token stream: one tag, or one run of text; "<" before anything
+# but a name, "/", "!" or "?" is text
+ANY_TAG = rf"<[a-zA-Z/!?](?:{QUOTED}>|[^>]*>)"
+TEXT_RUN = r"(?:[^<]++|<[^a-zA-Z/!?<])++"
+TOKEN = rf"{ANY_TAG}|{TEXT_RUN}|<"
+IS_MARKUP = r"^<[a-zA-Z/!?]"
 # the same, with script/style elements kept whole (body is raw text)
 RAW_TEXT_TOKEN = (
-    rf"(?is)<script(?:{ATTR_SEP}[^>]*)?>.*?</script{WS}*>|<style(?:{ATTR_SEP}[^>]*)?>.*?</style{WS}*>|<[^>]*>|[^<]+"
+    rf"(?is)<script{TAG_REST}.*?</script{WS}*>|<style{TAG_REST}.*?</style{WS}*>|{TOKEN}"
 )
 RAW_TEXT_START = r"(?i)^<(?:script|style)(?:[ \t\r\n\f/>])"
-RAW_TEXT_BODY = r"(?is)^<[a-z]+(?:[ \t\r\n\f/][^>]*)?>(.*)</[a-z]+[ \t\r\n\f]*>$"
+RAW_TEXT_BODY = rf"(?is)^<[a-z]+{TAG_REST}(.*)</[a-z]+[ \t\r\n\f]*>$"
 
 # --- head elements -------------------------------------------------------------
-TITLE_PRESENT = rf"(?is)<title(?:{ATTR_SEP}[^>]*)?>.*?</title"
-TITLE_TEXT = rf"(?is)<title(?:{ATTR_SEP}[^>]*)?>(.*?)</title"
+TITLE_PRESENT = rf"(?is)<title{TAG_REST}.*?</title"
+TITLE_TEXT = rf"(?is)<title{TAG_REST}(.*?)</title"
 META_TAG = tag("meta")
 HTML_TAG = tag("html")
 LINK_TAG = tag("link")
@@ -94,10 +115,11 @@ SCRIPT_TAG = tag("script")
 IMG_TAG = tag("img")
 
 BODY_PRESENT = rf"(?i)<body(?:{ATTR_SEP}|>)"
-BODY_REST = rf"(?is)<body(?:{ATTR_SEP}[^>]*)?>(.*)$"
-HEAD_END_PRESENT = r"(?i)</head"
-HEAD_REST = r"(?is)</head[^>]*>(.*)$"
-TITLE_ELEMENT = rf"(?is)<title(?:{ATTR_SEP}[^>]*)?>.*?</title[^>]*>"
+BODY_REST = rf"(?is)<body{TAG_REST}(.*)$"
+# "</head" up to a delimiter, so that "</header>" is another tag
+HEAD_END_PRESENT = rf"(?i)</head{WS}*>"
+HEAD_REST = rf"(?is)</head{WS}*>(.*)$"
+TITLE_ELEMENT = rf"(?is)<title{TAG_REST}.*?</title[^>]*>"
 
 NAME_DESCRIPTION = attr_eq("name", "description")
 NAME_VIEWPORT = attr_eq("name", "viewport")
@@ -120,7 +142,7 @@ IMG_START = start_of("img")
 
 # --- words ---------------------------------------------------------------------
 WORD = r"[a-zA-Z]+"
-PHRASE = rf"[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)+"
+PHRASE = rf"[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)++"
 SENTIMENT_TOKEN = r"[\p{L}\p{N}-]+"
 NON_SPACE_RUN = r"[^ \t\r\n\f]+"
 SENTENCE_SPLIT = r"[.!?]"
@@ -128,12 +150,15 @@ EDGE_WS = rf"^{WS}+|{WS}+$"
 
 # --- injection -----------------------------------------------------------------
 # first </head>, else first <body, case-insensitively
-HEAD_POINT = r"(?is)^(.*?)(</head.*)$"
-BODY_POINT = r"(?is)^(.*?)(<body.*)$"
+HEAD_POINT = rf"(?is)^(.*?)(</head{WS}*>.*)$"
+BODY_POINT = rf"(?is)^(.*?)(<body(?:{ATTR_SEP}|>).*)$"
 # the reference removes the first lower-case, attribute-less title element
 STRIP_TITLE = r"(?s)^(.*?)<title>[^<]*</title>(.*)$"
 STRIP_TITLE_PRESENT = r"<title>[^<]*</title>"
 
+# --- entities ----------------------------------------------------------------------
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
 # --- zone tokens ---------------------------------------------------------------
 OPEN_TAG_NAME = r"^<([a-zA-Z][a-zA-Z0-9]*)"
 CLOSE_TAG_NAME = r"^</([a-zA-Z][a-zA-Z0-9]*)"

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
 
-# Entities decoded like the DOM does; "&amp;" must come last so
-# that an escaped entity ("&amp;lt;") is not decoded twice.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+
+
+def entity_values() -> dict[str, str]:
+    """Named entities (the HTML 4 set of the standard library) and the numeric
+    references that browsers read as Windows-1252, by what stands between & and ;."""
+    named = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+    return named | {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+
 
 # HTML escaping of generated attribute values, in this order.
 ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
@@ -74,11 +72,28 @@ def col_of(c) -> Column:
     return col(c) if isinstance(c, str) else c
 
 
+def _entity(e: Column) -> Column:
+    """What one entity stands for; an unknown name stays as it is."""
+    table = F.from_json(lit(json.dumps(entity_values())), "map<string,string>")
+    inner = F.substring(e, 2, 40)
+    inner = F.substring_index(inner, ";", 1)
+    code = F.when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, 3, 10), 16, 10)).when(inner.rlike("^#"), F.substring(inner, 2, 10)).cast("int")
+    known = F.try_element_at(table, F.when(code.isNotNull(), F.concat(lit("#"), code.cast("string"))).otherwise(inner))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    point = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(lit("\ufffd"))
+    return F.coalesce(known, F.when(code.isNotNull(), point), e)
+
+
 def decode_entities(c) -> Column:
-    out = col_of(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, lit(ent), lit(ch))
-    return out
+    """Named, decimal and hexadecimal entities in one pass, so ``&amp;lt;`` becomes ``&lt;``.
+
+    A no-break space becomes a space.  Entities without their semicolon stay.
+    """
+    c = col_of(c)
+    plain = F.split(c, P.ENTITY)
+    values = F.transform(F.regexp_extract_all(c, lit(P.ENTITY), lit(0)), _entity)
+    joined = F.array_join(F.zip_with(plain, F.concat(values, F.array(lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(F.contains(c, lit("&")), joined).otherwise(c)
 
 
 def html_escape(c) -> Column:

@@ -29,13 +29,13 @@ def strip_title(html: Column) -> Column:
 
 
 def has_point(html: Column) -> Column:
-    return html.rlike(r"(?i)</head") | html.rlike(r"(?i)<body")
+    return html.rlike(P.HEAD_END_PRESENT) | html.rlike(P.BODY_PRESENT)
 
 
 def split_at_point(html: Column) -> tuple[Column, Column]:
     """(before, after) around the first ``</head>``, else the first ``<body``; nulls if neither."""
-    head = html.rlike(r"(?i)</head")
-    body = html.rlike(r"(?i)<body")
+    head = html.rlike(P.HEAD_END_PRESENT)
+    body = html.rlike(P.BODY_PRESENT)
     before = F.when(head, F.regexp_extract(html, P.HEAD_POINT, 1)).when(body, F.regexp_extract(html, P.BODY_POINT, 1))
     after = F.when(head, F.regexp_extract(html, P.HEAD_POINT, 2)).when(body, F.regexp_extract(html, P.BODY_POINT, 2))
     return before, after

@@ -37,7 +37,7 @@ ZONE_TAGS = ["h1", "h2", "h3", "a", *NAV_CONTAINERS, *CONTAINERS]
 G_TITLE, G_DESCRIPTION, G_NAV_LINK, G_CONTAINER = 0, 1, 5, 6
 END_OF_PAGE = 2_147_483_647
 
-ANY_OPEN_TAG = r"<[a-zA-Z][^>]*>"
+ANY_OPEN_TAG = rf"<[a-zA-Z](?:{P.QUOTED}>|[^>]*>)"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
 # necessary condition for a ".content" element: a class attribute whose value holds "content"
 MAY_HAVE_CONTENT_CLASS = r"(?i:class)[ \t\r\n\f]*=[^>]*content"
@@ -61,7 +61,7 @@ def _classified(t: Column, head: Column | None = None) -> tuple[Column, Column,
     One anchored regexp per markup token yields the tag name; text runs skip
     it.  ``head`` marks synthetic head slots (title / description parts).
     """
-    is_markup = F.substring(t, 1, 1) == lit("<")
+    is_markup = t.rlike(P.IS_MARKUP)
     name = F.when(is_markup, F.lower(F.regexp_extract(t, TAG_NAME, 1)))
     kind = F.when(head, lit("head")) if head is not None else None
     kind = (kind.when(~is_markup, lit("text")) if kind is not None else F.when(~is_markup, lit("text")))
@@ -195,16 +195,18 @@ def zone_text(base: DataFrame) -> DataFrame:
     is_open = col("kind") == lit("open")
     is_close = col("kind") == lit("close")
     by_page = Window.partitionBy("page_id").orderBy("pos")
-    is_nav = col("tag").isin(*NAV_CONTAINERS)
-    nav_delta = F.when(is_open & is_nav, 1).when(is_close & is_nav, -1).otherwise(0)
-    s = s.withColumn("idx", F.row_number().over(by_page)).withColumn(
-        "nav_depth", F.sum(nav_delta).over(by_page.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    s = s.withColumn("idx", F.row_number().over(by_page))
     running = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("depth", F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(running))
     s = s.withColumn("level", F.when(is_open, col("depth")).otherwise(col("depth") + 1))
     nxt = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
     s = s.withColumn("next_idx", F.lead("idx").over(nxt)).withColumn("next_kind", F.lead("kind").over(nxt))
+    s = s.withColumn("last_kind", F.lag("kind").over(nxt))
+    # an end tag closes a nav or header only if it matches an open one: stray ends do not count
+    is_nav = col("tag").isin(*NAV_CONTAINERS)
+    ends_nav = is_close & is_nav & (col("last_kind") == lit("open"))
+    nav_delta = F.when(is_open & is_nav, 1).when(ends_nav, -1).otherwise(0)
+    s = s.withColumn("nav_depth", F.sum(nav_delta).over(by_page.rowsBetween(Window.unboundedPreceding, 0)))
     close_idx = F.when(is_open & (col("next_kind") == lit("close")), col("next_idx"))
     grps = F.filter(
         F.array(

@@ -10,20 +10,27 @@ The regexps are the very same strings the Spark expressions use
 from __future__ import annotations
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import ENTITIES, ESCAPES
+from sitelens.functions.text import ESCAPES, entity_values
 from sitelens.operators.audit import COMPLETENESS_WEIGHTS
 from sitelens.sources.pages import HOST_RE, INDEX_PATH_RE, PATH_RE, pages_rich_sql
 
 
 def q(s: str) -> str:
-    """SQL string literal."""
-    return "'" + s.replace("'", "''") + "'"
+    """SQL string literal; possessive repetitions of a pattern become greedy ones."""
+    return "'" + P.re2(s).replace("'", "''") + "'"
 
 
 def decode(x: str) -> str:
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    names = ", ".join(f"{q(k)}: {q(v)}" for k, v in entity_values().items())
+    inner = "substr(e, 2, length(e) - 2)"
+    code = f"CASE WHEN {inner}[1:2] IN ('#x', '#X') THEN CAST('0x' || {inner}[3:] AS INTEGER) WHEN {inner}[1] = '#' THEN CAST({inner}[2:] AS INTEGER) END"
+    valid = "n > 0 AND n <= 1114111 AND NOT n BETWEEN 55296 AND 57343"
+    # list_transform over a list of one names a value inside an expression
+    known = f"map {{{names}}}[CASE WHEN n IS NOT NULL THEN '#' || n ELSE {inner} END]"
+    one = f"list_transform([{code}], lambda n: coalesce({known}, CASE WHEN {valid} THEN chr(n) WHEN n IS NOT NULL THEN chr(65533) END, e))[1]"
+    values = f"list_append(list_transform(regexp_extract_all(v, {q(P.ENTITY)}), lambda e: {one}), '')"
+    joined = f"array_to_string(list_transform(list_zip(string_split_regex(v, {q(P.ENTITY)}), {values}), lambda z: z[1] || z[2]), '')"
+    return f"list_transform([{x}], lambda v: CASE WHEN contains(v, '&') THEN {joined} ELSE v END)[1]"
 
 
 def html_escape(x: str) -> str:
@@ -49,9 +56,7 @@ def regexp_value(x: str, pat: str) -> str:
 
 
 def clean_html(h: str = "html") -> str:
-    h = f"regexp_replace({h}, {q(P.SCRIPT_BLOCK)}, '\\1</script>', 'g')"
-    h = f"regexp_replace({h}, {q(P.STYLE_BLOCK)}, '\\1</style>', 'g')"
-    return f"regexp_replace({h}, {q(P.COMMENT)}, {q(P.COMMENT_MARK)}, 'g')"
+    return f"regexp_replace({h}, {q(P.HIDDEN)}, '\\1\\2\\3\\4{P.COMMENT_MARK}', 'g')"
 
 
 def first_tag(clean: str, tag_pat: str, attr_pat: str) -> str:
@@ -99,7 +104,7 @@ def body_part(clean: str = "clean") -> str:
 
 
 def body_text(clean: str = "clean", title_raw_col: str = "title_raw", desc_col: str = "description") -> str:
-    nodes = f"list_filter({extract_all(body_part(clean), P.TOKEN)}, lambda t: substr(t, 1, 1) <> '<')"
+    nodes = f"list_filter({extract_all(body_part(clean), P.TOKEN)}, lambda t: NOT {rlike('t', P.IS_MARKUP)})"
     joined = f"array_to_string(list_transform({nodes}, lambda t: t || ' '), '')"
     return (
         f"concat({decode(joined)}, CASE WHEN {title_raw_col} IS NOT NULL THEN {title_raw_col} || ' ' ELSE '' END, "
@@ -302,7 +307,7 @@ def token_ctes() -> str:
         f"lambda t: lower(regexp_extract(t, {q(P.OPEN_TAG_NAME)}, 1))))"
     )
     kind = (
-        "CASE WHEN substr(tok, 1, 1) <> '<' THEN 'text' "
+        f"CASE WHEN NOT {rlike('tok', P.IS_MARKUP)} THEN 'text' "
         f"WHEN {rlike('tok', '^</[a-zA-Z]')} THEN 'close' WHEN {rlike('tok', '^<[a-zA-Z]')} THEN 'open' ELSE 'other' END"
     )
     tag = (
@@ -861,12 +866,12 @@ def inject_expr(h: str, meta: str, og: str, tw: str, schema: str) -> str:
 
     def part(x: str, g: int) -> str:
         return (
-            f"CASE WHEN regexp_matches({x}, '(?i)</head') THEN regexp_extract({x}, {q(P.HEAD_POINT)}, {g}) "
-            f"WHEN regexp_matches({x}, '(?i)<body') THEN regexp_extract({x}, {q(P.BODY_POINT)}, {g}) END"
+            f"CASE WHEN {rlike(x, P.HEAD_END_PRESENT)} THEN regexp_extract({x}, {q(P.HEAD_POINT)}, {g}) "
+            f"WHEN {rlike(x, P.BODY_PRESENT)} THEN regexp_extract({x}, {q(P.BODY_POINT)}, {g}) END"
         )
 
     wrap = lambda b: f"CASE WHEN {b} <> '' THEN chr(10) || {b} || chr(10) ELSE '' END"
-    has = f"(regexp_matches({h}, '(?i)</head') OR regexp_matches({h}, '(?i)<body'))"
+    has = f"({rlike(h, P.HEAD_END_PRESENT)} OR {rlike(h, P.BODY_PRESENT)})"
     body = f"{part(stripped, 1)} || chr(10) || {meta} || chr(10) || {wrap(og)} || {wrap(tw)} || {wrap(schema)} || {part(stripped, 2)}"
     return f"CASE WHEN {has} THEN {body} ELSE {h} END", f"CASE WHEN {has} THEN 'ok' ELSE 'no_injection_point' END"
 
@@ -892,8 +897,8 @@ def page_pieces(rich: bool = True) -> str:
 
 def injection_point_q(rich: bool = True) -> str:
     before = (
-        "CASE WHEN regexp_matches(html, '(?i)</head') THEN regexp_extract(html, " + q(P.HEAD_POINT) + ", 1) "
-        "WHEN regexp_matches(html, '(?i)<body') THEN regexp_extract(html, " + q(P.BODY_POINT) + ", 1) END"
+        f"CASE WHEN {rlike('html', P.HEAD_END_PRESENT)} THEN regexp_extract(html, {q(P.HEAD_POINT)}, 1) "
+        f"WHEN {rlike('html', P.BODY_PRESENT)} THEN regexp_extract(html, {q(P.BODY_POINT)}, 1) END"
     )
     return f"WITH {base_ctes(rich)} SELECT page_id, CAST(length({before}) AS INTEGER) AS injection_point FROM src"
 
@@ -1030,10 +1035,10 @@ def site_main_injected_q(rich: bool = True) -> str:
 def inject_block_q(rich: bool = True) -> str:
     def part(x: str, g: int) -> str:
         return (
-            f"CASE WHEN regexp_matches({x}, '(?i)</head') THEN regexp_extract({x}, {q(P.HEAD_POINT)}, {g}) "
-            f"WHEN regexp_matches({x}, '(?i)<body') THEN regexp_extract({x}, {q(P.BODY_POINT)}, {g}) END"
+            f"CASE WHEN {rlike(x, P.HEAD_END_PRESENT)} THEN regexp_extract({x}, {q(P.HEAD_POINT)}, {g}) "
+            f"WHEN {rlike(x, P.BODY_PRESENT)} THEN regexp_extract({x}, {q(P.BODY_POINT)}, {g}) END"
         )
 
-    has = "(regexp_matches(html, '(?i)</head') OR regexp_matches(html, '(?i)<body'))"
+    has = f"({rlike('html', P.HEAD_END_PRESENT)} OR {rlike('html', P.BODY_PRESENT)})"
     e = f"CASE WHEN {has} AND open_graph <> '' THEN {part('html', 1)} || chr(10) || open_graph || chr(10) || {part('html', 2)} ELSE html END"
     return f"{page_pieces(rich)} SELECT page_id, {e} AS html FROM pj"
