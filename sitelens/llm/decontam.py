@@ -39,6 +39,8 @@ WINDOW = 5
 MIN_LITERAL = 3
 MIN_RUN = 13
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 28, 15
+#: Bytes of text whose words are hashed at once.
+SLICE_BYTES = 3 << 20
 #: A side of at most so many rows of one number, counted first, may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -125,7 +127,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 text, rows = _rows(batch.column("text"))
                 size = np.diff(split_words(batch.column("text")).offsets)[text]
                 yield pa.record_batch([batch.column("item_id").take(pa.array(text)), pa.array(size.astype(np.int32)), *rows.columns], names=["item_id", "item_words", "h", "pos", "slots"])
@@ -163,7 +165,7 @@ def _document_windows(docs: DataFrame, bitmap: np.ndarray, bits: int) -> DataFra
             return (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 text, rows = _rows(batch.column("text"), keep)
                 at = pa.array(text)
                 yield pa.record_batch([batch.column("doc_id").take(at), batch.column("key").take(at), *rows.columns], names=["doc_id", "key", "h", "pos", "slots"])

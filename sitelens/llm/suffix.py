@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.setjoin import runs_of
+from sitelens.llm.setjoin import SLICE_BYTES, runs_of
 from sitelens.llm.storage import written
 from sitelens.llm.tokens import slices
 from sitelens.llm.words import PLACE_VALUES, mix, split_words, window_hashes, word_hashes
@@ -91,7 +91,7 @@ def _suffixes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 keys = batch.column("key").to_pylist()
                 fresh = []
                 for i, key in enumerate(keys):
@@ -126,7 +126,7 @@ def _contexts(rows: DataFrame, survivors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 fresh = []
                 for i, k in enumerate(batch.column("key").to_pylist()):
                     if k not in done:
