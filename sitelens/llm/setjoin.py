@@ -16,8 +16,8 @@ their prefixes of ``n - ceil(t * n) + 1`` shingles meet.  Steps:
    linked, it keeps the pivot as its reference and its difference from it.
 4. Nodes that links join already need no more answers.  Where a list holds
    references of different components, blocks of entries by size and position
-   are skipped if their bound is too low, and the other reference pairs are
-   compared once, however many nodes stand behind them.
+   are skipped if their bound is too low.  Of the other reference pairs those
+   that meet in k lists are compared once, however many nodes stand behind them.
 5. What two nodes can share is at most what their references share plus both
    differences.  Only where that bound reaches the threshold are the nodes
    behind two references compared with each other.
@@ -53,9 +53,12 @@ from sitelens.llm.words import mix, short_hash, split_words, window_hashes, word
 SHINGLE_WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 20
+MEET = 4
 #: A side of a join of at most so many (id, id) rows, counted first, may be broadcast.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 64
+#: Bytes of text whose words are hashed at once.
+SLICE_BYTES = 3 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -81,7 +84,7 @@ def fingerprint(s: np.ndarray) -> int | None:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + MEET)
 
 
 def need(a, b, percent: int):
@@ -96,7 +99,7 @@ def _signatures(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 sets = shingle_sets(batch.column("text"))
                 if sets:
                     counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=1 << bits).astype(np.uint32)
@@ -139,7 +142,7 @@ def _postings(docs: DataFrame, crowd: np.ndarray, percent: int, bits: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # equal sets post once a task, so a hot group of copies stays small
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 tokens, salts, nodes, sizes = [], [], [], []
                 for s in shingle_sets(batch.column("text")):
                     node = fingerprint(s)
@@ -233,25 +236,28 @@ def _shared(postings: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "token long, node long, size int, pos int, band int, pivot long, crowded boolean")
 
 
-def _sets(docs: DataFrame, signatures: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, signatures: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """(node, s) with the shingles of the given nodes, from one document each."""
-    rep = written(signatures.where("node IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "join-reps")
+    rep = written(signatures.where("node IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{name}-reps")
     small = rep.count() <= BROADCAST_ROWS
     wanted = docs.join(F.broadcast(rep) if small else rep, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 sets = shingle_sets(batch.column("text"))
                 # another row of the same doc_id may hold another set
                 mine = [(n, s) for n, s in zip(batch.column("node").to_pylist(), sets, strict=True) if fingerprint(s) == n]
                 yield pa.record_batch([pa.array([n for n, _ in mine], pa.int64()), pa.array([s.tobytes() for _, s in mine], pa.binary())], names=["node", "s"])
 
-    return written(wanted.select("node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"]), "join-sets")
+    return written(wanted.select("node", "text").mapInArrow(run, "node long, s binary"), f"{name}-sets").dropDuplicates(["node"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _compared(docs: DataFrame, signatures: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """``pairs(a, b)`` with both sizes and the size of the intersection."""
+    pairs = written(pairs.select("a", "b"), f"{name}-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(docs, signatures, nodes, name)
     of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b")
 
@@ -276,40 +282,44 @@ def _linked(percent: int):
 
 
 def _reference_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of references of different components that meet in a list and can reach the threshold."""
+    """Pairs of references of different components that meet in enough lists and can reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ("token",)):
             token, ref, label, low, high, pos = (table.column(c).to_numpy() for c in ("token", "ref", "label", "low", "high", "pos"))
             at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            left, right = [], []
+            left, right, least = [], [], []
             for a, b in zip(at.tolist(), np.append(at[1:], len(token)).tolist(), strict=True):
                 if b - a > 1:
-                    for i, found in meeting(ref[a:b], label[a:b], low[a:b].astype(np.int64), high[a:b].astype(np.int64), pos[a:b].astype(np.int64), percent):
-                        left.append(np.full(len(found), ref[a + i]))
-                        right.append(found)
+                    sizes = low[a:b].astype(np.int64)
+                    for i, j in meeting(label[a:b], sizes, high[a:b].astype(np.int64), pos[a:b].astype(np.int64), percent):
+                        left.append(np.full(len(j), ref[a + i]))
+                        right.append(ref[a + j])
+                        least.append(np.minimum(MEET, need(sizes[j], sizes[i], percent)))
             if left:
                 x, y = np.concatenate(left), np.concatenate(right)
-                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(least).astype(np.int32))], names=["a", "b", "least"])
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "pos")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    met = ordered.mapInArrow(run, "a long, b long, least int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
+    return met.where("n >= least").select("a", "b")
 
 
-def meeting(ref, label, low, high, pos, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each entry of a list sorted by position, the later references that it may link with.
+def meeting(label, low, high, pos, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each entry of a list sorted by position, the later entries that it may link with.
 
     An entry stands for nodes of ``low`` to ``high`` shingles whose shingle of
-    this list is at ``pos`` or later.  Where it is the first that two sets
-    share, they share at most what follows it in either.  A block of entries
-    is skipped if its sizes or positions rule all of them out.
+    this list is at ``pos`` or later.  Where it is among the first ``MEET``
+    that two sets share, they share at most ``MEET - 1`` and what follows it in
+    either.  A block of entries is skipped if its sizes or positions rule all
+    of them out.
     """
-    starts = np.arange(0, len(ref), BLOCK)
+    n = len(low)
+    starts = np.arange(0, n, BLOCK)
     block_low, block_high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-    rest = high - pos
+    rest = high - pos + MEET - 1
     block_rest = np.maximum.reduceat(rest, starts)
-    for i in range(len(ref) - 1):
+    for i in range(n - 1):
         fits = (100 * block_high >= percent * low[i]) & (100 * high[i] >= percent * block_low)
         fits &= np.minimum(block_rest, rest[i]) >= need(block_low, low[i], percent)
         fits &= starts + BLOCK > i + 1
@@ -317,11 +327,11 @@ def meeting(ref, label, low, high, pos, percent: int) -> Iterator[tuple[int, np.
         if len(blocks) == 0:
             continue
         j = (blocks[:, None] + np.arange(BLOCK)).ravel()
-        j = j[(j > i) & (j < len(ref))]
+        j = j[(j > i) & (j < n)]
         ok = (label[j] != label[i]) & (100 * high[j] >= percent * low[i]) & (100 * high[i] >= percent * low[j])
         ok &= np.minimum(rest[j], rest[i]) >= need(low[j], low[i], percent)
         if ok.any():
-            yield i, ref[j[ok]]
+            yield i, j[ok]
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -333,16 +343,17 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, sketch_bits: int =
     known = signatures.where("doc_id IS NOT NULL")
     identified = rows.where("doc_id IS NOT NULL")
     shared = written(_shared(_postings(identified, crowd, percent, sketch_bits)), "join-lists")
-    sets = _sets(identified, known, shared.select("node").distinct())
+    compared = lambda pairs, name: _compared(identified, known, pairs, name)
 
     # 3: each node with the pivot that it meets most often; pivots of salted parts with their list's first
-    meets = shared.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    meets = shared.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size")
     crowded = shared.where("crowded AND pivot = node").select("token", "band", "size", "node")
     head = crowded.groupBy("token", "band").agg(F.min(F.struct("size", "node"))["node"].alias("b"))
-    heads = crowded.join(head, ["token", "band"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    met = meets.unionByName(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    heads = crowded.join(head, ["token", "band"]).where("node <> b").select(F.col("node").alias("a"), "b", "size")
+    met = meets.unionByName(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    met = met.where(f"n >= least({MEET}, (size + 1) div 2)")
     best = met.groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
-    first = _compared(best, sets, "join-first")
+    first = compared(best, "join-first")
     links = first.where(_linked(percent)).select("a", "b")
     references = first.where(_linked(percent)).select(F.col("a").alias("node"), F.col("b").alias("ref"), (F.col("size_a") - F.col("shared")).alias("extra"))
     labels = components(links)
@@ -353,7 +364,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, sketch_bits: int =
     entries = told.groupBy("token", "ref").agg(F.min("label").alias("label"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("pos"))
     entries = written(entries, "join-entries")
     mixed = entries.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    second = _compared(_reference_pairs(entries.join(mixed, "token"), percent), sets, "join-second")
+    second = compared(_reference_pairs(entries.join(mixed, "token"), percent), "join-second")
     more = links.unionByName(second.where(_linked(percent)).select("a", "b"))
     labels = components(more)
 
@@ -369,7 +380,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, sketch_bits: int =
     open_pairs = open_pairs.where(f"label_a <> label_b AND extra_a + extra_b > 0 AND {room} (low_a + low_b)").select("a", "b", "shared")
     behind = open_pairs.join(side(members, "a", ("node", "size", "extra")), "a").join(side(members, "b", ("node", "size", "extra")), "b")
     behind = behind.where(f"{room} (size_a + size_b) AND 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND extra_a + extra_b > 0")
-    third = _compared(behind.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets, "join-third")
+    third = compared(behind.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "join-third")
     if not third.where(_linked(percent)).isEmpty():
         labels = components(more.unionByName(third.where(_linked(percent)).select("a", "b")))
     return _classes(signatures, labels)
