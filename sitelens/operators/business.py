@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,51 +12,52 @@ from sitelens.functions.text import col, lit, trim_ws
 from sitelens.operators import dims
 
 
-def _hits(zones: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Left-outer broadcast theta join of zone texts with the fixed 163 indicators.
+def _scores(zone_text: Column) -> Column:
+    """array<struct<business_type, ordinal, score>> of the types with at least one indicator in the text.
 
-    A page with no hit keeps one row with null indicator, so later steps need
-    no join back to the page list.  ``carry`` columns ride along (keep them small).
+    Computed inside the row from the fixed 163 indicators: no join, no group.
     """
-    ind = dims.small(dims.indicators(zones.sparkSession))
-    z = zones.select(key, "zone_text", *carry)
-    hits = z.join(ind, col("zone_text").contains(col("indicator")), "left")
-    # non-overlapping occurrences, counted by what a global replace removes
-    occ = "(length(zone_text) - length(replace(zone_text, indicator, ''))) div length(indicator)"
-    return hits.select(key, *carry, "business_type", "ordinal", F.expr(f"1 + ({occ} - 1) div 2").alias("pts"))
+    rows = [{"t": t, "o": o, "i": i} for t, o, i in dims.indicator_rows()]
+    table = F.from_json(lit(json.dumps(rows)), "array<struct<t:string,o:int,i:string>>")
+    hits = F.filter(table, lambda x: F.contains(zone_text, x["i"]))
+
+    def points(x):
+        # non-overlapping occurrences, counted by what a global replace removes
+        occurrences = ((F.length(zone_text) - F.length(F.replace(zone_text, x["i"], lit("")))) / F.length(x["i"])).cast("long")
+        return F.struct(x["t"].alias("t"), x["o"].alias("o"), (lit(1) + F.floor((occurrences - 1) / 2)).alias("n"))
+
+    found = F.transform(hits, points)
+
+    def per_type(found: Column) -> Column:
+        types = F.array_distinct(F.transform(found, lambda h: F.struct(h["t"], h["o"])))
+        total = lambda t: F.aggregate(F.filter(found, lambda h: h["o"] == t["o"]), lit(0).cast("long"), lambda n, h: n + h["n"])
+        return F.transform(types, lambda t: F.struct(t["t"].alias("business_type"), t["o"].alias("ordinal"), total(t).alias("score")))
+
+    return F.element_at(F.transform(F.array(found), per_type), 1)
 
 
 def indicator_scores(zones: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, business_type, ordinal, score`` for every type with at least one indicator hit.
 
     For each indicator found as a substring, add ``1 + (occurrences - 1) div 2``.
-    The zone side keeps its partitioning by key, so the sum needs no shuffle.
     """
-    h = _hits(zones, key, []).where(col("business_type").isNotNull())
-    return h.groupBy(key, "business_type", "ordinal").agg(F.sum("pts").cast("bigint").alias("score"))
+    return zones.select(key, _scores(col("zone_text")).alias("scores")).select(key, F.inline("scores"))
 
 
 def business_type(zones: DataFrame, key: str = "page_id", carry: list[str] | None = None) -> DataFrame:
     """``key, business_type, business_score, *carry``: the best-scoring type, Unknown if none.
 
     Ties go to the lowest enum ordinal (deterministic; the reference leaves
-    them to hash order).  Two aggregates keyed by ``key`` on top of the join;
-    ``carry`` columns (constant per key) pass through with ``first``.
+    them to hash order).  A projection of each row; ``carry`` columns pass through.
     """
     carry = carry or []
-    h = _hits(zones, key, carry)
-    per_type = h.groupBy(key, "business_type", "ordinal").agg(
-        F.sum("pts").cast("bigint").alias("score"), *[F.first(c).alias(c) for c in carry]
-    )
-    best = per_type.groupBy(key).agg(
-        F.max_by("business_type", F.when(col("business_type").isNotNull(), F.struct(col("score"), -col("ordinal")))).alias("business_type"),
-        F.max("score").alias("business_score"),
-        *[F.first(c).alias(c) for c in carry],
-    )
+    scored = zones.select(key, _scores(col("zone_text")).alias("scores"), *carry)
+    ranked = F.transform("scores", lambda s: F.struct(s["score"].alias("score"), (-s["ordinal"]).alias("first"), s["business_type"].alias("name")))
+    best = scored.select(key, F.array_max(ranked).alias("best"), *carry)
     return best.select(
         key,
-        F.coalesce("business_type", lit("Unknown")).alias("business_type"),
-        F.coalesce("business_score", lit(0)).cast("bigint").alias("business_score"),
+        F.coalesce("best.name", lit("Unknown")).alias("business_type"),
+        F.coalesce("best.score", lit(0)).cast("bigint").alias("business_score"),
         *carry,
     )
 

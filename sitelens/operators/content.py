@@ -80,9 +80,12 @@ def keyword_density(analysis: DataFrame, keywords: DataFrame, key: str = "page_i
 
 def over_used(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", order: list | None = None) -> DataFrame:
     """Keywords above 2 % of the words on their own: ``key, word, frequency`` plus list order."""
-    order = order or ["rank"]
+    from sitelens.plans.skew import salted_join
+
+    order = order or (["rank"] if key == "page_id" else ["first_page_id", "first_rank"])
     a = analysis.select(key, whitespace_words("raw_text").alias("word_count"))
-    j = keywords.join(a, key)
+    # many keywords of a site meet one word count: salted by word
+    j = keywords.join(a, key) if key == "page_id" else salted_join(keywords, a, key, spread_by="word", how="inner")
     share = fdiv(col("frequency"), F.greatest(col("word_count"), lit(1))) * f32(100.0)
     return j.where((col("word_count") > 0) & (share > f32(OVERUSED_ABOVE))).select(key, "word", "frequency", *order)
 

@@ -202,10 +202,14 @@ def business_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BUSINESS_TYPES, "business_type string, ordinal int, schema_type string")
 
 
-def indicators(spark: SparkSession) -> DataFrame:
+def indicator_rows() -> list[tuple[str, int, str]]:
+    """(business type, its ordinal, indicator) of every indicator."""
     ordinal = {name: o for name, o, _ in BUSINESS_TYPES}
-    rows = [(t, ordinal[t], ind) for t, inds in INDICATORS.items() for ind in inds]
-    return spark.createDataFrame(rows, "business_type string, ordinal int, indicator string")
+    return [(t, ordinal[t], ind) for t, inds in INDICATORS.items() for ind in inds]
+
+
+def indicators(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(indicator_rows(), "business_type string, ordinal int, indicator string")
 
 
 def lexicon(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from sitelens.functions import patterns as P
 from sitelens.functions.text import ESCAPES, entity_values
 from sitelens.operators.audit import COMPLETENESS_WEIGHTS
-from sitelens.sources.pages import HOST_RE, INDEX_PATH_RE, PATH_RE, pages_rich_sql
+from sitelens.fixtures import pages_rich_sql
+from sitelens.sources.pages import HOST_RE, INDEX_PATH_RE, PATH_RE
 
 
 def q(s: str) -> str:
@@ -934,7 +935,8 @@ def audit_lift(rich: bool = True) -> str:
 
 
 def files_ctes(src: str = "src") -> str:
-    from sitelens.sources.files import _MARKER_SETS, INJECTION_TARGETS, NEXT_MARKERS, PACKAGE_JSON, VITE_MARKERS
+    from sitelens.fixtures import _MARKER_SETS
+    from sitelens.sources.files import INJECTION_TARGETS, NEXT_MARKERS, PACKAGE_JSON, VITE_MARKERS
 
     mk = values([(m, p, c) for m, fs in _MARKER_SETS.items() for p, c in fs], ["m", "path", "content"])
     tg = values(INJECTION_TARGETS, ["framework", "injection_target"])

@@ -49,7 +49,10 @@ def page_keyword_features(texts: DataFrame, keywords: DataFrame, key: str = "pag
 
 
 def keyword_features(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", order: list[str] | None = None) -> DataFrame:
-    """Per key: ``top10/top5/top3`` arrays, frequency total, keyword count, over-used words (list order).
+    """Per key: ``top10/top5/top3`` arrays, frequency total and, at page grain, the over-used words (list order).
+
+    A site may have any number of over-used words, so at site grain they are
+    rows (``operators.content.over_used``), never an array.
 
     ``analysis`` only needs ``key, raw_text`` (the text the density is measured on).
     Pages take the bounded single-aggregate path; sites (unbounded merged
@@ -65,12 +68,7 @@ def keyword_features(analysis: DataFrame, keywords: DataFrame, key: str = "page_
     from sitelens.plans.skew import salted_join
 
     kw = salted_join(keywords, wc, key, spread_by="word", how="inner")
-    share = C.fdiv(col("frequency"), F.greatest(col("word_count"), lit(1))) * C.f32(100.0)
-    over = F.when((col("word_count") > 0) & (share > C.f32(C.OVERUSED_ABOVE)), F.struct(*[col(c) for c in order], "word"))
-    tot = kw.groupBy(key).agg(
-        F.sum("frequency").cast("bigint").alias("total_keyword_freq"),
-        F.transform(F.array_sort(F.collect_list(over)), lambda s: s["word"]).alias("over_used"),
-    )
+    tot = kw.groupBy(key).agg(F.sum("frequency").cast("bigint").alias("total_keyword_freq"))
     return top.join(tot, key, "full")
 
 
@@ -94,6 +92,8 @@ def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", or
     j = j.select("*", *C.density_columns(col("word_count"), col("total_keyword_freq")))
     empty = F.array().cast("array<string>")
     additions = F.when((col("word_count") > 0) & (col("density") < C.DENSITY_LOW), F.coalesce("top3", empty)).otherwise(empty)
+    # bounded at page grain only
+    over = [F.coalesce("over_used", empty).alias("over_used")] if "over_used" in feats.columns else []
     return j.select(
         key,
         "sentiment_score",
@@ -108,7 +108,7 @@ def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", or
         "density_score",
         "is_stuffed",
         additions.alias("recommended_additions"),
-        F.coalesce("over_used", empty).alias("over_used"),
+        *over,
         "keyword_count",
         "completeness_score",
         S.optimization_score(col("completeness_score"), col("sentiment_score"), col("density_score"),

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens import fixtures as X
 from sitelens.functions import patterns as P
 from sitelens.oracle import duck as D
 from sitelens.sources import pages as S
@@ -30,7 +31,15 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 
 def _pages(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame:
     p = S.read_pages(spark, sf_dir)
-    return S.pages_rich(p) if rich else p
+    return X.pages_rich(p) if rich else p
+
+
+def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.derive_site_config(S.read_pages(spark, sf_dir).select(S.site_key("url").alias("site")))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.site_files_from_pages(S.read_pages(spark, sf_dir))
 
 
 # --- sources -------------------------------------------------------------------
@@ -511,7 +520,19 @@ def q_ml_result(spark, sf_dir):
     return flat(ml_result(f["page_analysis"], f["page_keywords"], texts=f["base"]))
 
 
-@register("site_ml_result", lambda: f"{D.site_ml_with(True)} SELECT site, {D.flat(ML_COLS, ML_ARRAYS)} FROM ml")
+@register(
+    "site_over_used",
+    lambda: f"{D.site_ml_with(True)} SELECT k.site, k.word, k.frequency, k.first_page_id, k.first_rank FROM sk k JOIN wc w USING (site) "
+    f"WHERE w.word_count > 0 AND ({D.f32('k.frequency')} / {D.f32('greatest(w.word_count, 1)')} * {D.ff(100.0)}) > {D.ff(2.0)}",
+)
+def q_site_over_used(spark, sf_dir):
+    from sitelens.operators.content import over_used
+
+    f = _site_frames(spark, sf_dir)
+    return over_used(f["site_analysis"], f["site_keywords"], key="site")
+
+
+@register("site_ml_result", lambda: f"{D.site_ml_with(True)} SELECT site, {D.flat([c for c in ML_COLS if c != 'over_used'], ML_ARRAYS)} FROM ml")
 def q_site_ml_result(spark, sf_dir):
     from sitelens.plans.ml import ml_result
 
@@ -525,7 +546,7 @@ def q_site_ml_result(spark, sf_dir):
 def _gen_frames(spark, sf_dir, rich=True):
     from sitelens.plans.site import generation_frames
 
-    return generation_frames(_pages(spark, sf_dir, rich))
+    return generation_frames(_pages(spark, sf_dir, rich), _config(spark, sf_dir))
 
 
 def _gen_col(name: str, expr_sql: str):
@@ -648,7 +669,7 @@ def q_audit_lift(spark, sf_dir):
 def q_site_main_injected(spark, sf_dir):
     from sitelens.plans.site import site_generation_frames
 
-    return site_generation_frames(_pages(spark, sf_dir, True))["site_main_injected"]
+    return site_generation_frames(_pages(spark, sf_dir, True), _config(spark, sf_dir))["site_main_injected"]
 
 
 # --- files, frameworks, reports ---------------------------------------------------------
@@ -656,16 +677,14 @@ def q_site_main_injected(spark, sf_dir):
 
 @register("site_files", D.site_files_q)
 def q_site_files(spark, sf_dir):
-    from sitelens.sources.files import site_files_from_pages
-
-    return site_files_from_pages(S.read_pages(spark, sf_dir))
+    return _files(spark, sf_dir)
 
 
 @register("detect_framework", D.detect_framework_q)
 def q_detect_framework(spark, sf_dir):
-    from sitelens.sources.files import detect_framework, site_files_from_pages
+    from sitelens.sources.files import detect_framework
 
-    return detect_framework(site_files_from_pages(S.read_pages(spark, sf_dir)))
+    return detect_framework(_files(spark, sf_dir))
 
 
 REPORT_STAMP = "2026-01-01 00:00:00 UTC"
@@ -675,28 +694,28 @@ REPORT_STAMP = "2026-01-01 00:00:00 UTC"
 def q_site_report(spark, sf_dir):
     from sitelens.plans.report import site_report
 
-    return site_report(_pages(spark, sf_dir, True), REPORT_STAMP)
+    return site_report(_pages(spark, sf_dir, True), REPORT_STAMP, files=_files(spark, sf_dir))
 
 
 @register("analysis_summary", lambda: D.analysis_summary_q(True))
 def q_analysis_summary(spark, sf_dir):
     from sitelens.plans.report import analysis_summary
 
-    return flat(analysis_summary(_pages(spark, sf_dir, True)))
+    return flat(analysis_summary(_pages(spark, sf_dir, True), files=_files(spark, sf_dir)))
 
 
 @register("analysis_json")
 def q_analysis_json(spark, sf_dir):
     from sitelens.plans.report import analysis_json
 
-    return analysis_json(_pages(spark, sf_dir, True)).select("site", "json")
+    return analysis_json(_pages(spark, sf_dir, True), files=_files(spark, sf_dir)).select("site", "json")
 
 
 @register("run_summary")
 def q_run_summary(spark, sf_dir):
     from sitelens.plans.report import run_summary
 
-    return run_summary(_pages(spark, sf_dir, True))
+    return run_summary(_pages(spark, sf_dir, True), files=_files(spark, sf_dir))
 
 
 # --- remaining building blocks ---------------------------------------------------------
@@ -729,9 +748,7 @@ def q_decode_entities(spark, sf_dir):
 def q_site_config(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    from sitelens.sources.config import derive_site_config
-
-    cfg = derive_site_config(_pages(spark, sf_dir).select(S.site_key("url").alias("site")))
+    cfg = _config(spark, sf_dir)
     return cfg.select("site", "site_name", "site_url", "default_image", "twitter_handle", "facebook_app_id",
                       "contact_email", "phone", F.col("address.street").alias("street"), F.col("address.city").alias("city"),
                       F.array_join("extra_keywords", ", ").alias("extra_keywords"), "locale", "generate_canonical",

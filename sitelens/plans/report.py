@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import reports as R
+from sitelens.operators.audit import AUDIT_COUNTS, AUDIT_FLAGS
 from sitelens.operators.keywords import site_order, top_keywords
 from sitelens.operators.trends import schema_trends
 from sitelens.plans.ml import ml_result, recommendations_for, suggestions_for
 from sitelens.plans.site import site_frames
-from sitelens.sources.files import detect_framework, site_files_from_pages
+from sitelens.sources.files import detect_framework, no_site_files
 from sitelens.sources.pages import main_page
 
 DEFAULT_STAMP = "2026-01-01 00:00:00 UTC"
@@ -30,7 +31,7 @@ def report_row(pages: DataFrame, files: DataFrame | None = None, reuse: bool = T
     )
     recs = R.packed_recommendations(recommendations_for(sa, "site"))
     kws = R.packed_keywords(top_keywords(sk, 10, key="site", order=site_order()))
-    files = files if files is not None else site_files_from_pages(pages)
+    files = files if files is not None else no_site_files(pages.sparkSession)
     fw = detect_framework(files, sites=sa)
     mains = main_page(pages).select("site", "main_page_id")
     tr = schema_trends(sa, "site")
@@ -65,6 +66,23 @@ def analysis_summary(pages: DataFrame, **kw) -> DataFrame:
     return R.analysis_summary(report_row(pages, **kw))
 
 
+def page_documents(analysis: DataFrame, keywords: DataFrame) -> DataFrame:
+    """One row per page with the whole analysis: audit struct, keyword array, summary and raw text.
+
+    A page keeps at most 60 keywords, so its document is bounded by the page.
+    """
+    entry = F.struct("rank", "word", "frequency", "score", "is_phrase")
+    packed = keywords.groupBy("page_id").agg(F.array_sort(F.collect_list(entry)).alias("keywords"))
+    packed = packed.withColumn("keywords", F.transform("keywords", lambda k: k.dropFields("rank")))
+    audit = F.struct("title", "description", *AUDIT_FLAGS, *AUDIT_COUNTS, "completeness_score")
+    none = F.array().cast("array<struct<word:string,frequency:bigint,score:double,is_phrase:boolean>>")
+    row = analysis.join(packed, "page_id", "left")
+    return row.select(
+        "page_id", "url", "site", "business_type", "schema_type", "language", "content_summary",
+        audit.alias("audit"), F.coalesce("keywords", none).alias("keywords"), "raw_text",
+    )
+
+
 def analysis_json(pages: DataFrame, **kw) -> DataFrame:
     """``site, json``: one document per site (merged analysis, top keywords, framework, main page).
 

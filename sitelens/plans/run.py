@@ -8,7 +8,10 @@ executor lost mid-run costs only its running tasks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitelens.operators.generate import generate_all, generation_input
 from sitelens.operators.inject import page_injected
@@ -18,46 +21,58 @@ from sitelens.plans.ml import ml_result
 from sitelens.plans.report import DEFAULT_STAMP
 from sitelens.session import materialize
 from sitelens.sources import sinks
-from sitelens.sources.config import derive_site_config
+from sitelens.sources.config import plain_config
 
 
 def run(pages: DataFrame, out_dir: str, config: DataFrame | None = None, generated_at: str = DEFAULT_STAMP,
-        run_id: str = "run") -> dict[str, str]:
-    """Write page analysis (JSON Lines), page scores, injected pages and site reports under ``out_dir``.
+        run_id: str | None = None, files: DataFrame | None = None) -> dict[str, str]:
+    """Write page analysis (JSON Lines), page scores, injected pages, injected main pages and site reports under ``out_dir``.
 
-    Returns the output paths.  Nothing is collected to the driver.
+    ``config`` is a ``site_config`` table and ``files`` a table of site files
+    (``sources.files.scan_site_files``); without them no setting is filled in
+    but name and URL, and no framework is found.  Intermediate tables go below
+    ``run_id`` (a fresh one by default).  Returns the output paths.  Nothing is
+    collected to the driver.
     """
     from sitelens.operators import reports as R
-    from sitelens.operators.keywords import site_order, top_keywords
+    from sitelens.operators.keywords import packed_top, site_order, top_keywords
     from sitelens.plans.ml import recommendations_for
-    from sitelens.sources.files import detect_framework, site_files_from_pages
+    from sitelens.plans.report import page_documents
+    from sitelens.sources.files import detect_framework, no_site_files
+    from sitelens.sources.pages import main_page
 
-    out = out_dir.rstrip("/")
+    out, run_id = out_dir.rstrip("/"), run_id or f"run-{uuid.uuid4().hex[:12]}"
     base = materialize(page_base(pages, keep_clean=True, keep_html=True), f"{run_id}/page_base")
     kw = materialize(page_keywords(base), f"{run_id}/page_keywords")
     analysis = materialize(page_analysis(pages, base=base, keywords=kw), f"{run_id}/page_analysis")
 
     paths = {}
     paths["page_analysis"] = f"{out}/page_analysis"
-    sinks.write_analysis_json(analysis.drop("raw_text"), paths["page_analysis"])
+    sinks.write_analysis_json(page_documents(analysis, kw), paths["page_analysis"])
 
     scores = ml_result(analysis, kw, texts=base)
     paths["page_scores"] = f"{out}/page_scores"
     scores.write.mode("overwrite").parquet(paths["page_scores"])
 
-    cfg = config if config is not None else derive_site_config(base.select("site"))
+    cfg = config if config is not None else plain_config(base.select("site"))
     gen = generate_all(generation_input(analysis, page_top(kw, 10), cfg))
     paths["page_injected"] = f"{out}/page_injected"
     sinks.write_injected(page_injected(gen.join(base.select("page_id", "html"), "page_id")), paths["page_injected"])
 
     sk = materialize(site_keywords(kw, base), f"{run_id}/site_keywords")
     sa = materialize(site_analysis(analysis, sk), f"{run_id}/site_analysis")
+
+    top = packed_top(sk, 10, "site", "top10", site_order())
+    site_gen = generate_all(generation_input(sa, top, cfg, key="site"), key="site")
+    mains = main_page(pages).select("site", F.col("main_page_id").alias("page_id")).join(base.select("page_id", "html"), "page_id")
+    paths["site_main_injected"] = f"{out}/site_main_injected"
+    sinks.write_injected(page_injected(site_gen.join(mains, "site"), key="site"), paths["site_main_injected"], key="site")
+
     sml = ml_result(sa, sk, key="site").select("site", "optimization_score")
     recs = R.packed_recommendations(recommendations_for(sa, "site"))
     kws = R.packed_keywords(top_keywords(sk, 10, key="site", order=site_order()))
-    fw = detect_framework(site_files_from_pages(pages), sites=sa)
+    fw = detect_framework(files if files is not None else no_site_files(pages.sparkSession), sites=sa)
     row = sa.join(sml, "site", "left").join(recs, "site", "left").join(kws, "site", "left").join(fw, "site", "left")
     paths["site_reports"] = f"{out}/site_reports"
     sinks.write_report(R.site_report(row, generated_at), paths["site_reports"])  # parquet: (site, report_md)
     return paths
-

@@ -47,8 +47,8 @@ def site_frames(pages: DataFrame, reuse: bool = True) -> dict[str, DataFrame]:
 def generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse: bool = True, year: int = 2026) -> dict[str, DataFrame]:
     """Page frames plus ``page_generated`` (the four blocks per page) and ``page_injected``.
 
-    ``config`` is a ``site_config`` table (one row per site); by default one is
-    derived from the site keys.  The generated blocks are joined back to the
+    ``config`` is a ``site_config`` table (one row per site); without one, name and
+    URL come from the site key and nothing else is filled in.  The generated blocks are joined back to the
     page markup by ``page_id`` (the only time markup is shuffled).
     """
     from pyspark.sql import functions as F
@@ -56,11 +56,11 @@ def generation_frames(pages: DataFrame, config: DataFrame | None = None, reuse:
     from sitelens.operators.generate import generate_all, generation_input
     from sitelens.operators.inject import page_injected
     from sitelens.operators.keywords import page_top
-    from sitelens.sources.config import derive_site_config
+    from sitelens.sources.config import plain_config
 
     f = page_frames(pages, reuse, keep_html=True)
     top = page_top(f["page_keywords"], 10)
-    cfg = config if config is not None else derive_site_config(f["base"].select("site"))
+    cfg = config if config is not None else plain_config(f["base"].select("site"))
     gi = generation_input(f["page_analysis"], top, cfg)
     gen = generate_all(gi)
     f["gen_input"] = gi
@@ -77,12 +77,12 @@ def site_generation_frames(pages: DataFrame, config: DataFrame | None = None, re
     from sitelens.operators.generate import generate_all, generation_input
     from sitelens.operators.inject import page_injected
     from sitelens.operators.keywords import packed_top
-    from sitelens.sources.config import derive_site_config
+    from sitelens.sources.config import plain_config
     from sitelens.sources.pages import main_page
 
     f = site_frames(pages, reuse)
     top = packed_top(f["site_keywords"], 10, "site", "top10", [F.col("first_page_id"), F.col("first_rank")])
-    cfg = config if config is not None else derive_site_config(f["site_analysis"].select("site"))
+    cfg = config if config is not None else plain_config(f["site_analysis"].select("site"))
     gen = generate_all(generation_input(f["site_analysis"], top, cfg, key="site"), key="site")
     mains = main_page(pages).select("site", F.col("main_page_id").alias("page_id"))
     main_html = mains.join(pages.select("page_id", "html"), "page_id")

@@ -37,11 +37,13 @@ def get_spark(master: str | None = None, app: str = "sitelens", shuffle_partitio
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local runs, tests) is a private folder
-    created and registered; on a cluster the setting must name shared storage.
+    Only on a local master (tests) is a private folder created for an absent
+    setting; a cluster must name storage that driver and executors share.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="sitelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -57,5 +59,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

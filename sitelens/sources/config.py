@@ -55,40 +55,8 @@ def site_config(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return normalize(spark.createDataFrame(data, CONFIG_SCHEMA))
 
 
-def derive_site_config(sites: DataFrame) -> DataFrame:
-    """Settings for every site key in ``sites``: name and URL from the host, optional
-    fields switched on by ``length(site) % k`` so every branch of generation is exercised.
-
-    It grows with the number of sites; joins against it are left to the size
-    threshold / AQE rather than forced to broadcast.
-    """
-    s = sites.select("site").distinct()
-    n = F.length("site")
-    address = F.struct(
-        F.lit("1 Main St").alias("street"),
-        F.lit("Springfield").alias("city"),
-        F.lit("IL").alias("state"),
-        F.lit("62701").alias("postal_code"),
-        F.lit("US").alias("country"),
-    )
-    cfg = s.select(
-        "site",
-        F.col("site").alias("site_name"),
-        F.concat(F.lit("https://"), F.col("site")).alias("site_url"),
-        F.when(n % 2 == 0, F.concat(F.lit("https://"), F.col("site"), F.lit("/og.png"))).alias("default_image"),
-        F.when(n % 3 == 0, F.lit("acme")).when(n % 3 == 1, F.lit("@acme")).alias("twitter_handle"),
-        F.when(n % 4 == 0, F.lit("1234567890")).alias("facebook_app_id"),
-        F.when(n % 5 < 2, F.concat(F.lit("info@"), F.col("site"))).alias("contact_email"),
-        F.when(n % 5 == 0, F.lit("+1-555-0100")).alias("phone"),
-        F.when(n % 3 == 0, address).alias("address"),
-        F.when(n % 11 == 0, F.concat(F.lit("Official "), F.col("site"), F.lit(" home page with everything you need in one place"))).alias("title_override"),
-        F.when(n % 13 == 0, F.concat(F.lit("All about "), F.col("site"), F.lit(": <news> & \"notes\" for readers"))).alias("description_override"),
-        F.when(n % 4 == 1, F.array(F.lit("seo"), F.lit("seo"), F.lit("web")))
-        .when(n % 4 == 2, F.array(F.lit("web"), F.lit("seo"), F.lit("web")))
-        .otherwise(F.array().cast("array<string>")).alias("extra_keywords"),
-        F.when(n % 7 == 0, F.lit("fr_FR")).otherwise(F.lit(DEFAULT_LOCALE)).alias("locale"),
-        (n % 6 != 0).alias("generate_canonical"),
-        F.lit(DEFAULT_MAX_DESCRIPTION).alias("max_description_length"),
-        F.lit(DEFAULT_MAX_TITLE).alias("max_title_length"),
-    )
-    return normalize(cfg)
+def plain_config(sites: DataFrame) -> DataFrame:
+    """Settings when the user gave none: name and URL from the host, nothing else."""
+    given = {"site": F.col("site"), "site_name": F.col("site"), "site_url": F.concat(F.lit("https://"), F.col("site"))}
+    fields = [f.split(" ", 1) for f in CONFIG_SCHEMA.split(", ")]
+    return normalize(sites.select("site").distinct().select(*(given.get(n, F.lit(None).cast(t)).alias(n) for n, t in fields)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import re
+from urllib.parse import quote
 
-from sitelens.sources.pages import site_key, url_path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Framework -> file the injector would target.
 INJECTION_TARGETS = [
@@ -23,35 +24,23 @@ NEXT_MARKERS = ["next.config.js", "next.config.mjs"]
 VITE_MARKERS = ["vite.config.js", "vite.config.ts"]
 PACKAGE_JSON = "package.json"
 
-# marker files given to each site by length(site) % 8 (see derive_site_files)
-_MARKER_SETS = {
-    1: [("next.config.js", "module.exports = {}")],
-    2: [("vite.config.ts", "export default {}")],
-    3: [("package.json", '{"dependencies": {"react": "18.2.0"}}')],
-    4: [("package.json", '{"dependencies": {"vue": "3.4.0"}}')],
-    5: [("package.json", '{"devDependencies": {"svelte": "4.2.0"}}')],
-    6: [("next.config.mjs", "export default {}"), ("vite.config.js", "export default {}"),
-        ("package.json", '{"dependencies": {"react": "18.2.0", "vue": "3.4.0"}}')],
-    7: [("package.json", '{"name": "static-site", "private": true}')],
-}
+MARKER_GLOB = "{next.config.js,next.config.mjs,vite.config.js,vite.config.ts,package.json}"
 
 
-def site_files_from_pages(pages: DataFrame) -> DataFrame:
-    """``site, path, content``: every page as a file (path from its URL) plus root marker files.
+def scan_site_files(spark: SparkSession, root: str) -> DataFrame:
+    """``site, path, content`` of the marker files that lie directly in ``root``.
 
-    Marker files are assigned by ``length(site) % 8`` so every detection
-    outcome occurs, including a site with several markers (precedence).
+    The site key is that of ``scan_html_files`` for the same root.
     """
-    p = pages.select(site_key("url").alias("site"), F.regexp_replace(url_path("url"), "^/", "").alias("path"),
-                     F.lit("").alias("content"))
-    sites = pages.select(site_key("url").alias("site")).distinct()
-    n = F.length("site") % 8
-    options = F.array(*[
-        F.when(n == k, F.array(*[F.struct(F.lit(path).alias("path"), F.lit(body).alias("content")) for path, body in files]))
-        for k, files in _MARKER_SETS.items()
-    ])
-    markers = sites.select("site", F.explode(F.flatten(F.filter(options, lambda x: x.isNotNull()))).alias("f"))
-    return p.unionByName(markers.select("site", "f.path", "f.content"))
+    root = re.sub(r"^file:(//)?(?=/)", "", root.rstrip("/"))
+    files = spark.read.option("wholetext", "true").option("pathGlobFilter", MARKER_GLOB).option("recursiveFileLookup", "false").text(root)
+    site = F.lit(quote(root, safe="").lower())
+    return files.select(site.alias("site"), F.col("_metadata.file_name").alias("path"), F.col("value").alias("content"))
+
+
+def no_site_files(spark: SparkSession) -> DataFrame:
+    """The file table of a run whose user gave none: no marker, so every site is plain HTML."""
+    return spark.createDataFrame([], "site string, path string, content string")
 
 
 def detect_framework(files: DataFrame, sites: DataFrame | None = None) -> DataFrame:

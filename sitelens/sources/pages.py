@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,37 +18,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    """``pages(page_id, url, html)`` from a parquet table folder.
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages(page_id, url, html)`` from a parquet table folder, as scanned.
 
-    Markup extraction is CPU-bound.  When the scan yields fewer splits than
-    the cluster has cores (small inputs, e.g. one row group), rows are spread
-    by ``page_id`` over ``defaultParallelism`` partitions; that hash layout
-    also satisfies every later per-page window and aggregate, so they add no
-    exchange.  Large inputs already have far more splits than cores and are
-    left as scanned (no shuffle of the markup).
+    Markup extraction is CPU-bound and row-local, so it runs in the scan's
+    splits (``spark.sql.files.maxPartitionBytes``) at any size, without a
+    shuffle of the markup.
     """
-    df = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return spread_small(df) if spread else df
-
-
-def spread_small(df: DataFrame, key: str = "page_id") -> DataFrame:
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par, key)
-    return df
+    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
 def scan_html_files(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
     """Read a tree of ``.html``/``.htm`` files (one row per file) as ``pages``.
 
     Files deeper than ``max_depth`` below ``root`` are skipped like the
-    reference's walk.  ``page_id`` is a stable hash of the path; ``url`` is the
-    path relative to ``root`` (so the site key is the first folder, or the
-    root itself) and ``is_valid_utf8`` flags files that were not clean UTF-8
-    instead of aborting the job.
+    reference's walk.  The root is the site: it stands percent-encoded as the
+    host of ``url``, followed by the file's path below it, and ``page_id`` is a
+    hash of both, so trees of different roots never share a site or an id.
+    ``is_valid_utf8`` flags files that were not clean UTF-8 instead of aborting
+    the job.  A file whose path is not below ``root`` fails the job, so none is
+    dropped unseen.
     """
-    root = root.rstrip("/")
+    root = re.sub(r"^file:(//)?(?=/)", "", root.rstrip("/"))
     df = (
         spark.read.option("wholetext", "true")
         .option("recursiveFileLookup", "true")
@@ -53,25 +47,23 @@ def scan_html_files(spark: SparkSession, root: str, max_depth: int = 5) -> DataF
         .text(root)
         .select(F.col("value").alias("html"), F.col("_metadata.file_path").alias("file_path"))
     )
-    rel = F.regexp_replace(F.regexp_replace(F.col("file_path"), r"^file:", ""), "^.*?" + _re_escape(root) + "/", "")
+    # the metadata path is percent-encoded; "+" stands for itself there
+    path = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, "^file:(//)?(?=/)", "")
+    below = F.substring(path, len(root) + 2, 1 << 30)
+    rel = F.when(F.startswith(path, F.lit(root + "/")), below).otherwise(F.raise_error(F.concat(F.lit(f"not below {root}: "), path)))
     return (
         df.withColumn("rel_path", rel)
         .where(F.size(F.split(F.col("rel_path"), "/")) <= F.lit(max_depth))
         .select(
-            F.xxhash64("rel_path").alias("page_id"),
-            F.concat(F.lit("file://root/"), F.col("rel_path")).alias("url"),
+            F.xxhash64(F.lit(root), F.col("rel_path")).alias("page_id"),
+            F.concat(F.lit(f"file://{quote(root, safe='')}/"), F.col("rel_path")).alias("url"),
             "html",
             (F.col("html") == F.decode(F.encode(F.col("html"), "UTF-8"), "UTF-8")).alias("is_valid_utf8"),
         )
     )
 
 
-def _re_escape(s: str) -> str:
-    import re
-
-    return re.escape(s)
-
-
 def site_key(url="url"):
     """Host of the URL, lower-cased: the grouping key of a site."""
     c = F.col(url) if isinstance(url, str) else url
@@ -102,106 +94,6 @@ def main_page(pages: DataFrame) -> DataFrame:
     )
 
 
-# ----------------------------------------------------------------------------
-# pages_rich: a derived view of ``pages`` whose SEO markup varies by page_id.
-# The same SQL text runs in Spark and in DuckDB (only replace, concat, CASE,
-# %, and one regexp_replace on a single match).  ``{pages}`` is the input.
-# ----------------------------------------------------------------------------
-
-_H2_WORDS = [
-    "Consulting Solutions Expertise",
-    "Cart Checkout Shipping",
-    "Blog Author Archive",
-    "Portfolio Projects Designer",
-    "Software Platform Dashboard",
-    "Location Hours Directions",
-    "Menu Restaurant Cuisine",
-    "Agency Creative Branding",
-    "Charity Donate Volunteer",
-    "Course Student Curriculum",
-    "Medical Clinic Treatment",
-    "Property Apartment Mortgage",
-    "Innovation Engineering Blockchain",
-]
-
-_DESCRIPTIONS = [
-    "Trusted professional consulting services &amp; proven results. Get a free quote today!",
-    "Discover our amazing software platform with exclusive features, fast setup and reliable support "
-    "for every team and every project, backed by a guaranteed refund policy and expert help",
-    "Bad service, slow delivery and broken products: a terrible experience.",
-    "",
-    "Fresh food menu, dining reservations and delivery from our chef",
-    "Learn with online courses, training workshops and certification for every student and teacher "
-    "who wants to enroll in a curriculum that goes well beyond the usual limit",
-    "Property listings: homes, apartments &quot;for rent&quot; and sale",
-]
-
-
-def _case(expr: str, items: list[str]) -> str:
-    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(items))
-    return f"CASE {expr} {whens} ELSE '' END"
-
-
-def pages_rich_sql(pages: str = "{pages}") -> str:
-    head = (
-        "concat("
-        "CASE WHEN page_id % 2 = 0 THEN concat('<meta name=\"description\" content=\"', "
-        + _case("page_id % 7", _DESCRIPTIONS)
-        + ", '\">') ELSE '' END, "
-        "CASE WHEN page_id % 3 = 0 THEN '<meta property=\"og:title\" content=\"Rich Page\">' ELSE '' END, "
-        "CASE WHEN page_id % 5 = 0 THEN '<meta content=\"summary\" name=\"twitter:card\">' ELSE '' END, "
-        "CASE WHEN page_id % 7 = 0 THEN '<script type=\"application/ld+json\">{{\"@type\":\"Organization\"}}</script>' ELSE '' END, "
-        "CASE WHEN page_id % 4 = 1 THEN concat('<link rel=\"canonical\" href=\"https://example.com/p/', CAST(page_id AS STRING), '\">') ELSE '' END, "
-        "CASE WHEN page_id % 3 = 1 THEN '<meta name=\"viewport\" content=\"width=device-width, initial-scale=1\">' ELSE '' END, "
-        "CASE WHEN page_id % 8 = 5 THEN '<meta http-equiv=\"Content-Language\" content=\"en-GB\">' ELSE '' END"
-        ")"
-    )
-    article = (
-        "concat("
-        "CASE page_id % 4 WHEN 1 THEN '<img src=\"a.png\">' "
-        "WHEN 2 THEN '<img src=\"b.png\" alt=\"Good\"><img src=\"c.png\" alt=\"\">' "
-        "WHEN 3 THEN '<img src=\"d.png\" alt=\"Photo\">' ELSE '' END, "
-        "CASE WHEN page_id % 11 = 0 THEN '<h1>Second Heading Here</h1>' ELSE '' END, "
-        "CASE WHEN page_id % 6 = 0 THEN '<p>Read our frequently asked questions before you order.</p>' ELSE '' END, "
-        "CASE page_id % 5 "
-        "WHEN 0 THEN '<p>Amazing, excellent and wonderful quality from a trusted team.</p>' "
-        "WHEN 1 THEN '<p>Terrible, awful and disappointing support with a broken checkout.</p>' "
-        "WHEN 2 THEN '<p>Exclusive free bonus now: discover the secret to transform results, guaranteed.</p>' "
-        "ELSE '' END, "
-        "CASE WHEN page_id % 13 = 0 THEN '<script>var label = \"<h1>Fake Heading</h1>\"; trackVisitor(42);</script>' ELSE '' END"
-        ")"
-    )
-    body = (
-        "CASE WHEN page_id % 14 < 13 THEN concat('<main><section><h2>', "
-        + _case("page_id % 14", _H2_WORDS)
-        + ", '</h2><p>Welcome to our ', lower("
-        + _case("page_id % 14", _H2_WORDS)
-        + "), ' pages.</p></section></main>') ELSE '' END"
-    )
-    base = (
-        "CASE WHEN page_id % 9 = 4 THEN regexp_replace(h0, '<title>[^<]*</title>', '<title></title>') ELSE h0 END"
-    )
-    h0 = (
-        "CASE WHEN page_id % 10 = 3 THEN replace(h, '<meta charset=\"utf-8\">', "
-        "'<meta http-equiv=\"Content-Type\" content=\"text/html; charset=utf-8\">') "
-        "WHEN page_id % 10 = 7 THEN replace(h, '<meta charset=\"utf-8\">', '') ELSE h END"
-    )
-    return (
-        "SELECT page_id, url, "
-        f"replace(replace(replace({base}, '</head>', concat({head}, '</head>')), "
-        f"'</article>', concat({article}, '</article>')), '<body>', concat('<body>', {body})) AS html "
-        "FROM (SELECT page_id, url, "
-        f"{h0} AS h0 FROM (SELECT page_id, url, "
-        "CASE WHEN page_id % 8 = 5 THEN replace(html, '<html lang=', '<html data-lang=') ELSE html END AS h "
-        f"FROM {pages}) s1) s2"
-    )
-
-
-def pages_rich(pages: DataFrame) -> DataFrame:
-    """``pages`` with varied SEO markup (see FIXTURES.md §3), derived by Spark SQL."""
-    return pages.sparkSession.sql(pages_rich_sql(), pages=pages.select("page_id", "url", "html"))
-
-
 def save_bucketed_pages(pages: DataFrame, table: str, num_buckets: int, path: str | None = None) -> None:
     """Write ``pages`` as a table bucketed (and sorted) by ``page_id``.
 

@@ -41,10 +41,11 @@ def test_single_page_site_merge_is_identity(spark):
 
 def test_every_query_has_an_oracle_or_is_json(spark):
     import __spark_entry__ as E
+    from sitelens.plans.queries import ORACLE
 
-    q, o = E.queries(), E.oracle_sql()
-    assert set(q) - set(o) == {"analysis_json", "run_summary"}
-    assert set(o) <= set(q)
+    assert set(QUERIES) - set(ORACLE) == {"analysis_json", "run_summary"}
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_runs(spark):
@@ -58,7 +59,8 @@ def test_entry_runs(spark):
 def test_zone_text_equals_interval_join_formulation(spark):
     from sitelens.operators.zones import zone_segments, zone_text
     from sitelens.plans.analysis import page_base
-    from sitelens.sources.pages import pages_rich, read_pages
+    from sitelens.fixtures import pages_rich
+    from sitelens.sources.pages import read_pages
 
     base = page_base(pages_rich(read_pages(spark, SF_SMALL)), keep_clean=True)
     segs = zone_segments(base).groupBy("page_id").agg(

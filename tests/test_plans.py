@@ -9,16 +9,15 @@ def plan(df):
 
 
 def scanned(spark):
-    """Pages as a large input is read: as scanned, without the small-input spread."""
+    """Pages as every query reads them."""
     from sitelens.sources.pages import read_pages
 
-    return read_pages(spark, SF_SMALL, spread=False)
+    return read_pages(spark, SF_SMALL)
 
 
-def test_page_audit_has_no_shuffle(spark):
-    from sitelens.operators.audit import page_audit
-
-    assert "Exchange" not in plan(page_audit(scanned(spark)))
+def test_page_local_queries_have_no_shuffle(spark):
+    for name in ("page_audit", "page_audit_rich", "body_text", "title_text", "tag_presence", "clean_html"):
+        assert "Exchange" not in plan(QUERIES[name](spark, SF_SMALL)), name
 
 
 def test_site_key_reads_no_markup(spark):
@@ -44,8 +43,12 @@ def test_zone_text_single_shuffle(spark):
 def test_dimensions_are_broadcast(spark):
     p = plan(QUERIES["page_keywords"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p and "LeftAnti" in p
-    p = plan(QUERIES["indicator_scores"](spark, SF_SMALL))
-    assert "BroadcastNestedLoopJoin" in p
+
+
+def test_indicators_need_no_join(spark):
+    for name in ("indicator_scores", "business_type"):
+        p = plan(QUERIES[name](spark, SF_SMALL))
+        assert "Join" not in p and p.count("Exchange") == 1, p
 
 
 def test_bucketed_pages_need_no_shuffle(spark, tmp_dir):
@@ -56,7 +59,7 @@ def test_bucketed_pages_need_no_shuffle(spark, tmp_dir):
     from sitelens.sources.pages import read_bucketed_pages, read_pages, save_bucketed_pages
 
     name = "pages_bucketed_" + os.path.basename(tmp_dir).replace("-", "_")
-    save_bucketed_pages(read_pages(spark, SF_SMALL, spread=False), name, 4, path=os.path.join(tmp_dir, "bucketed"))
+    save_bucketed_pages(read_pages(spark, SF_SMALL), name, 4, path=os.path.join(tmp_dir, "bucketed"))
     pages = read_bucketed_pages(spark, name)
     base = page_base(pages, keep_clean=True)
     for df in (zone_text(base), page_keywords(base)):
@@ -73,4 +76,4 @@ def test_business_type_chain_single_shuffle(spark):
     z = zone_text(page_base(scanned(spark), keep_clean=True)).withColumn("content_summary", content_summary("zone_text"))
     p = plan(business_type(z, carry=["content_summary"]))
     assert p.count("Exchange hashpartitioning") == 1, p
-    assert "BroadcastNestedLoopJoin" in p and "partial_max_by" in p
+    assert "NestedLoop" not in p

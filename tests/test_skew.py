@@ -15,7 +15,7 @@ from sitelens.sources.pages import read_pages
 
 
 def hot_pages(spark):
-    p = read_pages(spark, SF_SMALL, spread=False)
+    p = read_pages(spark, SF_SMALL)
     hot = F.concat(F.lit("https://hot.example.com/p"), F.col("page_id").cast("string"))
     return p.withColumn("url", F.when(F.col("page_id") % 3 == 0, hot).otherwise(F.col("url")))
 
