@@ -51,10 +51,10 @@ def _wrap(block: Column) -> Column:
     return F.when(block != lit(""), F.concat(lit("\n"), block, lit("\n"))).otherwise(lit(""))
 
 
-def inject(html: Column, meta: Column, og: Column, twitter: Column, schema: Column) -> Column:
-    stripped = strip_title(html)
-    before, after = split_at_point(stripped)
-    out = F.concat(before, lit("\n"), meta, lit("\n"), _wrap(og), _wrap(twitter), _wrap(schema), after)
+def inject(html: Column, meta: Column, *blocks: Column) -> Column:
+    """The title stripped, then the meta block and every non-empty other block at the injection point."""
+    before, after = split_at_point(strip_title(html))
+    out = F.concat(before, lit("\n"), meta, lit("\n"), *(_wrap(b) for b in blocks), after)
     return F.when(has_point(html), out).otherwise(html)
 
 

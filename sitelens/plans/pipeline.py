@@ -107,19 +107,11 @@ class InjectorPipeline:
 
     def inject(self, gen_input: DataFrame, key: str = "page_id") -> DataFrame:
         """``key, html, status``: every non-empty block inserted at the injection point, in order."""
-        from sitelens.operators.inject import has_point, split_at_point, strip_title
+        from sitelens.operators.inject import has_point, inject
 
-        blocks = [fn() for _, fn in self.injectors]
         html = F.col("html")
-        before, after = split_at_point(strip_title(html))
-        parts = [before]
-        for i, b in enumerate(blocks):
-            # the first (meta) block is always written; later ones only when non-empty
-            parts.append(F.concat(F.lit("\n"), b, F.lit("\n")) if i == 0 else
-                         F.when(b != F.lit(""), F.concat(F.lit("\n"), b, F.lit("\n"))).otherwise(F.lit("")))
-        parts.append(after)
         return gen_input.select(
             key,
-            F.when(has_point(html), F.concat(*parts)).otherwise(html).alias("html"),
+            inject(html, *(fn() for _, fn in self.injectors)).alias("html"),
             F.when(has_point(html), F.lit("ok")).otherwise(F.lit("no_injection_point")).alias("status"),
         )
