@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, huffman, langid, packing, pii, quality, setjoin, suffix, tokencount, warc
+from sitelens.llm import decontam, huffman, langid, oracle, packing, pii, quality, setjoin, suffix, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,9 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threshold table over every document."""
-    return quality.quality(_table(spark, sf_dir, "documents"))
+    """The threshold table over every document: counts, base check and verdict."""
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.quality(_table(spark, sf_dir, "documents")).select(*columns)
 
 
 def op3_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,4 @@ QUERIES = {
     "op9_concat_packing": op9_concat_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_quality_rules": oracle.quality(), "op4_jaccard_join": oracle.jaccard(), "op8_warc_zip": oracle.warc()}
