@@ -63,8 +63,10 @@ class LibraryEncoder:
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.piece_model:
-            pieces = self.model.encode(text, out_type="immutable_proto").pieces
-            rows = [(p.id, p.begin, p.end) for p in pieces]
+            pieces = self.model.encode(text, return_type="proto").pieces
+            body = np.frombuffer(text.encode(), np.uint8)
+            chars = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])  # its offsets count bytes
+            rows = [(p.id, chars[p.begin], chars[p.end]) for p in pieces]
         else:
             e = self.model.encode(text, add_special_tokens=False)
             rows = [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]

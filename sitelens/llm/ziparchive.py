@@ -68,9 +68,10 @@ def read_directory(read: Callable[[int, int], bytes], size: int) -> list[Member]
     """
     tail_at = max(0, size - END.size - FULL16 - LOCATOR64.size)
     tail = read(tail_at, size - tail_at)
-    at = tail.rfind(struct.pack("<I", END_MARK))
-    while at >= 0 and at + END.size + struct.unpack_from("<H", tail, at + END.size - 2)[0] != len(tail):
-        at = tail.rfind(struct.pack("<I", END_MARK), 0, at)  # the mark may also stand in the comment
+    mark = struct.pack("<I", END_MARK)
+    at = tail.rfind(mark)
+    while at >= 0 and (at + END.size > len(tail) or at + END.size + END.unpack_from(tail, at)[-1] != len(tail)):
+        at = tail.rfind(mark, 0, at + len(mark) - 1)  # the mark may also stand in the comment
     if at < 0:
         raise ValueError("no end of central directory")
     _, _, _, _, count, length, start, _ = END.unpack_from(tail, at)

@@ -32,7 +32,7 @@ def crc(ids):
 
 def test_word_cache_equals_library():
     rnd = random.Random(3)
-    alphabet = list("aAbB.,'!? \n\t\r\x0b\x1ć İΣσßéÉ1२日<|>") + ["<|endoftext|>", "'s", "Straße", "fin.", "don't"]
+    alphabet = [*"aAbB.,'!? \n\t\r\x0b\x1c\u0301\u0130\u03a3\u03c3\u00df\u00e9\u00c91\u0968\u65e5<|>", "<|endoftext|>", "'s", "Stra\u00dfe", "fin.", "don't"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
     for cache in (50, 100_000):  # a cache that is emptied all the time, and one that never is
         ids, offsets = TextEncoder(default_vocabulary(), cache).encode(pa.array([*texts, None]))
@@ -46,7 +46,7 @@ def test_code_lengths_are_optimal_and_limited():
     lengths = huffman.code_lengths(counts, 20)
     assert (lengths > 0).tolist() == (counts > 0).tolist()
     assert sum(2.0 ** -int(x) for x in lengths if x) == 1.0
-    assert int((counts * lengths).sum()) == 83  # by hand: the merges 2, 4, 7, 12, 52 and their sum with the depths
+    assert int((counts * lengths).sum()) == 77  # the merges by hand: 2 + 4 + 7 + 12 + 52
     fibonacci = np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144])
     assert huffman.code_lengths(fibonacci, 20).max() == 11
     limited = huffman.code_lengths(fibonacci, 5)
@@ -73,7 +73,6 @@ def test_huffman_files(spark, monkeypatch):
     expected = sorted(((d is not None, d or 0), crc([*whole_ids(t), 2]), len(whole_ids(t)) + 1) for d, t, *_ in rows())
     start = 0
     found = sorted(got, key=lambda r: r["start"])
-    assert [((r["doc_id"] is not None, r["doc_id"] or 0), r["n_tokens"]) for r in found] == [(e[0], e[2]) for e in sorted(expected, key=lambda e: e[0])] or True
     for r in found:
         assert r["start"] == start
         start += r["n_tokens"]
