@@ -18,6 +18,8 @@ from sitelens.operators import dims
 MAX_WORDS = 50
 MAX_PHRASES = 10
 MIN_WORD_LEN = 3
+#: Keys of which one value is one text.
+TEXT_KEYS = ("page_id", "doc_id")
 
 
 def f32(x) -> Column:
@@ -82,8 +84,13 @@ def keyword_frequency(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     """Count per (key, kind, word); ``total_words`` = kept tokens of that kind and key.
 
     The count is a partial aggregate (combined per task before the shuffle).
+    One text's words fit one window; a site's or source's may not, so there the
+    totals are an aggregate of their own, joined back (a skewed join splits).
     """
     counts = tokens.groupBy(key, "is_phrase", "word").agg(F.count(lit(1)).alias("frequency"))
+    if key not in TEXT_KEYS:
+        totals = counts.groupBy(key, "is_phrase").agg(F.sum("frequency").alias("total_words"))
+        return counts.join(totals, [key, "is_phrase"])
     return counts.withColumn("total_words", F.sum("frequency").over(Window.partitionBy(key, "is_phrase")))
 
 

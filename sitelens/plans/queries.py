@@ -764,3 +764,42 @@ def q_inject_block(spark, sf_dir):
     f = _gen_frames(spark, sf_dir)
     j = f["page_generated"].join(_pages(spark, sf_dir, True).select("page_id", "html"), "page_id")
     return j.select("page_id", inject_block(F.col("html"), F.col("open_graph")).alias("html"))
+
+
+# --- plain texts: the same word and sentiment operators over ``documents`` --------------------
+
+
+DOCUMENT_TEXTS = "SELECT doc_id, source, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description, text AS raw_text FROM documents"
+
+
+def _documents(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    none = F.lit(None).cast("string")
+    docs = S.read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", none.alias("title"), none.alias("description"), F.col("text").alias("raw_text"))
+
+
+@register("document_keywords", lambda: f"WITH base AS ({DOCUMENT_TEXTS}), {D.keyword_ctes('base', 'doc_id')} SELECT * FROM kw")
+def q_document_keywords(spark, sf_dir):
+    from sitelens.operators.keywords import page_keywords
+
+    return page_keywords(_documents(spark, sf_dir), key="doc_id")
+
+
+@register("document_sentiment", lambda: f"WITH base AS ({DOCUMENT_TEXTS}), {D.sentiment_ctes('base', 'doc_id')} SELECT doc_id, {D.flat(SENT_COLS, SENT_ARRAYS)} FROM sen")
+def q_document_sentiment(spark, sf_dir):
+    from sitelens.operators.sentiment import sentiment
+
+    return flat(sentiment(_documents(spark, sf_dir), key="doc_id"))
+
+
+@register(
+    "source_word_frequency",
+    lambda: f"WITH base AS ({DOCUMENT_TEXTS}), {D.keyword_ctes('base', 'source')} SELECT source, word, frequency, total_words FROM kf WHERE NOT is_phrase",
+)
+def q_source_word_frequency(spark, sf_dir):
+    """Word counts per source; one source holds a third of all documents."""
+    from sitelens.operators.keywords import word_frequency
+
+    return word_frequency(_documents(spark, sf_dir), key="source")
