@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.storage import free_name, written
+from sitelens.llm.storage import free_name, kept, scratch, written
 from sitelens.llm.tokens import slices
 from sitelens.llm.words import Words, span_hashes, split_words, window_hashes
 
@@ -201,7 +201,9 @@ def runs(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataF
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """One row a document and benchmark item that it holds, by the longest run."""
-    best = runs(docs, benchmark, min_run).groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "exact", "start", "item_words")).alias("r"))
+    with scratch(docs.sparkSession, "decontamination"):
+        found = kept(runs(docs, benchmark, min_run), "benchmark-runs")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "exact", "start", "item_words")).alias("r"))
     kind = F.when(F.col("r.exact"), F.lit("exact")).otherwise(F.lit("reparametrised"))
     share = F.least(F.lit(1.0), F.col("r.words") / F.col("r.item_words"))
     return best.select("doc_id", "item_id", F.col("r.start").cast("long").alias("start_word"), F.col("r.words").cast("long").alias("n_words"), share.alias("item_share"), kind.alias("kind"))
@@ -209,9 +211,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN)
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    bad = written(runs(docs, benchmark, min_run).select("key").distinct(), "contaminated-keys")
+    with scratch(docs.sparkSession, "decontamination"):
+        bad = kept(runs(docs, benchmark, min_run).select("key").distinct(), "contaminated-keys")
     small = bad.count() <= BROADCAST_ROWS
     key = free_name(docs.columns, "key")
     bad = bad.withColumnRenamed("key", key)
-    kept = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return kept.join(F.broadcast(bad) if small else bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return marked.join(F.broadcast(bad) if small else bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm.graph import components
-from sitelens.llm.storage import free_name, written
+from sitelens.llm.storage import free_name, kept, scratch, written
 from sitelens.llm.tokens import slices
 from sitelens.llm.words import mix, short_hash, split_words, window_hashes, word_hashes
 
@@ -336,6 +336,11 @@ def meeting(label, low, high, pos, percent: int) -> Iterator[tuple[int, np.ndarr
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
+    with scratch(docs.sparkSession, "join"):
+        return kept(_jaccard_classes(docs, percent, sketch_bits), "jaccard-classes")
+
+
+def _jaccard_classes(docs: DataFrame, percent: int, sketch_bits: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     raw = written(_signatures(rows, sketch_bits), "join-signatures")
     crowd = _crowding(raw, sketch_bits)
@@ -407,8 +412,9 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows without a ``doc_id`` stay, and so do repeated rows of a representative.
     """
     ident = free_name(docs.columns, "id")
-    gone = jaccard_classes(docs, percent).where("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias(ident)).distinct()
-    gone = written(gone, "near-copies")
+    with scratch(docs.sparkSession, "join"):
+        gone = _jaccard_classes(docs, percent, SKETCH_BITS).where("doc_id IS NOT NULL AND component_id <> doc_id")
+        gone = kept(gone.select(F.col("doc_id").alias(ident)).distinct(), "near-copies")
     small = gone.count() <= BROADCAST_ROWS
     marked = docs.withColumn(ident, F.col("doc_id").cast("long"))
     return marked.join(F.broadcast(gone) if small else gone, ident, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +44,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a compressed Parquet table of the shared folder and read again."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
+    return _table(df, f"{_SCRATCH.get()}/{name}-{uuid.uuid4().hex[:12]}" if _SCRATCH.get() else work_dir(df.sparkSession, name))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, but outlasting the ``scratch`` block around it."""
+    return _table(df, work_dir(df.sparkSession, name))
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables written inside the block go to a folder of its own, which is deleted at the block's end.
+
+    What the block returns must be written by ``kept`` inside it.
+    """
+    folder = work_dir(spark, name)
+    before = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm.setjoin import SLICE_BYTES, runs_of
-from sitelens.llm.storage import written
+from sitelens.llm.storage import kept, scratch, written
 from sitelens.llm.tokens import slices
 from sitelens.llm.words import PLACE_VALUES, mix, split_words, window_hashes, word_hashes
 
@@ -245,6 +245,11 @@ def _merged(stretches: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, passage_id, start_word, end_word, n_words`` of the spans that other documents hold too."""
+    with scratch(docs.sparkSession, "passages"):
+        return kept(_repeated_passages(docs), "repeated-passages")
+
+
+def _repeated_passages(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs)
     suffixes = written(_suffixes(rows), "suffixes")
     blocks = suffixes.where("block IS NOT NULL").groupBy("block").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
