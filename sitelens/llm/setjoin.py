@@ -11,8 +11,9 @@ their prefixes of ``n - ceil(t * n) + 1`` shingles meet.  Steps:
    documents share leave the prefixes.  The prefixes form index lists by
    shingle; lists of crowded shingles are salted by a factor that grows with
    the crowd.  Lists of one node are dropped.
-3. In every list, nodes of like size point to the first of them, their
-   pivot.  Each node is compared with the pivot that it meets most often; if
+3. In every list, nodes of like size point to one of them, their pivot: the
+   one with the fewest rarer shingles, which has most in common with the rest.
+   Each node is compared with the pivot that it meets most often; if
    linked, it keeps the pivot as its reference and its difference from it.
 4. Nodes that links join already need no more answers.  Where a list holds
    references of different components, blocks of entries by size and position
@@ -214,16 +215,15 @@ def _shared(postings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ("token", "salt")):
-            token, salt, node, size, pos = (table.column(c).to_numpy() for c in ("token", "salt", "node", "size", "pos"))
+            token, salt, node, size, pos, band = (table.column(c).to_numpy() for c in ("token", "salt", "node", "size", "pos", "band"))
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
             copy = ~fresh
-            copy[1:] &= node[1:] == node[:-1]  # equal sets: sorted by node, they stand together
+            copy[1:] &= node[1:] == node[:-1]  # equal sets have equal places, so they stand together
             keep = np.flatnonzero(~copy)
-            token, salt, node, size, pos, fresh = (x[keep] for x in (token, salt, node, size, pos, fresh))
+            token, salt, node, size, pos, band, fresh = (x[keep] for x in (token, salt, node, size, pos, band, fresh))
             at = np.flatnonzero(fresh)
             length = np.diff(np.append(at, len(token)))
-            band = np.floor(np.log(size) / np.log(1.25)).astype(np.int32)
             lead = fresh.copy()
             lead[1:] |= band[1:] != band[:-1]
             first = np.flatnonzero(lead)
@@ -232,7 +232,8 @@ def _shared(postings: DataFrame) -> DataFrame:
             columns = (token, node, size, pos, band, pivot, salt >= 0)
             yield pa.record_batch([pa.array(x[some]) for x in columns], names=["token", "node", "size", "pos", "band", "pivot", "crowded"])
 
-    ordered = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "node")
+    banded = postings.withColumn("band", F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int"))
+    ordered = banded.repartition("token", "salt").sortWithinPartitions("token", "salt", "band", "pos", "size", "node")
     return ordered.mapInArrow(run, "token long, node long, size int, pos int, band int, pivot long, crowded boolean")
 
 
@@ -352,8 +353,8 @@ def _jaccard_classes(docs: DataFrame, percent: int, sketch_bits: int) -> DataFra
 
     # 3: each node with the pivot that it meets most often; pivots of salted parts with their list's first
     meets = shared.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size")
-    crowded = shared.where("crowded AND pivot = node").select("token", "band", "size", "node")
-    head = crowded.groupBy("token", "band").agg(F.min(F.struct("size", "node"))["node"].alias("b"))
+    crowded = shared.where("crowded AND pivot = node").select("token", "band", "pos", "size", "node")
+    head = crowded.groupBy("token", "band").agg(F.min(F.struct("pos", "size", "node"))["node"].alias("b"))
     heads = crowded.join(head, ["token", "band"]).where("node <> b").select(F.col("node").alias("a"), "b", "size")
     met = meets.unionByName(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     met = met.where(f"n >= least({MEET}, (size + 1) div 2)")
