@@ -118,7 +118,7 @@ def _contexts(rows: DataFrame, survivors: DataFrame) -> DataFrame:
     ``left`` are the words before the block, nearest first, ``right`` those
     behind it: 32-bit hashes, big-endian, so bytes sort like word sequences.
     """
-    places = survivors.groupBy("key").agg(F.collect_list(F.struct("pos", "block", "salt")).alias("at"))  # bounded by the text
+    places = survivors.groupBy("key").agg(F.collect_set(F.struct("pos", "block", "salt")).alias("at"))  # bounded by the text
     keys = survivors.select("key").distinct()
     few = keys.count() <= BROADCAST_ROWS
     texts = rows.select("key", "text").join(F.broadcast(keys) if few else keys, "key", "left_semi").join(places, "key")
@@ -254,7 +254,7 @@ def _repeated_passages(docs: DataFrame) -> DataFrame:
     suffixes = written(_suffixes(rows), "suffixes")
     blocks = suffixes.where("block IS NOT NULL").groupBy("block").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
     salt = F.when(F.col("n") > PART, F.pmod(F.xxhash64("key", "pos"), F.ceil(F.col("n") / PART)).cast("int")).otherwise(F.lit(-1))
-    survivors = written(suffixes.join(blocks.select("block", "n"), "block").select("block", "key", "pos", salt.alias("salt")).distinct(), "suffix-survivors")
+    survivors = written(suffixes.join(blocks.select("block", "n"), "block").select("block", "key", "pos", salt.alias("salt")), "suffix-survivors")
     contexts = written(_contexts(rows, survivors), "suffix-contexts")
     near = written(_neighbours(contexts), "suffix-neighbours")
     left_open = near.where("start IS NULL").select("block").distinct()
