@@ -4,8 +4,10 @@ A word becomes a typed placeholder if it is a number, a unit of measure or a
 name (capitalised other than at the start of a sentence or line); other words
 are literal, without case and edge punctuation.  Windows of ``WINDOW``
 template words with at least ``MIN_LITERAL`` literal ones are joined by hash
-between documents and benchmark items; neighbouring hits on one alignment
-chain into a run.  A run counts if it has ``MIN_RUN`` words, or all words but
+between documents and benchmark items.  A hit also covers the words of the
+windows without enough literals that lie next to it, as far as their templates
+are equal; hits on one alignment that overlap or touch chain into a run, once
+with those words and once without.  A run counts if it has ``MIN_RUN`` words, or all words but
 one of a shorter item (its first word looks like a name where a document has
 it inside a sentence), and if its slots are consistent: equal values of the
 item stand for equal values of the document.  Runs whose slots hold the item's own values
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.storage import free_name, kept, scratch, written
@@ -51,6 +53,9 @@ UNITS = (
     "km/h mph kph m/s usd eur gbp dollar dollars euro euros pound pounds cent cents percent degree degrees watt watts volt volts"
 ).split()
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x9A3F00000000001, 0x9A3F00000000002, 0x9A3F00000000003))
+#: A window: hash, first word, slot values; templates and slot values of the unsearched words to its left (nearest first) and right.
+ROW = "h long, pos int, slots array<long>, left array<long>, left_slots array<long>, right array<long>, right_slots array<long>"
+ROW_NAMES = [c.split()[0] for c in ROW.split(", ")]
 LEADING, TRAILING = b"\"'([{$<*#&|%", b".,;:!?\"')]}%>*#&|$"
 
 
@@ -97,8 +102,8 @@ def _newline_between(words: Words) -> np.ndarray:
     return lines[words.starts[1:]] > lines[words.ends[:-1]]
 
 
-def template_windows(texts: pa.Array, unit_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
-    """(hash, text, place, slot values of every word, words) of the searchable windows."""
+def template_windows(texts: pa.Array, unit_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
+    """(hash, text, place, template and slot value of every word, words) of the searchable windows."""
     words = split_words(texts)
     hashes, slots = templates(words, unit_hashes)
     windows = window_hashes(hashes, WINDOW)
@@ -108,32 +113,45 @@ def template_windows(texts: pa.Array, unit_hashes: np.ndarray) -> tuple[np.ndarr
     ok = place + WINDOW <= words.offsets[text + 1]
     ok &= WINDOW - (slots_before[place + WINDOW] - slots_before[place]) >= MIN_LITERAL
     place = place[ok]
-    return windows[ok], text[ok], place, slots, words
+    return windows[ok], text[ok], place, hashes, slots, words
+
+
+def _lists(values: np.ndarray, start: np.ndarray, n: np.ndarray, step: int = 1) -> pa.ListArray:
+    """Lists of ``n`` values from ``start`` on."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(start, n) + step * (np.arange(ends[-1]) - np.repeat(ends[:-1], n))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[at].view(np.int64)))
 
 
 def _rows(texts: pa.Array, keep=None) -> tuple[np.ndarray, pa.RecordBatch]:
-    """(text of each row, rows of h, pos, slots) of the windows that ``keep`` lets through."""
-    h, text, place, slots, words = template_windows(texts, _unit_hashes())
+    """(text of each row, rows of ``ROW``) of the windows that ``keep`` lets through."""
+    h, text, place, hashes, slots, words = template_windows(texts, _unit_hashes())
+    first, last = words.offsets[text], words.offsets[text + 1]
+    new_text = np.ones(len(text) + 1, bool)
+    new_text[1:-1] = text[1:] != text[:-1]
+    # words that only unsearched windows have, back to the window before and on to the next
+    n_left = place - np.where(new_text[:-1], first, np.roll(place, 1) + 1)
+    n_right = np.where(new_text[1:], last, np.roll(place, -1) + WINDOW - 1) - place - WINDOW
     if keep is not None:
         some = keep(h)
-        h, text, place = h[some], text[some], place[some]
-    around = slots[(place[:, None] + np.arange(WINDOW)).ravel()].view(np.int64) if len(place) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1, dtype=np.int32) * WINDOW), pa.array(around))
-    return text, pa.record_batch([pa.array(h.view(np.int64)), pa.array((place - words.offsets[text]).astype(np.int32)), lists], names=["h", "pos", "slots"])
+        h, text, place, n_left, n_right = h[some], text[some], place[some], n_left[some], n_right[some]
+    left, right = (place - 1, n_left, -1), (place + WINDOW, n_right)
+    lists = [_lists(slots, place, np.full(len(place), WINDOW)), _lists(hashes, *left), _lists(slots, *left), _lists(hashes, *right), _lists(slots, *right)]
+    return text, pa.record_batch([pa.array(h.view(np.int64)), pa.array((place - words.offsets[text]).astype(np.int32)), *lists], names=ROW_NAMES)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_words, h, pos, slots) of the benchmark's windows."""
+    """(item_id, item_words and ``ROW``) of the benchmark's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 text, rows = _rows(batch.column("text"))
                 size = np.diff(split_words(batch.column("text")).offsets)[text]
-                yield pa.record_batch([batch.column("item_id").take(pa.array(text)), pa.array(size.astype(np.int32)), *rows.columns], names=["item_id", "item_words", "h", "pos", "slots"])
+                yield pa.record_batch([batch.column("item_id").take(pa.array(text)), pa.array(size.astype(np.int32)), *rows.columns], names=["item_id", "item_words", *ROW_NAMES])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "item_id long, item_words int, h long, pos int, slots array<long>")
+    return items.mapInArrow(run, f"item_id long, item_words int, {ROW}")
 
 
 def window_bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
@@ -155,7 +173,7 @@ def window_bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _document_windows(docs: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """(doc_id, key, h, pos, slots) of the documents' windows that the bitmap has."""
+    """(doc_id, key and ``ROW``) of the documents' windows that the bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << bits) - 1)
@@ -168,9 +186,20 @@ def _document_windows(docs: DataFrame, bitmap: np.ndarray, bits: int) -> DataFra
             for batch in slices(whole, "text", SLICE_BYTES):
                 text, rows = _rows(batch.column("text"), keep)
                 at = pa.array(text)
-                yield pa.record_batch([batch.column("doc_id").take(at), batch.column("key").take(at), *rows.columns], names=["doc_id", "key", "h", "pos", "slots"])
+                yield pa.record_batch([batch.column("doc_id").take(at), batch.column("key").take(at), *rows.columns], names=["doc_id", "key", *ROW_NAMES])
+
+    return docs.mapInArrow(run, f"doc_id long, key long, {ROW}")
+
+
+def _common(side: str) -> Column:
+    """Leading words of ``side`` whose templates are equal in document and item."""
+    same = F.zip_with(side, f"item_{side}", lambda d, b: F.coalesce(d == b, F.lit(False)))
+    differs = F.array_position(same, False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")
+
 
-    return docs.mapInArrow(run, "doc_id long, key long, h long, pos int, slots array<long>")
+def _pairs(slots: str) -> Column:
+    return F.arrays_zip(F.col(f"item_{slots}").alias("b"), F.col(slots).alias("d"))
 
 
 def runs(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -180,16 +209,21 @@ def runs(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     found = written(_document_windows(rows, bitmap, bits), "doc-windows")
-    hits = found.join(index.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}), "h")
+    hits = found.join(index.withColumnsRenamed({c: f"item_{c}" for c in ROW_NAMES[1:]}), "h")
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).drop("h").dropDuplicates(["key", "item_id", "shift", "pos"])
-    along = Window.partitionBy("key", "item_id", "shift").orderBy("pos")
-    # windows of few literal words are not searched, so a run may step over them
-    breaks = F.coalesce((F.col("pos") - F.lag("pos").over(along) > WINDOW).cast("int"), F.lit(0))
+    # once with the unsearched words that agree and once without, so that their slots take no run away
+    hits = hits.withColumn("wide", F.explode(F.array(F.lit(True), F.lit(False))))
+    left, right = (F.when(F.col("wide"), _common(side)).otherwise(F.lit(0)) for side in ("left", "right"))
+    hits = hits.withColumns({"n_left": left, "n_right": right})
+    hits = hits.withColumns({"from": F.col("pos") - F.col("n_left"), "to": F.col("pos") + WINDOW + F.col("n_right")})
+    along = Window.partitionBy("key", "item_id", "shift", "wide").orderBy("pos")
+    breaks = F.coalesce((F.col("from") > F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     chained = hits.withColumn("break", breaks).withColumn("run", F.sum("break").over(along))
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda x: (x["b"] != 0) | (x["d"] != 0))
-    grouped = chained.groupBy("doc_id", "key", "item_id", "item_words", "shift", "run").agg(
-        F.min("pos").alias("start"),
-        (F.max("pos") - F.min("pos") + WINDOW).alias("words"),
+    pairs = F.concat(_pairs("slots"), F.slice(_pairs("left_slots"), F.lit(1), F.col("n_left")), F.slice(_pairs("right_slots"), F.lit(1), F.col("n_right")))
+    pairs = F.filter(pairs, lambda x: (x["b"] != 0) | (x["d"] != 0))
+    grouped = chained.groupBy("doc_id", "key", "item_id", "item_words", "shift", "wide", "run").agg(
+        F.min("from").alias("start"),
+        (F.max("to") - F.min("from")).alias("words"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))

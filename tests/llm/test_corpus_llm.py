@@ -84,6 +84,29 @@ def test_exact_reparametrised_and_inconsistent(spark):
     assert {r["doc_id"] for r in kept.collect()} >= {5, 6, 7, 8} and not {r["doc_id"] for r in kept.collect()} & {1, 2, 4, 10, None}
 
 
+def found_items(spark, docs, items):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k", "x") for i, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(i, t, "e") for i, t in enumerate(items)], BENCH)
+    return {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], r["kind"]) for r in decontam.contaminated(docs, bench).collect()}
+
+
+def test_runs_step_over_crowded_slots(spark):
+    before, after = "nobody could say how the old miller kept count", "because every sack had lost its label last winter"
+    item = f"{before} 12 14 19 23 31 40 {after}"
+    other = f"{before} 13 15 20 24 32 41 {after}"
+    edges = "7 8 9 10 11 birds were seen beside the quiet pond 1 2 3 4 5"
+    mixed = f"{before} Anna 3 met 4 Bob 5 saw 6 Cid 7 and 8 Dan {after}"
+    gone = f"{before} and then he was just gone {after}"
+    docs = [f"so {item} then", other, gone, edges.replace("7 8", "70 80"), mixed, mixed.replace("saw", "hit")]
+    got = found_items(spark, docs, [item, edges, mixed])
+    assert got[0, 0] == (1, 24, "exact") and got[1, 0] == (0, 24, "reparametrised")
+    assert got[3, 1] == (0, 17, "reparametrised") and got[4, 2] == (0, 31, "exact")
+    assert got[5, 2][:2] == (16, 15) and not {k for k in got if k[0] == 2}
+    # the words between are not held against a run that counts without them
+    long = " ".join(f"w{i}" for i in range(20))
+    assert found_items(spark, [f"{long} 5 6 9 9 1"], [f"{long} 5 6 8 8 8"])[0, 0] == (0, 22, "exact")
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], BENCH)
     assert decontam.contaminated(docs, bench).collect() == []
