@@ -4,10 +4,12 @@ A word becomes a typed placeholder if it is a number, a unit of measure or a
 name (capitalised other than at the start of a sentence or line); other words
 are literal, without case and edge punctuation.  Windows of ``WINDOW``
 template words with at least ``MIN_LITERAL`` literal ones are joined by hash
-between documents and benchmark items.  A hit also covers the words of the
+between documents and benchmark items.  All windows are joined by the hash of
+their words as well, names, numbers and units included, so copies of any words
+and in any case are found.  A hit by templates also covers the words of the
 windows without enough literals that lie next to it, as far as their templates
 are equal; hits on one alignment that overlap or touch chain into a run, once
-with those words and once without.  A run counts if it has ``MIN_RUN`` words, or all words but
+with all of this and once by templates alone.  A run counts if it has ``MIN_RUN`` words, or all words but
 one of a shorter item (its first word looks like a name where a document has
 it inside a sentence), and if its slots are consistent: equal values of the
 item stand for equal values of the document.  Runs whose slots hold the item's own values
@@ -27,9 +29,11 @@ columns are ignored by ``contaminated`` and kept by ``decontaminated``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +57,8 @@ UNITS = (
     "km/h mph kph m/s usd eur gbp dollar dollars euro euros pound pounds cent cents percent degree degrees watt watts volt volts"
 ).split()
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x9A3F00000000001, 0x9A3F00000000002, 0x9A3F00000000003))
-#: A window: hash, first word, slot values; templates and slot values of the unsearched words to its left (nearest first) and right.
-ROW = "h long, pos int, slots array<long>, left array<long>, left_slots array<long>, right array<long>, right_slots array<long>"
+#: A window: hash, whether by template, first word, slot values; templates and slot values of the unsearched words to its left (nearest first) and right.
+ROW = "h long, templated boolean, pos int, slots array<long>, left array<long>, left_slots array<long>, right array<long>, right_slots array<long>"
 ROW_NAMES = [c.split()[0] for c in ROW.split(", ")]
 LEADING, TRAILING = b"\"'([{$<*#&|%", b".,;:!?\"')]}%>*#&|$"
 
@@ -73,17 +77,22 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(words, words.starts, words.ends))
 
 
-def templates(words: Words, unit_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(template hash, slot value or 0) of every word."""
+def folded(texts: pa.Array) -> pa.Array:
+    """The texts in one case, word for word."""
+    return pc.replace_substring(pc.utf8_lower(pc.utf8_upper(pc.replace_substring(texts.cast(pa.large_string()), "ß", "ss"))), "ẞ", "ss")
+
+
+def templates(words: Words, unit_hashes: np.ndarray, same_case: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, slot value or 0, hash) of every word; ``same_case`` are the words of the folded texts."""
     data, starts, ends = words.data, words.starts.copy(), words.ends.copy()
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64),) * 3
     for _ in range(4):
         inner = ends - starts > 1
         starts += inner & IS_LEADING[data[starts]]
         inner = ends - starts > 1
         ends -= inner & IS_TRAILING[data[ends - 1]]
-    value = span_hashes(words, starts, ends)
+    value = span_hashes(same_case, same_case.starts + starts - words.starts, same_case.ends + ends - words.ends)
     first, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     opens = np.zeros(len(starts), bool)  # at the start of a text, line or sentence
@@ -94,7 +103,7 @@ def templates(words: Words, unit_hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     name = capital & ~opens & ~unit
     out = value.copy()
     out[number], out[unit], out[name] = NUMBER, UNIT, NAME
-    return out, np.where(number | unit | name, value, np.uint64(0))
+    return out, np.where(number | unit | name, value, np.uint64(0)), value
 
 
 def _newline_between(words: Words) -> np.ndarray:
@@ -102,18 +111,29 @@ def _newline_between(words: Words) -> np.ndarray:
     return lines[words.starts[1:]] > lines[words.ends[:-1]]
 
 
-def template_windows(texts: pa.Array, unit_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
-    """(hash, text, place, template and slot value of every word, words) of the searchable windows."""
+class Windows(NamedTuple):
+    """Hash, text and place of some windows."""
+
+    hashes: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+
+    def where(self, some: np.ndarray) -> Windows:
+        return Windows(*(x[some] for x in self))
+
+
+def text_windows(texts: pa.Array, unit_hashes: np.ndarray) -> tuple[Windows, Windows, np.ndarray, np.ndarray, Words]:
+    """(windows by template, windows by their words where that hash differs, template and slot value of every word, words)."""
     words = split_words(texts)
-    hashes, slots = templates(words, unit_hashes)
-    windows = window_hashes(hashes, WINDOW)
-    place = np.arange(len(windows))
+    hashes, slots, values = templates(words, unit_hashes, split_words(folded(texts)))
+    place = np.arange(max(0, len(hashes) - WINDOW + 1))
     text = np.searchsorted(words.offsets, place, side="right") - 1
     slots_before = np.concatenate([[0], np.cumsum(slots != 0)])
-    ok = place + WINDOW <= words.offsets[text + 1]
-    ok &= WINDOW - (slots_before[place + WINDOW] - slots_before[place]) >= MIN_LITERAL
-    place = place[ok]
-    return windows[ok], text[ok], place, hashes, slots, words
+    whole = place + WINDOW <= words.offsets[text + 1]
+    n_slots = slots_before[place + WINDOW] - slots_before[place]
+    by_template = Windows(window_hashes(hashes, WINDOW), text, place).where(whole & (WINDOW - n_slots >= MIN_LITERAL))
+    by_words = Windows(window_hashes(values, WINDOW), text, place).where(whole & (n_slots > 0))
+    return by_template, by_words, hashes, slots, words
 
 
 def _lists(values: np.ndarray, start: np.ndarray, n: np.ndarray, step: int = 1) -> pa.ListArray:
@@ -125,19 +145,25 @@ def _lists(values: np.ndarray, start: np.ndarray, n: np.ndarray, step: int = 1)
 
 def _rows(texts: pa.Array, keep=None) -> tuple[np.ndarray, pa.RecordBatch]:
     """(text of each row, rows of ``ROW``) of the windows that ``keep`` lets through."""
-    h, text, place, hashes, slots, words = template_windows(texts, _unit_hashes())
+    templated, plain, hashes, slots, words = text_windows(texts, _unit_hashes())
+    text, place = templated.text, templated.place
     first, last = words.offsets[text], words.offsets[text + 1]
     new_text = np.ones(len(text) + 1, bool)
     new_text[1:-1] = text[1:] != text[:-1]
-    # words that only unsearched windows have, back to the window before and on to the next
+    # words that only windows without enough literals have, back to the window before and on to the next
     n_left = place - np.where(new_text[:-1], first, np.roll(place, 1) + 1)
     n_right = np.where(new_text[1:], last, np.roll(place, -1) + WINDOW - 1) - place - WINDOW
     if keep is not None:
-        some = keep(h)
-        h, text, place, n_left, n_right = h[some], text[some], place[some], n_left[some], n_right[some]
+        some = keep(templated.hashes)
+        templated, n_left, n_right = templated.where(some), n_left[some], n_right[some]
+        plain = plain.where(keep(plain.hashes))
+    h, text, place = (np.concatenate(x) for x in zip(templated, plain, strict=True))
+    by_template = np.arange(len(h)) < len(n_left)
+    n_left, n_right = (np.concatenate([n, np.zeros(len(plain.place), np.int64)]) for n in (n_left, n_right))
     left, right = (place - 1, n_left, -1), (place + WINDOW, n_right)
     lists = [_lists(slots, place, np.full(len(place), WINDOW)), _lists(hashes, *left), _lists(slots, *left), _lists(hashes, *right), _lists(slots, *right)]
-    return text, pa.record_batch([pa.array(h.view(np.int64)), pa.array((place - words.offsets[text]).astype(np.int32)), *lists], names=ROW_NAMES)
+    pos = (place - words.offsets[text]).astype(np.int32)
+    return text, pa.record_batch([pa.array(h.view(np.int64)), pa.array(by_template), pa.array(pos), *lists], names=ROW_NAMES)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -210,16 +236,21 @@ def runs(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataF
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     found = written(_document_windows(rows, bitmap, bits), "doc-windows")
     hits = found.join(index.withColumnsRenamed({c: f"item_{c}" for c in ROW_NAMES[1:]}), "h")
-    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).drop("h").dropDuplicates(["key", "item_id", "shift", "pos"])
-    # once with the unsearched words that agree and once without, so that their slots take no run away
-    hits = hits.withColumn("wide", F.explode(F.array(F.lit(True), F.lit(False))))
-    left, right = (F.when(F.col("wide"), _common(side)).otherwise(F.lit(0)) for side in ("left", "right"))
+    # by words if either window is: all of them are equal then
+    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos")).withColumn("templated", F.col("templated") & F.col("item_templated"))
+    hits = hits.drop("h").dropDuplicates(["key", "item_id", "shift", "pos", "templated"])
+    # once with all words that agree and once by templates alone, so that no slot outside these takes a run away
+    hits = hits.withColumn("wide", F.explode(F.when(F.col("templated"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    left, right = (F.when(F.col("wide") & F.col("templated"), _common(side)).otherwise(F.lit(0)) for side in ("left", "right"))
     hits = hits.withColumns({"n_left": left, "n_right": right})
     hits = hits.withColumns({"from": F.col("pos") - F.col("n_left"), "to": F.col("pos") + WINDOW + F.col("n_right")})
     along = Window.partitionBy("key", "item_id", "shift", "wide").orderBy("pos")
     breaks = F.coalesce((F.col("from") > F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     chained = hits.withColumn("break", breaks).withColumn("run", F.sum("break").over(along))
-    pairs = F.concat(_pairs("slots"), F.slice(_pairs("left_slots"), F.lit(1), F.col("n_left")), F.slice(_pairs("right_slots"), F.lit(1), F.col("n_right")))
+    equal = lambda x: F.greatest(F.nullif(x["b"], F.lit(0)), F.nullif(x["d"], F.lit(0)))
+    equals = F.transform(_pairs("slots"), lambda x: F.struct(F.coalesce(equal(x), F.lit(0)).alias("b"), F.coalesce(equal(x), F.lit(0)).alias("d")))
+    own = F.when(F.col("templated"), _pairs("slots")).otherwise(equals)
+    pairs = F.concat(own, F.slice(_pairs("left_slots"), F.lit(1), F.col("n_left")), F.slice(_pairs("right_slots"), F.lit(1), F.col("n_right")))
     pairs = F.filter(pairs, lambda x: (x["b"] != 0) | (x["d"] != 0))
     grouped = chained.groupBy("doc_id", "key", "item_id", "item_words", "shift", "wide", "run").agg(
         F.min("from").alias("start"),

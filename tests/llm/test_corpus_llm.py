@@ -107,6 +107,19 @@ def test_runs_step_over_crowded_slots(spark):
     assert found_items(spark, [f"{long} 5 6 9 9 1"], [f"{long} 5 6 8 8 8"])[0, 0] == (0, 22, "exact")
 
 
+def test_copies_in_any_case_and_of_any_words(spark):
+    title = "The Quiet Harbour Of Leeds And Its Many Boats In The Early Morning Light"
+    german = "über die ältesten Häuser der großen Straße weiß heute niemand mehr etwas Öffentliches zu sagen"
+    numbers, names = "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "Anna Bob Cid Dan Eve Fay Gus Hal Ian Jim Kim Lea Max Ned"
+    items = [OTHER, OTHER.upper() + " INDEED", title, numbers, names, german, ITEM]
+    docs = [OTHER.upper(), f"{OTHER} indeed", f"so {title}.", f"x {numbers} y", f"of {names}", german.upper(), f"Well. {ITEM.upper()}", "3 1 4 1 6 9 2 6 5 3 5 8 9 7 9"]
+    got = found_items(spark, docs, items)
+    assert {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)} <= set(got)
+    assert all(got[k][2] == "exact" for k in got)
+    assert got[0, 0][:2] == (0, 18) and got[3, 3][:2] == (1, 15) and got[6, 6][:2] == (1, 30)
+    assert 7 not in {d for d, _ in got}
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], BENCH)
     assert decontam.contaminated(docs, bench).collect() == []
