@@ -12,10 +12,11 @@ different texts.  Steps:
    neighbours are compared: the match is extended right by the common prefix
    and left by the common words before, as far as a passage needs.
 4. The longest extension to the right need not be the one to the left.  Where
-   a block has a suffix that its neighbours did not confirm, or so many
+   the neighbours did not confirm as many words of a suffix as its longest
+   extensions to both sides could give together, or a block has so many
    suffixes that they were sorted in parts, every suffix of the block is
    compared under each shift of the ``MIN_WORDS`` words around it; equal ones
-   are found by hash.  So no passage is missed.
+   are found by hash.  So no word of a passage is missed.
 5. Confirmed stretches of a text are merged into spans.
 
 Equal texts are one text in steps 1 to 5; each of their documents gets the
@@ -165,6 +166,18 @@ def common(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
     return np.minimum(same, np.minimum(n_a, n_b))
 
 
+def _sortable(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), f"S{4 * SIDE}")
+
+
+def _highest(n: int, order: np.ndarray, values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The higher value of each row's two pairs with its neighbours in ``order``, or -1 without ``some``."""
+    pairs = np.concatenate([[-1], np.where(some, values, -1), [-1]])
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(pairs[:-1], pairs[1:])
+    return out
+
+
 def _neighbours(contexts: DataFrame) -> DataFrame:
     """Stretches that sorted neighbours confirm, and (with null ``start``) blocks that are left open."""
 
@@ -178,9 +191,14 @@ def _neighbours(contexts: DataFrame) -> DataFrame:
             good = pair & (before + BLOCK + after >= MIN_WORDS)
             i = np.flatnonzero(good)
             out = [(key[j], block[j], pos[j] - before[i], pos[j] + BLOCK + after[i]) for j in (i, i + 1)]
-            confirmed = np.zeros(len(key), bool)
-            confirmed[i] = confirmed[i + 1] = True
-            open_blocks = np.unique(block[~confirmed | (salt >= 0)])
+            group = np.concatenate([[0], np.cumsum((block[1:] != block[:-1]) | (salt[1:] != salt[:-1]))])
+            by_left = np.lexsort((_sortable(table.column("left")), group))
+            beside = common(left[by_left[1:]], left[by_left[:-1]], n_left[by_left[1:]], n_left[by_left[:-1]])
+            most_left = _highest(len(key), by_left, beside, group[by_left[1:]] == group[by_left[:-1]])
+            most_right = _highest(len(key), np.arange(len(key)), after, group[1:] == group[:-1])
+            got_left, got_right = (_highest(len(key), np.arange(len(key)), n, good) for n in (before, after))
+            more = (most_left + BLOCK + most_right >= MIN_WORDS) & ((got_left < most_left) | (got_right < most_right))
+            open_blocks = np.unique(block[more | (salt >= 0)])
             keys, blocks, starts, ends = (np.concatenate(x) for x in zip(*out, strict=True))
             m = len(open_blocks)
             yield pa.record_batch(

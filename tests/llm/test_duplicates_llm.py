@@ -203,6 +203,28 @@ def test_passages_against_brute_force(spark):
             assert any(a < i + 50 and i < b for a, b in spans)
 
 
+def crossed_rows():
+    """Four texts a group: pairs share what follows a core, other pairs share what precedes it."""
+    rnd, rows = random.Random(4), []
+    some = lambda n: [f"v{rnd.randrange(9000)}" for _ in range(n)]
+    for _ in range(30):
+        core, left, rights = some(40), some(10), (some(25), some(25))
+        for k in range(4):
+            rows.append(" ".join(some(30) + (left if k % 2 == 0 else some(10)) + core + rights[k // 2] + some(30)))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("make", [crossed_rows, passage_rows])
+def test_spans_are_whole(spark, make):
+    rows = make()
+    got, covered, texts = defaultdict(set), defaultdict(set), Counter(t for _, t in rows if t)
+    for r in suffix.repeated_passages(spark.createDataFrame([(d, t, "k", 1, 2) for d, t in rows], DOCS)).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    for text, i in brute_windows(rows):
+        covered[text].update(range(i, i + 50))
+    assert all(got[d] == covered[t] for d, t in rows if t and texts[t] == 1)
+
+
 def test_hot_blocks_are_sorted_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PART", 4)
     rnd = random.Random(2)
