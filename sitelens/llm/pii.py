@@ -8,7 +8,8 @@ different ones, and a pseudonym passes the same validator:
 * card numbers (13-19 digits, Luhn): the payload digits are permuted and the check digit follows;
 * US social security numbers: permuted among the valid area, group and serial numbers;
 * IPv4 addresses: permuted among all addresses;
-* phone numbers: the ten national digits are permuted, the country code stays;
+* phone numbers: the ten national digits are permuted, the country code stays; so do those of
+  ``+`` numbers of 8 to 15 digits in any grouping, with the country code as assigned;
 * dates (``2024-05-31``, ``31.05.2024``, ``05/31/2024``): permuted among the 146,097 days from 1800 to 2199;
 * e-mail addresses: the letters and digits of the local part are permuted in base 36, lower-cased; the domain
   stays.  Beyond 22 letters and digits the rest becomes a keyed hash of the whole.
@@ -41,8 +42,11 @@ DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 PHONE = r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Assigned country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+INTERNATIONAL = f"\\+(?!(?:{DATE}|{IP}|{SSN})(?!-?[0-9]){NOT_WORD_AFTER})[0-9](?:[ .()/-]{{0,2}}[0-9]){{7,14}}"
 CARD = r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})"
-NUMBERS = "|".join((DATE, IP, SSN, PHONE, CARD))
+NUMBERS = "|".join((DATE, IP, SSN, PHONE, INTERNATIONAL, CARD))
 CANDIDATE = f"{EMAIL}|(?<![\\p{{L}}\\p{{N}}_.])(?<![0-9]-)(?:{NUMBERS})(?!-?[0-9]){NOT_WORD_AFTER}"
 CANDIDATE = CANDIDATE.replace("([ -])", "(?:[ -])").replace(r"\1", "[ -]").replace(r"\2", "[ -]")
 
@@ -117,8 +121,8 @@ def _card(x: Column, key: str) -> Column:
 
 def _phone(x: Column, key: str) -> Column:
     digits = _digits(x)
-    code = F.length(digits) - 10
-    return refill(x, F.concat(F.substr(digits, F.lit(1), code), _halves(F.substr(digits, code + 1, F.lit(10)), key, "phone")), "[0-9]")
+    code = F.when(x.rlike(f"^{PHONE}$"), F.length(digits) - 10).otherwise(F.length(F.regexp_extract(digits, COUNTRY, 0)))
+    return refill(x, F.concat(F.substr(digits, F.lit(1), code), _halves(F.substr(digits, code + 1, F.length(digits) - code), key, "phone")), "[0-9]")
 
 
 def _ssn(x: Column, key: str) -> Column:
@@ -183,6 +187,7 @@ def kind_of(x: Column) -> Column:
         .when(x.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(octets_fit, F.lit("ip")))
         .when(x.rlike(f"^{SSN}$"), F.when(ssn_valid, F.lit("ssn")))
         .when(x.rlike(f"^{PHONE}$") & n.between(10, 13) & x.rlike("[^0-9]"), F.lit("phone"))
+        .when(x.startswith("+") & n.between(8, 15), F.lit("phone"))
         .when(n.between(13, 19) & (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"), F.lit("card"))
     )
 

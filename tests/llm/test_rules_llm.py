@@ -105,6 +105,18 @@ def test_every_kind_keeps_its_format_and_validity(spark):
             assert luhn(put)
 
 
+def test_international_phones(spark):
+    values = ["+44 20 7946 0958", "+33 1 42 68 53 00", "+49 30 1234567", "+442079460958", "+44 207 946 0958", "+351 21 1234567", "+49 (0)30/1234567", "+4915112345678"]
+    rows = [(i, f"tel {v}, or", "", "", 0) for i, v in enumerate([*values, "+2024-05-31"])]
+    got = {r["doc_id"]: r for r in pii.pseudonymised(spark.createDataFrame(rows, DOCS)).collect()}
+    new = [got[i]["text"][4:-4] for i in range(len(values))]
+    code = {"+44": 3, "+33": 3, "+49": 3, "+35": 4}
+    for i, (v, w) in enumerate(zip(values, new, strict=True)):
+        assert got[i]["n_phone"] == 1 and w != v and mask(w) == mask(v) and w[: code[v[:3]]] == v[: code[v[:3]]]
+    assert len({re.sub("[^0-9]", "", new[i]) for i in (0, 3, 4)}) == 1
+    assert got[len(values)]["n_date"] == 1
+
+
 def test_invalid_candidates_and_null_stay(spark):
     rows = [(i, t, "", "", 0) for i, t in enumerate([*PLAIN, None, ""])]
     got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(spark.createDataFrame(rows, DOCS)).collect()}
