@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, huffman, langid, oracle, packing, pii, quality, setjoin, suffix, tokencount, warc
+from sitelens.llm import decontam, huffman, langid, oracle, packing, periodic, pii, quality, setjoin, suffix, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, a tenth of the documents with a repeated tail."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic.repeated_tail().alias("text"))
+    return periodic.run_digests(periodic.periodic_runs(docs))
+
+
 QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_quality_rules": op2_quality_rules,
@@ -73,5 +79,6 @@ QUERIES = {
     "op8_warc_zip": op8_warc_zip,
     "op9_concat_packing": op9_concat_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE = {"op2_quality_rules": oracle.quality(), "op4_jaccard_join": oracle.jaccard(), "op8_warc_zip": oracle.warc()}
