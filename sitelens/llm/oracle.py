@@ -63,3 +63,28 @@ def warc() -> str:
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN again THEN least END AS refers_to FROM t
     """
+
+
+def trie() -> str:
+    """Every prefix of every rebuilt conversation, grouped; subtrees by each node's prefixes."""
+    bits = ", ".join(["xor(a, b)"] + ["0"] * 8)
+    crc = f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(unicode(y) AS BIGINT))),
+        lambda a, b: list_reduce([{bits}], lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))), 4294967295)"""
+    return f"""
+    WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    k AS (SELECT c, turn, r, sha256(strlen(r) || ':' || r || x) AS tok, len(regexp_extract_all(x, '{WORD}')) AS w FROM t),
+    own AS (SELECT c, list({{'tok': tok, 'w': w}} ORDER BY turn NULLS FIRST, r, tok) AS l, {crc} % 4 AS h FROM k GROUP BY c),
+    built AS (SELECT own.c, list_concat(list_slice(coalesce(b.l, []), 1, own.h), list_slice(own.l, own.h + 1, len(own.l))) AS l
+        FROM own LEFT JOIN own b ON b.c = own.c - own.c % 20),
+    pre AS (SELECT c, len(l) AS n, unnest(range(0, len(l) + 1)) AS d, l FROM built),
+    mem AS (SELECT c, n, d, array_to_string(list_transform(list_slice(l, 1, d), lambda y: y.tok), '') AS key, CASE WHEN d > 0 THEN l[d].w ELSE 0 END AS w FROM pre),
+    node AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, max(w) AS w,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM mem GROUP BY key, d),
+    kid AS (SELECT left(key, 64 * (d - 1)) AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+    each AS (SELECT node.*, coalesce(kid.n, 0) AS n_children, CASE WHEN kid.n IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * w AS saved FROM node LEFT JOIN kid USING (key)),
+    up AS (SELECT left(key, 64 * a) AS key, leaf, saved FROM (SELECT key, leaf, saved, unnest(range(0, d + 1)) AS a FROM each)),
+    sub AS (SELECT key, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY key)
+    SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(e.n_convs AS BIGINT) AS n_convs, CAST(e.n_children AS BIGINT) AS n_children,
+        CAST(sub.n_leaves AS BIGINT) AS n_leaves, CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, e.ends_sha256
+    FROM each e JOIN sub USING (key) LEFT JOIN each p ON e.d > 0 AND p.key = left(e.key, 64 * (e.d - 1))
+    """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, huffman, langid, oracle, packing, periodic, pii, quality, setjoin, suffix, tokencount, warc
+from sitelens.llm import decontam, huffman, langid, oracle, packing, periodic, pii, quality, setjoin, suffix, tokencount, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(docs))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that groups share their first turns."""
+    return trie.prefix_trie(trie.rebuilt_paths(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_quality_rules": op2_quality_rules,
@@ -80,5 +85,6 @@ QUERIES = {
     "op9_concat_packing": op9_concat_packing,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_trie": op12_conversation_trie,
 }
-ORACLE = {"op2_quality_rules": oracle.quality(), "op4_jaccard_join": oracle.jaccard(), "op8_warc_zip": oracle.warc()}
+ORACLE = {"op2_quality_rules": oracle.quality(), "op4_jaccard_join": oracle.jaccard(), "op8_warc_zip": oracle.warc(), "op12_conversation_trie": oracle.trie()}
