@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, huffman, langid, oracle, packing, periodic, pii, quality, setjoin, suffix, tokencount, trie, warc
+from sitelens.llm import decontam, huffman, langid, neighbours, oracle, packing, periodic, pii, quality, setjoin, suffix, tokencount, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt_paths(_table(spark, sf_dir, "conversations")))
 
 
+def op13_balanced_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found of every hundredth embedding."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_quality_rules": op2_quality_rules,
@@ -86,5 +92,6 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_balanced_lists": op13_balanced_lists,
 }
 ORACLE = {"op2_quality_rules": oracle.quality(), "op4_jaccard_join": oracle.jaccard(), "op8_warc_zip": oracle.warc(), "op12_conversation_trie": oracle.trie()}
