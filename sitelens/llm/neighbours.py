@@ -119,33 +119,44 @@ class Graph(NamedTuple):
         d = (points**2).sum(1)[:, None] + self.norms[ids] - 2 * np.einsum("bd,bnd->bn", points, self.centroids[ids])
         return np.sqrt(np.maximum(d, 0))
 
-    def nearest(self, points: np.ndarray, beam: int = BEAM, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, points: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the ``beam`` nearest centroids found, nearest first.
 
         The beam starts with centroids spread over the parts; the nearest that
         were not yet followed are followed along their edges, until all of the
-        beam were.
+        beam were.  No centroid's distance is taken twice.
         """
-        n = len(self.centroids)
+        n, at_once = len(self.centroids), max(4, beam // 8)
         beam = min(beam, n)
         start = np.unique(np.linspace(0, n - 1, min(n, max(beam, int(n**0.5)))).astype(np.int64))
         ids = np.repeat(start[None], len(points), 0)
         dist = self.distances(points, ids)
+        seen = np.zeros((len(points), n), bool)
+        seen[:, start] = True
         ids, dist, done = _best(ids, dist, np.zeros(ids.shape, bool), beam)
+        squares, writer = (points**2).sum(1), np.zeros((len(points), n), np.int32)
         active = np.arange(len(points))
-        while len(active):
+        while True:
             open_dist = np.where(done[active], np.inf, dist[active])
-            pick = np.argsort(open_dist, axis=1, kind="stable")[:, :at_once]
-            some = np.isfinite(np.take_along_axis(open_dist, pick[:, :1], 1)[:, 0])
+            pick = np.argpartition(open_dist, min(at_once, beam) - 1, axis=1)[:, :at_once]
+            some = np.isfinite(np.take_along_axis(open_dist, pick, 1)).any(1)
             active, pick = active[some], pick[some]
             if len(active) == 0:
                 break
-            done[active[:, None], pick] = True
-            new = self.edges[ids[active[:, None], pick]].reshape(len(active), -1)
-            far = self.distances(points[active], new)
-            merged = _best(np.concatenate([ids[active], new], 1), np.concatenate([dist[active], far], 1), np.concatenate([done[active], np.zeros(new.shape, bool)], 1), beam)
-            ids[active], dist[active], done[active] = merged
-        return ids, dist
+            row = active[:, None]
+            done[row, pick] = True
+            new = self.edges[ids[row, pick]].reshape(len(active), -1)
+            # of a centroid that several lead to, the last counts
+            place = np.arange(new.shape[1], dtype=np.int32)[None]
+            writer[row, new] = place
+            r, c = np.nonzero(~seen[row, new] & (writer[row, new] == place))
+            found, owner = new[r, c], active[r]
+            seen[owner, found] = True
+            far = np.full(new.shape, np.inf)
+            far[r, c] = np.sqrt(np.maximum(squares[owner] + self.norms[found] - 2 * np.einsum("nd,nd->n", points[owner], self.centroids[found]), 0))
+            ids[active], dist[active], done[active] = _best(np.concatenate([ids[active], new], 1), np.concatenate([dist[active], far], 1), np.concatenate([done[active], ~np.isfinite(far)], 1), beam)
+        order = np.argsort(dist, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
     def within(self, points: np.ndarray, ratio: float) -> list[np.ndarray]:
         """For each point all centroids found at most ``ratio`` times as far as the nearest; the beam widens until it reaches beyond."""
@@ -162,15 +173,8 @@ class Graph(NamedTuple):
 
 
 def _best(ids: np.ndarray, dist: np.ndarray, done: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``beam`` nearest different ids of each row, nearest first."""
-    # an id's copies stand together, one that was followed first
-    order = np.argsort(2 * ids + ~done, axis=1, kind="stable")
-    ids, dist, done = (np.take_along_axis(x, order, 1) for x in (ids, dist, done))
-    copy = np.zeros(ids.shape, bool)
-    copy[:, 1:] = ids[:, 1:] == ids[:, :-1]
-    dist = np.where(copy, np.inf, dist)
-    done = done | copy
-    order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+    """The ``beam`` nearest of each row, in any order."""
+    order = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
     return tuple(np.take_along_axis(x, order, 1) for x in (ids, dist, done))
 
 
@@ -223,8 +227,8 @@ def postings(vectors: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1024):
-                for size, batch in _by_size(whole.slice(begin, 1024)):
+            for begin in range(0, whole.num_rows, 128):
+                for size, batch in _by_size(whole.slice(begin, 128)):
                     row, found = shared.value.lists_of(placed(matrix(batch.column("v"), size)))
                     yield pa.record_batch([pa.array(found.astype(np.int32)), *batch.take(pa.array(row)).columns], names=["list", "id", "v"])
 
