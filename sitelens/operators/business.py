@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +13,45 @@ from sitelens.functions.text import col, lit, trim_ws
 from sitelens.operators import dims
 
 
+def _dispatch() -> dict[str, list[dict]]:
+    """The indicators by what they begin with: three characters, or a shorter indicator that begins them."""
+    rows = [{"t": t, "o": o, "i": i} for t, o, i in dims.indicator_rows()]
+    heads = {r["i"][:3] for r in rows}
+    heads = {h for h in heads if not any(h != other and h.startswith(other) for other in heads)}
+    out: dict[str, list[dict]] = {h: [] for h in sorted(heads)}
+    for r in rows:
+        out[next(r["i"][:n] for n in (1, 2, 3) if r["i"][:n] in out)].append(r)
+    return out
+
+
+def _alternatives(heads: list[str]) -> str:
+    """A pattern of the heads that branches at each character; no head begins another."""
+    tails: dict[str, list[str]] = {}
+    for h in heads:
+        tails.setdefault(h[0], []).append(h[1:])
+    branches = []
+    for first, rest in sorted(tails.items()):
+        inner = _alternatives(rest) if rest != [""] else ""
+        branches.append(re.escape(first) + (f"(?:{inner})" if "|" in inner else inner))
+    return "|".join(branches)
+
+
+def _candidates(zone_text: Column) -> Column:
+    """The indicators whose beginning the text holds: one pass over the text, then a literal map."""
+    by_head = _dispatch()
+    # looks ahead from every place, so heads may overlap
+    heads = F.array_distinct(F.regexp_extract_all(zone_text, lit(f"(?=({_alternatives(list(by_head))}))"), lit(1)))
+    table = F.from_json(lit(json.dumps(by_head)), "map<string, array<struct<t:string,o:int,i:string>>>")
+    return F.flatten(F.transform(heads, lambda h: F.element_at(table, h)))
+
+
 def _scores(zone_text: Column) -> Column:
     """array<struct<business_type, ordinal, score>> of the types with at least one indicator in the text.
 
     Computed inside the row from the fixed 163 indicators: no join, no group.
+    Only the indicators that one pass over the text proposes are looked for.
     """
-    rows = [{"t": t, "o": o, "i": i} for t, o, i in dims.indicator_rows()]
-    table = F.from_json(lit(json.dumps(rows)), "array<struct<t:string,o:int,i:string>>")
-    hits = F.filter(table, lambda x: F.contains(zone_text, x["i"]))
+    hits = F.filter(_candidates(zone_text), lambda x: F.contains(zone_text, x["i"]))
 
     def points(x):
         # non-overlapping occurrences, counted by what a global replace removes
@@ -41,7 +73,8 @@ def indicator_scores(zones: DataFrame, key: str = "page_id") -> DataFrame:
 
     For each indicator found as a substring, add ``1 + (occurrences - 1) div 2``.
     """
-    return zones.select(key, _scores(col("zone_text")).alias("scores")).select(key, F.inline("scores"))
+    # outer: a plain inline makes Catalyst infer a size() > 0 filter that evaluates the scores and their inputs again
+    return zones.select(key, _scores(col("zone_text")).alias("scores")).select(key, F.inline_outer("scores")).where(col("score").isNotNull())
 
 
 def business_type(zones: DataFrame, key: str = "page_id", carry: list[str] | None = None) -> DataFrame:

@@ -36,7 +36,8 @@ def token_array(text: Column) -> Column:
 def sentiment_tokens(analysis: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, pos, token`` for every token of the sentiment text."""
     pre = analysis.select(key, token_array(sentiment_text()).alias("toks"))
-    return pre.select(key, F.posexplode("toks").alias("pos", "token"))
+    # outer: a plain posexplode makes Catalyst infer a size() > 0 filter that cleans and tokenises the text again
+    return pre.select(key, F.posexplode_outer("toks").alias("pos", "token")).where(col("pos").isNotNull())
 
 
 def lexicon_hits(tokens: DataFrame, key: str = "page_id") -> DataFrame:
