@@ -250,13 +250,18 @@ def business_schema() -> Column:
     )
 
 
-def faq_schema() -> Column:
-    low = F.lower(F.coalesce(c("raw_text"), lit("")))
+def mentions_faq(raw_text: Column) -> Column:
+    """Whether the text speaks of questions and answers."""
+    low = F.lower(raw_text)
     hit = None
     for m in FAQ_MARKERS:
         hit = low.contains(m) if hit is None else (hit | low.contains(m))
+    return F.coalesce(hit, lit(False))
+
+
+def faq_schema() -> Column:
     node = F.struct(_s(CONTEXT, "@context"), _s("FAQPage", "@type"), _empty_array().alias("mainEntity"))
-    return F.when(c("raw_text").isNotNull() & hit, F.to_json(node))
+    return F.when(c("has_faq"), F.to_json(node))
 
 
 def json_ld_graph() -> Column:
@@ -279,12 +284,15 @@ def json_ld_block() -> Column:
 def generation_input(analysis: DataFrame, keywords_top10: DataFrame, config: DataFrame, key: str = "page_id") -> DataFrame:
     """Analysis row + packed top-10 keywords + site settings, one row per key.
 
+    The text is only asked whether it mentions questions (``has_faq``), in its
+    own row, so it takes no part in the joins.
     ``config`` has one row per site; it grows with the number of sites, so
     it is not force-broadcast (Spark's size threshold decides).  At page grain
     the join is salted by ``page_id`` so a site holding a third of the pages
     is spread over many tasks.
     """
-    a = analysis.join(keywords_top10, key, "left").withColumn("top10", F.coalesce(c("top10"), _empty_array()))
+    flagged = analysis.withColumn("has_faq", mentions_faq(c("raw_text"))).drop("raw_text")
+    a = flagged.join(keywords_top10, key, "left").withColumn("top10", F.coalesce(c("top10"), _empty_array()))
     if key == "site":
         return a.join(config, "site", "left")  # one row per site on both sides
     # many pages per site meet one config row per site: salt the hot sites

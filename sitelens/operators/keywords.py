@@ -172,21 +172,16 @@ def page_top(keywords: DataFrame, n: int = 10, key: str = "page_id", name: str |
 def site_keywords(keywords: DataFrame, pages: DataFrame, key: str = "page_id", site: str = "site") -> DataFrame:
     """Union of page keyword lists per site, first page (lowest page_id) wins.
 
-    ``min_by`` is a partial aggregate: a hot site is pre-combined per task and
-    spread over tasks by word.  ``first_page_id, first_rank`` keep the merged
-    list order for stable top-k.
+    The aggregate by (site, word) only finds the first page (``min`` of an id: a
+    hash aggregate, pre-combined per task; a hot site is spread over tasks by
+    word).  Frequency and score then come from that page's own row, looked up
+    by (page, word), by which the keyword lists are partitioned already.
+    ``first_page_id, first_rank`` keep the merged list order for stable top-k.
     """
-    kp = keywords.join(pages.select(key, site), key)
-    first = F.min_by(F.struct("frequency", "score", "is_phrase", "rank", col(key).alias("first_page_id")), col(key))
-    return kp.groupBy(site, "word").agg(first.alias("k")).select(
-        site,
-        "word",
-        col("k.frequency").alias("frequency"),
-        col("k.score").alias("score"),
-        col("k.is_phrase").alias("is_phrase"),
-        col("k.first_page_id").alias("first_page_id"),
-        col("k.rank").alias("first_rank"),
-    )
+    kp = keywords.select(key, "word").join(pages.select(key, site), key)
+    first = kp.groupBy(site, "word").agg(F.min(key).alias("first_page_id"))
+    own = keywords.select(col(key).alias("first_page_id"), "word", "frequency", "score", "is_phrase", col("rank").alias("first_rank"))
+    return first.join(own, ["first_page_id", "word"]).select(site, "word", "frequency", "score", "is_phrase", "first_page_id", "first_rank")
 
 
 def site_order() -> list[Column]:

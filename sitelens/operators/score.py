@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import col, lit
 
+from sitelens.operators import dims
 from sitelens.operators.keywords import f32
+from sitelens.operators.trends import TREND_ADVICE
 
 # Priority order (higher first) and the audit rules, in the
 # reference's order: (condition, category, priority, message, action).
@@ -64,20 +66,25 @@ def audit_recommendations(analysis: DataFrame, key: str = "page_id") -> DataFram
     return analysis.select(key, F.explode(recs).alias("r")).select(key, "r.*")
 
 
-def priority_rank(name: str = "priority") -> Column:
-    out = None
-    for label, r in PRIORITY_RANK.items():
-        out = F.when(col(name) == label, lit(r)) if out is None else out.when(col(name) == label, lit(r))
-    return out
+def ranked_recommendations(analysis: DataFrame, key: str = "page_id") -> DataFrame:
+    """Trend advice first, then audit rules, stable-sorted by priority: ``key, rec_rank, category, priority, message, action``.
 
-
-def recommendations(trend_recs: DataFrame, audit_recs: DataFrame, key: str = "page_id") -> DataFrame:
-    """Trend advice first, then audit rules, stable-sorted by priority: adds ``rec_rank``."""
-    u = trend_recs.unionByName(audit_recs)
-    w = Window.partitionBy(key).orderBy(priority_rank().desc(), col("seq"))
-    return u.withColumn("rec_rank", F.row_number().over(w)).select(
-        key, "rec_rank", "category", "priority", "message", "action"
-    )
+    Both depend on one row only (a key's advice is at most a dozen entries), so
+    they are sorted as an array inside the row: no join, window or exchange.
+    """
+    rank = F.create_map(*(lit(x) for pair in PRIORITY_RANK.items() for x in pair))
+    every = F.filter(F.array(*trend_advice_structs(), *audit_rule_structs()), lambda r: r.isNotNull())
+    ordered = F.array_sort(F.transform(every, lambda r: F.struct((-F.element_at(rank, r["priority"])).alias("later"), r["seq"].alias("seq"), r.alias("r"))))
+    rows = analysis.select(key, ordered.alias("recs"))
+    # outer: a plain posexplode would make Catalyst evaluate the rules again in a size() > 0 filter
+    out = rows.select(key, F.posexplode_outer("recs").alias("pos", "rec")).where(col("pos").isNotNull())
+    return out.select(key, (col("pos") + 1).alias("rec_rank"), *(col(f"rec.r.{c}").alias(c) for c in ("category", "priority", "message", "action")))
+
+
+def trend_advice_structs() -> list[Column]:
+    """The advice of each trending schema that applies to the row's business type."""
+    types = {schema: applies for schema, _, _, applies, _ in dims.SCHEMA_TRENDS}
+    return [_rec(col("business_type").isin(*types[schema]), seq, *advice) for seq, (schema, *advice) in enumerate(TREND_ADVICE)]
 
 
 def optimization_score(completeness: Column, sentiment_score: Column, density_score: Column, keyword_count: Column) -> Column:

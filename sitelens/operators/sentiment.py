@@ -53,33 +53,32 @@ def label_of(score: Column) -> Column:
     return out.otherwise(lit("VeryPositive"))
 
 
-def _ordered(list_name: str) -> Column:
-    hits = F.collect_list(F.when(col("list") == list_name, F.struct("pos", "token")))
-    return F.transform(F.array_sort(hits), lambda s: s["token"])
+def _among(list_name: str) -> list[str]:
+    return dict(dims.LEXICON_LISTS)[list_name]
 
 
 def sentiment(analysis: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, token_count, positive_count, negative_count, sentiment_score, sentiment_confidence,
     sentiment_label, power_words, emotional_triggers, negative_words``.
 
-    One ``posexplode_outer`` of the tokens, a broadcast left join with the
-    lexicon, and one aggregate per key (partial: each task ships one row per
-    key, with only the hit words).  Keys without any token keep a row.
+    Computed in the row: one filter of the token array keeps the words of the
+    fixed lexicon (a set of literals), and the four lists are filters of what
+    is left.  No join, no group, no exchange; a row stays without any token.
     """
+    lexicon = sorted({w for _, words in dims.LEXICON_LISTS for w in words})
     pre = analysis.select(key, token_array(sentiment_text()).alias("toks"))
-    pre = pre.select(key, F.size("toks").alias("n"), "toks")
-    tok = pre.select(key, "n", F.posexplode_outer("toks").alias("pos", "token"))
-    lex = dims.small(dims.lexicon(analysis.sparkSession).withColumnRenamed("word", "token"))
-    j = tok.join(lex, "token", "left")
-    agg = j.groupBy(key).agg(
-        F.max("n").cast("bigint").alias("token_count"),
-        F.count_if(col("list") == "positive").alias("positive_count"),
-        F.count_if(col("list") == "negative").alias("negative_count"),
-        _ordered("power").alias("power_words"),
-        _ordered("emotional").alias("emotional_triggers"),
-        _ordered("negative").alias("negative_words"),
+    hits = pre.select(key, F.size("toks").cast("bigint").alias("token_count"), F.filter("toks", lambda t: t.isin(*lexicon)).alias("hits"))
+    of = lambda name: F.filter("hits", lambda t: t.isin(*_among(name)))
+    found = hits.select(
+        key,
+        F.coalesce("token_count", lit(0)).cast("bigint").alias("token_count"),
+        F.size(of("positive")).cast("bigint").alias("positive_count"),
+        F.size(of("negative")).cast("bigint").alias("negative_count"),
+        of("power").alias("power_words"),
+        of("emotional").alias("emotional_triggers"),
+        of("negative").alias("negative_words"),
     )
-    return score_columns(agg, key)
+    return score_columns(found, key)
 
 
 def score_columns(agg: DataFrame, key: str) -> DataFrame:

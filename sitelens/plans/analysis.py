@@ -127,27 +127,44 @@ def page_analysis(pages: DataFrame, base: DataFrame | None = None, reuse: bool =
     return with_completeness(schema_type(out))
 
 
+#: What a site takes from the last page that has it.
+LATEST = ["title", "description", "language", "content_summary", "raw_text", "business_type"]
+
+
 def site_analysis(analysis: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """Merge page analyses per site (the reference's merge algebra).
 
     Flags OR, counters sum; title, description, language, summary and text:
-    last non-null in page order; business type: last non-Unknown.  All are
-    partial aggregates (``bool_or``, ``sum``, ``max_by``), so a site holding a
-    third of all pages is pre-combined inside each task.
+    last non-null in page order; business type: last non-Unknown.
+
+    Values are materialised late: the site aggregate only finds which page each
+    value comes from (``max`` of an id, so all buffers are of fixed width: a hash
+    aggregate, pre-combined inside each task, that carries no text), and the
+    few winning pages (at most one a value and site) are then looked up by id.
     """
     from sitelens.operators.audit import AUDIT_COUNTS, AUDIT_FLAGS
     from sitelens.operators.business import schema_type
 
-    def last(c, cond=None):
-        cond = col(c).isNotNull() if cond is None else cond
-        return F.max_by(col(c), F.when(cond, col("page_id"))).alias(c)
+    def last_page(c):
+        cond = col(c) != lit("Unknown") if c == "business_type" else col(c).isNotNull()
+        return F.max(F.when(cond, col("page_id"))).alias(f"{c}_page")
 
     aggs = [F.bool_or(f).alias(f) for f in AUDIT_FLAGS]
     aggs += [F.sum(c).cast("bigint").alias(c) for c in AUDIT_COUNTS]
-    aggs += [last("title"), last("description"), last("language"), last("content_summary"), last("raw_text")]
-    aggs.append(last("business_type", col("business_type") != lit("Unknown")))
-    aggs.append(F.count(lit(1)).alias("page_count"))
-    s = analysis.groupBy("site").agg(*aggs).withColumn("business_type", F.coalesce("business_type", lit("Unknown")))
+    aggs += [F.count(lit(1)).alias("page_count"), F.max("page_id").alias("any_page")]
+    merged = analysis.groupBy("site").agg(*aggs, *map(last_page, LATEST))
+    kept = ["site", *AUDIT_FLAGS, *AUDIT_COUNTS, "page_count"]
+    # a site's last page stands for the site even if it gives no value
+    picks = F.array(*(F.struct(lit(c).alias("field"), col(f"{c}_page").alias("page_id")) for c in [*LATEST, "any"]))
+    winners = merged.select(*kept, F.explode(picks).alias("w")).select(*kept, "w.field", "w.page_id").where(col("page_id").isNotNull())
+    value = None
+    for c in LATEST:
+        value = F.when(col("field") == lit(c), col(c)) if value is None else value.when(col("field") == lit(c), col(c))
+    fetched = winners.join(analysis.select("page_id", *LATEST), "page_id").select(*kept, "field", value.alias("value"))
+    entries = F.collect_list(F.struct("field", "value"))  # at most one a value
+    per_site = fetched.groupBy(*kept).agg(F.map_from_entries(entries).alias("latest"))
+    s = per_site.select(*kept, *(F.try_element_at("latest", lit(c)).alias(c) for c in LATEST))
+    s = s.withColumn("business_type", F.coalesce("business_type", lit("Unknown")))
     if keywords is not None:
         kc = keywords.groupBy("site").agg(F.count(lit(1)).alias("keyword_count"))
         s = s.join(kc, "site", "left").withColumn("keyword_count", F.coalesce("keyword_count", lit(0)).cast("bigint"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from sitelens.functions.text import col, lit, whitespace_words
 from sitelens.operators import content as C
 from sitelens.operators import score as S
-from sitelens.operators import trends as T
 from sitelens.operators.keywords import packed_top
 from sitelens.operators.sentiment import sentiment
 
@@ -118,8 +117,7 @@ def ml_result(analysis: DataFrame, keywords: DataFrame, key: str = "page_id", or
 
 def recommendations_for(analysis: DataFrame, key: str = "page_id") -> DataFrame:
     """Trend advice then audit rules, ranked by priority (``rec_rank``)."""
-    trends = T.schema_trends(analysis, key)
-    return S.recommendations(T.trend_recommendations(trends, key), S.audit_recommendations(analysis, key), key)
+    return S.ranked_recommendations(analysis, key)
 
 
 def suggestions_for(keywords: DataFrame, key: str = "page_id", order: list[str] | None = None, year: int = 2026):

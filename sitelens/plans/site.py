@@ -39,6 +39,8 @@ def site_frames(pages: DataFrame, reuse: bool = True) -> dict[str, DataFrame]:
     f = page_frames(pages, reuse)
     sk = _keep(site_keywords(f["page_keywords"], f["base"]), reuse)
     f["site_keywords"] = sk
+    # read for the merge and for the values of the winning pages
+    f["page_analysis"] = _keep(f["page_analysis"], reuse)
     # one row per site: small, and read by every site-grain branch
     f["site_analysis"] = _keep(site_analysis(f["page_analysis"], sk), reuse)
     return f
