@@ -31,9 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from sitelens.llm.storage import free_name
 
 DIMENSIONS = 512
 PER_LANGUAGE = 4000
@@ -42,6 +39,8 @@ GAP = 32
 UNKNOWN = "und"
 #: Trigram vectors that a process keeps; a full cache starts afresh.
 CACHE_TRIGRAMS = 100_000
+#: A text is rejected below this share of the least score among learned texts of its length class, of so many texts at least.
+MARGIN, CLASS_ROWS = 0.8, 30
 
 
 @lru_cache(maxsize=1)
@@ -65,25 +64,32 @@ class Profiles:
     def _reset(self) -> None:
         self._keys = np.zeros(0, np.int64)
         self._rows = np.zeros(0, np.int64)
-        self._vectors = np.zeros((0, self.dimensions), np.float32)
+        self._vectors = np.zeros((min(self.cache, 1024), self.dimensions), np.float32)
 
     def _learn(self, keys: np.ndarray) -> None:
-        new = np.empty((len(keys), self.dimensions), np.float32)
-        for i, key in enumerate(keys.tolist()):
+        used = len(self._keys)
+        if used + len(keys) > len(self._vectors):  # room doubles, so few texts copy the table
+            room = np.zeros((max(2 * len(self._vectors), used + len(keys)), self.dimensions), np.float32)
+            room[:used] = self._vectors[:used]
+            self._vectors = room
+        for i, key in enumerate(keys.tolist(), used):
             a, b, c = (letter_vector((key >> s) & 0x1FFFFF, self.dimensions) for s in (42, 21, 0))
-            new[i] = np.roll(a, 2) * np.roll(b, 1) * c
-        rows = np.arange(len(self._vectors), len(self._vectors) + len(keys))
-        self._vectors = np.concatenate([self._vectors, new])
+            self._vectors[i] = np.roll(a, 2) * np.roll(b, 1) * c
+        rows = np.arange(used, used + len(keys))
         both, where = np.concatenate([self._keys, keys]), np.concatenate([self._rows, rows])
         order = np.argsort(both)
         self._keys, self._rows = both[order], where[order]
 
     def of(self, text: str | None) -> np.ndarray | None:
         """The profile of a text, or None if it has no letter."""
+        return self.measured(text)[0]
+
+    def measured(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """The profile and the number of trigrams of a text."""
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         is_letter = letters()[codes]
         if not is_letter.any():
-            return None
+            return None, 0
         codes[~is_letter] = GAP
         kept = is_letter.copy()
         kept[1:] |= is_letter[:-1]  # the first other character after a letter stays as the gap
@@ -99,7 +105,7 @@ class Profiles:
                 self._reset()
             self._learn(keys if full else keys[~known])
             place = np.searchsorted(self._keys, keys)
-        return counts.astype(np.float32) @ self._vectors[self._rows[place]]
+        return counts.astype(np.float32) @ self._vectors[self._rows[place]], len(codes) - 2
 
 
 def held_out() -> Column:
@@ -107,16 +113,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
 
 
-def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, a unit prototype each), from a bounded sample of each language's learnable rows."""
+def learnable(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame | None:
+    """(text, lang) of a bounded sample of each language's learnable rows, about ``per_language`` each; None if there are none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     found = rows.groupBy("lang").count().collect()  # a row per label
     if not found:
-        return [], np.zeros((0, dimensions))
+        return None
     million = 1_000_000
     shares = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], max(1, min(million, per_language * million // r["count"])))))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < F.element_at(shares, F.col("lang")))
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < F.element_at(shares, F.col("lang"))).select("text", "lang")
+
+
+def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+    """(languages, a unit prototype each), from a bounded sample of each language's learnable rows."""
+    return _prototypes(learnable(docs, per_language), dimensions)
+
+
+def _prototypes(sample: DataFrame | None, dimensions: int) -> tuple[list[str], np.ndarray]:
+    if sample is None:
+        return [], np.zeros((0, dimensions))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dimensions), {}
@@ -132,7 +148,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int
         total = sum(np.frombuffer(v.as_buffer()) for v in table.column("v"))
         return pa.table({"lang": [keys[0].as_py()], "v": [total.tobytes()]})
 
-    sums = sample.select("text", "lang").mapInArrow(bundle, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()
+    sums = sample.mapInArrow(bundle, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()
     sums = sorted((r["lang"], np.frombuffer(r["v"])) for r in sums)
     if not sums:
         return [], np.zeros((0, dimensions))
@@ -140,39 +156,71 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int
     return [lang for lang, _ in sums], stack / np.maximum(np.linalg.norm(stack, axis=1, keepdims=True), 1e-9)
 
 
+def judged(names: list[str], stack: np.ndarray, dimensions: int, profiles: Profiles, text: str | None) -> tuple[str, float, int]:
+    """(language, score, number of trigrams) of a text."""
+    v, n = profiles.measured(text) if names else (None, 0)
+    if v is None:
+        return UNKNOWN, 0.0, 0
+    cosine = stack @ v.astype(np.float64) / max(float(np.linalg.norm(v)), 1e-9)
+    i = int(np.argmax(cosine))
+    return names[i], min(1.0, max(0.0, float(cosine[i]))), n
+
+
 def languages(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
     names, stack = prototypes(docs, dimensions, per_language)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(names, stack, dimensions, ["doc_id", "held_out"]), "doc_id long, held_out boolean, lang_pred string, score double")
 
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(dimensions)
+        for batch in batches:
+            found = [judged(names, stack, dimensions, profiles, t.as_py()) for t in batch.column("text")]
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64())]
+            yield pa.record_batch(columns, names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
-def known_language(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of ``docs`` in a language that was learned; those without a letter go.  All columns stay."""
-    names, stack = prototypes(docs, dimensions, per_language)
-    columns = docs.columns
-    lang, score = free_name(columns, "lang_pred"), free_name(columns, "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    judged = docs.mapInArrow(_predictor(names, stack, dimensions, columns, lang, score), schema)
-    return judged.where(F.col(lang) != UNKNOWN).select(*(F.col(f"`{c}`") for c in columns))
 
+def least_scores(sample: DataFrame | None, names: list[str], stack: np.ndarray, dimensions: int) -> dict[int, float]:
+    """By length class (power of two of trigrams): ``MARGIN`` times the least score that a learned text of the class has.
 
-def _predictor(names: list[str], stack: np.ndarray, dimensions: int, kept: list[str], lang: str = "lang_pred", score: str = "score"):
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A class with fewer than ``CLASS_ROWS`` learned texts has no bound of its own.
+    """
+    if sample is None or not names:
+        return {}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions)
         for batch in batches:
-            best, scores = [], []
-            for text in batch.column("text"):
-                v = profiles.of(text.as_py()) if names else None
-                if v is None:
-                    best.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                cosine = stack @ v.astype(np.float64) / max(float(np.linalg.norm(v)), 1e-9)
-                i = int(np.argmax(cosine))
-                best.append(names[i])
-                scores.append(min(1.0, max(0.0, float(cosine[i]))))
-            columns = [batch.column(c) for c in kept]
-            yield pa.record_batch([*columns, pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang, score])
-
-    return predict
+            found = [judged(names, stack, dimensions, profiles, t.as_py()) for t in batch.column("text")]
+            yield pa.record_batch([pa.array([n.bit_length() for _, _, n in found], pa.int32()), pa.array([x for _, x, _ in found], pa.float64())], names=["size", "score"])
+
+    scored = sample.select("text").mapInArrow(score, "size int, score double").where("size > 0")
+    rows = scored.groupBy("size").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).collect()  # at most one a bit
+    return {r["size"]: MARGIN * r["least"] for r in rows if r["n"] >= CLASS_ROWS}
+
+
+def bound_of(n: int, bounds: dict[int, float]) -> float:
+    """The bound for a text of n trigrams: that of its class, or of the next shorter class that has one."""
+    return next((bounds[k] for k in range(n.bit_length(), 0, -1) if k in bounds), 0.0)
+
+
+def known_language(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` in a language that was learned.  All columns stay.
+
+    Rows go whose text has no letter, or whose score lies below anything that
+    learned texts of like length have (``least_scores``): other languages, and
+    letters that are no language.  Only the text goes through Python.
+    """
+    sample = learnable(docs, per_language)
+    names, stack = _prototypes(sample, dimensions)
+    bounds = least_scores(sample, names, stack, dimensions)
+
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        profiles = Profiles(dimensions)
+        for texts in batches:
+            found = [judged(names, stack, dimensions, profiles, t.as_py()) for t in texts]
+            yield pa.array([lang != UNKNOWN and score >= bound_of(n, bounds) for lang, score, n in found], pa.bool_())
+
+    return docs.where(known(F.col("text").cast("string")))

@@ -59,7 +59,7 @@ MEET = 4
 BROADCAST_ROWS = 1_000_000
 BLOCK = 64
 #: Bytes of text whose words are hashed at once.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE_WORDS) -> list[np.ndarray]:

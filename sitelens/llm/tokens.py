@@ -25,9 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a process keeps; a full cache starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def default_vocabulary() -> str:

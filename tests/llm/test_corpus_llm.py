@@ -1,5 +1,6 @@
 """Language ID, decontamination and the pipeline."""
 
+import random
 import zlib
 
 import numpy as np
@@ -61,6 +62,19 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.languages(unlabelled).collect()} == {"und"}
 
 
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hungarian = "A vonat reggel kilenckor indul az állomásról, és délután ér a városba, ahol az utasok leszállnak, majd gyalog mennek tovább a folyó partján. " * 3
+    russian = "Поезд отправляется утром и прибывает в город вечером, где пассажиры выходят и идут дальше пешком вдоль реки до старого моста. " * 3
+    keys = "xqzj wvkq zzxj qqpt kkdw vvbn jjhg ffdx ppqw mmzx " * 12
+    foreign = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate([hungarian, russian, keys])], "doc_id long, text string, lang string, source string, n_chars long")
+    every = docs.select(foreign.columns).unionByName(foreign)
+    kept = {r["doc_id"] for r in langid.known_language(every).collect()}
+    assert not kept & {r["doc_id"] for r in foreign.collect()}
+    letters = {r["doc_id"] for r in langid.languages(every).where("lang_pred <> 'und' AND doc_id < 1000000000").collect()}
+    assert len(letters - kept) <= 0.005 * len(letters)
+
+
 ITEM = "A train leaves Leeds at 9 and runs 120 km in 3 hours before it meets the slow train that Anna boarded in York while Anna had read 120 pages"
 OTHER = "Which of the following statements about the old harbour and its many quiet boats is certainly true today"
 SHORT = "Why is this so blue"
@@ -78,7 +92,7 @@ def test_exact_reparametrised_and_inconsistent(spark):
     bench = spark.createDataFrame([(1, ITEM, "e"), (2, OTHER, "e"), (3, None, "e"), (4, "", "e"), (5, "two words", "e"), (6, SHORT, "e"), (7, "1 2 3 4 5 6 7 8 9", "e")], BENCH)
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs, bench).collect()}
     assert got[1, 1] == "exact" and got[2, 1] == "reparametrised" and got[4, 2] == "exact" and got[None, 2] == "exact" and got[10, 6] == "exact"
-    assert not {k for k in got if k[0] in (5, 6, 7, 8)} and (3, 1) not in got
+    assert not {k for k in got if k[0] in (5, 6, 7, 8)} and got[3, 1] == "exact"  # 21 words from the conflict on
     kept = decontam.decontaminated(docs, bench)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} >= {5, 6, 7, 8} and not {r["doc_id"] for r in kept.collect()} & {1, 2, 4, 10, None}
@@ -120,6 +134,55 @@ def test_copies_in_any_case_and_of_any_words(spark):
     assert 7 not in {d for d, _ in got}
 
 
+def brute_stretch(start, end, slots, least):
+    spans = [(a, z, [(b, d) for p, b, d in slots if a <= p < z]) for a in range(start, end) for z in range(a + 1, end + 1)]
+    longest = lambda good: max(((z - a, -a, all(b == d for b, d in x)) for a, z, x in spans if good(x)), default=(0, 0, False))
+    exact, whole = longest(lambda x: all(b == d for b, d in x)), longest(lambda x: len({b for b, _ in x}) == len(set(x)))
+    n, a, same = exact if exact[0] >= least and whole[0] < end - start else whole
+    return -a, n, same
+
+
+def test_stretches_of_runs_with_conflicts():
+    rnd = random.Random(6)
+    for _ in range(400):
+        slots = sorted({rnd.randrange(3, 23): None for _ in range(rnd.randint(0, 9))})
+        slots = [(p, rnd.randrange(1, 4), rnd.randrange(1, 4)) for p in slots]
+        least = rnd.choice([5, 9, 13, 30])
+        assert decontam.counting_stretch(3, 23, slots, least) == brute_stretch(3, 23, slots, least), slots
+
+
+def test_one_changed_number_does_not_hide_a_copy(spark):
+    docs = [ITEM.replace("read 120", "read 121"), ITEM.replace("120 km", "450 km"), ITEM.replace("120 km", "450 km").replace("read 120", "read 450")]
+    got = found_items(spark, docs, [ITEM])
+    assert got[0, 0][1:] == (28, "exact") and got[1, 0][1:] == (21, "exact") and got[2, 0][1:] == (30, "reparametrised")
+
+
+def test_short_items_are_joined_whole(spark):
+    items = ["Why so blue", "yes", "who is Anna Bell?", "two words", "a b c d"]
+    docs = ["it is. WHY SO BLUE, they ask, why so blue", "Yes!", "why so", "he asked who is Anna Bell", "two other words", "a b c", None, "x a b c d"]
+    got = found_items(spark, docs, items)
+    assert got == {(0, 0): (2, 3, "exact"), (1, 1): (0, 1, "exact"), (3, 2): (2, 4, "exact"), (7, 4): (1, 4, "exact")}
+
+
+def test_common_windows_are_not_joined_with_everything(spark, monkeypatch):
+    """Runs through common windows are the same as without the rule for them, and a stock phrase joins nothing."""
+    rnd = random.Random(9)
+    vocabulary = [f"{a}{b}" for a in "bcdfgklm" for b in ("an", "or", "ist", "ule", "ent", "ark")]
+    some = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    phrase, long = "please answer the following question".split(), some(16)
+    items = [" ".join([*phrase, *some(12)]) for _ in range(30)] + [" ".join([*some(4), *long, *some(4)]) for _ in range(20)] + [" ".join(phrase)]
+    docs = [" ".join([*some(20), *phrase, *some(20)]) for _ in range(30)] + [f"so {i} then" for i in items[::3]] + [" ".join([*some(9), *long, *some(9)])]
+    docs += [i.replace("following", "next") for i in items[::4]]
+    plain = found_items(spark, docs, items)
+    monkeypatch.setattr(decontam, "COMMON", 5)
+    assert found_items(spark, docs, items) == plain
+    assert {(d, 50) for d in range(30)} <= set(plain) and {(40 + k, i) for k in range(7) for i in range(30, 50)} <= set(plain)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs[:30])], "doc_id long, text string").withColumn("key", F.col("doc_id"))
+    index = decontam.benchmark_windows(spark.createDataFrame([(i, t) for i, t in enumerate(items[:30])], "item_id long, text string"))
+    bitmap, bits = decontam.window_bitmap(index)
+    assert decontam._document_windows(frame, bitmap, bits, 13).count() == 0
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], BENCH)
     assert decontam.contaminated(docs, bench).collect() == []
