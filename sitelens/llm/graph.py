@@ -28,3 +28,22 @@ def components(links: DataFrame) -> DataFrame:
         shrunk = edges.join(at("u", "x"), "u").join(at("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
         edges = written(shrunk.where("u <> v").distinct(), "links")
     return labels
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further ``links(a, b)`` between nodes that ``labels`` may or may not have.
+
+    Only what joins different components is looked at: both ends are replaced
+    by their labels first, so what is left is as small as the change.
+    """
+    at = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    ends = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b").distinct()
+    ends = written(ends, "label-links")
+    if ends.isEmpty():
+        return labels
+    over = components(ends)
+    moved = labels.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    moved = moved.select("node", F.coalesce("to", "label").alias("label"))
+    fresh = over.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return written(moved.unionByName(fresh), "labels")

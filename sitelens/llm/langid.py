@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm.tokens import lean_memory
+
 DIMENSIONS = 512
 PER_LANGUAGE = 4000
 FOLDS, HELD_FOLD = 3, 1
@@ -172,6 +174,7 @@ def languages(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         profiles = Profiles(dimensions)
         for batch in batches:
             found = [judged(names, stack, dimensions, profiles, t.as_py()) for t in batch.column("text")]
@@ -218,6 +221,7 @@ def known_language(docs: DataFrame, dimensions: int = DIMENSIONS, per_language:
 
     @F.arrow_udf("boolean")
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean_memory()
         profiles = Profiles(dimensions)
         for texts in batches:
             found = [judged(names, stack, dimensions, profiles, t.as_py()) for t in texts]

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.graph import components
+from sitelens.llm.graph import components, joined_labels
 from sitelens.llm.storage import free_name, kept, scratch, written
 from sitelens.llm.tokens import slices
 from sitelens.llm.words import mix, short_hash, split_words, window_hashes, word_hashes
@@ -371,8 +371,7 @@ def _jaccard_classes(docs: DataFrame, percent: int, sketch_bits: int) -> DataFra
     entries = written(entries, "join-entries")
     mixed = entries.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     second = compared(_reference_pairs(entries.join(mixed, "token"), percent), "join-second")
-    more = links.unionByName(second.where(_linked(percent)).select("a", "b"))
-    labels = components(more)
+    labels = joined_labels(labels, second.where(_linked(percent)).select("a", "b"))
 
     # 5: nodes behind two references, where the references' overlap leaves room for a link
     sizes = shared.groupBy("node").agg(F.max("size").cast("long").alias("size"))
@@ -387,16 +386,16 @@ def _jaccard_classes(docs: DataFrame, percent: int, sketch_bits: int) -> DataFra
     behind = open_pairs.join(side(members, "a", ("node", "size", "extra")), "a").join(side(members, "b", ("node", "size", "extra")), "b")
     behind = behind.where(f"{room} (size_a + size_b) AND 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND extra_a + extra_b > 0")
     third = compared(behind.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "join-third")
-    if not third.where(_linked(percent)).isEmpty():
-        labels = components(more.unionByName(third.where(_linked(percent)).select("a", "b")))
+    labels = joined_labels(labels, third.where(_linked(percent)).select("a", "b"))
     return _classes(signatures, labels)
 
 
 def _classes(signatures: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row with the smallest ``doc_id`` of its component.  A ``doc_id`` with several sets joins their components."""
     known = signatures.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    labelled = known.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    first = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the sides of their join are plain exchanges and a giant component is split
+    labelled = written(known.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")), "join-labelled")
+    first = written(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-classes")
     of_doc = labelled.join(first, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("other"))
     several = of_doc.where("component_id <> other")
     joined = components(labelled.join(first, "label").join(of_doc.select("doc_id", F.col("component_id").alias("low")), "doc_id").where("low <> component_id").select(F.col("low").alias("a"), F.col("component_id").alias("b"))) if not several.isEmpty() else None

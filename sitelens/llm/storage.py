@@ -16,16 +16,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only for an unset setting on a local master."""
+    global _OWN
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="sitelens-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    # the setting cannot be changed in a running session
+    _OWN = _OWN or "file://" + tempfile.mkdtemp(prefix="sitelens-")
+    return _OWN
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -72,8 +76,13 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         yield
     finally:
         _SCRATCH.reset(before)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this run's own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

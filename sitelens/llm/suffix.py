@@ -277,7 +277,8 @@ def _repeated_passages(docs: DataFrame) -> DataFrame:
     near = written(_neighbours(contexts), "suffix-neighbours")
     left_open = near.where("start IS NULL").select("block").distinct()
     shifted = written(_shifted(contexts.join(left_open, "block")), "suffix-shifts")
-    equal = shifted.groupBy("window").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("window")
+    # written, so that both sides of the join are plain exchanges and a hot window is split
+    equal = written(shifted.groupBy("window").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("window"), "equal-windows")
     stretches = near.where("start IS NOT NULL").unionByName(shifted.join(equal, "window").drop("window"))
     spans = _merged(stretches)
 

@@ -13,6 +13,7 @@ tokenizer does so anyway (texts that may hold special strings excepted).
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections.abc import Iterator
@@ -156,8 +157,25 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+@lru_cache(maxsize=1)
+def lean_memory() -> None:
+    """Make this worker return what it frees: large arrays by mappings of their own, Arrow's buffers by the same allocator.
+
+    A worker serves many tasks, and memory that it keeps between them counts
+    against its executor.  Where the C library has no such settings, nothing changes.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        library = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            library.mallopt(option, value)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` bytes of text (one row at least)."""
+    lean_memory()
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

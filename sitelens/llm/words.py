@@ -35,12 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers; up to 2**20 of them are kept, longer tables only as long as they are used."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        steps = np.full(size, base, np.uint64)
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
-        have = _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if len(have) == 1 << 20:
+            _POWERS[name] = have
     return have[:n]
 
 

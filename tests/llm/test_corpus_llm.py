@@ -202,6 +202,7 @@ def test_planted_passages_in_given_documents(spark):
 
 @pytest.fixture(scope="module")
 def stages(spark):
+    spark.conf.set(corpus_pipeline.PII_KEY, "key of the tests")
     docs, out = spark.read.parquet(f"{SMALL}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
         rows = stage(spark, docs, SMALL).cache()

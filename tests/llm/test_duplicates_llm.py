@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sitelens.llm import setjoin, suffix
+from sitelens.llm import setjoin, storage, suffix
 from sitelens.llm.graph import components
 
 DOCS = "doc_id long, text string, key string, node long, size int"
@@ -235,3 +235,20 @@ def test_hot_blocks_are_sorted_in_parts(spark, monkeypatch):
     got = suffix.repeated_passages(df).collect()
     assert {r["doc_id"] for r in got} == set(range(40))
     assert all(50 <= r["n_words"] <= 56 for r in got)
+
+
+def test_further_links_move_only_what_they_join(spark):
+    from sitelens.llm.graph import joined_labels
+
+    rnd = random.Random(12)
+    first = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(90)]
+    second = [(rnd.randrange(240), rnd.randrange(240)) for _ in range(40)] + first[:3]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    with storage.scratch(spark, "test"):
+        labels = components(frame(first))
+        got = {r["node"]: r["label"] for r in joined_labels(labels, frame(second)).collect()}
+        same = joined_labels(labels, frame(first[:5]))
+        assert same is labels
+    met = {x for p in first + second if p[0] != p[1] for x in p}
+    want = joined([p for p in first + second if p[0] != p[1]], met)
+    assert {n: x for n, x in got.items()} == {n: want[n] for n in got} and set(got) >= {n for n in met if want[n] != n}
