@@ -64,9 +64,9 @@ def part_starts(tokens: DataFrame) -> dict[int, int]:
     return {r["part"]: int(a) for r, a in zip(totals, ends, strict=False)}
 
 
-def cut(tokens: DataFrame, window: int = WINDOW, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def cut(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Second pass: one row per piece, with its boundary record (sequence and offset there)."""
-    starts, kind = part_starts(tokens), id_type(vocabulary or default_vocabulary())
+    starts = part_starts(tokens)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,6 +83,7 @@ def cut(tokens: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
             end = np.minimum((sequence + 1) * window, (base + n)[row])
             start, length = begin - base[row], end - begin
             ids = batch.column("ids")
+            kind = "<u2" if len(ids[0].as_buffer()) == 2 * int(n[0]) else "<u4"  # as the first pass wrote them
             crc = np.zeros(len(row), np.int64)
             kept: list[bytes] = []
             current, values = -1, np.zeros(0, np.uint32)
@@ -104,7 +105,7 @@ def cut(tokens: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents in full windows; ``with_ids`` adds each piece's ids as 32-bit integers."""
-    return cut(written(token_table(docs, vocabulary, end_id), "pack-tokens"), window, vocabulary, with_ids)
+    return cut(written(token_table(docs, vocabulary, end_id), "pack-tokens"), window, with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -94,8 +94,9 @@ def need(a, b, percent: int):
 
 
 def _signatures(docs: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, n_shingles, node) rows, and a row of bucket counts from each task."""
+    """(doc_id, n_shingles, node) rows, and from each task its bucket counts in blocks."""
     mask = np.uint64((1 << bits) - 1)
+    names = ["doc_id", "n_shingles", "node", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
@@ -105,35 +106,52 @@ def _signatures(docs: DataFrame, bits: int) -> DataFrame:
                 if sets:
                     counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=1 << bits).astype(np.uint32)
                 yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "counts"],
+                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                    names=names,
                 )
         if counts.any():
-            yield pa.record_batch([pa.array([x], t) for x, t in ((None, pa.int64()), (None, pa.int64()), (None, pa.int64()), (counts.tobytes(), pa.binary()))], names=["doc_id", "n_shingles", "node", "counts"])
+            blocks = np.split(counts, _blocks(bits))
+            none = pa.nulls(len(blocks), pa.int64())
+            yield pa.record_batch([none, none, none, pa.array(range(len(blocks)), pa.int32()), pa.array([c.tobytes() for c in blocks], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, block int, counts binary")
+
+
+def _blocks(bits: int) -> int:
+    return 1 << min(bits, 6)
 
 
 def _crowding(signatures: DataFrame, bits: int) -> np.ndarray:
-    """A class a bucket: 0, or 1 + log2 of how far it is over what chance gives.  Four arrays of fixed size reach the driver."""
+    """A class a bucket: 0, or 1 + log2 of how far it is over what chance gives.
+
+    Each block of buckets is summed and classed where it lies; a byte a bucket reaches the driver.
+    """
+    shingles = signatures.agg(F.sum("n_shingles")).first()[0] or 0
+    mean = shingles / (1 << bits)
+    limit, size = mean + 10 * mean**0.5 + 64, (1 << bits) // _blocks(bits)
+
+    def classes(total: np.ndarray) -> bytes:
+        crowd = np.zeros(size, np.uint8)
+        over = total > limit
+        crowd[over] = np.floor(np.log2(total[over] / limit)).astype(np.uint8) + 1
+        return crowd.tobytes()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint64)
+        at, total, done = None, np.zeros(size, np.uint64), []
         for batch in batches:
-            for blob in batch.column("counts"):
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                if block != at:
+                    done += [(at, classes(total))] if at is not None else []
+                    at, total = block, np.zeros(size, np.uint64)
                 total += np.frombuffer(blob.as_buffer(), np.uint32)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        done += [(at, classes(total))] if at is not None else []
+        yield pa.record_batch([pa.array([b for b, _ in done], pa.int32()), pa.array([c for _, c in done], pa.binary())], names=["block", "classes"])
 
-    parts = signatures.where("counts IS NOT NULL").select("counts").repartition(4).mapInArrow(add, "counts binary").collect()
-    total = np.zeros(1 << bits, np.uint64)
-    for p in parts:
-        total += np.frombuffer(p["counts"], np.uint64)
-    mean = float(total.mean())
-    limit = mean + 10 * mean**0.5 + 64
-    crowd = np.zeros(1 << bits, np.uint8)
-    over = total > limit
-    crowd[over] = np.floor(np.log2(total[over] / limit)).astype(np.uint8) + 1
-    return crowd
+    blocks = signatures.where("block IS NOT NULL").select("block", "counts").repartition("block").sortWithinPartitions("block")
+    crowd = np.zeros((_blocks(bits), size), np.uint8)
+    for r in blocks.mapInArrow(add, "block int, classes binary").collect():
+        crowd[r["block"]] = np.frombuffer(r["classes"], np.uint8)
+    return crowd.ravel()
 
 
 def _postings(docs: DataFrame, crowd: np.ndarray, percent: int, bits: int) -> DataFrame:
@@ -345,7 +363,7 @@ def _jaccard_classes(docs: DataFrame, percent: int, sketch_bits: int) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     raw = written(_signatures(rows, sketch_bits), "join-signatures")
     crowd = _crowding(raw, sketch_bits)
-    signatures = raw.where("n_shingles IS NOT NULL").drop("counts")
+    signatures = raw.where("n_shingles IS NOT NULL").drop("block", "counts")
     known = signatures.where("doc_id IS NOT NULL")
     identified = rows.where("doc_id IS NOT NULL")
     shared = written(_shared(_postings(identified, crowd, percent, sketch_bits)), "join-lists")
