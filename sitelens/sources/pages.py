@@ -31,36 +31,21 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_html_files(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
     """Read a tree of ``.html``/``.htm`` files (one row per file) as ``pages``.
 
-    Files deeper than ``max_depth`` below ``root`` are skipped like the
-    reference's walk.  The root is the site: it stands percent-encoded as the
-    host of ``url``, followed by the file's path below it, and ``page_id`` is a
-    hash of both, so trees of different roots never share a site or an id.
-    ``is_valid_utf8`` flags files that were not clean UTF-8 instead of aborting
-    the job.  A file whose path is not below ``root`` fails the job, so none is
-    dropped unseen.
+    Directories deeper than ``max_depth`` below ``root`` are not even listed
+    (``sources.html_tree``).  The root is the site: it stands percent-encoded as
+    the host of ``url``, followed by the file's path below it, and ``page_id``
+    is a hash of both, so trees of different roots never share a site or an id.
+    ``is_valid_utf8`` is false for files whose bytes are not UTF-8 (their text
+    has replacement characters) instead of aborting the job.
     """
+    from sitelens.sources.html_tree import read_tree
+
     root = re.sub(r"^file:(//)?(?=/)", "", root.rstrip("/"))
-    df = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{html,htm}")
-        .text(root)
-        .select(F.col("value").alias("html"), F.col("_metadata.file_path").alias("file_path"))
-    )
-    # the metadata path is percent-encoded; "+" stands for itself there
-    path = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
-    path = F.regexp_replace(path, "^file:(//)?(?=/)", "")
-    below = F.substring(path, len(root) + 2, 1 << 30)
-    rel = F.when(F.startswith(path, F.lit(root + "/")), below).otherwise(F.raise_error(F.concat(F.lit(f"not below {root}: "), path)))
-    return (
-        df.withColumn("rel_path", rel)
-        .where(F.size(F.split(F.col("rel_path"), "/")) <= F.lit(max_depth))
-        .select(
-            F.xxhash64(F.lit(root), F.col("rel_path")).alias("page_id"),
-            F.concat(F.lit(f"file://{quote(root, safe='')}/"), F.col("rel_path")).alias("url"),
-            "html",
-            (F.col("html") == F.decode(F.encode(F.col("html"), "UTF-8"), "UTF-8")).alias("is_valid_utf8"),
-        )
+    return read_tree(spark, root, max_depth).select(
+        F.xxhash64(F.lit(root), F.col("path")).alias("page_id"),
+        F.concat(F.lit(f"file://{quote(root, safe='')}/"), F.col("path")).alias("url"),
+        "html",
+        "is_valid_utf8",
     )
 
 

@@ -20,6 +20,17 @@ def write_injected(injected: DataFrame, path: str, key: str = "page_id", mode: s
     injected.select(key, "html", "status").write.mode(mode).parquet(path)
 
 
+def write_injected_files(injected: DataFrame, pages: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Injected pages as HTML files, one per page at its relative path (``html_tree.file_path`` of its URL).
+
+    Files appear only when every task has succeeded; see ``sources.html_tree``.
+    """
+    from sitelens.sources.html_tree import file_path, write_tree
+
+    urls = pages.select("page_id", file_path(F.col("url")).alias("path"))
+    write_tree(injected.select("page_id", "html").join(urls, "page_id"), path, mode)
+
+
 def write_report(reports: DataFrame, path: str, key: str = "site", mode: str = "overwrite", per_site_files: bool = False) -> None:
     """Markdown reports.
 
