@@ -10,9 +10,12 @@ different ones, and a pseudonym passes the same validator:
 * IPv4 addresses: permuted among all addresses;
 * phone numbers: the ten national digits are permuted, the country code stays; so do those of
   ``+`` numbers of 8 to 15 digits in any grouping, with the country code as assigned;
-* dates (``2024-05-31``, ``31.05.2024``, ``05/31/2024``): permuted among the 146,097 days from 1800 to 2199;
+* national numbers with a leading 0 (``01 42 68 53 00``, ``030/1234567``): all digits after the first two are permuted;
+* dates (``2024-05-31``, ``31.05.2024``, ``5.3.1985``, ``05/31/2024``, ``25/12/1985``; slash dates are read
+  month-first unless the first number is no month): permuted among the 146,097 days from 1800 to 2199, in their notation;
 * e-mail addresses: the letters and digits of the local part are permuted in base 36, lower-cased; the domain
-  stays.  Beyond 22 letters and digits the rest becomes a keyed hash of the whole.
+  stays.  Beyond 22 letters and digits the rest becomes a keyed hash of the whole, and so does a local part with
+  letters of other alphabets as a whole.
 
 A domain of a * b values is a pair (left, right); each Feistel round adds a
 keyed hash of one half to the other, modulo that half's own size, so no value
@@ -28,6 +31,8 @@ rows; an empty table gives no rows; further columns are ignored by
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +42,18 @@ ROUNDS = 8
 KINDS = ("email", "date", "ip", "phone", "ssn", "card")
 
 NOT_WORD_BEFORE, NOT_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}" + NOT_WORD_AFTER
-DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}" + NOT_WORD_AFTER
+DATE = r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 PHONE = r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: National numbers with their leading 0: groups of two digits, or an area code and the rest.
+NATIONAL = r"(?:0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}(?:[ -]|[ ]?/[ ]?)[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,2})"
 #: Assigned country codes of one and two digits; all others have three.
 COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 INTERNATIONAL = f"\\+(?!(?:{DATE}|{IP}|{SSN})(?!-?[0-9]){NOT_WORD_AFTER})[0-9](?:[ .()/-]{{0,2}}[0-9]){{7,14}}"
 CARD = r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})"
-NUMBERS = "|".join((DATE, IP, SSN, PHONE, INTERNATIONAL, CARD))
+NUMBERS = "|".join((DATE, IP, SSN, PHONE, NATIONAL, INTERNATIONAL, CARD))
 CANDIDATE = f"{EMAIL}|(?<![\\p{{L}}\\p{{N}}_.])(?<![0-9]-)(?:{NUMBERS})(?!-?[0-9]){NOT_WORD_AFTER}"
 CANDIDATE = CANDIDATE.replace("([ -])", "(?:[ -])").replace(r"\1", "[ -]").replace(r"\2", "[ -]")
 
@@ -121,7 +128,7 @@ def _card(x: Column, key: str) -> Column:
 
 def _phone(x: Column, key: str) -> Column:
     digits = _digits(x)
-    code = F.when(x.rlike(f"^{PHONE}$"), F.length(digits) - 10).otherwise(F.length(F.regexp_extract(digits, COUNTRY, 0)))
+    code = F.when(x.rlike(f"^{PHONE}$"), F.length(digits) - 10).when(x.startswith("0"), F.lit(2)).otherwise(F.length(F.regexp_extract(digits, COUNTRY, 0)))
     return refill(x, F.concat(F.substr(digits, F.lit(1), code), _halves(F.substr(digits, code + 1, F.length(digits) - code), key, "phone")), "[0-9]")
 
 
@@ -146,31 +153,49 @@ def _ip(x: Column, key: str) -> Column:
 
 
 def _date_format(x: Column) -> Column:
-    return F.when(F.substr(x, F.lit(5), F.lit(1)) == "-", "yyyy-MM-dd").when(F.substr(x, F.lit(3), F.lit(1)) == ".", "dd.MM.yyyy").otherwise("MM/dd/yyyy")
+    """iso, dmy or mdy: a slash date is month-first unless its first number is no month."""
+    parts = F.split(x, "[-./]")
+    day_first = F.contains(x, F.lit(".")) | (F.get(parts, 0).cast("int") > 12)
+    return F.when(F.contains(x, F.lit("-")), F.lit("iso")).when(day_first, F.lit("dmy")).otherwise(F.lit("mdy"))
 
 
 def _as_date(x: Column) -> Column:
-    parts = F.split(x, "[-./]")
-    form = _date_format(x)
-    iso = F.when(form == "yyyy-MM-dd", x).when(form == "dd.MM.yyyy", F.concat_ws("-", F.get(parts, 2), F.get(parts, 1), F.get(parts, 0))).otherwise(F.concat_ws("-", F.get(parts, 2), F.get(parts, 0), F.get(parts, 1)))
-    return F.try_to_date(iso, "yyyy-MM-dd")
+    parts, form = F.split(x, "[-./]"), _date_format(x)
+    place = lambda iso, dmy, mdy: F.lpad(F.when(form == "iso", F.get(parts, iso)).when(form == "dmy", F.get(parts, dmy)).otherwise(F.get(parts, mdy)), 2, "0")
+    year = F.when(form == "iso", F.get(parts, 0)).otherwise(F.get(parts, 2))
+    return F.try_to_date(F.concat_ws("-", year, place(1, 1, 0), place(2, 0, 1)), "yyyy-MM-dd")
 
 
 def _date(x: Column, key: str) -> Column:
+    """Another day in the same notation; a date with a number of one digit is written without padding."""
     day = F.date_diff(_as_date(x), F.lit(FIRST_DAY).cast("date"))
     out = feistel(key, F.lit("date"), F.floor(day / DAYS_RIGHT), day % DAYS_RIGHT, F.lit(DAYS_LEFT).cast("long"), F.lit(DAYS_RIGHT).cast("long"))
     there = lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_RIGHT + p["r"]).cast("int"))
-    form = _date_format(x)
-    return _let(out, lambda p: F.when(form == "yyyy-MM-dd", F.date_format(there(p), "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(there(p), "dd.MM.yyyy")).otherwise(F.date_format(there(p), "MM/dd/yyyy")))
+    form, mark = _date_format(x), F.regexp_extract(x, "[-./]", 0)
+    width = F.when(x.rlike("(^|[-./])[0-9]([-./]|$)"), F.lit(1)).otherwise(F.lit(2))
+
+    def show(d: Column) -> Column:
+        number = lambda v: F.when(width == 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
+        year, month, day = F.lpad(F.year(d).cast("string"), 4, "0"), number(F.month(d)), number(F.day(d))
+        return F.when(form == "iso", F.concat_ws("-", year, month, day)).when(form == "dmy", F.concat(day, mark, month, mark, year)).otherwise(F.concat(month, mark, day, mark, year))
+
+    return _let(out, lambda p: _let(there(p), show))
 
 
 def _email(x: Column, key: str) -> Column:
     local = F.substring_index(x, "@", 1)
     plain = F.lower(F.regexp_replace(local, "[^A-Za-z0-9]", ""))
     n = F.length(plain)
-    head = _halves(F.substr(plain, F.lit(1), F.least(n, F.lit(LOCAL_CHARS))), key, "email", _POWERS_36, 36)
-    rest = F.when(n > LOCAL_CHARS, F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), plain), 512), F.lit(1), n - LOCAL_CHARS)).otherwise(F.lit(""))
-    new = F.when(n > 0, refill(local, F.concat(head, rest), "[A-Za-z0-9]")).otherwise(local)
+    # one character leaves a Feistel network no second half: it moves on along a keyed ring of all
+    order = sorted(range(36), key=lambda i: hashlib.sha256(f"{key}|email|1|{i}".encode()).digest())
+    symbols = "0123456789abcdefghijklmnopqrstuvwxyz"
+    ring = "".join(symbols[i] for i in order)
+    single = F.translate(plain, ring, ring[1:] + ring[0])
+    head = F.when(n == 1, single).otherwise(_halves(F.substr(plain, F.lit(1), F.least(n, F.lit(LOCAL_CHARS))), key, "email", _POWERS_36, 36))
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.when(local.rlike("[^ -~]"), F.lower(local)).otherwise(plain)), 512)
+    rest = F.when(n > LOCAL_CHARS, F.substr(digest, F.lit(1), n - LOCAL_CHARS)).otherwise(F.lit(""))
+    ascii_local = F.when(n > 0, refill(local, F.concat(head, rest), "[A-Za-z0-9]")).otherwise(local)
+    new = F.when(local.rlike("[^ -~]"), F.substr(digest, F.lit(1), F.greatest(F.length(local), F.lit(12)))).otherwise(ascii_local)
     return F.concat(new, F.lit("@"), F.substring_index(x, "@", -1))
 
 
@@ -188,6 +213,7 @@ def kind_of(x: Column) -> Column:
         .when(x.rlike(f"^{SSN}$"), F.when(ssn_valid, F.lit("ssn")))
         .when(x.rlike(f"^{PHONE}$") & n.between(10, 13) & x.rlike("[^0-9]"), F.lit("phone"))
         .when(x.startswith("+") & n.between(8, 15), F.lit("phone"))
+        .when(x.rlike(f"^{NATIONAL}$") & n.between(9, 12), F.lit("phone"))
         .when(n.between(13, 19) & (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"), F.lit("card"))
     )
 

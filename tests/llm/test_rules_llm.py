@@ -1,5 +1,7 @@
 """Quality rules and PII pseudonyms against plain Python."""
 
+import hashlib
+import datetime
 import random
 import re
 from collections import Counter
@@ -154,3 +156,54 @@ def test_long_text_and_extra_columns(spark):
     assert out.columns == df.columns
     r = out.first()
     assert (r["words"], r["_text"], r["kind"]) == ("keep", "me", 4) and "10.0.0.1" not in r["text"] and r["text"].startswith("w w")
+
+
+def test_dates_phones_and_addresses_of_other_countries(spark):
+    kinds = {
+        "25/12/1985": "date", "5.3.1985": "date", "5/3/1985": "date", "05.03.1985": "date", "1985-03-05": "date", "1985-3-5": "date",
+        "01 42 68 53 00": "phone", "06.12.34.56.78": "phone", "030/1234567": "phone", "0221 123456": "phone", "040 - 12 34 56": None,
+        "müller@x.de": "email", "иван@x.org": "email", "a@x.org": "email", "b@x.org": "email", "c@x.org": "email",
+        "31/31/1985": None, "0/3/1985": None, "01 42 68": None, "0.5.1985": None,
+    }
+    rows = spark.createDataFrame([(i, f"say {v} now") for i, v in enumerate(kinds)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymised(rows, "k").collect()}
+    out = {v: got[i]["text"][4:-4] for i, v in enumerate(kinds)}
+    for i, (v, kind) in enumerate(kinds.items()):
+        if kind is None:
+            assert out[v] == v, v
+            continue
+        assert out[v] != v and got[i][f"n_{kind}"] == 1, (v, out[v])
+        if kind != "email":
+            assert re.sub("[0-9]+", "9", out[v]) == re.sub("[0-9]+", "9", v)
+    when = lambda s, *order: datetime.date(*(int(re.split("[-./]", s)[i]) for i in order))
+    # one day in four notations stays one day
+    assert len({when(out["5.3.1985"], 2, 1, 0), when(out["05.03.1985"], 2, 1, 0), when(out["1985-03-05"], 0, 1, 2), when(out["1985-3-5"], 0, 1, 2)}) == 1
+    assert when(out["25/12/1985"], 2, 1, 0) and when(out["5/3/1985"], 2, 0, 1)
+    assert out["01 42 68 53 00"].startswith("01 ") and out["030/1234567"].startswith("03")
+    assert len({out[f"{c}@x.org"] for c in "abc"}) == 3
+    steps = {(ord(out[f"{c}@x.org"][0]) - ord(c)) % 36 for c in "abc"}
+    assert len(steps) > 1  # no constant shift
+    assert "ü" not in out["müller@x.de"] and out["müller@x.de"].endswith("@x.de") and "ller" not in out["müller@x.de"]
+
+
+def plain_feistel(key, kind, left, right, a, b):
+    """The permutation in plain Python."""
+    for turn in range(pii.ROUNDS):
+        half, size = (right, a) if turn % 2 == 0 else (left, b)
+        number = int(hashlib.sha256(f"{key}|{kind}|{turn}|{size}|{half}".encode()).hexdigest()[:15], 16) % size
+        left, right = ((left + number) % a, right) if turn % 2 == 0 else (left, (right + number) % b)
+    return left, right
+
+
+def test_dates_and_addresses_equal_a_plain_version(spark):
+    rnd = random.Random(4)
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(rnd.randrange(146097)) for _ in range(60)]
+    hosts = [[rnd.randrange(256) for _ in range(4)] for _ in range(60)]
+    rows = [(i, f"{d.isoformat()} {'.'.join(map(str, h))}") for i, (d, h) in enumerate(zip(days, hosts, strict=True))]
+    got = {r["doc_id"]: r["text"].split() for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (d, h) in enumerate(zip(days, hosts, strict=True)):
+        n = (d - datetime.date(1800, 1, 1)).days
+        x, y = plain_feistel("k", "date", n // 773, n % 773, 189, 773)
+        assert got[i][0] == (datetime.date(1800, 1, 1) + datetime.timedelta(x * 773 + y)).isoformat()
+        x, y = plain_feistel("k", "ip", h[0] * 256 + h[1], h[2] * 256 + h[3], 1 << 16, 1 << 16)
+        assert got[i][1] == f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
