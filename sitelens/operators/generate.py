@@ -259,22 +259,24 @@ def mentions_faq(raw_text: Column) -> Column:
     return F.coalesce(hit, lit(False))
 
 
-def faq_schema() -> Column:
+def faq_schema(has_faq: Column | None = None) -> Column:
+    """``has_faq``: the flag of ``generation_input``; by default the row's text is asked."""
+    has_faq = mentions_faq(c("raw_text")) if has_faq is None else has_faq
     node = F.struct(_s(CONTEXT, "@context"), _s("FAQPage", "@type"), _empty_array().alias("mainEntity"))
-    return F.when(c("has_faq"), F.to_json(node))
+    return F.when(has_faq, F.to_json(node))
 
 
-def json_ld_graph() -> Column:
+def json_ld_graph(has_faq: Column | None = None) -> Column:
     nodes = F.filter(
-        F.array(organization_schema(), website_schema(), breadcrumb_schema(), business_schema(), faq_schema()),
+        F.array(organization_schema(), website_schema(), breadcrumb_schema(), business_schema(), faq_schema(has_faq)),
         lambda x: x.isNotNull(),
     )
     graph = F.concat(lit('{"@context":"' + CONTEXT + '","@graph":['), F.array_join(nodes, ","), lit("]}"))
     return F.replace(graph, lit("</"), lit("<\\/"))
 
 
-def json_ld_block() -> Column:
-    block = F.concat(lit('    <script type="application/ld+json">\n    '), json_ld_graph(), lit("\n    </script>"))
+def json_ld_block(has_faq: Column | None = None) -> Column:
+    block = F.concat(lit('    <script type="application/ld+json">\n    '), json_ld_graph(has_faq), lit("\n    </script>"))
     return F.when(c("has_schema"), lit("")).otherwise(block)
 
 
@@ -308,7 +310,7 @@ def generate_all(gen: DataFrame, key: str = "page_id") -> DataFrame:
         meta_block().alias("meta_tags"),
         open_graph_block().alias("open_graph"),
         twitter_block().alias("twitter_cards"),
-        json_ld_block().alias("schema_org"),
+        json_ld_block(c("has_faq") if "has_faq" in gen.columns else None).alias("schema_org"),
     )
     combined = F.concat(
         lit("<!-- SEO Meta Tags -->\n"), c("meta_tags"),

@@ -5,7 +5,9 @@ frame (``page_base(..., keep_clean=True)``) and returning one row per
 ``page_id``; the pipeline joins the results on the key.  A scorer takes
 ``(analysis, keywords, key)`` and returns one row per key.  An injector is a
 ``(name, Column)`` block over the generation input.  User code may use
-built-in functions or, where they cannot express a rule, ``pandas_udf``.
+built-in functions or, where they cannot express a rule, ``pandas_udf`` or a
+Python table function: ``AnalyzerPipeline.add_sql`` registers one for SQL and
+calls it on the base frame partitioned by the key.
 """
 
 from __future__ import annotations
@@ -55,6 +57,20 @@ class AnalyzerPipeline:
         self.analyzers.append((name, analyzer))
         return self
 
+    def add_sql(self, name: str, handler: type, arguments: list[str], order: str | None = None) -> AnalyzerPipeline:
+        """Add a Python table function (a UDTF class) as an analyzer that is called through SQL.
+
+        It is registered as ``name`` and gets the rows of the base frame with the
+        columns ``arguments`` (the key first), partitioned by the key and ordered
+        by ``order``: ``SELECT * FROM name(TABLE(base) PARTITION BY key)``.  It
+        returns the key and its own columns, one row a key.
+        """
+
+        def analyzer(base: DataFrame) -> DataFrame:
+            return table_function(base.select(*arguments), name, handler, self.key, order)
+
+        return self.add(name, analyzer)
+
     def analyze(self, pages: DataFrame, reuse: bool = True) -> DataFrame:
         """Run every analyzer on one parsed base and join the results by key."""
         base = page_base(pages, keep_clean=True)
@@ -66,6 +82,15 @@ class AnalyzerPipeline:
         return out
 
 
+def table_function(base: DataFrame, name: str, handler: type, key: str = "page_id", order: str | None = None) -> DataFrame:
+    """``base`` through the Python table function ``handler``, registered for SQL as ``name``."""
+    spark = base.sparkSession
+    function = handler if hasattr(handler, "returnType") else F.udtf(handler)
+    spark.udtf.register(name, function)
+    sorted_by = f" ORDER BY {order}" if order else ""
+    return spark.sql(f"SELECT * FROM {name}(TABLE({{base}}) PARTITION BY {key}{sorted_by})", base=base)
+
+
 class MlEngine:
     def __init__(self, scorers: list[tuple[str, Scorer]] | None = None):
         self.scorers = list(scorers or [])
@@ -96,7 +121,7 @@ class InjectorPipeline:
         from sitelens.operators import generate as G
 
         return cls([("meta_tags", G.meta_block), ("open_graph", G.open_graph_block),
-                    ("twitter_cards", G.twitter_block), ("schema_org", G.json_ld_block)])
+                    ("twitter_cards", G.twitter_block), ("schema_org", lambda: G.json_ld_block(F.col("has_faq")))])
 
     def add(self, name: str, block: Callable[[], Column]) -> InjectorPipeline:
         self.injectors.append((name, block))

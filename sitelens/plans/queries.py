@@ -579,10 +579,13 @@ def q_page_injected(spark, sf_dir):
 def _gen_expr(name: str):
     @register(name, lambda: D.gen_expr_query(name))
     def q(spark, sf_dir):
+        from pyspark.sql import functions as F
+
         from sitelens.operators import generate as G
 
         gi = _gen_frames(spark, sf_dir)["gen_input"]
-        return gi.select("page_id", getattr(G, name)().alias(name))
+        flag = [F.col("has_faq")] if name in ("faq_schema", "json_ld_graph") else []
+        return gi.select("page_id", getattr(G, name)(*flag).alias(name))
 
     return q
 

@@ -34,6 +34,10 @@ def get_spark(master: str | None = None, app: str = "sitelens", shuffle_partitio
     return spark
 
 
+#: The private folder of this process, for a local master without the setting (which a running session cannot change).
+_OWN: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -44,8 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="sitelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="sitelens-ckpt-"))
+        d = _OWN[0]
     spark.sparkContext.setCheckpointDir(d)
     return d
 

@@ -45,13 +45,14 @@ def site_audit_counts(pages: DataFrame) -> DataFrame:
 def stream_site_audit(pages: DataFrame, sink_path: str, checkpoint: str, trigger_once: bool = False) -> StreamingQuery:
     """Keep the per-site roll-up current: each micro-batch appends the sites it changed.
 
-    ``foreachBatch`` writes the updated rows with their ``batch_id`` to a
-    parquet folder (a change log; the latest batch per site is current), so
-    no state lives on the driver and a restart resumes from the checkpoint.
+    ``foreachBatch`` writes the updated rows to the batch's own folder
+    ``batch_id=<n>`` of a parquet table (a change log; the latest batch per site
+    is current), so no state lives on the driver, a restart resumes from the
+    checkpoint, and a batch that is replayed replaces what it wrote before.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+        batch.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
 
     w = site_audit_counts(pages).writeStream.outputMode("update").foreachBatch(write)
     w = w.option("checkpointLocation", checkpoint)

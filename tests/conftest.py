@@ -15,8 +15,6 @@ def spark():
     from sitelens.session import get_spark
 
     s = get_spark(master="local[4]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sitelens-test-ckpt-"))
     yield s
 
 

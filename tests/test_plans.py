@@ -77,3 +77,60 @@ def test_business_type_chain_single_shuffle(spark):
     p = plan(business_type(z, carry=["content_summary"]))
     assert p.count("Exchange hashpartitioning") == 1, p
     assert "NestedLoop" not in p
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heavy_expressions_are_evaluated_once(spark):
+    """No filter repeats what a generator below it explodes (Catalyst adds ``size(...) > 0`` to plain ones)."""
+    for name in ("indicator_scores", "sentiment_tokens", "lexicon_hits", "zone_text", "recommendations"):
+        p = optimized(QUERIES[name](spark, SF_SMALL))
+        filters = [x for x in p.splitlines() if "Filter" in x]
+        assert not any("size(" in x and ("regexp_extract_all" in x or "from_json" in x or "array_sort" in x) for x in filters), (name, p)
+
+
+def test_sentiment_and_recommendations_need_no_exchange(spark):
+    from sitelens.operators.score import ranked_recommendations
+    from sitelens.operators.sentiment import sentiment
+    from sitelens.plans.analysis import page_base
+
+    base = page_base(scanned(spark))
+    from pyspark.sql import functions as F
+
+    for df in (sentiment(base), ranked_recommendations(base.withColumn("business_type", F.lit("Service")))):
+        p = plan(df)
+        assert "Exchange" not in p and "Join" not in p and "Window" not in p, p
+
+
+def test_site_values_are_materialised_late(spark):
+    from sitelens.plans.analysis import page_base, site_analysis, with_completeness
+    from pyspark.sql import functions as F
+
+    base = page_base(scanned(spark))
+    analysis = with_completeness(base).withColumn("business_type", F.lit("Blog")).withColumn("content_summary", F.col("title"))
+    p = plan(site_analysis(analysis))
+    partial = [x for x in p.splitlines() if "HashAggregate(keys=[site" in x and "partial_max(" in x]
+    assert partial and all("raw_text" not in x.split("output=[")[1] for x in partial), p
+    assert "SortAggregate" not in p, p
+
+
+def test_site_keywords_hash_only(spark):
+    from sitelens.operators.keywords import page_keywords, site_keywords
+    from sitelens.plans.analysis import page_base
+
+    base = page_base(scanned(spark))
+    p = plan(site_keywords(page_keywords(base), base))
+    assert "SortAggregate" not in p and "HashAggregate" in p
+
+
+def test_generation_joins_no_text(spark):
+    from sitelens.operators.generate import generation_input
+    from sitelens.plans.analysis import page_base
+    from pyspark.sql import functions as F
+
+    base = page_base(scanned(spark))
+    top = base.select("page_id", F.array(F.lit("w")).alias("top10"))
+    cfg = base.select("site").distinct()
+    assert "raw_text" not in generation_input(base, top, cfg).columns
