@@ -57,7 +57,7 @@ def first_tag(tags, attr_pattern: str) -> Column:
 
 def attr_of(tag_col: Column, present_pattern: str, value_pattern: str) -> Column:
     """Decoded attribute value of one tag, null if the tag or the attribute is absent."""
-    return F.when(tag_col.rlike(present_pattern), decode_entities(regexp_value(tag_col, value_pattern)))
+    return F.when(tag_col.rlike(present_pattern), decode_entities(regexp_value(tag_col, value_pattern), attribute=True))
 
 
 def meta_content(metas="_metas", name_pattern: str = P.NAME_DESCRIPTION) -> Column:

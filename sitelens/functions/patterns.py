@@ -157,7 +157,8 @@ STRIP_TITLE = r"(?s)^(.*?)<title>[^<]*</title>(.*)$"
 STRIP_TITLE_PRESENT = r"<title>[^<]*</title>"
 
 # --- entities ----------------------------------------------------------------------
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+# with the sign that ends it or, in an attribute, forbids it
+ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31})[;=]?"
 
 # --- zone tokens ---------------------------------------------------------------
 OPEN_TAG_NAME = r"^<([a-zA-Z][a-zA-Z0-9]*)"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from sitelens.functions import patterns as P
 
 
+def named_values() -> dict[str, str]:
+    """What the names of the HTML standard (the standard library's table) stand for with their semicolon."""
+    return {name[:-1]: value.replace("\u00a0", " ") for name, value in html5.items() if name.endswith(";")}
 
-def entity_values() -> dict[str, str]:
-    """Named entities (the HTML 4 set of the standard library) and the numeric
-    references that browsers read as Windows-1252, by what stands between & and ;."""
-    named = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
-    return named | {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+
+def bare_values() -> dict[str, str]:
+    """The older names, which also count without a semicolon."""
+    return {name: value.replace("\u00a0", " ") for name, value in html5.items() if not name.endswith(";")}
+
+
+def windows_values() -> dict[int, str]:
+    """The numeric references that browsers read as Windows-1252."""
+    return {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
 
 
 # HTML escaping of generated attribute values, in this order.
@@ -72,26 +79,65 @@ def col_of(c) -> Column:
     return col(c) if isinstance(c, str) else c
 
 
-def _entity(e: Column) -> Column:
+def _map(values: dict, name: Column) -> Column:
+    return F.try_element_at(F.from_json(lit(json.dumps(values)), "map<string,string>"), name)
+
+
+def _listed(values: dict, name: Column) -> Column:
+    """Looks a seldom asked name up in one string literal, which costs a plan far less than a map of that size."""
+    table = lit("\x01" + "".join(f"{k}\x02{v}\x01" for k, v in values.items()))
+    key = F.concat(lit("\x01"), name, lit("\x02"))
+    value = F.substring_index(F.call_function("substring_index", table, key, lit(-1)), "\x01", 1)
+    return F.when(F.contains(table, key), value)
+
+
+def _named(body: Column) -> Column:
+    """The value of a whole name; the 253 names that pages use are asked first."""
+    named = named_values()
+    common = {name: named[name] for name in [*name2codepoint, "apos"]}
+    rare = {name: value for name, value in named.items() if name not in common}
+    return F.coalesce(_map(common, body), _listed(rare, body))
+
+
+def _longest_bare(body: Column) -> Column:
+    """A name without semicolon by its longest known prefix, with what follows the prefix."""
+    bare = bare_values()
+    lengths = sorted({len(name) for name in bare}, reverse=True)
+    return F.coalesce(*(F.concat(_listed(bare, F.substring(body, 1, n)), F.substring(body, n + 1, 1 << 30)) for n in lengths))
+
+
+def _entity(e: Column, attribute: bool) -> Column:
     """What one entity stands for; an unknown name stays as it is."""
-    table = F.from_json(lit(json.dumps(entity_values())), "map<string,string>")
-    inner = F.substring(e, 2, 40)
-    inner = F.substring_index(inner, ";", 1)
-    code = F.when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, 3, 10), 16, 10)).when(inner.rlike("^#"), F.substring(inner, 2, 10)).cast("int")
-    known = F.try_element_at(table, F.when(code.isNotNull(), F.concat(lit("#"), code.cast("string"))).otherwise(inner))
+    body = F.rtrim(F.substring(e, 2, 1 << 30), lit(";="))
+    end = F.substring(e, F.length(body) + 2, lit(1))
+    after = F.when(end == lit(";"), lit("")).otherwise(end)
+    is_hex, is_code = body.rlike("^#[xX]"), F.startswith(body, lit("#"))
+    digits = F.ltrim(F.when(is_hex, F.substring(body, 3, 1 << 30)).otherwise(F.substring(body, 2, 1 << 30)), lit("0"))
+    # no code point has more than seven digits
+    short = F.when(digits == lit(""), lit("0")).when(F.length(digits) > 7, lit("9999999")).otherwise(digits)
+    code = F.when(is_hex, F.conv(short, 16, 10)).otherwise(short).cast("int")
     valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     point = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(lit("\ufffd"))
-    return F.coalesce(known, F.when(code.isNotNull(), point), e)
+    windows = _map(windows_values(), code.cast("string"))
+    whole = F.when(end == lit(";"), _named(body))
+    if attribute:
+        bare = F.when(end == lit(""), _listed(bare_values(), body))
+    else:
+        bare = F.concat(_longest_bare(body), end)
+    return F.when(is_code, F.concat(F.coalesce(windows, point), after)).otherwise(F.coalesce(whole, bare, e))
 
 
-def decode_entities(c) -> Column:
+def decode_entities(c, attribute: bool = False) -> Column:
     """Named, decimal and hexadecimal entities in one pass, so ``&amp;lt;`` becomes ``&lt;``.
 
-    A no-break space becomes a space.  Entities without their semicolon stay.
+    Names and prefixes are those of the HTML standard: ``&notin;`` is one sign,
+    ``&notit;`` is that of ``&not`` with ``it;`` behind it.  In an ``attribute``
+    value a name without semicolon counts only if no letter, digit or ``=``
+    follows, so links keep their parameters.  A no-break space becomes a space.
     """
     c = col_of(c)
     plain = F.split(c, P.ENTITY)
-    values = F.transform(F.regexp_extract_all(c, lit(P.ENTITY), lit(0)), _entity)
+    values = F.transform(F.regexp_extract_all(c, lit(P.ENTITY), lit(0)), lambda e: _entity(e, attribute))
     joined = F.array_join(F.zip_with(plain, F.concat(values, F.array(lit(""))), lambda a, b: F.concat(a, b)), "")
     return F.when(F.contains(c, lit("&")), joined).otherwise(c)
 

@@ -10,7 +10,7 @@ The regexps are the very same strings the Spark expressions use
 from __future__ import annotations
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import ESCAPES, entity_values
+from sitelens.functions.text import ESCAPES, bare_values, named_values, windows_values
 from sitelens.operators.audit import COMPLETENESS_WEIGHTS
 from sitelens.fixtures import pages_rich_sql
 from sitelens.sources.pages import HOST_RE, INDEX_PATH_RE, PATH_RE
@@ -21,14 +21,28 @@ def q(s: str) -> str:
     return "'" + P.re2(s).replace("'", "''") + "'"
 
 
-def decode(x: str) -> str:
-    names = ", ".join(f"{q(k)}: {q(v)}" for k, v in entity_values().items())
-    inner = "substr(e, 2, length(e) - 2)"
-    code = f"CASE WHEN {inner}[1:2] IN ('#x', '#X') THEN CAST('0x' || {inner}[3:] AS INTEGER) WHEN {inner}[1] = '#' THEN CAST({inner}[2:] AS INTEGER) END"
-    valid = "n > 0 AND n <= 1114111 AND NOT n BETWEEN 55296 AND 57343"
+def _map(values: dict) -> str:
+    return "map {" + ", ".join(f"{k if isinstance(k, int) else q(k)}: {q(v)}" for k, v in values.items()) + "}"
+
+
+def decode(x: str, attribute: bool = False) -> str:
     # list_transform over a list of one names a value inside an expression
-    known = f"map {{{names}}}[CASE WHEN n IS NOT NULL THEN '#' || n ELSE {inner} END]"
-    one = f"list_transform([{code}], lambda n: coalesce({known}, CASE WHEN {valid} THEN chr(n) WHEN n IS NOT NULL THEN chr(65533) END, e))[1]"
+    body = "rtrim(substr(e, 2), ';=')"
+    parts = f"{{'e': e, 'b': {body}, 'r': substr(e, length({body}) + 2), 'd': ltrim(regexp_replace({body}, '^#[xX]?', ''), '0')}}"
+    short = "CASE WHEN ent.d = '' THEN '0' WHEN length(ent.d) > 7 THEN '9999999' ELSE ent.d END"
+    code = f"CASE WHEN ent.b[1:2] IN ('#x', '#X') THEN CAST('0x' || {short} AS INTEGER) ELSE CAST({short} AS INTEGER) END"
+    valid = "n > 0 AND n <= 1114111 AND NOT n BETWEEN 55296 AND 57343"
+    point = f"list_transform([{code}], lambda n: coalesce({_map(windows_values())}[n], CASE WHEN {valid} THEN chr(n) ELSE chr(65533) END))[1]"
+    whole = f"CASE WHEN ent.r = ';' THEN {_map(named_values())}[ent.b] END"
+    if attribute:
+        bare = f"CASE WHEN ent.r = '' THEN {_map(bare_values())}[ent.b] END"
+    else:
+        known = f"regexp_extract(ent.b, '^({'|'.join(sorted(bare_values(), key=len, reverse=True))})')"
+        bare = f"{_map(bare_values())}[{known}] || substr(ent.b, length({known}) + 1) || ent.r"
+    one = (
+        f"list_transform([{parts}], lambda ent: CASE WHEN ent.b[1] = '#' THEN {point} || replace(ent.r, ';', '') "
+        f"ELSE coalesce({whole}, {bare}, ent.e) END)[1]"
+    )
     values = f"list_append(list_transform(regexp_extract_all(v, {q(P.ENTITY)}), lambda e: {one}), '')"
     joined = f"array_to_string(list_transform(list_zip(string_split_regex(v, {q(P.ENTITY)}), {values}), lambda z: z[1] || z[2]), '')"
     return f"list_transform([{x}], lambda v: CASE WHEN contains(v, '&') THEN {joined} ELSE v END)[1]"
@@ -65,7 +79,7 @@ def first_tag(clean: str, tag_pat: str, attr_pat: str) -> str:
 
 
 def attr_of(tag: str, present: str, value: str) -> str:
-    return f"CASE WHEN {rlike(tag, present)} THEN {decode(regexp_value(tag, value))} END"
+    return f"CASE WHEN {rlike(tag, present)} THEN {decode(regexp_value(tag, value), True)} END"
 
 
 def any_tag(clean: str, tag_pat: str, attr_pat: str) -> str:

@@ -39,7 +39,11 @@ ENTITIES = {
     "&amp;lt; &amp;amp; &lt;b&gt; &quot;&apos;&#39;": "&lt; &amp; <b> \"''",
     "&nbsp;|&#160;|&copy;&middot;&hellip;": " | |©·…",
     "&#146;&#x80;&#0;&#xD800;&#1114112;": "’€���",
-    "&nosuch; & &; &# &#x; &eacute AT&T": "&nosuch; & &; &# &#x; &eacute AT&T",
+    "&nosuch; & &; &# &#x; &eacute AT&T": "&nosuch; & &; &# &#x; é AT&T",
+    "&notin; &notit; &not; &copy 2024 &amp &ampx; &ltb&gtc": "∉ ¬it; ¬ © 2024 & &x; <b>c",
+    "&CounterClockwiseContourIntegral;&NotEqualTilde;&nGt;&aacutefrac12;": "\u2233\u2242\u0338\u226b\u20d2áfrac12;",
+    "&#65 &#x42; &#67= &#000000000068; &#99999999999;&#xffffffffff;": "A B C= D \ufffd\ufffd",
+    "?a=1&copy=2&lt=3": "?a=1©=2<=3",
     "&#128512;": "\U0001f600",
     "": "",
 }
@@ -51,6 +55,39 @@ def test_entities(spark):
     assert got == {**ENTITIES, None: None}
 
 
+ATTRIBUTES = {
+    "?a=1&copy=2&lt=3&notit=4&reg": "?a=1&copy=2&lt=3&notit=4®",
+    "&copy 1&copy;=2 &notit; &ampx; &#65=&#x42": "© 1©=2 &notit; &ampx; A=B",
+}
+
+
+def test_entities_in_attributes(spark):
+    df = spark.createDataFrame([(k,) for k in ATTRIBUTES], "s string")
+    got = {r["s"]: r["d"] for r in df.select("s", decode_entities("s", attribute=True).alias("d")).collect()}
+    assert got == ATTRIBUTES
+
+
+@pytest.mark.parametrize("attribute", [False, True])
+def test_entities_equal_their_sql_twin(spark, attribute):
+    import duckdb
+
+    from sitelens.oracle.duck import decode
+
+    texts = [*ENTITIES, *ATTRIBUTES]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").orderBy("i")
+    twin = duckdb.execute(f"SELECT {decode('txt', attribute)} FROM (SELECT unnest(?) AS txt)", [texts]).fetchall()
+    assert [r[0] for r in got.select(decode_entities("s", attribute)).collect()] == [r[0] for r in twin]
+
+
+def test_entities_of_text_equal_the_standard_library(spark):
+    from html import unescape
+    from html.entities import html5
+
+    texts = [f"a &{name} b &{name}x" for name in html5]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", decode_entities("s").alias("d")).collect()
+    assert {r["s"]: r["d"] for r in got} == {t: unescape(t).replace("\u00a0", " ") for t in texts}
+
+
 POINTS = {
     "<title>t</title><body><header>h</header></body>": 16,
     "<head><title>t</title></head ><body>": 22,
