@@ -98,21 +98,20 @@ def page_analysis(pages: DataFrame, base: DataFrame | None = None, reuse: bool =
     """One row per page: audit, completeness, business type, schema class, language, summary, text.
 
     The base frame feeds three branches (audit columns, zone tokens, keyword
-    tokens); with ``reuse`` it is persisted (memory, spilling to disk; lost
-    blocks are recomputed from lineage) so the markup is parsed once.  The
+    tokens); with ``reuse`` it is written once to the shared folder
+    (``session.materialize``) so the markup is parsed once.  The
     zone branch arrives partitioned by page (its single exchange); the keyword
     count is a partial aggregate.
     """
-    from pyspark import StorageLevel
-
     from sitelens.operators.business import business_type, content_summary, schema_type
     from sitelens.operators.keywords import page_keywords
     from sitelens.operators.zones import zone_text
+    from sitelens.session import materialize
 
     if base is None:
         base = page_base(pages, keep_clean=True)
         if reuse:
-            base = base.persist(StorageLevel.MEMORY_AND_DISK)
+            base = materialize(base)
     zones = zone_text(base).withColumn("content_summary", content_summary("zone_text"))
     bt = business_type(zones, carry=["content_summary"])
     kw = keywords if keywords is not None else page_keywords(base)

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.plans.analysis import page_base
+from sitelens.session import materialize
 
 Analyzer = Callable[[DataFrame], DataFrame]
 Scorer = Callable[[DataFrame, DataFrame, str], DataFrame]
@@ -75,7 +75,7 @@ class AnalyzerPipeline:
         """Run every analyzer on one parsed base and join the results by key."""
         base = page_base(pages, keep_clean=True)
         if reuse:
-            base = base.persist(StorageLevel.MEMORY_AND_DISK)
+            base = materialize(base)
         out = base.select(self.key)
         for _, fn in self.analyzers:
             out = out.join(fn(base), self.key, "left")

@@ -1,9 +1,10 @@
 """End-to-end batch run: analyze, score, generate, inject, report, write.
 
-For large inputs the shared per-page frames are written once to the folder
-named by ``spark.checkpoint.dir`` (``session.materialize``) instead of being
-cached: the lineage is cut, every later output reads compact parquet, and an
-executor lost mid-run costs only its running tasks.
+The shared per-page frames are written once to the folder named by
+``spark.checkpoint.dir`` (``session.materialize``): the lineage is cut, every
+later output reads compact parquet, and an executor lost mid-run costs only
+its running tasks.  They are bucketed by ``page_id``: the input is spread by
+page once, and no later step shuffles a page's markup or text again.
 """
 
 from __future__ import annotations
@@ -19,11 +20,26 @@ from sitelens.operators.keywords import page_keywords, page_top, site_keywords
 from sitelens.plans.analysis import page_analysis, page_base, site_analysis
 from sitelens.plans.ml import ml_result
 from sitelens.plans.report import DEFAULT_STAMP
-from sitelens.session import materialize
+from sitelens.session import buckets, materialize
 from sitelens.sources import sinks
 from sitelens.sources.config import plain_config
 
 
+def page_tables(pages: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    """``base``, ``page_keywords`` and ``page_analysis``, all bucketed by ``page_id`` in one layout."""
+    rows = pages.select("page_id", "url", "html").repartition(buckets(pages.sparkSession), "page_id")
+    base = materialize(page_base(rows, keep_clean=True, keep_html=True), f"{run_id}/page_base", "page_id")
+    kw = materialize(page_keywords(base), f"{run_id}/page_keywords", "page_id")
+    analysis = materialize(page_analysis(pages, base=base, keywords=kw), f"{run_id}/page_analysis", "page_id")
+    return {"base": base, "page_keywords": kw, "page_analysis": analysis}
+
+
+def injected_pages(tables: dict[str, DataFrame], config: DataFrame) -> DataFrame:
+    """Generated blocks put into their page; only the blocks move, the markup stays in its bucket."""
+    gen = generate_all(generation_input(tables["page_analysis"], page_top(tables["page_keywords"], 10), config))
+    return page_injected(gen.join(tables["base"].select("page_id", "html"), "page_id"))
+
+
 def run(pages: DataFrame, out_dir: str, config: DataFrame | None = None, generated_at: str = DEFAULT_STAMP,
         run_id: str | None = None, files: DataFrame | None = None) -> dict[str, str]:
     """Write page analysis (JSON Lines), page scores, injected pages, injected main pages and site reports under ``out_dir``.
@@ -42,9 +58,8 @@ def run(pages: DataFrame, out_dir: str, config: DataFrame | None = None, generat
     from sitelens.sources.pages import main_page
 
     out, run_id = out_dir.rstrip("/"), run_id or f"run-{uuid.uuid4().hex[:12]}"
-    base = materialize(page_base(pages, keep_clean=True, keep_html=True), f"{run_id}/page_base")
-    kw = materialize(page_keywords(base), f"{run_id}/page_keywords")
-    analysis = materialize(page_analysis(pages, base=base, keywords=kw), f"{run_id}/page_analysis")
+    tables = page_tables(pages, run_id)
+    base, kw, analysis = tables["base"], tables["page_keywords"], tables["page_analysis"]
 
     paths = {}
     paths["page_analysis"] = f"{out}/page_analysis"
@@ -55,9 +70,8 @@ def run(pages: DataFrame, out_dir: str, config: DataFrame | None = None, generat
     scores.write.mode("overwrite").parquet(paths["page_scores"])
 
     cfg = config if config is not None else plain_config(base.select("site"))
-    gen = generate_all(generation_input(analysis, page_top(kw, 10), cfg))
     paths["page_injected"] = f"{out}/page_injected"
-    sinks.write_injected(page_injected(gen.join(base.select("page_id", "html"), "page_id")), paths["page_injected"])
+    sinks.write_injected(injected_pages(tables, cfg), paths["page_injected"])
 
     sk = materialize(site_keywords(kw, base), f"{run_id}/site_keywords")
     sa = materialize(site_analysis(analysis, sk), f"{run_id}/site_analysis")

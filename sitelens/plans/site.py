@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from sitelens.operators.keywords import page_keywords, site_keywords
 from sitelens.plans.analysis import page_analysis, page_base, site_analysis
+from sitelens.session import materialize
 
 
 def _keep(df: DataFrame, reuse: bool) -> DataFrame:
-    """Persist a frame read by several branches (memory, spilling to disk).
+    """A frame read by several branches, written once to the shared folder.
 
-    Lost blocks are recomputed from lineage, so an executor loss costs time,
-    not correctness; long pipelines that must survive restarts use
-    ``session.materialize`` (the checkpoint folder) instead.
+    Later plans start at its scan: they read only the columns they need, are
+    planned without the expressions below it, and outlive the executors.
+    ``session.release`` deletes the tables.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if reuse else df
+    return materialize(df) if reuse else df
 
 
 def page_frames(pages: DataFrame, reuse: bool = True, keep_html: bool = False) -> dict[str, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,14 +56,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the tables that ``materialize`` wrote without a name, until ``release``.
+_TABLES: list[str] = []
+
+
+def materialize(df: DataFrame, name: str | None = None, key: str | None = None) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
-    Cuts lineage for plans that feed several outputs, and survives lost
-    executors (the files live on shared storage, not on an executor).
+    Cuts lineage and plan for work that feeds several outputs, and survives
+    lost executors (the files live on shared storage, not on an executor).
+    Without a ``name`` the table is this session's own and goes with ``release``.
+
+    With a ``key`` the table is bucketed and sorted by it, in as many buckets as
+    there are shuffle partitions, so joins and groups by the key need no exchange.
+    The rows should be partitioned by the key already, or every task
+    writes a file for every bucket.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name or 'own-' + uuid.uuid4().hex}"
+    if not name:
+        _TABLES.append(path)
+    if key is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"sitelens_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets(spark), key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the unnamed tables of ``materialize``; frames that read them cannot be used any more."""
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

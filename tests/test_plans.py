@@ -1,5 +1,7 @@
 """Plan shape: pushdown, pruning, and the number of shuffles per operator."""
 
+import os
+
 from conftest import SF_SMALL
 from sitelens.plans.queries import QUERIES
 
@@ -134,3 +136,37 @@ def test_generation_joins_no_text(spark):
     top = base.select("page_id", F.array(F.lit("w")).alias("top10"))
     cfg = base.select("site").distinct()
     assert "raw_text" not in generation_input(base, top, cfg).columns
+
+
+def test_batch_run_moves_no_markup(spark, tmp_dir):
+    """The run's page tables share one bucket layout: no exchange carries markup or text."""
+    from sitelens.plans.run import injected_pages, page_tables
+    from sitelens.plans.report import page_documents
+    from sitelens.sources.config import plain_config
+
+    tables = page_tables(scanned(spark), os.path.basename(tmp_dir))
+    injected = injected_pages(tables, plain_config(tables["base"].select("site")))
+    documents = page_documents(tables["page_analysis"], tables["page_keywords"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, text in ((injected, "html#"), (documents, "raw_text#")):
+            p = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            assert text in p
+            moved = [x for x in p.split("\n\n") if ") Exchange" in x and text in x]
+            assert not moved, moved
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert injected.where("status = 'ok'").count() == 50
+
+
+def test_release_deletes_only_unnamed_tables(spark, tmp_dir):
+    from sitelens.session import checkpoint_dir, materialize, release
+
+    folder = os.path.join(checkpoint_dir(spark).replace("file:", ""), "tables")
+    name = os.path.basename(tmp_dir)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    named, own = materialize(spark.range(3), name), materialize(spark.range(4))
+    assert (named.count(), own.count()) == (3, 4)
+    release(spark)
+    left = {x for x in os.listdir(folder) if x not in before}
+    assert left == {name} and named.count() == 3
