@@ -45,14 +45,16 @@ def packed_recommendations(recs: DataFrame, key: str = "site") -> DataFrame:
 
 
 def packed_keywords(top10: DataFrame, key: str = "site") -> DataFrame:
-    """``key, keywords_md, keywords_line`` from ranked top-10 rows (``top_rank``)."""
+    """``key, keywords, keywords_md, keywords_line`` from ranked top-10 rows (``top_rank``)."""
     md = F.concat(col("top_rank").cast("string"), lit(". "), col("word"), lit(" (score: "),
                   two_decimals(col("score")), lit(")\n"))
     line = F.concat(col("word"), lit(" (freq: "), col("frequency").cast("string"), lit(", score: "),
                     two_decimals(col("score")), lit(")"))
-    parts = F.array_sort(F.collect_list(F.struct("top_rank", md.alias("md"), line.alias("line"))))
+    entry = F.struct("word", "frequency", "score", "is_phrase")
+    parts = F.array_sort(F.collect_list(F.struct("top_rank", md.alias("md"), line.alias("line"), entry.alias("entry"))))
     return top10.groupBy(key).agg(parts.alias("p")).select(
         key,
+        F.transform("p", lambda s: s["entry"]).alias("keywords"),
         F.array_join(F.transform("p", lambda s: s["md"]), "").alias("keywords_md"),
         F.array_join(F.transform("p", lambda s: s["line"]), "; ").alias("keywords_line"),
     )

@@ -990,7 +990,7 @@ def report_ctes(rich: bool = True) -> str:
         f"{site_ml_with(rich)}, {files_ctes()}, "
         f"mp AS (SELECT site, arg_min(page_id, (NOT is_index, page_id)) AS main_page_id FROM (SELECT page_id, {site_key('url')} AS site, "
         f"regexp_matches({url_path('url')}, {q(INDEX_PATH_RE)}) AS is_index FROM src) GROUP BY site), "
-        "tk AS (SELECT * FROM (SELECT site, word, frequency, score, row_number() OVER (PARTITION BY site ORDER BY score DESC, "
+        "tk AS (SELECT * FROM (SELECT site, word, frequency, score, is_phrase, row_number() OVER (PARTITION BY site ORDER BY score DESC, "
         "first_page_id, first_rank) AS top_rank FROM sk) WHERE top_rank <= 10), "
         f"kwp AS (SELECT site, string_agg(top_rank || '. ' || word || ' (score: ' || {two_dec('score')} || ')' || {nl}, '' ORDER BY top_rank) AS keywords_md, "
         f"string_agg(word || ' (freq: ' || frequency || ', score: ' || {two_dec('score')} || ')', '; ' ORDER BY top_rank) AS keywords_line "
@@ -1023,6 +1023,44 @@ def site_report_q(stamp: str, rich: bool = True) -> str:
     return f"WITH {report_ctes(rich)[5:] if report_ctes(rich).startswith('WITH ') else report_ctes(rich)} SELECT site, {md} AS report_md FROM rr"
 
 
+def document_q(prefix: str, more: str, rich: bool) -> str:
+    """``site, path, value, number`` of the site documents, straight from the tables."""
+    import re
+
+    from sitelens.plans.report import DOCUMENT_PATHS, NUMBER_PATHS
+
+    def entry(path: str, column: str) -> str:
+        number = re.search(NUMBER_PATHS, path)
+        value, num = ("NULL", f"CAST({column} AS DOUBLE)") if number else (f"CAST({column} AS VARCHAR)", "NULL::DOUBLE")
+        return f"{{'path': {q(path)}, 'value': {value}, 'number': {num}}}"
+
+    body = report_ctes(rich)
+    body = body[5:] if body.startswith("WITH ") else body
+    scalars = ", ".join(entry(prefix + p, c) for p, c in DOCUMENT_PATHS.items()) + more
+    at = f"{q(prefix + 'merged.keywords[')} || (top_rank - 1) || "
+    words = ", ".join(
+        f"{{'path': {at}{q('].' + f)}, 'value': {'CAST(' + f + ' AS VARCHAR)' if text else 'NULL'}, "
+        f"'number': {'NULL::DOUBLE' if text else 'CAST(' + f + ' AS DOUBLE)'}}}"
+        for f, text in (("word", True), ("frequency", False), ("score", False), ("is_phrase", True))
+    )
+    return (
+        f"WITH {body}, dv AS (SELECT site, unnest([{scalars}]) AS v FROM rr UNION ALL SELECT site, unnest([{words}]) AS v FROM tk) "
+        "SELECT site, v.path AS path, v.value AS value, v.number AS number FROM dv WHERE v.value IS NOT NULL OR v.number IS NOT NULL"
+    )
+
+
+def analysis_json_q(rich: bool = True) -> str:
+    return document_q("", "", rich)
+
+
+def run_summary_q(output_dir: str, rich: bool = True) -> str:
+    more = (
+        f", {{'path': 'output_file', 'value': {q(output_dir + '/')} || site || '/index.html', 'number': NULL::DOUBLE}}"
+        ", {'path': 'optimization_score', 'value': NULL, 'number': CAST(optimization_score AS DOUBLE)}"
+    )
+    return document_q("analysis.", more, rich)
+
+
 def analysis_summary_q(rich: bool = True) -> str:
     from sitelens.operators.reports import SUMMARY_CHECKS
 

@@ -707,18 +707,20 @@ def q_analysis_summary(spark, sf_dir):
     return flat(analysis_summary(_pages(spark, sf_dir, True), files=_files(spark, sf_dir)))
 
 
-@register("analysis_json")
+@register("analysis_json", lambda: D.analysis_json_q(True))
 def q_analysis_json(spark, sf_dir):
-    from sitelens.plans.report import analysis_json
+    """The documents by path and value, so that two spellings of one document are equal."""
+    from sitelens.plans.report import analysis_json, document_values
 
-    return analysis_json(_pages(spark, sf_dir, True), files=_files(spark, sf_dir)).select("site", "json")
+    return document_values(analysis_json(_pages(spark, sf_dir, True), files=_files(spark, sf_dir)))
 
 
-@register("run_summary")
+@register("run_summary", lambda: D.run_summary_q("out", True))
 def q_run_summary(spark, sf_dir):
-    from sitelens.plans.report import run_summary
+    from sitelens.plans.report import document_values, run_summary
 
-    return run_summary(_pages(spark, sf_dir, True), files=_files(spark, sf_dir))
+    documents = run_summary(_pages(spark, sf_dir, True), files=_files(spark, sf_dir))
+    return document_values(documents, "analysis.", ("output_file", "optimization_score"))
 
 
 # --- remaining building blocks ---------------------------------------------------------

@@ -91,11 +91,12 @@ def analysis_json(pages: DataFrame, **kw) -> DataFrame:
     site (however large) is gathered into one row.
     """
     row = report_row(pages, **kw)
+    none = F.array().cast("array<struct<word:string,frequency:bigint,score:double,is_phrase:boolean>>")
     result = F.struct(
         "business_type", "language", "content_summary", "title", "description",
         "has_title", "has_description", "has_og_tags", "has_twitter_cards", "has_schema",
         "has_canonical", "has_viewport", "has_charset", "h1_count", "img_without_alt",
-        "completeness_score", "keyword_count", F.col("keywords_line").alias("top_keywords"),
+        "completeness_score", "keyword_count", F.coalesce("keywords", none).alias("keywords"),
     )
     doc = F.struct(
         F.col("site").alias("root"),
@@ -116,3 +117,29 @@ def run_summary(pages: DataFrame, output_dir: str = "out", **kw) -> DataFrame:
         "optimization_score",
     )
     return a.select("site", F.to_json(doc).alias("json"))
+
+
+#: Where a site document holds what; keywords are listed by place.
+DOCUMENT_PATHS = {
+    "root": "site", "main_file": "main_page_id", "framework": "framework", "files": "page_count",
+    **{f"merged.{c}": c for c in (
+        "business_type", "language", "content_summary", "title", "description", "has_title", "has_description",
+        "has_og_tags", "has_twitter_cards", "has_schema", "has_canonical", "has_viewport", "has_charset",
+        "h1_count", "img_without_alt", "completeness_score", "keyword_count",
+    )},
+}
+NUMBER_PATHS = r"(main_file|files|_count|_without_alt|_score|frequency|score)$"
+KEYWORD_FIELDS = ["word", "frequency", "score", "is_phrase"]
+
+
+def document_values(documents: DataFrame, prefix: str = "", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``site, path, value, number``: every value of ``site, json`` documents by its path, absent ones left out.
+
+    Numbers are given as such (``number``), since they may be spelled in more than one way.
+    """
+    paths = [*extra, *(prefix + p for p in DOCUMENT_PATHS)]
+    paths += [f"{prefix}merged.keywords[{i}].{f}" for i in range(10) for f in KEYWORD_FIELDS]
+    found = F.array(*(F.struct(F.lit(p).alias("path"), F.get_json_object("json", f"$.{p}").alias("text")) for p in paths))
+    rows = documents.select("site", F.explode(found).alias("v")).select("site", "v.path", "v.text").where("text IS NOT NULL")
+    number = F.when(F.col("path").rlike(NUMBER_PATHS), F.col("text").cast("double"))
+    return rows.select("site", "path", F.when(number.isNull(), F.col("text")).alias("value"), number.alias("number"))

@@ -39,11 +39,11 @@ def test_single_page_site_merge_is_identity(spark):
                 assert r[c] == r["p_" + c], c
 
 
-def test_every_query_has_an_oracle_or_is_json(spark):
+def test_every_query_has_an_oracle(spark):
     import __spark_entry__ as E
     from sitelens.plans.queries import ORACLE
 
-    assert set(QUERIES) - set(ORACLE) == {"analysis_json", "run_summary"}
+    assert set(QUERIES) == set(ORACLE)
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql()) <= set(E.queries())
 
