@@ -10,10 +10,8 @@ Letters are folded to lower case; a run of other characters is one gap.  The
 letter vectors come from a generator seeded with the letter, so no table is
 kept or shipped.
 
-Training reads at most ``per_language`` labelled texts of each language (a
-documented bound), chosen by a hash of ``doc_id``, and never a text whose
-``crc32(doc_id) mod 3`` is 1.  Prediction reads every whole text and nothing
-but the text.
+Training reads every labelled text except those whose ``crc32(doc_id) mod 3``
+is 1.  Prediction reads every whole text and nothing but the text.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
 so is every text if there is nothing to learn from; a null ``doc_id`` is not
@@ -35,7 +33,6 @@ from pyspark.sql import functions as F
 from sitelens.llm.tokens import lean_memory
 
 DIMENSIONS = 512
-PER_LANGUAGE = 4000
 FOLDS, HELD_FOLD = 3, 1
 GAP = 32
 UNKNOWN = "und"
@@ -115,28 +112,20 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
 
 
-def learnable(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame | None:
-    """(text, lang) of a bounded sample of each language's learnable rows, about ``per_language`` each; None if there are none."""
+def learnable(docs: DataFrame) -> DataFrame:
+    """(text, lang) of every row that may be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    found = rows.groupBy("lang").count().collect()  # a row per label
-    if not found:
-        return None
-    million = 1_000_000
-    shares = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], max(1, min(million, per_language * million // r["count"])))))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < F.element_at(shares, F.col("lang"))).select("text", "lang")
+    return rows.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
 
 
-def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, a unit prototype each), from a bounded sample of each language's learnable rows."""
-    return _prototypes(learnable(docs, per_language), dimensions)
+def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
+    """(languages, a unit prototype each), from all learnable rows."""
+    return _prototypes(learnable(docs), dimensions)
 
 
-def _prototypes(sample: DataFrame | None, dimensions: int) -> tuple[list[str], np.ndarray]:
-    if sample is None:
-        return [], np.zeros((0, dimensions))
-
+def _prototypes(learned: DataFrame, dimensions: int) -> tuple[list[str], np.ndarray]:
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         profiles, sums = Profiles(dimensions), {}
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
@@ -150,7 +139,7 @@ def _prototypes(sample: DataFrame | None, dimensions: int) -> tuple[list[str], n
         total = sum(np.frombuffer(v.as_buffer()) for v in table.column("v"))
         return pa.table({"lang": [keys[0].as_py()], "v": [total.tobytes()]})
 
-    sums = sample.mapInArrow(bundle, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()
+    sums = learned.mapInArrow(bundle, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").collect()
     sums = sorted((r["lang"], np.frombuffer(r["v"])) for r in sums)
     if not sums:
         return [], np.zeros((0, dimensions))
@@ -168,9 +157,9 @@ def judged(names: list[str], stack: np.ndarray, dimensions: int, profiles: Profi
     return names[i], min(1.0, max(0.0, float(cosine[i]))), n
 
 
-def languages(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
+def languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
-    names, stack = prototypes(docs, dimensions, per_language)
+    names, stack = prototypes(docs, dimensions)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,21 +173,22 @@ def languages(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int =
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def least_scores(sample: DataFrame | None, names: list[str], stack: np.ndarray, dimensions: int) -> dict[int, float]:
+def least_scores(learned: DataFrame, names: list[str], stack: np.ndarray, dimensions: int) -> dict[int, float]:
     """By length class (power of two of trigrams): ``MARGIN`` times the least score that a learned text of the class has.
 
     A class with fewer than ``CLASS_ROWS`` learned texts has no bound of its own.
     """
-    if sample is None or not names:
+    if not names:
         return {}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         profiles = Profiles(dimensions)
         for batch in batches:
             found = [judged(names, stack, dimensions, profiles, t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([pa.array([n.bit_length() for _, _, n in found], pa.int32()), pa.array([x for _, x, _ in found], pa.float64())], names=["size", "score"])
 
-    scored = sample.select("text").mapInArrow(score, "size int, score double").where("size > 0")
+    scored = learned.select("text").mapInArrow(score, "size int, score double").where("size > 0")
     rows = scored.groupBy("size").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).collect()  # at most one a bit
     return {r["size"]: MARGIN * r["least"] for r in rows if r["n"] >= CLASS_ROWS}
 
@@ -208,16 +198,16 @@ def bound_of(n: int, bounds: dict[int, float]) -> float:
     return next((bounds[k] for k in range(n.bit_length(), 0, -1) if k in bounds), 0.0)
 
 
-def known_language(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
+def known_language(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """The rows of ``docs`` in a language that was learned.  All columns stay.
 
     Rows go whose text has no letter, or whose score lies below anything that
     learned texts of like length have (``least_scores``): other languages, and
     letters that are no language.  Only the text goes through Python.
     """
-    sample = learnable(docs, per_language)
-    names, stack = _prototypes(sample, dimensions)
-    bounds = least_scores(sample, names, stack, dimensions)
+    learned = learnable(docs)
+    names, stack = _prototypes(learned, dimensions)
+    bounds = least_scores(learned, names, stack, dimensions)
 
     @F.arrow_udf("boolean")
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -75,6 +75,15 @@ def test_texts_in_no_learned_language_go(spark):
     assert len(letters - kept) <= 0.005 * len(letters)
 
 
+def test_every_labelled_text_is_learned(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("the train leaves in the morning and the people walk on along the river").alias("text"), F.lit("en").alias("lang"))
+    may = rows.where(~langid.held_out())
+    assert langid.learnable(rows).count() == may.count()
+    odd = may.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).desc()).first()["doc_id"]  # what a sample by hash left out
+    docs = rows.withColumn("text", F.when(F.col("doc_id") == odd, F.lit("xqzj wvkq zzxj qqpt kkdw vvbn jjhg ffdx ppqw mmzx wqkx zjxv rrtq ggkw")).otherwise(F.col("text")))
+    assert langid.known_language(docs).where(F.col("doc_id") == odd).count() == 1
+
+
 ITEM = "A train leaves Leeds at 9 and runs 120 km in 3 hours before it meets the slow train that Anna boarded in York while Anna had read 120 pages"
 OTHER = "Which of the following statements about the old harbour and its many quiet boats is certainly true today"
 SHORT = "Why is this so blue"
