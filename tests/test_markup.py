@@ -4,10 +4,12 @@ import pytest
 from conftest import one_page, pages_of
 from pyspark.sql import functions as F
 
+from sitelens.functions import html as H
+from sitelens.functions import patterns as P
 from sitelens.functions.text import decode_entities
 from sitelens.operators.inject import injection_point
 from sitelens.operators.keywords import phrase_tokens, word_tokens
-from sitelens.operators.zones import zone_segments, zone_text
+from sitelens.operators.zones import _zone_stream, zone_segments, zone_text
 from sitelens.plans.analysis import page_base
 
 BODY = {
@@ -135,3 +137,26 @@ def test_page_of_many_capitalized_words_and_tags(spark):
     assert {r["page_id"]: r["count"] for r in words} == {1: 50_000, 2: 2}
     # a run of more than four words is no phrase
     assert [(r["page_id"], r["phrase"]) for r in phrase_tokens(base).collect()] == [(2, "two words")]
+
+
+@pytest.mark.parametrize("markup", [
+    "", "plain", "<p>a</p>\n<p>b</p>", "a < b <<c> d<", "<p>x<", "x<abc", "<a href='x>y'>t</a>tail<!>", "<><b></b></b>&amp;<1", "</p><?x><!y>", "\n", "a\n<p>\n", "<p>\n\n", "< p>é</ p>",
+])
+def test_text_runs_are_the_text_tokens(spark, markup):
+    tokens = F.regexp_extract_all("m", F.lit(P.TOKEN), F.lit(0))
+    df = spark.createDataFrame([(markup,)], "m string")
+    want = F.filter(tokens, lambda t: ~t.rlike(P.IS_MARKUP))
+    words = F.filter(F.regexp_extract_all("m", F.lit(P.WORD), F.lit(0)), lambda w: F.length(w) >= 3)
+    r = df.select(H.text_nodes(F.col("m")).alias("got"), want.alias("want"), F.regexp_extract_all("m", F.lit(P.LONG_WORD), F.lit(0)).alias("long"), words.alias("words")).first()
+    assert r["got"] == r["want"] and r["long"] == r["words"]
+
+
+def test_zone_tokens_are_filtered_without_patterns(spark):
+    base = spark.createDataFrame([(1, "<P><H1>a</H1>&amp;<br><x class='content'>c</x></p><a/>", "t", None)], "page_id long, clean string, title_raw string, description string")
+    stream = _zone_stream(base)
+    rows = [(r["kind"], r["tag"], r["is_content"], r["text"]) for r in stream.orderBy("pos").collect()]
+    assert rows == [("head", None, False, "t "), ("head", None, False, ""), ("open", "h1", False, None), ("text", None, False, "a"), ("close", "h1", False, None),
+                    ("text", None, False, "&"), ("open", "x", True, None), ("text", None, False, "c"), ("close", "x", False, None), ("open", "a", False, None)]
+    plan = stream._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "regexp_extract(" not in above and not any("Filter" in line for line in above.splitlines())
