@@ -170,3 +170,31 @@ def test_release_deletes_only_unnamed_tables(spark, tmp_dir):
     release(spark)
     left = {x for x in os.listdir(folder) if x not in before}
     assert left == {name} and named.count() == 3
+
+
+def test_body_nodes_are_extracted_once(spark):
+    """Decoding refers to the body's text several times; its nodes are extracted below it, in one expression."""
+    from sitelens.functions import patterns as P
+    from sitelens.plans.analysis import page_base
+
+    p = optimized(page_base(scanned(spark)).select("raw_text"))
+    assert p.count(P.NEXT_TEXT) == 1, p
+
+
+def test_indicators_are_found_by_their_longest_match(spark):
+    """Overlapping, nested and self-overlapping indicators score as one by one; the pass proposes none that the text lacks."""
+    from pyspark.sql import functions as F
+
+    from sitelens.operators import business as B, dims
+
+    texts = ["treatmentreatment saasaas", "cloud computing clouds cloud", "order online orders add to carts", "datai aiai données",
+             "the their theme tea", "", None, *dict.fromkeys(i for _, _, i in dims.indicator_rows())]
+    zones = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "page_id long, zone_text string")
+    want = {}
+    for n, t in enumerate(texts):
+        for _, o, i in dims.indicator_rows():
+            if t and i in t:
+                want[n, o] = want.get((n, o), 0) + 1 + (t.count(i) - 1) // 2
+    assert {(r.page_id, r.ordinal): r.score for r in B.indicator_scores(zones).collect()} == want
+    found = zones.where("page_id = 4").select(B._found(F.col("zone_text")).alias("f")).first().f
+    assert found == []
