@@ -198,3 +198,59 @@ def test_indicators_are_found_by_their_longest_match(spark):
     assert {(r.page_id, r.ordinal): r.score for r in B.indicator_scores(zones).collect()} == want
     found = zones.where("page_id = 4").select(B._found(F.col("zone_text")).alias("f")).first().f
     assert found == []
+
+
+def test_keyword_tokens_run_no_lambda_a_word(spark):
+    from sitelens.operators.keywords import keyword_tokens
+
+    texts = ["The Big Red Dog ran. Big\tRed dog", "A b", "One Two Three Four Five", "", None]
+    base = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "page_id bigint, raw_text string")
+    df = keyword_tokens(base)
+    words = {(0, "big"): 2, (0, "red"): 2, (0, "dog"): 2, (0, "ran"): 1, **{(2, w): 1 for w in ("one", "two", "three", "four", "five")}}
+    got = {(r.page_id, r.word): r["count"] for r in df.where("NOT is_phrase").groupBy("page_id", "word").count().collect()}
+    assert got == words
+    assert sorted((r.page_id, r.word) for r in df.where("is_phrase").collect()) == [(0, "big\tred"), (0, "the big red dog")]
+    p = optimized(df)
+    assert "transform(" not in p and p.count("raw_text#") == optimized(base).count("raw_text#") + 2, p
+
+
+def test_words_of_a_text_are_counted_once(spark):
+    from sitelens.operators.content import over_used
+
+    a = spark.createDataFrame([(1, "buy tea "), (2, " \t\n"), (3, None), (None, "tea")], "page_id bigint, raw_text string")
+    k = spark.createDataFrame([(1, "buy", 1, 1), (1, "tea", None, 2), (2, "x", 1, 1), (3, "x", 1, 1), (None, "tea", 1, 1)],
+                              "page_id bigint, word string, frequency bigint, rank int")
+    df = over_used(a, k)
+    assert [tuple(r) for r in df.collect()] == [(1, "buy", 1, 1)]
+    assert not any("raw_text" in x for x in optimized(df).splitlines() if "Filter" in x), optimized(df)
+
+
+def test_page_frames_move_no_tokens(spark):
+    from sitelens.operators.content import over_used
+    from sitelens.plans.site import page_frames
+
+    f = page_frames(scanned(spark))
+    text = f["base"].select("page_id", "raw_text").hint("merge")
+    for df in (over_used(text, f["page_keywords"].hint("merge")), f["page_keywords"].groupBy("page_id").count()):
+        assert "Exchange" not in plan(df), plan(df)
+
+
+def test_indicators_pass_the_first_look(spark):
+    import re
+
+    from sitelens.operators import business as B
+
+    words = list(B._dispatch())
+    look, whole = re.compile(B._may_begin(words)), re.compile(f"(?=({B._longest(words)}))")
+    texts = [*words, "ai", "xai", "say ai.", "tech, machine learning? api", "a", "", "qqq", "store hours"]
+    for text in texts:
+        assert [m.start() for m in whole.finditer(text) if not look.match(text, m.start())] == []
+    assert not look.match("qqq") and look.match("ai")
+
+
+def test_whitespace_words_as_runs(spark):
+    from sitelens.functions.text import whitespace_words
+
+    texts = ["", " ", " a", "a ", "a\x0bb", "\ta \r\n b\f", " ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(whitespace_words("t").alias("n")).collect()
+    assert [r.n for r in rows] == [0, 0, 1, 1, 1, 2, 1, None]
